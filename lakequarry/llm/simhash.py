@@ -67,7 +67,8 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     padded = np.zeros(-(-len(values) // 64) * 64, np.uint64)
     padded[: len(values)] = values
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T.reshape(64, -1, 64), axis=2, bitorder="little").view(np.uint64).reshape(64, -1)
+    words = np.packbits(np.ascontiguousarray(bits.T).reshape(64, -1, 64), axis=2, bitorder="little")
+    return np.ascontiguousarray(words).view(np.uint64).reshape(64, -1)
 
 
 def near(queries: np.ndarray, planes: np.ndarray, block: np.ndarray, wanted: np.ndarray) -> np.ndarray:
