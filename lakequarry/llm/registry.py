@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "packing", "sharding", "simhash")
+MODULES = ("quality_rules", "packing", "media", "sharding", "simhash", "toxicity", "chat_format")
 
 
 def _merged(what: str) -> dict:
