@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "packing", "kneser_ney", "media", "sharding", "simhash", "unigram_scan", "toxicity", "chat_format")
+MODULES = ("quality_rules", "packing", "kneser_ney", "license_scan", "media", "sharding", "simhash", "unigram_scan", "toxicity", "chat_format")
 
 
 def _merged(what: str) -> dict:

@@ -56,8 +56,10 @@ def test_best_paths_match_the_library(pieces):
     for t in texts():
         if "▁" not in t:
             own = np.frombuffer(pieces.words(U.written(t))[0], "<u4").tolist()
-            ours, theirs = total(pieces, own), total(pieces, sp.encode(t))
-            assert ours == theirs if abs(ours) < 1 << 24 else ours >= theirs, t  # the library adds in single precision
+            # the library's best path is the first of its n best: encode() may return a lower one; it adds in single precision
+            ours, theirs = total(pieces, own), total(pieces, sp.nbest_encode_as_ids(t, 3)[0])
+            assert ours == theirs if abs(ours) < 1 << 24 else ours >= theirs, t
+            assert ours >= total(pieces, sp.encode(t)), t
 
 
 def test_words_match_viterbi_over_the_whole_text(pieces):
