@@ -55,3 +55,9 @@ def let(value: Column, body) -> Column:
 def row_key(df: DataFrame) -> Column:
     """A key of a document's row for joining a verdict back to it: null-safe, equal for equal rows."""
     return F.xxhash64(F.lit(7), *[F.col(c) for c in ("doc_id", "lang", "text") if c in df.columns])
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, most_broadcast: int = 1_000_000) -> DataFrame:
+    """rows whose key is not in gone: by a broadcast of up to most_broadcast keys of 8 bytes, else by a shuffle of both sides."""
+    gone = stage(gone.select(key).distinct(), "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= most_broadcast else gone, key, "left_anti")

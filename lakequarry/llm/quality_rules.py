@@ -116,6 +116,12 @@ def apply_rules(docs: DataFrame, rules=RULES, sample_rows: int = 1000) -> DataFr
     return base_stats(docs).withColumn("first_failed", cascade(ordered)).withColumn("kept", F.col("first_failed").isNull())
 
 
+def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
+    """docs without the rows that a rule rejects, other columns as they are."""
+    whole = docs.select(F.struct("*").alias("_doc"), "text")
+    return apply_rules(whole, rules).where("kept").select("_doc.*")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+import corpus_pipeline
+
 MODULES = ("quality_rules", "packing", "kneser_ney", "license_scan", "media", "sharding", "simhash", "unigram_scan", "toxicity", "chat_format")
 
 
@@ -12,7 +14,7 @@ def _merged(what: str) -> dict:
 
 
 def queries() -> dict:
-    return _merged("QUERIES")
+    return _merged("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:

@@ -10,6 +10,12 @@ A bucket with more than most_in_bucket fingerprints is not compared in one task.
 "itself or one bit changed"; two fingerprints within radius 2 share such a key and two that share one are within radius 2, so linking
 each key's fingerprints to their smallest one gives exactly the same components by a plain aggregation.
 
+drop_near_duplicates() works for a similarity (0.8 of the five-word shingles unless given) in place of two bits. It takes fingerprints of 256 bits, whose expected distance
+at a similarity j is 256 acos(2 j / (1 + j)) / pi, and a radius 1.65 standard deviations above it. Buckets come from tables of sampled bits, as many as find a pair of just
+that similarity with a probability of 0.95 (0.99 at 0.85); buckets are compared as above. In a crowded bucket, 64 pivots at a time are compared to all members,
+which are dealt over tasks by a salt; linked members leave, and what remains goes on until it fits (after most_rounds, by pairs of blocks). So every document is within the radius of
+the one that stays for it, through links.
+
 Components come from alternating large-star and small-star rounds over links between distinct fingerprints, staged in the
 shared folder after every round. Nothing is collected but counts.
 
@@ -28,27 +34,44 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage
+from .common import read_table, stage, without
 
 RADIUS, SEED = 2, 42
 PAIRS = tuple(combinations(range(4), 2))
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint of a text as an unsigned number."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 values of a text's shingles, repeats included; of the whole sequence if it has fewer words."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and the six separators only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[: -shingle] + 1).tolist()] if len(words) > shingle else [0]
     ends = ends[shingle - 1 :].tolist() if len(words) > shingle else [len(joined)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(starts, ends, strict=True)], repeat(SEED)), np.uint64, len(ends))
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(starts, ends, strict=True)], repeat(SEED)), np.uint64, len(ends))
+
+
+def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """Bits set in over half the hashes, 64 a word; the words from the second on take the hashes mixed by different constants."""
+    total = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 16384):
+        part = hashes[at : at + 16384]
+        mixed = np.column_stack([part, *[_mix(part, k) for k in range(1, words)]]).astype("<u8")
+        total += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def _mix(h: np.ndarray, k: int) -> np.ndarray:
+    h = h ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The fingerprint of a text as an unsigned number."""
+    return int(majority(shingle_hashes(text, shingle))[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -63,37 +86,44 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
-    """Bit planes, (64, blocks) words: bit i of word [b, k] is bit b of values[64 k + i]."""
-    padded = np.zeros(-(-len(values) // 64) * 64, np.uint64)
+    """Bit planes, (64 words, blocks) words: bit i of word [b, k] is bit b of values[64 k + i]. values: (n,) or (n, words)."""
+    values = values.reshape(len(values), -1)
+    padded = np.zeros((-(-len(values) // 64) * 64, values.shape[1]), np.uint64)
     padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    words = np.packbits(np.ascontiguousarray(bits.T).reshape(64, -1, 64), axis=2, bitorder="little")
-    return np.ascontiguousarray(words).view(np.uint64).reshape(64, -1)
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
+    planes = np.packbits(np.ascontiguousarray(bits.T).reshape(bits.shape[1], -1, 64), axis=2, bitorder="little")
+    return np.ascontiguousarray(planes).view(np.uint64).reshape(bits.shape[1], -1)
+
 
+def near(queries: np.ndarray, planes: np.ndarray, block: np.ndarray, wanted: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each query, the fingerprints of one block (a bit each, among wanted) within the radius.
 
-def near(queries: np.ndarray, planes: np.ndarray, block: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """For each query, the fingerprints of one block (a bit each, among wanted) within two differing bits."""
+    A block's 64 distances are one-bit counters side by side, from the ones up; they start so that the first distance over the radius carries out of the top.
+    """
+    queries = queries.reshape(len(queries), -1)
+    n_bits = max(1, radius.bit_length())
+    start = (1 << n_bits) - 1 - radius
     out = np.zeros(len(queries), np.uint64)
     live = np.arange(len(queries))
-    ones, twos, over = (np.zeros(len(queries), np.uint64) for _ in range(3))
-    for b in range(64):
-        asked = (queries[live] >> np.uint64(b)) & np.uint64(1)
-        differs = planes[b, block[live]] ^ (np.uint64(0) - asked)
-        carry = ones & differs
-        ones = ones ^ differs
-        over = over | (twos & (carry | ones))  # three or more
-        twos = twos | carry
-        if b % 8 == 7 and b < 63:
+    counters = [np.full(len(queries), 0xFFFFFFFFFFFFFFFF if start >> i & 1 else 0, np.uint64) for i in range(n_bits)]
+    over = np.zeros(len(queries), np.uint64)
+    for b in range(len(planes)):
+        asked = (queries[live, b // 64] >> np.uint64(b % 64)) & np.uint64(1)
+        carry = planes[b, block[live]] ^ (np.uint64(0) - asked)
+        for i in range(n_bits):
+            counters[i], carry = counters[i] ^ carry, counters[i] & carry
+        over = over | carry
+        if b % 8 == 7 and b >= radius and b < len(planes) - 1:
             left = (wanted[live] & ~over) != 0
             if not left.all():  # blocks abandoned: nothing wanted in them is within the radius any more
-                live, ones, twos, over = live[left], ones[left], twos[left], over[left]
+                live, over, counters = live[left], over[left], [c[left] for c in counters]
                 if not len(live):
                     break
     out[live] = wanted[live] & ~over
     return out
 
 
-def bucket_links(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(values: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links as positions (smaller root, member), at most one less than the members of each connected part.
 
     values: fingerprints in order of buckets; ends: for each position, where its bucket ends.
@@ -111,7 +141,7 @@ def bucket_links(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
         shift = np.minimum(low[active], 63).astype(np.uint64)
         top = np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - high[active]).astype(np.uint64)
         wanted = top & (np.uint64(0xFFFFFFFFFFFFFFFF) << shift)
-        found = near(values[active], planes, block[active], wanted)
+        found = near(values[active], planes, block[active], wanted, radius)
         hit = np.flatnonzero(found)
         while len(hit):  # one round for each of a query's links within the block
             word = found[hit]
@@ -146,30 +176,37 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(root, b, a)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], most_rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Links of rows (bucket, fp) sorted by bucket; a bucket may reach over batches."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def flush(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        edges = np.flatnonzero(np.diff(keys, append=~keys[-1:]) != 0) + 1
-        ends = np.repeat(edges, np.diff(edges, prepend=0))
-        low, high = bucket_links(fps.view(np.uint64), ends)
-        return pa.RecordBatch.from_arrays([pa.array(fps[low]), pa.array(fps[high])], ["a", "b"])
-
-    rows = 0
+def _groups(batches: Iterator[pa.RecordBatch], most_rows: int = 1 << 18) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, in tables that hold all rows of its values."""
+    held, rows = [], 0
     for b in batches:
         if not b.num_rows:
             continue
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        held.append(b)
         rows += b.num_rows
         if rows >= most_rows:
-            keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
+            table = pa.Table.from_batches(held)
+            keys = table.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last value may go on
             if cut:
-                yield flush(keys[:cut], fps[:cut])
-            held, rows = [(keys[cut:], fps[cut:])], len(keys) - cut
+                yield table.slice(0, cut)
+            held, rows = table.slice(cut).to_batches(), rows - cut
     if rows:
-        yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.Table.from_batches(held)
+
+
+def _ends(keys: np.ndarray) -> np.ndarray:
+    """For each position of sorted keys, where its run ends."""
+    edges = np.flatnonzero(np.diff(keys, append=~keys[-1:]) != 0) + 1
+    return np.repeat(edges, np.diff(edges, prepend=0))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows (bucket, fp) sorted by bucket."""
+    for table in _groups(batches):
+        fps = table.column(1).to_numpy()
+        low, high = bucket_links(fps.view(np.uint64), _ends(table.column(0).to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.array(fps[low]), pa.array(fps[high])], ["a", "b"])
 
 
 def links(distinct: DataFrame, most_in_bucket: int = 1024) -> DataFrame:
@@ -224,6 +261,142 @@ def near_duplicates(docs: DataFrame, most_in_bucket: int = 1024) -> DataFrame:
     return marked.join(by_fp, "fp")
 
 
+WIDE = 4  # words of a wide fingerprint
+PIVOTS = 64
+
+
+def radius_for(similarity: float, n_bits: int = 64 * WIDE) -> tuple[int, float]:
+    """(radius, chance that a bit differs) of texts of this Jaccard similarity."""
+    differs = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return round(n_bits * differs + 1.65 * (n_bits * differs * (1 - differs)) ** 0.5), differs
+
+
+def tables_for(rows: int, differs: float, recall: float = 0.95) -> tuple[int, int]:
+    """(tables, bits sampled by each): a bucket has some 64 chance members at most, and a pair meets in one of the tables with the recall."""
+    n_bits = max(16, int(np.ceil(np.log2(max(rows, 1) + 1))) - 6)
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - differs) ** n_bits))), n_bits
+
+
+def wide_fingerprints(rows: DataFrame, shingle: int = 5) -> DataFrame:
+    """rows without text, with fp (binary, 32 bytes)."""
+    others = [f for f in rows.schema if f.name not in ("text", "fp")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [majority(shingle_hashes(t.as_py(), shingle), WIDE).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), pa.array(found, pa.binary())], [*(f.name for f in others), "fp"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "fp binary"]))
+
+
+def _words(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WIDE)
+
+
+def buckets(distinct: DataFrame, tables: int, n_bits: int) -> DataFrame:
+    """bucket, node and fp: a row for each of the tables, whose bucket is the table's sample of the fingerprint's bits."""
+    rng = np.random.default_rng(7)
+    chosen = [rng.choice(64 * WIDE, n_bits, replace=False) for _ in range(tables)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.uint64(1) << np.arange(n_bits, dtype=np.uint64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bits = np.unpackbits(_words(b.column("fp")).view(np.uint8), axis=1, bitorder="little").astype(np.uint64)
+            for t, own in enumerate(chosen):
+                bucket = _mix((bits[:, own] * weights).sum(axis=1, dtype=np.uint64), t + 1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), b.column("node"), b.column("fp")], ["bucket", "node", "fp"])
+
+    return distinct.select("node", "fp").mapInArrow(run, "bucket long, node long, fp binary")
+
+
+def similar_links(distinct: DataFrame, similarity: float = 0.8, most_in_bucket: int = 1024, most_rounds: int = 20) -> DataFrame:
+    """Links (a, b) between the nodes of distinct (node, fp: wide fingerprints, each once) within the similarity's radius."""
+    spark = distinct.sparkSession
+    radius, differs = radius_for(similarity)
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            nodes = table.column("node").to_numpy()
+            low, high = bucket_links(_words(table.column("fp")), _ends(table.column("bucket").to_numpy()), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[low]), pa.array(nodes[high])], ["a", "b"])
+
+    def to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            keys = table.column(0).to_numpy()
+            for start in np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0).tolist():
+                own = table.slice(start, int(_ends(keys[start:])[0]))
+                pivot = own.column("is_pivot").to_numpy()
+                yield _with_pivots(own.filter(pa.array(pivot)), own.filter(pa.array(~pivot)), radius)
+
+    def all_pairs(rows: DataFrame) -> DataFrame:
+        return rows.select("bucket", "node", "fp").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a long, b long")
+
+    def crowded_of(rows: DataFrame) -> tuple[DataFrame, int]:
+        found = stage(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most_in_bucket), "crowded")
+        return found, found.count()
+
+    keyed = buckets(distinct, *tables_for(distinct.count(), differs))
+    crowded, n = crowded_of(keyed)
+    small = lambda df, k: F.broadcast(df) if k <= 100_000 else df
+    links = all_pairs(keyed.join(small(crowded.select("bucket"), n), "bucket", "left_anti") if n else keyed)
+    rest = stage(keyed.join(small(crowded, n), "bucket"), "crowded-rows") if n else None
+    for number in range(most_rounds):
+        if not n:
+            return links
+        salts = F.ceil(F.col("n") / most_in_bucket).cast("int")
+        pivots = rest.where(F.pmod(F.xxhash64("node", "bucket", F.lit(number)), F.col("n")) < PIVOTS).select("bucket", "node", "fp", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("is_pivot"))
+        members = rest.select("bucket", "node", "fp", F.pmod(F.xxhash64("node", F.lit(-1)), salts).cast("int").alias("salt"), F.lit(False).alias("is_pivot"))
+        dealt = members.unionByName(pivots).select(F.xxhash64("bucket", "salt").alias("key"), "bucket", "node", "fp", "is_pivot")
+        met = stage(dealt.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(to_pivots, "bucket long, node long, fp binary, a long"), "pivoted")
+        links = links.unionByName(met.where("a IS NOT NULL").select("a", F.col("node").alias("b")))
+        left = met.where("a IS NULL").select("bucket", "node", "fp")
+        crowded, n = crowded_of(left)
+        links = links.unionByName(all_pairs(left.join(small(crowded.select("bucket"), n), "bucket", "left_anti") if n else left))
+        rest = stage(left.join(small(crowded, n), "bucket"), "crowded-rows") if n else None
+    # pairs of blocks of what remains: each pair of members meets under the key of their two blocks
+    blocks = F.ceil(F.col("n") * 2 / most_in_bucket).cast("int")
+    own = rest.withColumn("own", F.pmod(F.xxhash64("node", F.lit(-2)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return links.unionByName(all_pairs(own.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "fp")))
+
+
+def _with_pivots(pivots: pa.Table, members: pa.Table, radius: int) -> pa.RecordBatch:
+    """Members with their first pivot (a), those without one with a null; pivots that share a member are linked, too."""
+    node, a, bucket, fp = members.column("node").to_pylist(), [None] * len(members), members.column("bucket").to_pylist(), members.column("fp").to_pylist()
+    pivot_nodes = pivots.column("node").to_pylist()
+    if len(pivots) and len(members):
+        planes = planes_of(_words(pivots.column("fp")))
+        hits = np.zeros((len(members), planes.shape[1] * 64), bool)
+        for block in range(planes.shape[1]):
+            wanted = np.full(len(members), 0xFFFFFFFFFFFFFFFF >> max(0, 64 * (block + 1) - len(pivots)), np.uint64)
+            word = near(_words(members.column("fp")), planes, np.full(len(members), block), wanted, radius)
+            hits[:, 64 * block : 64 * (block + 1)] = np.unpackbits(word.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = np.where(hits.any(axis=1), hits.argmax(axis=1), -1)
+        a = [pivot_nodes[k] if k >= 0 else None for k in first.tolist()]
+        together = {(f, k) for f in np.unique(first[first >= 0]).tolist() for k in np.flatnonzero(hits[first == f].any(axis=0)).tolist() if k != f}
+        for f, k in sorted(together):
+            bucket.append(bucket[0])
+            node.append(pivot_nodes[k])
+            fp.append(b"")
+            a.append(pivot_nodes[f])
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(node, pa.int64()), pa.array(fp, pa.binary()), pa.array(a, pa.int64())], ["bucket", "node", "fp", "a"])
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most_in_bucket: int = 1024) -> DataFrame:
+    """docs (doc_id, text, others) with one row of each group of near-duplicates: that of the smallest doc_id (null ones last); of equal rows, one. Texts without words are one group."""
+    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    marked = stage(wide_fingerprints(numbered.select("_row", "doc_id", "text"), shingle), "wide-fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id"), F.col("_row"))).alias("least")
+    distinct = stage(marked.groupBy("fp").agg(least).withColumn("node", F.col("least._row")), "distinct")
+    roots = components(similar_links(distinct, similarity, most_in_bucket))
+    grouped = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
+    gone = stage(marked.select("_row").join(kept, "_row", "left_anti"), "near-duplicates")
+    return without(numbered, gone, "_row").select(*docs.columns)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
