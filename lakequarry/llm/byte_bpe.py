@@ -42,7 +42,7 @@ class ByteBpe:
     Strings of special tokens within a text are ordinary text.
     """
 
-    def __init__(self, path: str | None = None, ranks: str | None = None, cache: int = 400_000):
+    def __init__(self, path: str | None = None, ranks: str | None = None, cache: int = 150_000):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
