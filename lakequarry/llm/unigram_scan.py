@@ -20,9 +20,11 @@ path of the same total may be chosen than without chunks.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -55,6 +57,7 @@ class Pieces:
         self.score = {p: round(sp.get_score(i)) for p, i in self.id.items()}
         self.longest = max(map(len, self.score))
         self.unknown = min(self.score.values()) - 10
+        self.begins: dict[str, int | None] = {p[:n]: None for p in self.score for n in range(1, len(p))} | self.score  # every begin of a piece, with the score where it is one
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.raw = [b""] * len(ids)
         for p, i in self.id.items():
@@ -63,6 +66,11 @@ class Pieces:
             self.raw[i] = bytes([b])
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.id):
             raise ValueError("a piece has a blank after another character")
+        self.single = {p for p in self.score if len(p) == 1}
+        self.automaton = ahocorasick.Automaton()
+        for p, i in self.id.items():
+            self.automaton.add_word(p, (len(p), self.score[p], i))
+        self.automaton.make_automaton()
         self.most, self.seen = cache, {}
 
     def of(self, text: str, start: int, end: int) -> int | None:
@@ -74,13 +82,19 @@ class Pieces:
         """(score, cuts) of the best path from start to stop; inner: all cuts but the last are below it. NEVER if there is none."""
         best, back = {start: 0}, {}
         last = stop if inner is None else min(inner, stop)
-        for end in [*range(start + 1, last), *([stop] if stop > start else [])]:
-            top = None
-            for s in range(max(start, end - self.longest), end):
-                if s in best and (s < last) and (x := self.of(text, s, end)) is not None and (top is None or best[s] + x > top):
-                    top, back[end] = best[s] + x, s
-            if top is not None:
-                best[end] = top
+        known, unknown, longest = self.begins, self.unknown, self.longest
+        for s in range(start, last):
+            if (own := best.get(s)) is None:
+                continue
+            for end in range(s + 1, min(s + longest, stop) + 1):
+                if (x := known.get(text[s:end], NEVER)) is NEVER and end > s + 1:
+                    break  # no piece begins with this
+                if x is NEVER or x is None:
+                    if end > s + 1:
+                        continue
+                    x = unknown
+                if (end < last or end == stop) and (end not in best or own + x > best[end]):
+                    best[end], back[end] = own + x, s
         if stop not in best:
             return NEVER, []
         cuts = [stop]
@@ -100,10 +114,27 @@ class Pieces:
         if (found := self.seen.get(word)) is None:
             if len(self.seen) >= self.most:
                 self.seen.clear()
-            score, cuts = self.path(word, 0, len(word))
-            self.seen[word] = found = (np.array(self.ids(word, cuts), "<u4").tobytes(), score)
+            self.seen[word] = found = self._known(word) if self.single.issuperset(word) else self._any(word)
         return found
 
+    def _any(self, word: str) -> tuple[bytes, int]:
+        score, cuts = self.path(word, 0, len(word))
+        return np.array(self.ids(word, cuts), "<u4").tobytes(), score
+
+    def _known(self, word: str) -> tuple[bytes, int]:
+        """As _any, for words all of whose characters are pieces: the automaton gives every piece in a word, by its end and then by its begin."""
+        best, piece = [0] + [NEVER] * len(word), [None] * (len(word) + 1)
+        for end, found in self.automaton.iter(word):
+            own = best[end + 1 - found[0]] + found[1]
+            if own > best[end + 1]:
+                best[end + 1], piece[end + 1] = own, found
+        at, out = len(word), array("I")
+        while at:
+            out.append(piece[at][2])
+            at -= piece[at][0]
+        out.reverse()
+        return out.tobytes(), best[-1]
+
     def words(self, text: str) -> tuple[bytes, int]:
         own = [self.word(w) for w in _WORDS.findall(text)]
         return b"".join([x[0] for x in own]), sum(x[1] for x in own)
