@@ -308,8 +308,9 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    slim = coded.select("doc_id", F.xxhash64("text").alias("text_hash"), "ids", "path_score")
+    # hashed before encoding, so that giant texts are not carried through its last join
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    slim = encode(docs).select("doc_id", "text_hash", "ids", "path_score")
     found = decode(slim)
     n = (F.octet_length("ids") / 4).cast("long").alias("n_ids")
     return found.select("doc_id", n, F.crc32("ids").alias("ids_crc32"), "path_score", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
