@@ -136,7 +136,8 @@ class Pieces:
         return out.tobytes(), best[-1]
 
     def words(self, text: str) -> tuple[bytes, int]:
-        own = [self.word(w) for w in _WORDS.findall(text)]
+        known = self.seen.get
+        own = [known(w) or self.word(w) for w in _WORDS.findall(text)]
         return b"".join([x[0] for x in own]), sum(x[1] for x in own)
 
     def decode(self, ids: bytes) -> str:
