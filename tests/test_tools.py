@@ -109,3 +109,19 @@ def test_catalogue_and_refusals(sources):
     refused("INVALID_ARGUMENT", sources, "search_speeches")
     refused("UNKNOWN_TOOL", sources, "other")
     refused("INVALID_ARGUMENT", sources, "search_laws", other=1)
+
+
+def test_attachments_that_are_there(sources):
+    row = lambda host: f'<tr><td>1</td><td>說明</td><td><a href="{host}/f/1.pdf">a.pdf</a></td><td>12 KB</td></tr>'
+    shown = lambda html: T.Sources(sources.spark, site=SITE, fetch=lambda page, params: sources.spark.createDataFrame([(0, SITE, f"<table>{html}</table>")], "page_id int, url string, html string"))  # noqa: E731, ARG005
+    found = T.call(shown(row("")), "get_attachments", {"proposal_sn": "1"})
+    assert [(r.no, r.name, r.size, r.download_url) for r in found.data.collect()] == [("1", "a.pdf", "12 KB", f"{SITE}/f/1.pdf")] and found.meta["total_files"] == 1
+    refused("PARSER_CONTRACT_CHANGED", shown(row("https://other.example")), "get_attachments", proposal_sn="1")
+    refused("PARSER_CONTRACT_CHANGED", shown(""), "get_attachments", proposal_sn="1")
+
+
+def test_meeting_by_its_number(sources):
+    with pytest.raises(Refused) as e:  # the form's answer does not confirm the meeting that the number stands for
+        T.call(sources, "search_proposals", {"session": "", "meeting_number": 8})
+    assert "07040800" in str(e.value)
+    refused("NOT_FOUND", sources, "search_proposals", session="0704", meeting_number=9)
