@@ -10,11 +10,12 @@ A bucket with more than most_in_bucket fingerprints is not compared in one task.
 "itself or one bit changed"; two fingerprints within radius 2 share such a key and two that share one are within radius 2, so linking
 each key's fingerprints to their smallest one gives exactly the same components by a plain aggregation.
 
-drop_near_duplicates() works for a similarity (0.8 of the five-word shingles unless given) in place of two bits. It takes fingerprints of 256 bits, whose expected distance
-at a similarity j is 256 acos(2 j / (1 + j)) / pi, and a radius 1.65 standard deviations above it. Buckets come from tables of sampled bits, as many as find a pair of just
-that similarity with a probability of 0.95 (0.99 at 0.85); buckets are compared as above. In a crowded bucket, 64 pivots at a time are compared to all members,
-which are dealt over tasks by a salt; linked members leave, and what remains goes on until it fits (after most_rounds, by pairs of blocks). So every document is within the radius of
-the one that stays for it, through links.
+drop_near_duplicates() removes by an exact Jaccard similarity (0.8 of the distinct five-word shingles unless given). Texts of equal shingle sets are one node. Fingerprints of
+256 bits only find candidates: their expected distance at a similarity j is 256 acos(2 j / (1 + j)) / pi, and the radius lies three standard deviations above it. Buckets come from
+tables of sampled bits, as many as find a pair of just that similarity with a probability of 0.99. The members of each candidate component then bring their shingle hashes,
+and a link is a pair whose intersection over union reaches the similarity. So every document removed is joined to the one that stays by links of that similarity.
+In a crowded bucket of fingerprints, 64 pivots at a time are compared to all members, which are dealt over tasks by a salt; linked members leave, and what remains goes on until
+it fits (after most_rounds, by pairs of blocks).
 
 Components come from alternating large-star and small-star rounds over links between distinct fingerprints, staged in the
 shared folder after every round. Nothing is collected but counts.
@@ -31,7 +32,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, stage, without
@@ -176,21 +177,22 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(root, b, a)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most_rows: int = 1 << 18) -> Iterator[pa.Table]:
+def _groups(batches: Iterator[pa.RecordBatch], most_rows: int = 1 << 18, most_bytes: int = 1 << 26) -> Iterator[pa.Table]:
     """Rows sorted by their first column, in tables that hold all rows of its values."""
-    held, rows = [], 0
+    held, rows, size = [], 0, 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
-        rows += b.num_rows
-        if rows >= most_rows:
+        rows, size = rows + b.num_rows, size + b.nbytes
+        if rows >= most_rows or size >= most_bytes:
             table = pa.Table.from_batches(held)
             keys = table.column(0).to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # the last value may go on
             if cut:
                 yield table.slice(0, cut)
             held, rows = table.slice(cut).to_batches(), rows - cut
+            size = sum(h.nbytes for h in held)
     if rows:
         yield pa.Table.from_batches(held)
 
@@ -266,27 +268,36 @@ PIVOTS = 64
 
 
 def radius_for(similarity: float, n_bits: int = 64 * WIDE) -> tuple[int, float]:
-    """(radius, chance that a bit differs) of texts of this Jaccard similarity."""
+    """(radius, chance that a bit differs) of texts of this Jaccard similarity. The radius admits candidates only, so it lies 3 standard deviations above the mean."""
     differs = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(n_bits * differs + 1.65 * (n_bits * differs * (1 - differs)) ** 0.5), differs
+    return round(n_bits * differs + 3 * (n_bits * differs * (1 - differs)) ** 0.5), differs
 
 
-def tables_for(rows: int, differs: float, recall: float = 0.95) -> tuple[int, int]:
+def tables_for(rows: int, differs: float, recall: float = 0.99) -> tuple[int, int]:
     """(tables, bits sampled by each): a bucket has some 64 chance members at most, and a pair meets in one of the tables with the recall."""
     n_bits = max(16, int(np.ceil(np.log2(max(rows, 1) + 1))) - 6)
     return int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - differs) ** n_bits))), n_bits
 
 
-def wide_fingerprints(rows: DataFrame, shingle: int = 5) -> DataFrame:
-    """rows without text, with fp (binary, 32 bytes)."""
-    others = [f for f in rows.schema if f.name not in ("text", "fp")]
+def shingle_sets(rows: DataFrame, made: dict, shingle: int = 5) -> DataFrame:
+    """rows without text, with binary columns made from the sorted distinct hashes of its shingles."""
+    others = [f for f in rows.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [majority(shingle_hashes(t.as_py(), shingle), WIDE).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), pa.array(found, pa.binary())], [*(f.name for f in others), "fp"])
+            found = [[] for _ in made]
+            for t in b.column("text"):
+                hashes = np.unique(shingle_hashes(t.as_py(), shingle))
+                for own, f in zip(found, made.values(), strict=True):
+                    own.append(f(hashes))
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), *(pa.array(own, pa.binary()) for own in found)], [*(f.name for f in others), *made])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *(f"{name} binary" for name in made)]))
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "fp binary"]))
+
+def wide_fingerprints(rows: DataFrame, shingle: int = 5) -> DataFrame:
+    """rows without text, with fp (binary, 32 bytes) of the distinct shingles and key, equal for equal sets of them only."""
+    return shingle_sets(rows, {"fp": lambda h: majority(h, WIDE).tobytes(), "key": lambda h: xxhash.xxh128_digest(h.tobytes())}, shingle)
 
 
 def _words(column: pa.ChunkedArray) -> np.ndarray:
@@ -311,6 +322,114 @@ def buckets(distinct: DataFrame, tables: int, n_bits: int) -> DataFrame:
     return distinct.select("node", "fp").mapInArrow(run, "bucket long, node long, fp binary")
 
 
+def _link(labels: np.ndarray, asks: np.ndarray | None, hits) -> tuple[list[int], list[int]]:
+    """Links as positions: those of a spanning tree over all hits between different labels. Each position that asks meets those that do not; without asks, all meet. hits(k, others): which of others k is linked to."""
+    part = np.unique(labels, return_inverse=True)[1]
+    place = np.arange(len(part))
+    others = place if asks is None else np.flatnonzero(~asks)
+    low, high = [], []
+    for k in (place if asks is None else np.flatnonzero(asks)).tolist():
+        open_ = others[part[others] != part[k]]
+        open_ = open_[open_ > k] if asks is None else open_
+        if not len(open_):
+            continue
+        found = open_[hits(k, open_)]
+        for x in found.tolist():
+            if part[x] != part[k]:
+                part[part == part[x]] = part[k]
+                low.append(k)
+                high.append(x)
+    return low, high
+
+
+def _within(values: np.ndarray, radius: int):
+    """For _link(): fingerprints within the radius."""
+    return lambda k, others: np.bitwise_count(values[others] ^ values[k]).sum(axis=1, dtype=np.int64) <= radius
+
+
+def _similar(sets: list[bytes], similarity: float):
+    """For _link(): sets of hashes of the Jaccard similarity or more, by their exact intersections."""
+    sizes = np.array([len(x) // 8 for x in sets])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    kinds, ids = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+
+    def hits(k: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others), bool)
+        asked = np.flatnonzero(np.minimum(sizes[others], sizes[k]) >= similarity * np.maximum(sizes[others], sizes[k]) - 1e-6)
+        if not len(asked):
+            return out
+        mark, own = np.zeros(len(kinds), bool), others[asked]
+        mark[ids[starts[k] : ends[k]]] = True
+        if len(own) * 8 < len(sizes):
+            both = np.array([np.count_nonzero(mark[ids[starts[x] : ends[x]]]) for x in own.tolist()])
+        else:
+            sums = np.concatenate([[0], np.cumsum(mark[ids])])
+            both = sums[ends[own]] - sums[starts[own]]
+        out[asked] = both / np.maximum(sizes[own] + sizes[k] - both, 1) >= similarity
+        return out
+
+    return hits
+
+
+def _pairs(hits_of, asked: bool = False):
+    """For mapInArrow(): links of rows (bucket, node, data[, label, asks]) sorted by bucket; hits_of(data) is what _link() takes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            ends, start, a, b = _ends(table.column("bucket").to_numpy()), 0, [], []
+            nodes = table.column("node").to_numpy()
+            labels = table.column("label").to_numpy() if asked else nodes
+            asks = table.column("asks").to_numpy() if asked else None
+            while start < len(ends):
+                at = slice(start, int(ends[start]))
+                if at.stop - start > 1:
+                    low, high = _link(labels[at], asks[at] if asked else None, hits_of(table.column("data").slice(start, at.stop - start).to_pylist()))
+                    a.extend(nodes[at][low].tolist())
+                    b.extend(nodes[at][high].tolist())
+                start = at.stop
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def exact_links(rows: DataFrame, hits_of, most: int, weight: Column | None = None, all_pairs=None) -> DataFrame:
+    """Links (a, b) between nodes whose components are those of all hits within a bucket of rows (bucket, node, data).
+
+    Buckets over most (in rows, or by weight) are dealt in blocks. Within a block, and to the bucket's pivots, all are compared. What the links so far put together
+    need not meet; so each member outside the bucket's largest component then meets all members of other components, in blocks again.
+    """
+    spark, weight = rows.sparkSession, F.lit(1).cast("long") if weight is None else weight
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    all_pairs = all_pairs or _pairs(hits_of)
+
+    def compared(dealt: DataFrame, run) -> DataFrame:
+        return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+
+    crowded = stage(rows.groupBy("bucket").agg(F.sum(weight).alias("w"), F.count("*").alias("n")).where((F.col("w") > most) & (F.col("n") > 1)), "crowded")
+    number = crowded.count()
+    few = lambda df: F.broadcast(df) if number <= 100_000 else df
+    kept = ("bucket", "node", "data")
+    if not number:
+        return compared(rows.select(*kept), all_pairs)
+    links = compared(rows.join(few(crowded.select("bucket")), "bucket", "left_anti").select(*kept), all_pairs)
+    salts = F.ceil(F.col("w") / most).cast("int")
+    rest = stage(rows.join(few(crowded), "bucket").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("salts")).cast("int")), "crowded-rows")
+    pivots = rest.where(F.pmod(F.xxhash64("node", "bucket"), F.col("n")) < PIVOTS).withColumn("own", F.col("salt"))
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).where("salt <> own").drop("own")
+    blocks = rest.unionByName(pivots).select(F.xxhash64("bucket", "salt").alias("bucket"), "node", "data")
+    links = stage(links.unionByName(compared(blocks, all_pairs)), "block-links")
+    labelled = stage(rest.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "labelled")
+    parts = labelled.groupBy("bucket", "label").agg(F.sum(weight).alias("w"))
+    main = parts.groupBy("bucket").agg(F.max_by("label", "w").alias("main"), (F.sum("w") - F.max("w")).alias("others")).where("others > 0")
+    met = labelled.join(few(main), "bucket").withColumn("chunks", F.ceil(F.col("others") / most).cast("int"))
+    asking = met.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(-2)), F.col("chunks")).cast("int"))
+    asking = asking.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("asks", F.lit(True))
+    asked = met.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(False))
+    dealt = asking.select(*kept, "label", "salt", "chunk", "asks").unionByName(asked.select(*kept, "label", "salt", "chunk", "asks"))
+    dealt = dealt.select(F.xxhash64("bucket", "salt", "chunk").alias("bucket"), "node", "data", "label", "asks")
+    return links.unionByName(compared(dealt, _pairs(hits_of, asked=True)))
+
+
 def similar_links(distinct: DataFrame, similarity: float = 0.8, most_in_bucket: int = 1024, most_rounds: int = 20) -> DataFrame:
     """Links (a, b) between the nodes of distinct (node, fp: wide fingerprints, each once) within the similarity's radius."""
     spark = distinct.sparkSession
@@ -389,14 +508,22 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     marked = stage(wide_fingerprints(numbered.select("_row", "doc_id", "text"), shingle), "wide-fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id"), F.col("_row"))).alias("least")
-    distinct = stage(marked.groupBy("fp").agg(least).withColumn("node", F.col("least._row")), "distinct")
-    roots = components(similar_links(distinct, similarity, most_in_bucket))
+    distinct = stage(marked.groupBy("key", "fp").agg(least).withColumn("node", F.col("least._row")), "distinct")
+    found = components(similar_links(distinct, similarity, most_in_bucket))
+    roots = components(exact_links(candidate_sets(numbered, found, shingle), lambda sets: _similar(sets, similarity), most_in_bucket, F.ceil((F.length("data") + 1) / 4096)))
     grouped = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
     gone = stage(marked.select("_row").join(kept, "_row", "left_anti"), "near-duplicates")
     return without(numbered, gone, "_row").select(*docs.columns)
 
 
+def candidate_sets(numbered: DataFrame, found: DataFrame, shingle: int, most_broadcast: int = 1_000_000) -> DataFrame:
+    """bucket (the component of found), node and data (the distinct shingle hashes) of the members of found (node, root)."""
+    members = stage(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+    texts = numbered.select(F.col("_row").alias("node"), "text").join(F.broadcast(members) if members.count() <= most_broadcast else members, "node")
+    return stage(shingle_sets(texts.select(F.col("root").alias("bucket"), "node", "text"), {"data": lambda h: h.tobytes()}, shingle), "shingle-sets")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

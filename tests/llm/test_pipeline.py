@@ -86,3 +86,34 @@ def test_empty_table(spark, tmp_path):
     d = table(spark, tmp_path, "documents", documents(spark).limit(0))
     table(spark, tmp_path, "labels", spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert P.run(spark, d).count() == 0
+
+
+def graded(n_groups=60):
+    """Pairs of 40 to 400 words whose similarities lie between 0.5 and 0.95."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    out = []
+    for g in range(n_groups):
+        base = [word() for _ in range(rng.choice([40, 150, 400]))]
+        wanted = 0.5 + 0.45 * g / n_groups
+        w = list(base)
+        while jaccard(" ".join(base), " ".join(w)) > wanted:
+            w[rng.randrange(len(w))] = word()
+        out += [" ".join(base), " ".join(w)]
+    return out
+
+
+def test_only_pairs_of_the_similarity_are_removed(spark):
+    rows = graded()
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    same = [jaccard(rows[i], rows[i + 1]) for i in range(0, len(rows), 2)]
+    gone = set(range(len(rows))) - {r.doc_id for r in S.drop_near_duplicates(docs).collect()}
+    false = [j for k, j in enumerate(same) if j < 0.8 and {2 * k, 2 * k + 1} & gone]
+    missed = [j for k, j in enumerate(same) if j >= 0.8 and 2 * k + 1 not in gone]
+    assert not false and not missed, (false, missed)
+
+
+def test_texts_of_one_fingerprint_but_different_words_stay(spark):
+    rows = ["a " * 400 + " ".join(f"{w}{k}" for k in range(60)) for w in ("x", "y")]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert S.drop_near_duplicates(docs).count() == 2
