@@ -14,8 +14,7 @@ drop_near_duplicates() removes by an exact Jaccard similarity (0.8 of the distin
 256 bits only find candidates: their expected distance at a similarity j is 256 acos(2 j / (1 + j)) / pi, and the radius lies three standard deviations above it. Buckets come from
 tables of sampled bits, as many as find a pair of just that similarity with a probability of 0.99. The members of each candidate component then bring their shingle hashes,
 and a link is a pair whose intersection over union reaches the similarity. So every document removed is joined to the one that stays by links of that similarity.
-In a crowded bucket of fingerprints, 64 pivots at a time are compared to all members, which are dealt over tasks by a salt; linked members leave, and what remains goes on until
-it fits (after most_rounds, by pairs of blocks).
+Crowded buckets of both kinds are dealt in blocks without losing a link (exact_links()).
 
 Components come from alternating large-star and small-star rounds over links between distinct fingerprints, staged in the
 shared folder after every round. Nothing is collected but counts.
@@ -430,77 +429,18 @@ def exact_links(rows: DataFrame, hits_of, most: int, weight: Column | None = Non
     return links.unionByName(compared(dealt, _pairs(hits_of, asked=True)))
 
 
-def similar_links(distinct: DataFrame, similarity: float = 0.8, most_in_bucket: int = 1024, most_rounds: int = 20) -> DataFrame:
-    """Links (a, b) between the nodes of distinct (node, fp: wide fingerprints, each once) within the similarity's radius."""
-    spark = distinct.sparkSession
+def similar_links(distinct: DataFrame, similarity: float = 0.8, most_in_bucket: int = 1024) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of nodes of distinct (node, fp: wide fingerprints) that share a bucket and are within the similarity's radius."""
     radius, differs = radius_for(similarity)
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
             nodes = table.column("node").to_numpy()
-            low, high = bucket_links(_words(table.column("fp")), _ends(table.column("bucket").to_numpy()), radius)
+            low, high = bucket_links(_words(table.column("data")), _ends(table.column("bucket").to_numpy()), radius)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[low]), pa.array(nodes[high])], ["a", "b"])
 
-    def to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
-            keys = table.column(0).to_numpy()
-            for start in np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0).tolist():
-                own = table.slice(start, int(_ends(keys[start:])[0]))
-                pivot = own.column("is_pivot").to_numpy()
-                yield _with_pivots(own.filter(pa.array(pivot)), own.filter(pa.array(~pivot)), radius)
-
-    def all_pairs(rows: DataFrame) -> DataFrame:
-        return rows.select("bucket", "node", "fp").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a long, b long")
-
-    def crowded_of(rows: DataFrame) -> tuple[DataFrame, int]:
-        found = stage(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most_in_bucket), "crowded")
-        return found, found.count()
-
-    keyed = buckets(distinct, *tables_for(distinct.count(), differs))
-    crowded, n = crowded_of(keyed)
-    small = lambda df, k: F.broadcast(df) if k <= 100_000 else df
-    links = all_pairs(keyed.join(small(crowded.select("bucket"), n), "bucket", "left_anti") if n else keyed)
-    rest = stage(keyed.join(small(crowded, n), "bucket"), "crowded-rows") if n else None
-    for number in range(most_rounds):
-        if not n:
-            return links
-        salts = F.ceil(F.col("n") / most_in_bucket).cast("int")
-        pivots = rest.where(F.pmod(F.xxhash64("node", "bucket", F.lit(number)), F.col("n")) < PIVOTS).select("bucket", "node", "fp", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("is_pivot"))
-        members = rest.select("bucket", "node", "fp", F.pmod(F.xxhash64("node", F.lit(-1)), salts).cast("int").alias("salt"), F.lit(False).alias("is_pivot"))
-        dealt = members.unionByName(pivots).select(F.xxhash64("bucket", "salt").alias("key"), "bucket", "node", "fp", "is_pivot")
-        met = stage(dealt.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(to_pivots, "bucket long, node long, fp binary, a long"), "pivoted")
-        links = links.unionByName(met.where("a IS NOT NULL").select("a", F.col("node").alias("b")))
-        left = met.where("a IS NULL").select("bucket", "node", "fp")
-        crowded, n = crowded_of(left)
-        links = links.unionByName(all_pairs(left.join(small(crowded.select("bucket"), n), "bucket", "left_anti") if n else left))
-        rest = stage(left.join(small(crowded, n), "bucket"), "crowded-rows") if n else None
-    # pairs of blocks of what remains: each pair of members meets under the key of their two blocks
-    blocks = F.ceil(F.col("n") * 2 / most_in_bucket).cast("int")
-    own = rest.withColumn("own", F.pmod(F.xxhash64("node", F.lit(-2)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return links.unionByName(all_pairs(own.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "fp")))
-
-
-def _with_pivots(pivots: pa.Table, members: pa.Table, radius: int) -> pa.RecordBatch:
-    """Members with their first pivot (a), those without one with a null; pivots that share a member are linked, too."""
-    node, a, bucket, fp = members.column("node").to_pylist(), [None] * len(members), members.column("bucket").to_pylist(), members.column("fp").to_pylist()
-    pivot_nodes = pivots.column("node").to_pylist()
-    if len(pivots) and len(members):
-        planes = planes_of(_words(pivots.column("fp")))
-        hits = np.zeros((len(members), planes.shape[1] * 64), bool)
-        for block in range(planes.shape[1]):
-            wanted = np.full(len(members), 0xFFFFFFFFFFFFFFFF >> max(0, 64 * (block + 1) - len(pivots)), np.uint64)
-            word = near(_words(members.column("fp")), planes, np.full(len(members), block), wanted, radius)
-            hits[:, 64 * block : 64 * (block + 1)] = np.unpackbits(word.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        first = np.where(hits.any(axis=1), hits.argmax(axis=1), -1)
-        a = [pivot_nodes[k] if k >= 0 else None for k in first.tolist()]
-        together = {(f, k) for f in np.unique(first[first >= 0]).tolist() for k in np.flatnonzero(hits[first == f].any(axis=0)).tolist() if k != f}
-        for f, k in sorted(together):
-            bucket.append(bucket[0])
-            node.append(pivot_nodes[k])
-            fp.append(b"")
-            a.append(pivot_nodes[f])
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(node, pa.int64()), pa.array(fp, pa.binary()), pa.array(a, pa.int64())], ["bucket", "node", "fp", "a"])
+    keyed = buckets(distinct, *tables_for(distinct.count(), differs)).withColumnRenamed("fp", "data")
+    return exact_links(keyed, lambda fps: _within(np.frombuffer(b"".join(fps), "<u8").reshape(-1, WIDE), radius), most_in_bucket, all_pairs=compare)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most_in_bucket: int = 1024) -> DataFrame:

@@ -117,3 +117,35 @@ def test_texts_of_one_fingerprint_but_different_words_stay(spark):
     rows = ["a " * 400 + " ".join(f"{w}{k}" for k in range(60)) for w in ("x", "y")]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert S.drop_near_duplicates(docs).count() == 2
+
+
+def test_crowded_fingerprints_near_to_one_member_only_are_linked(spark, monkeypatch):
+    """Two groups of 400 around centres far apart, and chains that lead from one member of each to ever farther fingerprints."""
+    rng = np.random.default_rng(5)
+    radius = S.radius_for(0.8)[0]
+
+    def changed(v, bits):
+        out = v.copy()
+        for b in bits:
+            out[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        return out
+
+    values = []
+    for group in range(2):
+        centre = rng.integers(0, 2**63, 4, dtype=np.uint64)
+        free = rng.permutation(256)
+        values += [changed(centre, rng.choice(free, 20, replace=False)) for _ in range(400)]
+        for _ in range(10):
+            v, order = values[-1 - rng.integers(300)], rng.permutation(free)
+            for step in range(3):
+                v = changed(v, order[step * radius : (step + 1) * radius])
+                values.append(v)
+    values = np.array(values)
+    near = np.bitwise_count(values[:, None] ^ values[None]).sum(axis=2) <= radius
+    want = np.arange(len(values))
+    while (after := np.where(near, want, len(values)).min(axis=1)).tolist() != want.tolist():
+        want = after
+    distinct = spark.createDataFrame([(k, v.tobytes()) for k, v in enumerate(values)], "node long, fp binary")
+    monkeypatch.setattr(S, "buckets", lambda df, *_: df.selectExpr("7L bucket", "node", "fp"))
+    found = {r.node: r.root for r in S.components(S.similar_links(distinct, most_in_bucket=100)).collect()}
+    assert [found.get(k, k) for k in range(len(values))] == want.tolist() and len(set(want.tolist())) < 60
