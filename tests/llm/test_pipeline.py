@@ -149,3 +149,28 @@ def test_crowded_fingerprints_near_to_one_member_only_are_linked(spark, monkeypa
     monkeypatch.setattr(S, "buckets", lambda df, *_: df.selectExpr("7L bucket", "node", "fp"))
     found = {r.node: r.root for r in S.components(S.similar_links(distinct, most_in_bucket=100)).collect()}
     assert [found.get(k, k) for k in range(len(values))] == want.tolist() and len(set(want.tolist())) < 60
+
+
+def test_a_text_group_above_the_pivots_matches_brute_force(spark):
+    """150 copies of one text with a few words changed, copies of single copies, and a second group at about 0.7 of the first."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+
+    def changed(text, n):
+        w = text.split()
+        for k in rng.sample(range(len(w)), n):
+            w[k] = word()
+        return " ".join(w)
+
+    base = " ".join(word() for _ in range(250))
+    rows = [changed(base, rng.randrange(1, 4)) for _ in range(150)]
+    rows += [changed(rows[rng.randrange(150)], rng.choice([4, 5, 6, 7])) for _ in range(30)]
+    rows += [changed(changed(base, 10), rng.randrange(2)) for _ in range(20)]
+    words = [r.split() for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    near = np.array([[len(x & y) / len(x | y) >= 0.8 for y in sets] for x in sets])
+    want = np.arange(len(rows))
+    while (after := np.where(near, want, len(rows)).min(axis=1)).tolist() != want.tolist():
+        want = after
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in S.drop_near_duplicates(docs, most_in_bucket=16).collect()} == set(want.tolist())
