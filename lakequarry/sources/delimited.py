@@ -17,6 +17,8 @@ NAME_COLUMNS = ("科目名稱", "科目", "主管名稱", "機關名稱")
 AMOUNT_COLUMNS = ("本年度預算數", "本年度預算", "預算數")
 LIST_KEYS = ("data", "result", "records", "Data", "Result", "Records")
 DEPTH = 5
+#: Bytes of a JSON document that is read as one value; larger ones are refused.
+MOST_JSON = 1 << 26
 
 
 def _plain(name: str) -> str:
@@ -79,12 +81,20 @@ def read_json_lines(spark: SparkSession, paths: str | list[str], names=NAME_COLU
     return _rows(lines, first(names), first(amounts))
 
 
-def read_budget(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or JSON by the first character; a JSON file is one document."""
+def refuse_large(spark: SparkSession, path: str, instead: str, most: int) -> None:
+    """Refuses a JSON document of more than most bytes, by the length its store states."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    if size > most:
+        raise Refused("SOURCE_TOO_LARGE", f"{path} is one JSON document of {size} bytes, over {most}; {instead}")
+
+
+def read_budget(spark: SparkSession, path: str, most_json: int = MOST_JSON) -> DataFrame:
+    """CSV or JSON by the first character; a JSON file is one document, of most_json bytes at most."""
     head = spark.read.text(path).where(normalize(F.col("value")) != "").select(normalize(F.col("value")).alias("v")).first()
     if head is None:
         raise Refused("SOURCE_SCHEMA_CHANGED", f"{path} is empty")
     if head.v[0] in "{[":
+        refuse_large(spark, path, "give one record a line and use read_json_lines()", most_json)
         return read_json(spark, spark.read.text(path, wholetext=True).first().value.removeprefix("\ufeff"))
     return read_csv(spark, path)
 

@@ -27,6 +27,7 @@ from ..errors import Refused
 from ..functions.text import strip
 from ..functions.urls import on_host, part
 from ..operators.keyed import require_rows
+from . import delimited
 
 LAW = "law_id string, law_name string, category string, published_at string, official_url string, history string, articles array<struct<article_no:string,content:string>>"
 NEWS = "news_id string, title string, agency string, category string, published_at string, content_summary string, source_link string"
@@ -95,8 +96,9 @@ def check_manifest(m: dict, dataset: str, manifest_key: str, revoked: Iterable[s
 
 
 def _array_records(spark: SparkSession, root: str, m: dict, schema: StructType) -> DataFrame:
-    text = spark.read.text(f"{root}/{m['normalized_key']}", wholetext=True)
     try:
+        delimited.refuse_large(spark, f"{root}/{m['normalized_key']}", "declare it in parts in the manifest", delimited.MOST_JSON)
+        text = spark.read.text(f"{root}/{m['normalized_key']}", wholetext=True)
         head = text.select(F.sha2("value", 256).alias("hash"), F.json_array_length("value").alias("n")).first()
     except AnalysisException as e:
         raise Refused("SNAPSHOT_UNVERIFIED", f"there is no {m['normalized_key']}") from e
