@@ -1,4 +1,4 @@
-"""Byte-level BPE ids of texts, with a bounded cache of words; the vocabulary files are the public ones."""
+"""Byte-level BPE ids of texts; the vocabulary files are the public ones."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ import numpy as np
 
 #: Characters for which every library splits words alike: ASCII, Latin-1 and Latin Extended-A letters. Others take the plain way.
 _OTHER = re.compile(r"[^\x09\x0A\x20-\x7EÀ-ÖØ-öø-ſ]")
-#: A blank within a run of white space belongs to that run, not to the next word.
-_RUNS = re.compile(r"\s \s|\s +\Z")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -20,50 +18,37 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class _Words(dict):
-    """Little-endian 32-bit ids of " " + word, by word; emptied when it has grown to most entries."""
-
-    def __init__(self, encode, most: int):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = found = np.array(self.encode(" " + word), "<u4").tobytes()
-        return found
-
-
 class ByteBpe:
-    """ids_of(text): the ids that tokenizers gives for the whole text, as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    A piece takes at most one blank before it, so a text of words with single blanks between them falls apart before each blank;
-    words are then looked up in the cache. Texts with longer white space or rarer characters are encoded whole.
-    Strings of special tokens within a text are ordinary text.
+    ids_of(): what tokenizers gives with add_special_tokens=False, so the string of a special token within a text is that token.
+    Texts of common letters go through tiktoken's table of the same vocabulary, which is quicker; others, and those with special tokens, through tokenizers.
+    plain_ids(): the same vocabulary for models that only need ids of some consistent kind; every string is ordinary text, and tokenizers is never loaded.
     """
 
-    def __init__(self, path: str | None = None, ranks: str | None = None, cache: int = 150_000):
+    def __init__(self, path: str | None = None, ranks: str | None = None, special: tuple[str, ...] = ("<|endoftext|>",)):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path or vocabulary_path())
-        self.whole.encode_special_tokens = True
+        self.path, self.special, self._whole = path, special, None
         with open(ranks or vocabulary_path("byte_bpe_50k.tiktoken"), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.words = _Words(self.fast, cache)
+        self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+    def whole(self, text: str) -> list[int]:
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path or vocabulary_path())
+        return self._whole.encode(text, add_special_tokens=False).ids
 
     def ids_of(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _OTHER.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _RUNS.search(text):
-            return np.array(self.fast(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        head = np.array(self.fast(first), "<u4").tobytes()
-        return head + b"".join(map(self.words.__getitem__, rest)) if rest else head
+        if _OTHER.search(text) or any(x in text for x in self.special):
+            return np.array(self.whole(text), "<u4").tobytes()
+        return self.plain_ids(text)
+
+    def plain_ids(self, text: str) -> bytes:
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes() if text else b""
 
 
 @lru_cache(maxsize=1)

@@ -37,6 +37,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Documents reach Python workers by rows a batch, where the session has Spark's default of 10,000: so many long texts at a time fill a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, rows)
+
+
 def whole_text(column: str | Column = "text") -> Column:
     """The text, a null one as an empty one."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import shared_bpe
-from .common import read_table
+from .common import read_table, small_batches
 
 LENGTH, END = 2048, 1
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -111,6 +111,7 @@ def _batches(windows: Iterator[list], base: int, most_bytes: int = 4 << 20) -> I
 
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
     """Pieces of docs (doc_id, text): doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit)."""
+    small_batches(docs.sparkSession)
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage, without
+from .common import read_table, small_batches, stage, without
 
 RADIUS, SEED = 2, 42
 PAIRS = tuple(combinations(range(4), 2))
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             found = np.array([fingerprint(t.as_py(), shingle) for t in b.column(b.schema.names.index("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k, n in enumerate(b.schema.names) if n != "text"), pa.array(found)], [*(n for n in b.schema.names if n != "text"), "fp"])
 
+    small_batches(docs.sparkSession)
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
     return docs.mapInArrow(run, ", ".join([*kept, "fp long"]))
 
@@ -280,6 +281,7 @@ def tables_for(rows: int, differs: float, recall: float = 0.99) -> tuple[int, in
 
 def shingle_sets(rows: DataFrame, made: dict, shingle: int = 5) -> DataFrame:
     """rows without text, with binary columns made from the sorted distinct hashes of its shingles."""
+    small_batches(rows.sparkSession)
     others = [f for f in rows.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
