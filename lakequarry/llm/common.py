@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +19,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set a local one is made, if all of Spark runs in this process; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-', dir=os.environ.get('TMPDIR', '/tmp'))}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_STAGED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
@@ -34,7 +40,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    _STAGED[staged] = path
+    return staged
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Deletes what stage() wrote for df, when nothing will read it any more."""
+    spark, path = df.sparkSession, _STAGED.pop(df)
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
@@ -60,11 +75,12 @@ def let(value: Column, body) -> Column:
 
 
 def row_key(df: DataFrame) -> Column:
-    """A key of a document's row for joining a verdict back to it: null-safe, equal for equal rows."""
-    return F.xxhash64(F.lit(7), *[F.col(c) for c in ("doc_id", "lang", "text") if c in df.columns])
+    """A key of a document's row for joining a verdict back to it: 128 bits in hexadecimal, null-safe, equal for equal rows."""
+    own = [F.col(c).cast("string") for c in ("doc_id", "lang", "text") if c in df.columns]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("~")) for c in own]).cast("binary"))
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str, most_broadcast: int = 1_000_000) -> DataFrame:
-    """rows whose key is not in gone: by a broadcast of up to most_broadcast keys of 8 bytes, else by a shuffle of both sides."""
+    """rows whose key is not in gone: by a broadcast of up to most_broadcast keys (8 or 32 bytes each), else by a shuffle of both sides."""
     gone = stage(gone.select(key).distinct(), "gone")
     return rows.join(F.broadcast(gone) if gone.count() <= most_broadcast else gone, key, "left_anti")

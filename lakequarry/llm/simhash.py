@@ -6,26 +6,27 @@ link is lost. Within a bucket, the fingerprints lie as bit planes: word b of a b
 distances to a block grow by one carry-save step a plane (two one-bit counters and a flag for "over two"), 64 at a time, and a
 block is abandoned once the flag is set for all of its fingerprints. Links become a tree per bucket before they leave the task.
 
-A bucket with more than most_in_bucket fingerprints is not compared in one task. Its fingerprints each go to the 65 keys
-"itself or one bit changed"; two fingerprints within radius 2 share such a key and two that share one are within radius 2, so linking
-each key's fingerprints to their smallest one gives exactly the same components by a plain aggregation.
+A bucket with more than most_in_bucket fingerprints is dealt in blocks to several tasks, and pairs of blocks are compared the same way until nothing is left
+to link (exact_links()). So the components never depend on most_in_bucket.
 
 drop_near_duplicates() removes by an exact Jaccard similarity (0.8 of the distinct five-word shingles unless given). Texts of equal shingle sets are one node. Fingerprints of
 256 bits only find candidates: their expected distance at a similarity j is 256 acos(2 j / (1 + j)) / pi, and the radius lies three standard deviations above it. Buckets come from
 tables of sampled bits, as many as find a pair of just that similarity with a probability of 0.99. The members of each candidate component then bring their shingle hashes,
 and a link is a pair whose intersection over union reaches the similarity. So every document removed is joined to the one that stays by links of that similarity.
-Crowded buckets of both kinds are dealt in blocks without losing a link (exact_links()).
+Crowded candidate components are dealt in blocks in the same way.
 
 Components come from alternating large-star and small-star rounds over links between distinct fingerprints, staged in the
 shared folder after every round. Nothing is collected but counts.
 
 Defined results: a null or empty text has the fingerprint zero. doc_ids that are null never become a component's id; a component of
-such rows only has a null id. Repeated rows stay. An empty table gives an empty result.
+such rows only has a null id. Repeated rows stay. An empty table gives an empty result. Columns of other names than doc_id and text are carried or not looked at, whatever
+their names are. A text is hashed in runs of a megabyte, so its words are never all in memory as strings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -34,32 +35,54 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, stage, without
+from .common import drop_staged, read_table, small_batches, stage, without
 
 RADIUS, SEED = 2, 42
 PAIRS = tuple(combinations(range(4), 2))
-
-
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """XXH64 values of a text's shingles, repeats included; of the whole sequence if it has fewer words."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and the six separators only
-    if not words:
-        return np.empty(0, np.uint64)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def shingle_runs(text: str | None, shingle: int, most_bytes: int = 1 << 20) -> Iterator[np.ndarray]:
+    """XXH64 values of a text's shingles, repeats included; of the whole sequence if it has fewer words. A run of them for each most_bytes of the text."""
+    data = (text or "").encode().lower()  # bytes: A-Z only
+    words, at, some = [], 0, False
+    while at < len(data):
+        stop = at + most_bytes
+        if stop < len(data):
+            found = _SPACE.search(data, stop)
+            stop = found.start() if found else len(data)
+        words, at = [*words, *data[at:stop].split()], stop  # the six separators only
+        if len(words) >= shingle:
+            yield _hashes(words, shingle)
+            words, some = words[len(words) - shingle + 1 :], True
+    if words and not some:
+        yield _hashes(words, len(words))
+
+
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = [0, *(ends[: -shingle] + 1).tolist()] if len(words) > shingle else [0]
-    ends = ends[shingle - 1 :].tolist() if len(words) > shingle else [len(joined)]
+    starts = [0, *(ends[:-shingle] + 1).tolist()] if len(words) > shingle else [0]
+    ends = ends[shingle - 1 :].tolist()
     return np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(starts, ends, strict=True)], repeat(SEED)), np.uint64, len(ends))
 
 
-def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The different values of shingle_runs(), in order."""
+    runs = [np.unique(r) for r in shingle_runs(text, shingle)]
+    return (runs[0] if len(runs) == 1 else np.unique(np.concatenate(runs))) if runs else np.empty(0, np.uint64)
+
+
+def majority(runs: Iterable[np.ndarray], words: int = 1) -> np.ndarray:
     """Bits set in over half the hashes, 64 a word; the words from the second on take the hashes mixed by different constants."""
-    total = np.zeros(64 * words, np.int64)
-    for at in range(0, len(hashes), 16384):
-        part = hashes[at : at + 16384]
-        mixed = np.column_stack([part, *[_mix(part, k) for k in range(1, words)]]).astype("<u8")
-        total += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")
+    total, n = np.zeros(64 * words, np.int64), 0
+    for hashes in runs:
+        n += len(hashes)
+        for at in range(0, len(hashes), 16384):
+            part = hashes[at : at + 16384]
+            mixed = np.column_stack([part, *[_mix(part, k) for k in range(1, words)]]).astype("<u8")
+            total += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > n, bitorder="little").view("<u8")
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
@@ -71,7 +94,7 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The fingerprint of a text as an unsigned number."""
-    return int(majority(shingle_hashes(text, shingle))[0])
+    return int(majority(shingle_runs(text, shingle))[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -143,23 +166,56 @@ def bucket_links(values: np.ndarray, ends: np.ndarray, radius: int = RADIUS) ->
         top = np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - high[active]).astype(np.uint64)
         wanted = top & (np.uint64(0xFFFFFFFFFFFFFFFF) << shift)
         found = near(values[active], planes, block[active], wanted, radius)
-        hit = np.flatnonzero(found)
-        while len(hit):  # one round for each of a query's links within the block
-            word = found[hit]
-            lowest = word & (np.uint64(0) - word)
-            other = block[active[hit]] * 64 + np.log2(lowest.astype(np.float64)).astype(np.int64)
-            _join(root, active[hit], other)
-            found[hit] = word & ~lowest
-            hit = hit[found[hit] != 0]
-    for _ in range(64):
-        above = root[root]
-        if (above == root).all():
-            break
-        root = above
+        _join_found(root, found, active, place, block[active])
+    root = _flat(root)
     member = np.flatnonzero(root != place)
     return root[member], member
 
 
+def asked_links(values: np.ndarray, labels: np.ndarray, asks: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links as positions between those that ask and those that do not, as a forest over the labels: positions of one label count as joined already."""
+    asking, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(asking) or not len(others):
+        return asking[:0], asking[:0]
+    _, first, own = np.unique(labels, return_index=True, return_inverse=True)
+    root = first[own]
+    before, planes = root.copy(), planes_of(values[others])
+    for k in range(planes.shape[1]):
+        wanted = np.full(len(asking), np.uint64(0xFFFFFFFFFFFFFFFF) >> np.uint64(64 - min(64, len(others) - 64 * k)))
+        block = np.full(len(asking), k)
+        _join_found(root, near(values[asking], planes, block, wanted, radius), asking, others, block)
+    root = _flat(root)
+    member = np.flatnonzero((root != before) & (before == np.arange(len(root))))
+    return root[member], member
+
+
+def _join_found(root: np.ndarray, found: np.ndarray, queries: np.ndarray, others: np.ndarray, block: np.ndarray) -> None:
+    """Unites queries[i] with the others that found[i] marks within block[i]; a round for each of a query's links."""
+    hit = np.flatnonzero(found)
+    while len(hit):
+        word = found[hit]
+        lowest = word & (np.uint64(0) - word)
+        _join(root, queries[hit], others[block[hit] * 64 + np.log2(lowest.astype(np.float64)).astype(np.int64)])
+        found[hit] = word & ~lowest
+        hit = hit[found[hit] != 0]
+
+
+def _flat(root: np.ndarray) -> np.ndarray:
+    while not (root[root] == root).all():
+        root = root[root]
+    return root
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the components of links (a, b): from the smallest node of each to its others."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = np.arange(len(nodes))
+    _join(root, at[: len(a)], at[len(a) :])
+    root = _flat(root)
+    member = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[member]], nodes[member]
+
+
 def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Unites the parts of a[i] and b[i]; root points towards the smallest position of a part."""
     while len(a):
@@ -203,14 +259,6 @@ def _ends(keys: np.ndarray) -> np.ndarray:
     return np.repeat(edges, np.diff(edges, prepend=0))
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of rows (bucket, fp) sorted by bucket."""
-    for table in _groups(batches):
-        fps = table.column(1).to_numpy()
-        low, high = bucket_links(fps.view(np.uint64), _ends(table.column(0).to_numpy()))
-        yield pa.RecordBatch.from_arrays([pa.array(fps[low]), pa.array(fps[high])], ["a", "b"])
-
-
 def links(distinct: DataFrame, most_in_bucket: int = 1024) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) whose components are those of all pairs within two bits."""
     def bucket(k: int, pair: tuple[int, int]):
@@ -219,24 +267,17 @@ def links(distinct: DataFrame, most_in_bucket: int = 1024) -> DataFrame:
             value = F.shiftleft(value, 16).bitwiseOR(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF)))
         return F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(value)
 
-    keyed = distinct.select("fp", F.explode(F.array(*[bucket(k, p) for k, p in enumerate(PAIRS)])).alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = sizes.where(F.col("n") > most_in_bucket).select("bucket")
-    usual = keyed.join(sizes.where(F.col("n") <= most_in_bucket).select("bucket"), "bucket", "left_semi")
-    partitions = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    compared = usual.select("bucket", "fp").repartition(partitions, "bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_compare, "a long, b long")
-    hot = keyed.join(crowded, "bucket", "left_semi").select("fp").distinct()
-    changed = F.explode(F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))
-    by_key = hot.select("fp", changed.alias("key"))
-    least = by_key.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    spread = by_key.join(least, "key").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
-    return compared.unionByName(spread)
+    keyed = distinct.select(F.explode(F.array(*[bucket(k, p) for k, p in enumerate(PAIRS)])).alias("bucket"), F.col("fp").alias("node"))
+    own = lambda table: table.column("node").to_numpy().view(np.uint64)
+    return exact_links(keyed, _sliced(own, RADIUS), _sliced_asked(own, RADIUS), most_in_bucket)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and root (the smallest node reachable) for every node of edges (a, b: longs), by large-star and small-star rounds."""
     edges = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
     for _ in range(most_rounds):
+        if _settled(edges):
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         # large star: every larger neighbour of b is linked to b's smallest neighbour (or b itself)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -244,14 +285,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: every smaller neighbour of b, and b, are linked to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(low.select(F.col("m").alias("a"), "b"))
-        after = stage(small.where("a <> b").distinct(), "links")
-        same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
-        edges = after
-        if same:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        before, edges = edges, stage(small.where("a <> b").distinct(), "links")
+        drop_staged(before)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is either a root or linked to one root only; then the root is its component's smallest node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("n")).unionByName(edges.select(F.col("b").alias("node"), F.lit(1).alias("n")))
+    return ends.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("is_b"), F.min("n").alias("is_a")).where("n > 1 OR (is_b = 1 AND is_a = 0)").isEmpty()
+
+
 def near_duplicates(docs: DataFrame, most_in_bucket: int = 1024) -> DataFrame:
     """doc_id, fp and component_id of docs (doc_id, text)."""
     marked = stage(fingerprints(docs.select("doc_id", "text")), "fingerprints")
@@ -288,7 +332,7 @@ def shingle_sets(rows: DataFrame, made: dict, shingle: int = 5) -> DataFrame:
         for b in batches:
             found = [[] for _ in made]
             for t in b.column("text"):
-                hashes = np.unique(shingle_hashes(t.as_py(), shingle))
+                hashes = shingle_set(t.as_py(), shingle)
                 for own, f in zip(found, made.values(), strict=True):
                     own.append(f(hashes))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), *(pa.array(own, pa.binary()) for own in found)], [*(f.name for f in others), *made])
@@ -298,7 +342,7 @@ def shingle_sets(rows: DataFrame, made: dict, shingle: int = 5) -> DataFrame:
 
 def wide_fingerprints(rows: DataFrame, shingle: int = 5) -> DataFrame:
     """rows without text, with fp (binary, 32 bytes) of the distinct shingles and key, equal for equal sets of them only."""
-    return shingle_sets(rows, {"fp": lambda h: majority(h, WIDE).tobytes(), "key": lambda h: xxhash.xxh128_digest(h.tobytes())}, shingle)
+    return shingle_sets(rows, {"fp": lambda h: majority([h], WIDE).tobytes(), "key": lambda h: xxhash.xxh128_digest(h.tobytes())}, shingle)
 
 
 def _words(column: pa.ChunkedArray) -> np.ndarray:
@@ -343,11 +387,6 @@ def _link(labels: np.ndarray, asks: np.ndarray | None, hits) -> tuple[list[int],
     return low, high
 
 
-def _within(values: np.ndarray, radius: int):
-    """For _link(): fingerprints within the radius."""
-    return lambda k, others: np.bitwise_count(values[others] ^ values[k]).sum(axis=1, dtype=np.int64) <= radius
-
-
 def _similar(sets: list[bytes], similarity: float):
     """For _link(): sets of hashes of the Jaccard similarity or more, by their exact intersections."""
     sizes = np.array([len(x) // 8 for x in sets])
@@ -373,96 +412,117 @@ def _similar(sets: list[bytes], similarity: float):
     return hits
 
 
-def _pairs(hits_of, asked: bool = False):
-    """For mapInArrow(): links of rows (bucket, node, data[, label, asks]) sorted by bucket; hits_of(data) is what _link() takes."""
+def _run(links_of):
+    """For mapInArrow(): links of rows (bucket, node, others) sorted by bucket and node, as forests; links_of(table) gives positions."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
-            ends, start, a, b = _ends(table.column("bucket").to_numpy()), 0, [], []
             nodes = table.column("node").to_numpy()
-            labels = table.column("label").to_numpy() if asked else nodes
-            asks = table.column("asks").to_numpy() if asked else None
-            while start < len(ends):
-                at = slice(start, int(ends[start]))
-                if at.stop - start > 1:
-                    low, high = _link(labels[at], asks[at] if asked else None, hits_of(table.column("data").slice(start, at.stop - start).to_pylist()))
-                    a.extend(nodes[at][low].tolist())
-                    b.extend(nodes[at][high].tolist())
-                start = at.stop
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            low, high = (np.asarray(x, np.int64) for x in links_of(table))
+            a, b = forest(nodes[low], nodes[high])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def exact_links(rows: DataFrame, hits_of, most: int, weight: Column | None = None, all_pairs=None) -> DataFrame:
-    """Links (a, b) between nodes whose components are those of all hits within a bucket of rows (bucket, node, data).
+def _each_bucket(link):
+    """links_of(table) by link(bucket's rows)."""
+    def links_of(table: pa.Table) -> tuple[list[int], list[int]]:
+        ends, start, low, high = _ends(table.column("bucket").to_numpy()), 0, [], []
+        while start < len(ends):
+            stop = int(ends[start])
+            if stop - start > 1:
+                a, b = link(table.slice(start, stop - start))
+                low.extend(start + int(x) for x in a)
+                high.extend(start + int(x) for x in b)
+            start = stop
+        return low, high
+
+    return links_of
+
+
+def _labels_and_asks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return table.column("label").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
+
+
+def _sliced(values_of, radius: int):
+    """All pairs within the radius, bit-sliced, in all buckets of a table at once."""
+    return lambda table: bucket_links(values_of(table), _ends(table.column("bucket").to_numpy()), radius)
+
+
+def _sliced_asked(values_of, radius: int):
+    return _each_bucket(lambda rows: asked_links(values_of(rows), *_labels_and_asks(rows), radius))
+
+
+def exact_links(rows: DataFrame, all_pairs, asked_pairs, most: int, weight: Column | None = None) -> DataFrame:
+    """Links (a, b) between nodes whose components are those of all hits within a bucket of rows (bucket, node, others). all_pairs(table), asked_pairs(table): links as positions of sorted rows.
 
     Buckets over most (in rows, or by weight) are dealt in blocks. Within a block, and to the bucket's pivots, all are compared. What the links so far put together
     need not meet; so each member outside the bucket's largest component then meets all members of other components, in blocks again.
     """
     spark, weight = rows.sparkSession, F.lit(1).cast("long") if weight is None else weight
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    all_pairs = all_pairs or _pairs(hits_of)
 
-    def compared(dealt: DataFrame, run) -> DataFrame:
-        return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    def compared(dealt: DataFrame, links_of) -> DataFrame:
+        return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(_run(links_of), "a long, b long")
 
-    crowded = stage(rows.groupBy("bucket").agg(F.sum(weight).alias("w"), F.count("*").alias("n")).where((F.col("w") > most) & (F.col("n") > 1)), "crowded")
-    number = crowded.count()
+    kept = [c for c in rows.columns if c != "bucket"]
+    met = stage(rows.groupBy("bucket").agg(F.sum(weight).alias("w"), F.count("*").alias("n")).where((F.col("w") > most) & (F.col("n") > 1)), "crowded")
+    number = met.count()
     few = lambda df: F.broadcast(df) if number <= 100_000 else df
-    kept = ("bucket", "node", "data")
     if not number:
-        return compared(rows.select(*kept), all_pairs)
-    links = compared(rows.join(few(crowded.select("bucket")), "bucket", "left_anti").select(*kept), all_pairs)
+        return compared(rows.select("bucket", *kept), all_pairs)
+    links = compared(rows.join(few(met.select("bucket")), "bucket", "left_anti").select("bucket", *kept), all_pairs)
     salts = F.ceil(F.col("w") / most).cast("int")
-    rest = stage(rows.join(few(crowded), "bucket").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("salts")).cast("int")), "crowded-rows")
+    rest = stage(rows.join(few(met), "bucket").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("salts")).cast("int")), "crowded-rows")
     pivots = rest.where(F.pmod(F.xxhash64("node", "bucket"), F.col("n")) < PIVOTS).withColumn("own", F.col("salt"))
     pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).where("salt <> own").drop("own")
-    blocks = rest.unionByName(pivots).select(F.xxhash64("bucket", "salt").alias("bucket"), "node", "data")
+    blocks = rest.unionByName(pivots).select(F.xxhash64("bucket", "salt").alias("bucket"), *kept)
     links = stage(links.unionByName(compared(blocks, all_pairs)), "block-links")
     labelled = stage(rest.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "labelled")
     parts = labelled.groupBy("bucket", "label").agg(F.sum(weight).alias("w"))
     main = parts.groupBy("bucket").agg(F.max_by("label", "w").alias("main"), (F.sum("w") - F.max("w")).alias("others")).where("others > 0")
-    met = labelled.join(few(main), "bucket").withColumn("chunks", F.ceil(F.col("others") / most).cast("int"))
-    asking = met.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(-2)), F.col("chunks")).cast("int"))
+    open_ = labelled.join(few(main), "bucket").withColumn("chunks", F.ceil(F.col("others") / most).cast("int"))
+    asking = open_.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(-2)), F.col("chunks")).cast("int"))
     asking = asking.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("asks", F.lit(True))
-    asked = met.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(False))
-    dealt = asking.select(*kept, "label", "salt", "chunk", "asks").unionByName(asked.select(*kept, "label", "salt", "chunk", "asks"))
-    dealt = dealt.select(F.xxhash64("bucket", "salt", "chunk").alias("bucket"), "node", "data", "label", "asks")
-    return links.unionByName(compared(dealt, _pairs(hits_of, asked=True)))
+    asked = open_.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(False))
+    dealt = asking.unionByName(asked).select(F.xxhash64("bucket", "salt", "chunk").alias("bucket"), *kept, "label", "asks")
+    return links.unionByName(compared(dealt, asked_pairs))
 
 
 def similar_links(distinct: DataFrame, similarity: float = 0.8, most_in_bucket: int = 1024) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of nodes of distinct (node, fp: wide fingerprints) that share a bucket and are within the similarity's radius."""
     radius, differs = radius_for(similarity)
+    own = lambda table: _words(table.column("fp"))
+    keyed = buckets(distinct, *tables_for(distinct.count(), differs))
+    return exact_links(keyed, _sliced(own, radius), _sliced_asked(own, radius), most_in_bucket)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
-            nodes = table.column("node").to_numpy()
-            low, high = bucket_links(_words(table.column("data")), _ends(table.column("bucket").to_numpy()), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[low]), pa.array(nodes[high])], ["a", "b"])
 
-    keyed = buckets(distinct, *tables_for(distinct.count(), differs)).withColumnRenamed("fp", "data")
-    return exact_links(keyed, lambda fps: _within(np.frombuffer(b"".join(fps), "<u8").reshape(-1, WIDE), radius), most_in_bucket, all_pairs=compare)
+def similar_sets(rows: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of nodes of rows (bucket, node, data: sorted hashes) of a bucket with the Jaccard similarity or more."""
+    sets = lambda table: _similar(table.column("data").to_pylist(), similarity)
+    all_pairs = _each_bucket(lambda table: _link(table.column("node").to_numpy(), None, sets(table)))
+    asked = _each_bucket(lambda table: _link(*_labels_and_asks(table), sets(table)))
+    return exact_links(rows, all_pairs, asked, most, F.ceil((F.length("data") + 1) / 4096))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most_in_bucket: int = 1024) -> DataFrame:
     """docs (doc_id, text, others) with one row of each group of near-duplicates: that of the smallest doc_id (null ones last); of equal rows, one. Texts without words are one group."""
-    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    marked = stage(wide_fingerprints(numbered.select("_row", "doc_id", "text"), shingle), "wide-fingerprints")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id"), F.col("_row"))).alias("least")
-    distinct = stage(marked.groupBy("key", "fp").agg(least).withColumn("node", F.col("least._row")), "distinct")
+    numbered = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    marked = stage(wide_fingerprints(numbered.select("row", "doc.doc_id", "doc.text"), shingle), "wide-fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id"), F.col("row"))).alias("least")
+    distinct = stage(marked.groupBy("key", "fp").agg(least).withColumn("node", F.col("least.row")), "distinct")
     found = components(similar_links(distinct, similarity, most_in_bucket))
-    roots = components(exact_links(candidate_sets(numbered, found, shingle), lambda sets: _similar(sets, similarity), most_in_bucket, F.ceil((F.length("data") + 1) / 4096)))
+    roots = components(similar_sets(candidate_sets(numbered, found, shingle), similarity, most_in_bucket))
     grouped = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
-    gone = stage(marked.select("_row").join(kept, "_row", "left_anti"), "near-duplicates")
-    return without(numbered, gone, "_row").select(*docs.columns)
+    kept = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
+    gone = marked.select("row").join(kept, "row", "left_anti")
+    return without(numbered, gone, "row").select("doc.*")
 
 
 def candidate_sets(numbered: DataFrame, found: DataFrame, shingle: int, most_broadcast: int = 1_000_000) -> DataFrame:
     """bucket (the component of found), node and data (the distinct shingle hashes) of the members of found (node, root)."""
     members = stage(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "candidates")
-    texts = numbered.select(F.col("_row").alias("node"), "text").join(F.broadcast(members) if members.count() <= most_broadcast else members, "node")
+    texts = numbered.select(F.col("row").alias("node"), "doc.text").join(F.broadcast(members) if members.count() <= most_broadcast else members, "node")
     return stage(shingle_sets(texts.select(F.col("root").alias("bucket"), "node", "text"), {"data": lambda h: h.tobytes()}, shingle), "shingle-sets")
 
 

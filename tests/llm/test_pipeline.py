@@ -1,4 +1,5 @@
 import random
+from functools import lru_cache
 
 import numpy as np
 
@@ -25,8 +26,14 @@ def texts(n=90):
     return out
 
 
+@lru_cache(maxsize=None)
+def shingles(text):
+    w = text.split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+
 def jaccard(a, b):
-    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    x, y = shingles(a), shingles(b)
     return len(x & y) / len(x | y)
 
 

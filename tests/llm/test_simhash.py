@@ -83,3 +83,62 @@ def test_bit_sliced_distances():
 
 def test_empty_table(spark, tmp_path):
     assert S.op7_simhash(spark, table(spark, tmp_path, "documents", documents(spark).limit(0))).count() == 0
+
+
+def components_of(links, nodes):
+    found = {r.node: r.root for r in S.components(links).collect()}
+    return [found.get(n, n) for n in nodes]
+
+
+def test_components_never_depend_on_the_size_of_buckets(spark):
+    """A tight core in one half of the fingerprint, and members that are near one member of the core only."""
+    rng = random.Random(8)
+    radius = S.radius_for(0.8)[0]
+    base, core, lone = rng.getrandbits(256), [], []
+    flip = lambda v, bits: v ^ sum(1 << b for b in bits)
+    while len(core) < 1200:
+        core.append(flip(base, rng.sample(range(128), rng.randrange(radius // 2))))
+    for k in range(150):
+        lone.append(flip(core[k], rng.sample(range(128), radius)))
+    values = list(dict.fromkeys(core + lone))
+    words = [np.frombuffer(v.to_bytes(32, "little"), "<u8") for v in values]
+    df = spark.createDataFrame([(i, bytearray(w.tobytes())) for i, w in enumerate(words)], "node long, fp binary").repartition(4)
+    everything = [components_of(S.similar_links(df, most_in_bucket=most), range(len(values))) for most in (10**9, 1024, 128)]
+    assert everything[0] == everything[1] == everything[2]
+    assert len(set(everything[0])) < len(values)
+
+
+def test_asked_links_match_brute_force():
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 2**63, (300, 1), dtype=np.uint64)
+    values[1::2] = values[::2] ^ (np.uint64(1) << rng.integers(0, 64, (150, 1)).astype(np.uint64))
+    labels, asks = rng.integers(0, 200, 300), rng.random(300) < 0.4
+    low, high = S.asked_links(values, labels, asks, 2)
+    pairs = [(i, j) for i in np.flatnonzero(asks) for j in np.flatnonzero(~asks) if bin(int(values[i, 0] ^ values[j, 0])).count("1") <= 2]
+
+    def parts(links):
+        root = {i: i for i in labels.tolist()}
+        find = lambda x: x if root[x] == x else find(root[x])
+        for i, j in links:
+            a, b = find(int(labels[i])), find(int(labels[j]))
+            root[max(a, b)] = min(a, b)
+        return [find(x) for x in labels.tolist()]
+
+    assert parts(zip(low.tolist(), high.tolist(), strict=True)) == parts(pairs)
+
+
+def test_long_texts_are_hashed_in_runs():
+    rng = random.Random(2)
+    text = "".join(rng.choice("abAB é\t\n  ") for _ in range(3000)) + "x" * 500 + " a b"
+    for shingle in (1, 3, 5):
+        whole = np.concatenate(list(S.shingle_runs(text, shingle)))
+        for most in (1, 7, 64, 501):
+            assert (np.concatenate(list(S.shingle_runs(text, shingle, most))) == whole).all()
+    assert [len(r) for r in S.shingle_runs("a b", 3, 1)] == [1] and not list(S.shingle_runs(" \n", 3)) and not list(S.shingle_runs(None, 3))
+    assert (np.concatenate(list(S.shingle_runs("a b", 3, 1))) == [xxhash.xxh64_intdigest(b"a b", seed=42)]).all()
+
+
+def test_clashing_columns_come_back_as_they_were(spark):
+    rows = [(1, "a b c d e f", 7, "r", 1, 2), (2, "a b c d e f", 8, "s", 3, 4), (3, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long, row string, node long, key long")
+    assert sorted(map(tuple, S.drop_near_duplicates(df).collect())) == [rows[0], rows[2]]
