@@ -1,25 +1,29 @@
 """SentencePiece encoding and decoding by unigram Viterbi, with a max-plus parallel scan over chunks of giant documents.
 
-Encoding finds the pieces of the largest total score, with the scores that the model file holds (whole numbers, added exactly). A blank is
-written as U+2581, one goes before the text, and characters without a piece become byte pieces. Among equal totals the piece that begins first wins.
+Encoding finds the pieces of the largest total score, with the scores that the model file holds, in fixed point (whole where the file's are whole, else in steps
+of 2**-20), so that sums are exact. A blank is written as U+2581, one goes before the text, and characters without a piece become byte pieces. Among equal totals the path is that which,
+from the end backwards, always takes the piece that begins first.
 
 No piece has U+2581 after another character, so every best path has a cut before a blank that follows a word. Texts up to chunk_chars are cut there, and each
 worker keeps the pieces of the words it has seen in a bounded cache. A longer text is cut into chunks, which go to different tasks:
 
 1. Each chunk yields a transfer matrix: from "the first cut at or after the chunk's begin is s characters on" to the same at its end, the best score.
    s is below the longest piece's length. Where the chunk has certain cuts, the matrix is the sum of a head, a middle and a tail.
-2. Matrices combine by the associative max-plus product. A document's best states at all bounds come from a scan over its chunks (a few hundred numbers each).
-3. Each chunk is traced back between its two states, independently of the others.
+2. Matrices combine by the associative max-plus product: runs of 64 chunks in parallel, then a document's runs, then back into the runs. So each chunk learns
+   the best score of every state at its begin.
+3. With these, each chunk is traced back independently, for every state at its end: the ids, and the state at its begin that they come from. The document's states are then
+   looked up from its end. The rule for equal totals looks at exact best scores only, so the ids are those of the whole text, whatever chunk_chars is.
 
 decode() joins the pieces' bytes; decode(encode(text)) is the text, for every text (U+2581 itself is encoded as bytes).
 
-Defined results: a null text stays null, with null ids; an empty one has no ids. Repeated rows stay. An empty table gives an empty result. At bounds of chunks, another
-path of the same total may be chosen than without chunks.
+Defined results: a null text stays null, with null ids; an empty one has no ids. Repeated rows stay. An empty table gives an empty result. Columns of any other names than text are
+carried as they are, but ids, path_score and decoded, which the results replace.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,14 +31,14 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage
+from .common import read_table, small_batches, stage
 
 BLANK, OWN_BLANK = "▁", "\ud800"  # the second stands for a U+2581 of the text itself
 NEVER = -(1 << 60)
+RUN = 64  # chunks whose matrices one task combines
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -54,9 +58,11 @@ class Pieces:
         ids = range(sp.get_piece_size())
         plain = [i for i in ids if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.id = {sp.id_to_piece(i): i for i in plain}
-        self.score = {p: round(sp.get_score(i)) for p, i in self.id.items()}
+        raw = {p: sp.get_score(i) for p, i in self.id.items()}
+        self.scale = 1 if all(x == round(x) for x in raw.values()) else 1 << 20
+        self.score = {p: round(x * self.scale) for p, x in raw.items()}
         self.longest = max(map(len, self.score))
-        self.unknown = min(self.score.values()) - 10
+        self.unknown = min(self.score.values()) - 10 * self.scale
         self.begins: dict[str, int | None] = {p[:n]: None for p in self.score for n in range(1, len(p))} | self.score  # every begin of a piece, with the score where it is one
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.raw = [b""] * len(ids)
@@ -78,12 +84,11 @@ class Pieces:
         found = self.score.get(text[start:end])
         return self.unknown if found is None and end == start + 1 else found
 
-    def path(self, text: str, start: int, stop: int, inner: int | None = None) -> tuple[int, list[int]]:
-        """(score, cuts) of the best path from start to stop; inner: all cuts but the last are below it. NEVER if there is none."""
-        best, back = {start: 0}, {}
-        last = stop if inner is None else min(inner, stop)
+    def forward(self, text: str, starts: dict[int, int], last: int, stop: int) -> tuple[dict[int, int], dict[int, int]]:
+        """(best, back) from scores of starts: each place's best score and where its last piece begins (none for a start that nothing beats). Pieces begin before last and end at stop at most."""
+        best, back = dict(starts), {}
         known, unknown, longest = self.begins, self.unknown, self.longest
-        for s in range(start, last):
+        for s in range(min(starts), last):
             if (own := best.get(s)) is None:
                 continue
             for end in range(s + 1, min(s + longest, stop) + 1):
@@ -93,14 +98,14 @@ class Pieces:
                     if end > s + 1:
                         continue
                     x = unknown
-                if (end < last or end == stop) and (end not in best or own + x > best[end]):
+                if end not in best or own + x > best[end]:
                     best[end], back[end] = own + x, s
-        if stop not in best:
-            return NEVER, []
-        cuts = [stop]
-        while cuts[-1] != start:
-            cuts.append(back[cuts[-1]])
-        return best[stop], cuts[::-1]
+        return best, back
+
+    def path(self, text: str, start: int, stop: int, inner: int | None = None) -> tuple[int, list[int]]:
+        """(score, cuts) of the best path from start to stop; inner: all cuts but the last are below it. NEVER if there is none."""
+        best, back = self.forward(text, {start: 0}, stop if inner is None else min(inner, stop), stop)
+        return (best[stop], cuts_to(back, stop)) if stop in best else (NEVER, [])
 
     def ids(self, text: str, cuts: list[int]) -> list[int]:
         out: list[int] = []
@@ -145,6 +150,13 @@ class Pieces:
         return found[1:].decode(errors="replace")  # without the blank that encoding puts first
 
 
+def cuts_to(back: dict[int, int], stop: int) -> list[int]:
+    cuts = [stop]
+    while cuts[-1] in back:
+        cuts.append(back[cuts[-1]])
+    return cuts[::-1]
+
+
 @lru_cache(maxsize=1)
 def shared_pieces(path: str | None = None) -> Pieces:
     return Pieces(path)
@@ -199,31 +211,70 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(found < NEVER // 2, NEVER, found)
 
 
-def scan(matrices: list[np.ndarray]) -> tuple[list[int], int]:
-    """A document's states at the bounds of its chunks (one more than chunks, 0 at both ends), and its score."""
-    n = len(matrices[0])
-    before = [np.where(np.arange(n) == 0, 0, NEVER)]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """All combined, as a tree."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[k : k + 2]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def scores_before(start: np.ndarray, matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """The states' best scores before each matrix, and after the last, from those at the start."""
+    found = [start]
     for m in matrices:
-        before.append(combine(before[-1][None, :], m)[0])
-    states = [0]
-    for k in range(len(matrices) - 1, -1, -1):
-        states.append(int((before[k] + matrices[k][:, states[-1]]).argmax()))
-    return states[::-1], int(before[-1][0])
+        found.append(combine(found[-1][None, :], m)[0])
+    return found
+
+
+def first_state(n: int) -> np.ndarray:
+    return np.where(np.arange(n) == 0, 0, NEVER)
 
 
-def trace(pieces: Pieces, text: str, size: int, state: int, to: int) -> bytes:
-    """Ids of a chunk between the two states."""
+def trace(pieces: Pieces, text: str, size: int, before: np.ndarray) -> tuple[list[int], bytes, list[bytes]]:
+    """(state at the chunk's begin, for each state at its end; ids that all of these have; the ids after them for each), from the best scores of the states at its begin.
+
+    States that cannot be reached have -1 and no ids.
+    """
+    n = pieces.longest
+    starts = {s: int(x) for s, x in enumerate(before.tolist()) if x > NEVER and s <= max(size, 0)}
+    coded = lambda cuts: np.array(pieces.ids(text, cuts), "<u4").tobytes()
     cut = certain_cuts(text, 0, size)
-    if cut and state <= cut[0]:
+    ends = range(min(n, len(text) - size + 1))
+    states, tails = [-1] * n, [b""] * n
+    if cut:
         first, last = cut
-        head = pieces.ids(text, pieces.path(text, state, first)[1])
-        tail = pieces.ids(text, pieces.path(text, last, size + to, size)[1]) if size + to > last else []
-        return np.array(head, "<u4").tobytes() + pieces.words(text[first:last])[0] + np.array(tail, "<u4").tobytes()
-    return np.array(pieces.ids(text, pieces.path(text, state, size + to, size)[1]), "<u4").tobytes() if size + to > state else b""
+        head = cuts_to(pieces.forward(text, {s: x for s, x in starts.items() if s <= first}, first, first)[1], first)
+        best, back = pieces.forward(text, {last: 0}, size, size + n - 1)
+        for t in ends:
+            if (size + t in best) and (last < size or t == 0):
+                states[t], tails[t] = head[0], coded(cuts_to(back, size + t))
+        return states, coded(head) + pieces.words(text[first:last])[0], tails
+    best, back = pieces.forward(text, starts, size, size + n - 1)
+    found = {t: cuts_to(back, size + t) for t in ends if size + t in best}
+    if not found:
+        return states, b"", tails
+    shared = 0
+    while all(len(c) > shared and c[shared] == next(iter(found.values()))[shared] for c in found.values()):
+        shared += 1
+    shared = max(shared, 1)
+    for t, cuts in found.items():
+        states[t], tails[t] = cuts[0], coded(cuts[shared - 1 :])
+    alike = len({c[0] for c in found.values()}) == 1
+    return states, coded(next(iter(found.values()))[:shared]) if alike else b"", tails
+
+
+def joined(parts: list[tuple[list[int], bytes, list[bytes]]]) -> bytes:
+    """A document's ids from its chunks' traces."""
+    state, out = 0, []
+    for states, own, tails in reversed(parts):
+        out.append(own + tails[state])
+        state = states[state]
+    return b"".join(reversed(out))
 
 
 def encode(docs: DataFrame, chunk_chars: int = 16_384, model: str | None = None) -> DataFrame:
     """docs (doc_id, text, others) with ids (little-endian unsigned 32-bit) and path_score (long)."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("ids", "path_score")
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "ids binary, path_score long"])
 
@@ -240,14 +291,14 @@ def encode(docs: DataFrame, chunk_chars: int = 16_384, model: str | None = None)
 
 
 def _chunks(longest: int, chunk_chars: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows _row, _chunk, _size and _part of rows (_row, text)."""
+    """Rows row, chunk, size and part of rows (row, text)."""
     for b in batches:
-        for k, row in enumerate(b.column("_row").to_pylist()):
+        for k, row in enumerate(b.column("row").to_pylist()):
             text = written(b.column("text")[k].as_py())
             sizes = [min(chunk_chars, len(text) - at) for at in range(0, len(text), chunk_chars)]
             parts = [text[at : at + chunk_chars + longest - 1].encode("utf-8", "surrogatepass") for at in range(0, len(text), chunk_chars)]
             n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], ["_row", "_chunk", "_size", "_part"])
+            yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], ["row", "chunk", "size", "part"])
 
 
 def encode_chunked(docs: DataFrame, chunk_chars: int = 16_384, model: str | None = None) -> DataFrame:
@@ -256,42 +307,52 @@ def encode_chunked(docs: DataFrame, chunk_chars: int = 16_384, model: str | None
     longest = shared_pieces(model).longest
     if chunk_chars < longest:
         raise ValueError("a chunk must hold the longest piece")
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(row, row + b.num_rows), pa.int64())], [*b.schema.names, "_row"])
-            row += b.num_rows
-
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_row long"])
-    numbered = stage(docs.mapInArrow(rows, kinds), "giant-texts")
+    numbered = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "giant-texts")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared_pieces(model)
         for b in batches:
-            found = [transfer(pieces, p.as_py().decode("utf-8", "surrogatepass"), s.as_py()).tobytes() for p, s in zip(b.column("_part"), b.column("_size"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], [*b.schema.names, "_matrix"])
+            found = [zlib.compress(transfer(pieces, p.as_py().decode("utf-8", "surrogatepass"), s.as_py()).tobytes(), 1) for p, s in zip(b.column("part"), b.column("size"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], [*b.schema.names, "matrix"])
+
+    def of(table: pa.Table) -> list[np.ndarray]:
+        return [np.frombuffer(zlib.decompress(m.as_py()), np.int64).reshape(longest, longest) for m in table.column("matrix")]
+
+    def combined(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        return pa.table({"row": table.column("row")[:1], "run": table.column("run")[:1], "matrix": pa.array([zlib.compress(product(of(table)).tobytes(), 1)], pa.binary())})
 
-    def states(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_chunk")
-        own = [np.frombuffer(m.as_py(), np.int64).reshape(longest, longest) for m in table.column("_matrix")]
-        found, score = scan(own)
-        return pa.Table.from_arrays([table.column("_row"), table.column("_chunk"), pa.array(found[:-1]), pa.array(found[1:]), pa.array([score] * len(own))], ["_row", "_chunk", "_from", "_to", "path_score"])
+    def over_runs(table: pa.Table) -> pa.Table:
+        table = table.sort_by("run")
+        found = scores_before(first_state(longest), of(table))
+        return pa.table({"row": table.column("row"), "run": table.column("run"), "before": pa.array([x.tobytes() for x in found[:-1]], pa.binary()), "path_score": pa.array([int(found[-1][0])] * len(table), pa.int64())})
+
+    def within_runs(chunks: pa.Table, runs: pa.Table) -> pa.Table:
+        chunks = chunks.sort_by("chunk")
+        found = scores_before(np.frombuffer(runs.column("before")[0].as_py(), np.int64), of(chunks))
+        return pa.table({"row": chunks.column("row"), "chunk": chunks.column("chunk"), "before": pa.array([x.tobytes() for x in found[:-1]], pa.binary()), "path_score": pa.array([runs.column("path_score")[0].as_py()] * len(chunks), pa.int64())})
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared_pieces(model)
         for b in batches:
-            found = [trace(pieces, r["_part"].decode("utf-8", "surrogatepass"), r["_size"], r["_from"], r["_to"]) for r in b.select(["_part", "_size", "_from", "_to"]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("_chunk"), b.column("path_score"), pa.array(found, pa.binary())], ["_row", "_chunk", "path_score", "_ids"])
+            found = [trace(pieces, r["part"].decode("utf-8", "surrogatepass"), r["size"], np.frombuffer(r["before"], np.int64)) for r in b.select(["part", "size", "before"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), b.column("path_score"), *(pa.array(x, k) for x, k in zip(zip(*found, strict=True), (pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())), strict=True))], ["row", "chunk", "path_score", "states", "own", "tails"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        parts = list(zip(*(table.column(c).to_pylist() for c in ("states", "own", "tails")), strict=True))
+        return pa.table({"row": table.column("row")[:1], "ids": pa.array([joined(parts)], pa.binary()), "path_score": table.column("path_score")[:1]})
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = "_row long, _chunk long, _size long, _part binary"
-    cut = numbered.select("_row", "text").mapInArrow(lambda it: _chunks(longest, chunk_chars, it), chunks).repartition(tasks, "_row", "_chunk")
-    measured = stage(cut.mapInArrow(matrices, f"{chunks}, _matrix binary"), "chunk-matrices")
-    known = measured.select("_row", "_chunk", "_matrix").groupBy("_row").applyInArrow(states, "_row long, _chunk long, _from long, _to long, path_score long")
-    parts = measured.drop("_matrix").join(known, ["_row", "_chunk"]).mapInArrow(traced, "_row long, _chunk long, path_score long, _ids binary")
-    joined = parts.groupBy("_row").agg(F.expr("listagg(_ids) WITHIN GROUP (ORDER BY _chunk)").alias("ids"), F.max("path_score").alias("path_score"))
-    return numbered.join(joined, "_row").select(*docs.columns, "ids", "path_score")
+    chunks = "row long, chunk long, size long, part binary"
+    cut = numbered.select("row", F.col("doc.text").alias("text")).mapInArrow(lambda it: _chunks(longest, chunk_chars, it), chunks).repartition(tasks, "row", "chunk")
+    measured = stage(cut.mapInArrow(matrices, f"{chunks}, matrix binary"), "chunk-matrices")
+    own = measured.select("row", "chunk", (F.col("chunk") / RUN).cast("long").alias("run"), "matrix")
+    runs = own.groupBy("row", "run").applyInArrow(combined, "row long, run long, matrix binary").groupBy("row").applyInArrow(over_runs, "row long, run long, before binary, path_score long")
+    known = own.groupBy("row", "run").cogroup(runs.groupBy("row", "run")).applyInArrow(within_runs, "row long, chunk long, before binary, path_score long")
+    parts = measured.drop("matrix").join(known, ["row", "chunk"]).mapInArrow(traced, "row long, chunk long, path_score long, states array<int>, own binary, tails array<binary>")
+    found = parts.groupBy("row").applyInArrow(whole, "row long, ids binary, path_score long")
+    return numbered.join(found, "row").select("doc.*", "ids", "path_score")
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:

@@ -70,23 +70,67 @@ def test_words_match_viterbi_over_the_whole_text(pieces):
         assert score == total(pieces, np.frombuffer(ids, "<u4").tolist())
 
 
-def test_chunks_match_the_whole(pieces):
-    rng = random.Random(7)
-    for t in [*texts(60), "x" * 300, "数据" * 90, " " * 200, "no" * 5 + " yes" * 40]:
+def chunked(pieces, t, size):
+    w = U.written(t)
+    parts = [(w[k : k + size + pieces.longest - 1], min(size, len(w) - k)) for k in range(0, len(w), size)]
+    found = [U.transfer(pieces, p, n) for p, n in parts]
+    before = U.scores_before(U.first_state(pieces.longest), found)
+    return U.joined([U.trace(pieces, p, n, x) for (p, n), x in zip(parts, before[:-1], strict=True)]), int(before[-1][0]), found
+
+
+HARD = ["x" * 300, "数据" * 90, " " * 200, "no" * 5 + " yes" * 40, "ab" * 150, "ababa" * 70 + " " + "aab" * 60]
+
+
+def test_ids_are_the_same_for_all_chunk_sizes(pieces):
+    for t in [*texts(60), *HARD]:
         w = U.written(t)
-        size = rng.choice([17, 20, 33, 64])
-        size = max(size, pieces.longest)
-        parts = [(w[k : k + size + pieces.longest - 1], min(size, len(w) - k)) for k in range(0, len(w), size)]
-        found = [U.transfer(pieces, p, n) for p, n in parts]
-        states, score = U.scan(found)
-        assert score == pieces.path(w, 0, len(w))[0], t
-        ids = b"".join(U.trace(pieces, p, n, a, b) for (p, n), a, b in zip(parts, states, states[1:], strict=False))
-        assert pieces.decode(ids) == t and total(pieces, np.frombuffer(ids, "<u4").tolist()) == score
-        if len(found) > 2:  # associative
+        ids, score = pieces.words(w)
+        assert pieces.decode(ids) == t
+        for size in {pieces.longest, pieces.longest + 1, 33, 64, 10**6}:
+            if size >= pieces.longest:
+                own, own_score, found = chunked(pieces, t, size)
+                assert own == ids and own_score == score, (t, size)
+        if len(found) > 2:
             left, right = U.combine(U.combine(found[0], found[1]), found[2]), U.combine(found[0], U.combine(found[1], found[2]))
             assert (left == right).all()
 
 
+@pytest.fixture(scope="module")
+def toy():
+    """A unigram model with fractional scores and many equal totals."""
+    pieces = U.Pieces()
+    pieces.scale = 1 << 20
+    scores = {"a": -1.5, "b": -1.5, "aa": -3.0, "ab": -3.0, "ba": -3.0, "aab": -4.25, "aba": -4.5, U.BLANK: -0.125, f"{U.BLANK}a": -1.625, "abab": -5.999999}
+    pieces.id = {p: 300 + i for i, p in enumerate(scores)}
+    pieces.score = {p: round(x * pieces.scale) for p, x in scores.items()}
+    pieces.longest, pieces.unknown = 4, round(-12.5 * pieces.scale)
+    pieces.begins = {p[:n]: None for p in scores for n in range(1, len(p))} | pieces.score
+    pieces.raw = list(pieces.raw)
+    for p, i in pieces.id.items():
+        pieces.raw[i] = p.replace(U.BLANK, " ").encode()
+    pieces.seen, pieces.single = {}, set()
+    return pieces
+
+
+def test_fractional_scores_and_ties_do_not_depend_on_chunks(toy):
+    rng = random.Random(4)
+    for _ in range(150):
+        t = "".join(rng.choice("aaabbb cé") for _ in range(rng.randrange(1, 70)))
+        ids, score = toy.words(U.written(t))
+        assert toy.decode(ids) == t
+        for size in (4, 5, 7, 16):
+            own, own_score, _ = chunked(toy, t, size)
+            assert own == ids and own_score == score, (t, size)
+
+
+def test_trees_of_matrices(toy):
+    found = chunked(toy, "abab aab" * 12, 5)[2]
+    whole = found[0]
+    for m in found[1:]:
+        whole = U.combine(whole, m)
+    assert (U.product(found) == whole).all()
+
+
 def test_query_round_trips(spark, tmp_path, pieces):
     d = table(spark, tmp_path, "documents", documents(spark))
     texts_of = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect() if r.text is not None)
@@ -95,8 +139,17 @@ def test_query_round_trips(spark, tmp_path, pieces):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.path_score) for r in rows if r.n_ids is not None)
     assert got == sorted((a, b, pieces.words(U.written(t))[1]) for a, b, t in texts_of)
     small = {r.doc_id: r for r in U.decode(U.encode(spark.read.parquet(f"{d}/documents.parquet"), chunk_chars=64)).collect()}
-    assert all(r.text == r.decoded for r in small.values()) and small[103].lang == "en" and small[103].path_score == pieces.words(U.written(small[103].text))[1]
+    assert all(r.text == r.decoded for r in small.values())
+    large = {r.doc_id: r.ids for r in U.encode(spark.read.parquet(f"{d}/documents.parquet"), chunk_chars=10**9).collect()}
+    assert {k: r.ids for k, r in small.items()} == large
+    assert small[103].lang == "en" and small[103].path_score == pieces.words(U.written(small[103].text))[1]
 
 
 def test_empty_table(spark, tmp_path):
     assert U.op8_unigram(spark, table(spark, tmp_path, "documents", documents(spark).limit(0))).count() == 0
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "some text " * 30, 5, "c", None), (2, None, 6, "d", 1)], "doc_id long, text string, row long, chunk string, _row int")
+    found = sorted(U.encode(df, chunk_chars=64).drop("ids", "path_score").collect())
+    assert found == sorted(df.collect())
