@@ -4,7 +4,8 @@ A document's ids (with its end id) are cut into whole windows and a remainder. T
 the sum over levels of the squared counts of partially filled windows: with N[h] windows filled to h, placing s ids at level h
 changes the sum by -2 N[h] + 1 (leaving level h) plus 2 N[h+s] + 1 (entering h+s; nothing when the window is full then).
 The counts live in one array of levels, so a placement is one vector minimum. At the end of a task's rows the windows
-still open are poured together, cutting documents where a window is full, so a task leaves at most one short window.
+still open are poured together, cutting documents where a window is full, so a task leaves at most one short window. The same is done whenever most_open windows are
+open (documents of just over half a window never fit together), and the short window that is left stays open. So a task holds most_open windows of ids at most.
 
 Every task packs the rows of its input split and keeps only the open windows; nothing is shuffled. A retried task gives the same rows,
 as its split and its order of rows are the same.
@@ -33,8 +34,8 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 class SquaresPacker:
     """Places pieces (doc_id, start, doc_tokens, ids bytes) online; a full window comes back from add()."""
 
-    def __init__(self, length: int = LENGTH):
-        self.length = length
+    def __init__(self, length: int = LENGTH, most_open: int = 2048):
+        self.length, self.most_open, self.n_open = length, most_open, 0
         self.counts = np.zeros(length + 1, np.int64)
         self.open: dict[int, list[list]] = {}
 
@@ -52,15 +53,30 @@ class SquaresPacker:
         if level:
             window = self.open[level].pop()
             self.counts[level] -= 1
+            self.n_open -= 1
         else:
             window = []
         window.append(piece)
         if level + size == self.length:
             return window
-        self.open.setdefault(level + size, []).append(window)
-        self.counts[level + size] += 1
+        self._keep(window, level + size)
         return None
 
+    def _keep(self, window: list[tuple], level: int) -> None:
+        self.open.setdefault(level, []).append(window)
+        self.counts[level] += 1
+        self.n_open += 1
+
+    def relieve(self) -> Iterator[list]:
+        """Full windows poured from the open ones, if these are most_open; the rest stays open."""
+        if self.n_open >= self.most_open:
+            for window in list(self.close()):
+                size = sum(len(p[3]) // 4 for p in window)
+                if size == self.length:
+                    yield window
+                else:
+                    self._keep(window, size)
+
     def close(self) -> Iterator[list]:
         """The open windows poured together, fullest first; all but the last are full."""
         window, room = [], self.length
@@ -75,7 +91,7 @@ class SquaresPacker:
                             yield window
                             window, room = [], self.length
         self.open.clear()
-        self.counts[:] = 0
+        self.counts[:], self.n_open = 0, 0
         if window:
             yield window
 
@@ -88,6 +104,7 @@ def pack_rows(rows: Iterator[tuple], packer: SquaresPacker) -> Iterator[list]:
         for at in range(0, len(ids), step):
             if (window := packer.add((doc_id, at // 4, total, ids[at : at + step]))) is not None:
                 yield window
+        yield from packer.relieve()
     yield from packer.close()
 
 

@@ -73,3 +73,16 @@ def test_placement_minimises_the_sum_of_squares():
 
 def test_empty_table(spark, tmp_path):
     assert packing.op2_packing(spark, table(spark, tmp_path, "documents", documents(spark).limit(0))).count() == 0
+
+
+def test_open_windows_are_bounded_and_nothing_is_lost():
+    packer = packing.SquaresPacker(16, most_open=5)
+    rows = [(k, np.arange(k * 10, k * 10 + 9, dtype="<u4").tobytes()) for k in range(100)]  # no two fit together
+    out, held = [], 0
+    for window in packing.pack_rows(iter(rows), packer):
+        held = max(held, packer.n_open)
+        out.append(window)
+    assert held <= 5 and sum(sum(len(p[3]) // 4 for p in w) < 16 for w in out) <= 1
+    ids = sorted(i for w in out for p in w for i in np.frombuffer(p[3], "<u4").tolist())
+    assert ids == sorted(i for _, x in rows for i in np.frombuffer(x, "<u4").tolist())
+    assert all(p[3] == rows[p[0]][1][4 * p[1] : 4 * p[1] + len(p[3])] and p[2] == 9 for w in out for p in w)
