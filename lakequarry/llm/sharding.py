@@ -1,7 +1,7 @@
 """Sharding by proportional stratified interleaving, in DataFrame functions only.
 
-Rows of each source are shuffled by a seeded hash and ranked; the fractional rank (2 * rank - 1) / (2 * rows of the
-source) spreads every source evenly over 0 to 1. All rows sorted by it and cut into equal runs give shards that
+Rows of each source are shuffled by a seeded hash and ranked; the fractional rank (rank - 1 + u) / (rows of the source), with u from 0 to 1 by a seeded hash of the
+source, spreads every source evenly over 0 to 1, and sources of a single row over all of it. All rows sorted by it and cut into equal runs give shards that
 each hold the sources in the mixture's proportions, and row counts that differ by one at most (law "rows").
 
 No window ever holds a whole source or the whole table: ranks come from counts of hash cells (bounded runs of
@@ -9,7 +9,7 @@ rows), summed over cells, plus a rank within the cell. So a source with a third
 tasks. Counts of cells are small tables of sources x cells and of cells.
 
 Defined results: a null source is a stratum of its own; a null text has size 8 and crc32 of nothing; a null doc_id
-is ordered last. Equal rows are interchangeable. An empty table gives an empty result.
+is ordered last. Equal rows are interchangeable. An empty table gives an empty result. Columns of any names are carried, but shard and slot, which the results replace.
 """
 
 from __future__ import annotations
@@ -37,30 +37,32 @@ def interleave(rows: DataFrame, source: str, seeded: Column, n_shards: int = 24,
     """
     spark = rows.sparkSession
     cells = cells or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.withColumn("_seeded", seeded).withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")))
-    keyed = stage(keyed.withColumn("_cell", (F.conv(F.substring("_seeded", 1, 8), 16, 10).cast("double") / 2.0**32 * cells).cast("int")), "interleave")
+    rows = rows.drop("shard", "slot")
+    hashed = lambda x: F.conv(F.substring(x, 1, 8), 16, 10).cast("double") / 2.0**32
+    keyed = rows.select(F.struct("*").alias("row"), seeded.alias("seeded"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("source"))
+    keyed = stage(keyed.withColumn("cell", (hashed(F.col("seeded")) * cells).cast("int")), "interleave")
     n_rows = keyed.count()
-    in_cell = keyed.groupBy("_source", "_cell").agg(F.count("*").alias("_n"))
-    before = _running(in_cell, "_n", ["_source"], "_cell", "_before").withColumn("_of", F.sum("_n").over(Window.partitionBy("_source"))).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_source", "_cell").orderBy("_seeded"))
-    # the position 0 to 1 as an exact fraction of whole numbers: its cell, then its place within the cell
-    top = (F.col("_before") + rank) * 2 - 1
-    ranked = keyed.join(before, ["_source", "_cell"]).withColumn("_top", top).drop("_cell")
-    ranked = stage(ranked.withColumn("_cell", F.expr(f"cast((_top * {cells}L) div (2 * _of) as int)")).withColumn("_at", F.expr("cast(_top as double) / (2 * _of)")), "interleave-ranked")
-    runs = _running(ranked.groupBy("_cell").agg(F.count("*").alias("_n")), "_n", [], "_cell", "_first").drop("_n")
-    place = F.row_number().over(Window.partitionBy("_cell").orderBy("_at", "_source", "_seeded")) - 1 + F.col("_first")
-    placed = ranked.join(runs, "_cell").withColumn("_place", place.cast("long"))
-    shard = F.expr(f"cast((_place * {n_shards}) div {max(1, n_rows)}L as int)")
-    slot = F.expr(f"_place - (shard * {n_rows}L + {n_shards - 1}) div {n_shards}")
-    return placed.withColumn("shard", shard).withColumn("slot", slot).select(*rows.columns, "shard", "slot")
+    in_cell = keyed.groupBy("source", "cell").agg(F.count("*").alias("n"))
+    before = _running(in_cell, "n", ["source"], "cell", "before").withColumn("of", F.sum("n").over(Window.partitionBy("source"))).drop("n")
+    rank = F.row_number().over(Window.partitionBy("source", "cell").orderBy("seeded"))
+    u = hashed(F.md5(F.concat(F.lit(SEED), F.col("source")).cast("binary")))
+    # the position from 0 to 1 gives its cell, then its place within the cell
+    ranked = keyed.join(before, ["source", "cell"]).withColumn("at", (F.col("before") + rank - 1 + u) / F.col("of")).drop("cell")
+    ranked = stage(ranked.withColumn("cell", (F.col("at") * cells).cast("int")), "interleave-ranked")
+    runs = _running(ranked.groupBy("cell").agg(F.count("*").alias("n")), "n", [], "cell", "first").drop("n")
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("at", "source", "seeded")) - 1 + F.col("first")
+    placed = ranked.join(runs, "cell").withColumn("place", place.cast("long"))
+    shard = F.expr(f"cast((place * {n_shards}) div {max(1, n_rows)}L as int)")
+    slot = F.expr(f"place - (shard * {n_rows}L + {n_shards - 1}) div {n_shards}")
+    return placed.withColumn("shard", shard).withColumn("slot", slot).select("row.*", "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, text_crc32, shard, slot of every document; the text itself is not shuffled."""
     text = whole_text()
-    slim = docs.select("doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("_text_md5"))
-    seeded = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.col("_text_md5")).cast("binary"))
-    return interleave(slim, "source", seeded, n_shards).drop("_text_md5")
+    slim = docs.select("doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("text_md5"))
+    seeded = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.col("text_md5")).cast("binary"))
+    return interleave(slim, "source", seeded, n_shards).drop("text_md5")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

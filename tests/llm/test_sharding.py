@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from lakequarry.llm import sharding as S
 
 from .fixtures import documents, table
@@ -34,7 +36,8 @@ def test_matches_brute_force_interleaving(spark):
     for r in docs.collect():
         seeded = md5(f"{S.SEED}:{'~' if r.doc_id is None else r.doc_id}:{md5((r.text or '').encode())}".encode())
         own["" if r.source is None else "=" + r.source].append((seeded, r.doc_id))
-    order = sorted(((2 * k + 1) / (2 * len(v)), s, seeded, doc_id) for s, v in own.items() for k, (seeded, doc_id) in enumerate(sorted(v, key=lambda x: x[0])))
+    u = lambda s: int(md5((S.SEED + s).encode())[:8], 16) / 2**32
+    order = sorted(((k + u(s)) / len(v), s, seeded, doc_id) for s, v in own.items() for k, (seeded, doc_id) in enumerate(sorted(v, key=lambda x: x[0])))
     n = len(order)
     want = Counter((x[3], i * 24 // n, i - -(-(i * 24 // n) * n // 24)) for i, x in enumerate(order))
     assert Counter((r.doc_id, r.shard, r.slot) for r in rows) == want
@@ -44,3 +47,13 @@ def test_empty_table_and_no_python(spark, tmp_path):
     d = table(spark, tmp_path, "documents", documents(spark).limit(0))
     out = S.op6_sharding(spark, d)
     assert out.count() == 0 and "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_many_small_sources_are_spread_and_columns_may_clash(spark):
+    df = spark.range(4000).select("id", F.concat(F.lit("s"), "id").alias("source"), F.lit(1).alias("cell"), F.lit("x").alias("shard"), F.lit(2).alias("seeded"))
+    out = S.interleave(df, "source", F.md5(F.col("id").cast("string").cast("binary")), 8)
+    assert sorted(out.columns) == sorted(df.columns + ["slot"]) and out.where("cell = 1 AND seeded = 2").count() == 4000
+    staged = out.select("id", "shard").collect()
+    assert max(Counter(r.shard for r in staged).values()) == 500
+    u = spark.range(4000).select((F.conv(F.substring(F.md5(F.concat(F.lit(S.SEED), F.lit("=s"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32 * 100).cast("int").alias("c"))
+    assert u.groupBy("c").count().agg(F.max("count")).first()[0] < 100  # 40 of 4,000 in a cell on average
