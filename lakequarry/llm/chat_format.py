@@ -3,11 +3,12 @@ r"""Chat formatting with a grammar round trip, in DataFrame functions only.
 A turn is rendered as "[INST] text [/INST]" (user), "<s> text </s>" (assistant), "<<SYS>> text <</SYS>>" (system) or
 "<|role|> role <|text|> text <|end|>" (any other role). The rendered conversation is parsed again by one regular expression, each alternative of which
 ends at the first end marker, and the recovered turns are compared to the source. A conversation that differs, or whose texts hold control strings, is
-rendered again with those texts escaped: one backslash goes before each control string and the backslashes right before it. Removing one gives the text
-back. An escaped text holds no marker, as every control string in it follows a backslash and every marker follows a blank or a turn's end.
+rendered again with its texts escaped: one backslash goes before each control string and the backslashes right before it. Removing one gives the text
+back. An escaped text holds no marker, as every control string in it follows a backslash and every marker follows a blank or a turn's end. So one round of escaping
+is enough; the escaped rendering is parsed and compared too, and a conversation that still differed would stop the job with an error instead of being written.
 
 Defined results: a null text or role is an empty one. Turns are ordered by turn, role and text (null turns first); repeated rows are turns of their own. Rows with a null
-conv_id form one conversation. An empty table gives an empty result. Other columns are not looked at. A conversation is one row of the result, so
+conv_id form one conversation, as in SQL's grouping. An empty table gives an empty result. Other columns are not looked at. A conversation is one row of the result, so
 its turns come together in one task; nothing larger does.
 """
 
@@ -91,7 +92,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
         return F.struct((a["at"] + head + body + F.length(p["tail"])).alias("at"), F.when(p["loss"], F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
 
     out = done.select("conv_id", "turns", "escaped", _joined(F.col("pieces")).alias("formatted"), F.aggregate("pieces", start, step, lambda a: a["spans"]).alias("loss_spans"))
-    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "formatted", "loss_spans", "escaped", (parse(F.col("formatted")) == F.col("turns")).alias("identical"))
+    failed = F.raise_error(F.concat(F.lit("a conversation differs after its round trip: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    identical = F.when(parse(F.col("formatted")) == F.col("turns"), True).otherwise(failed.cast("boolean")).alias("identical")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "formatted", "loss_spans", "escaped", identical).where("identical")
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
