@@ -39,15 +39,24 @@ def test_matches_sql(spark, tmp_path):
 
 def test_order_changes_no_verdict(spark):
     docs = documents(spark)
-    base = Q.base_stats(docs)
-    kept = [[r[0] for r in base.select(Q.cascade(rules).isNull()).collect()] for rules in (Q.RULES, Q.RULES[::-1])]
+    base, rules = Q.base_stats(docs), (*Q.BASE_RULES, *Q.RULES)
+    kept = [[r[0] for r in base.select(Q.cascade(own, Q.Counted()).isNull()).collect()] for own in (rules, rules[::-1])]
     assert kept[0] == kept[1]
     ordered = Q.order_rules(docs)
-    assert {x["rule"].name for x in ordered} == {r.name for r in Q.RULES}
+    assert {x["rule"].name for x in ordered} == {r.name for r in rules}
     rate = [(x["rejection"] + 1e-6) / x["cost_s"] for x in ordered]
     assert rate == sorted(rate, reverse=True)
 
 
+def test_filter_agrees_with_the_counted_statistics(spark):
+    docs = documents(spark, 300)
+    key = lambda rows: sorted((r.doc_id is None, r.doc_id, r.text is None, r.text) for r in rows)
+    kept = Q.keep_good(docs)
+    assert kept.columns == docs.columns
+    want = [r for r in Q.apply_rules(docs).where("kept").collect()]
+    assert key(kept.collect()) == key(want) and 0 < len(want) < docs.count()
+
+
 def test_no_python_and_empty_table(spark, tmp_path):
     d = table(spark, tmp_path, "documents", documents(spark).limit(0))
     out = Q.op1_quality_rules(spark, d)
