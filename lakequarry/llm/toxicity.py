@@ -1,11 +1,12 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
 Folding lower-cases, maps homoglyphs (full-width, Greek and Cyrillic look-alikes) to Latin letters and digits and signs to the letters they stand for, and makes
-every other character a blank. Patterns are whole words and beginnings of words, so they start at a blank. Phrases in EXCEPTIONS, and any given ones, take
+every other character a blank. Patterns are whole words and beginnings of words, so they start at a blank. Exception phrases of two words take
 away the matches that lie within them. The sum of the matches' weights is normalised by the number of words, and a logistic curve gives a score from 0 to 1.
 
 The lexicon and its weights are learned from labelled documents: a word or beginning of words is taken when its rate per word in toxic documents is
-min_ratio times its rate in others or more, and weighs the logarithm of that ratio. It is fitted on a bounded sample: about max_labelled labelled
+min_ratio times its rate in others or more, and weighs the logarithm of that ratio. An exception is a pair of neighbouring words, one of them matched, that
+min_harmless other documents have and that is min_ratio times rarer in toxic ones. The model is fitted on a bounded sample: about max_labelled labelled
 rows at most, chosen by a hash of doc_id. Every document is scored, over its whole text.
 
 Defined results: a null or empty text has no match and gets the curve's value at 0. Null labels and null doc_ids are not learned from. Without toxic examples to
@@ -25,9 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import read_table, stage
 
-#: Words that are part of a harmless phrase.
-EXCEPTIONS = ("trash can", "trash bag", "clown fish", "sore loser rule", "pond scum")
-
 # Characters that look like Latin letters or stand for them.
 LOOK_ALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
@@ -69,7 +67,7 @@ def features(word: str) -> set[str]:
 class Model:
     weights: dict[str, float]  # by pattern
     curve: tuple[float, ...]  # of 1, log rate, log words
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()  # folded phrases
 
     def automaton(self):
         import ahocorasick
@@ -78,8 +76,7 @@ class Model:
         for p, w in self.weights.items():
             found.add_word(p, (len(p), w))
         for p in self.exceptions:
-            p = fold(p)
-            found.add_word(p, (len(p), None))
+            found.add_word(fold(p), (len(fold(p)), None))
         if len(found):
             found.make_automaton()
         return found
@@ -153,11 +150,39 @@ def _count(rows: DataFrame, wanted: Iterable[str] | None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "feature string, n long, d long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
+def _phrases(sample: DataFrame, model: Model) -> DataFrame:
+    """phrase, toxic and n: how many documents of each kind have each pair of words around a match."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = model.automaton()
+        for b in batches:
+            out: Counter = Counter()
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                out.update((p, toxic == 1) for p in phrases_of(automaton, text))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([t for _, t in out], pa.bool_()), pa.array(list(out.values()), pa.int64())], ["phrase", "toxic", "n"])
+
+    return sample.select("text", "toxic").mapInArrow(run, "phrase string, toxic boolean, n long").groupBy("phrase").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("o"))
+
+
+def phrases_of(automaton, text: str | None) -> set[str]:
+    """The pairs of neighbouring words of a text of which one is matched."""
+    folded = fold(text)
+    found = set()
+    for end, (size, _) in automaton.iter(folded):
+        start = end - size + 1  # a blank; the word ends at the next one
+        after = folded.find(" ", start + 1)
+        before = folded.rfind(" ", 0, start)
+        if before >= 0:
+            found.add(folded[before + 1 : after])
+        if (next_ := folded.find(" ", after + 1)) >= 0:
+            found.add(folded[start + 1 : next_])
+    return found
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, most_candidates: int = 20_000, min_ratio: float = 8.0, lexicon: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, most_candidates: int = 20_000, min_ratio: float = 8.0, lexicon: int = 400, min_harmless: int = 20, most_exceptions: int = 1_000) -> Model:
     """A model from labelled rows that are not held out; max_labelled bounds the sample (on average: rows are chosen by a hash)."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, max_labelled / max(1, usable.count()))
@@ -182,8 +207,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, most_can
     if not weights:
         return Model({}, (0.0,) * 4)
     model = Model(weights, (0.0,) * 4)
+    n_other = max(1, other.count())
+    harmless = _phrases(sample, model).where((F.col("o") >= min_harmless) & (F.col("o") / F.lit(n_other) >= (F.col("t") + 0.5) * F.lit(min_ratio / max(1, n_toxic))))
+    model = Model(weights, model.curve, tuple(r.phrase for r in harmless.orderBy(F.desc("o"), "phrase").limit(most_exceptions).collect()))
     found = _matched(sample, model).select("weight", "matches", "n_words", "toxic").toPandas()  # at most max_labelled rows of numbers
-    return Model(weights, _fit_curve(found[["weight", "matches", "n_words"]].to_numpy(float), (found["toxic"] == 1).to_numpy(float)))
+    return Model(weights, exceptions=model.exceptions, curve=_fit_curve(found[["weight", "matches", "n_words"]].to_numpy(float), (found["toxic"] == 1).to_numpy(float)))
 
 
 def _matched(rows: DataFrame, model: Model) -> DataFrame:
