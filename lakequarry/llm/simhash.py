@@ -233,7 +233,7 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(root, b, a)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most_rows: int = 1 << 18, most_bytes: int = 1 << 26) -> Iterator[pa.Table]:
+def _groups(batches: Iterator[pa.RecordBatch], most_rows: int = 1 << 16, most_bytes: int = 1 << 24) -> Iterator[pa.Table]:
     """Rows sorted by their first column, in tables that hold all rows of its values."""
     held, rows, size = [], 0, 0
     for b in batches:
