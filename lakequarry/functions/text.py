@@ -49,9 +49,13 @@ WITH_BLANK = (("nbsp", " "), *BASIC)
 def _numeric_entities(text: Column, pattern: str, digits) -> Column:
     """digits(code): a code's hexadecimal digits; the last four make a UTF-16 unit."""
     char = lambda code: F.decode(F.unhex(F.lpad(F.right(digits(code), F.lit(4)), 4, "0")), "UTF-16BE")
-    codes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), char)
-    joined = F.array_join(F.zip_with(F.split(text, pattern, -1), codes, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+
+    def decoded(text: Column) -> Column:
+        codes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), char)
+        joined = F.array_join(F.zip_with(F.split(text, pattern, -1), codes, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+        return F.when(text.rlike(pattern), joined).otherwise(text)
+
+    return F.transform(F.array(text), decoded)[0]  # so that what text stands for is computed once
 
 
 def decode_basic_entities(text: Column) -> Column:

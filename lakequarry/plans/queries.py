@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, urls
-from ..functions.codes import window_number
+from ..functions.codes import period_code, session_code, window_number
 from ..operators import completeness as C
 from ..operators import keyed, markup, paged, search, totals
 from ..session import table
@@ -116,11 +116,11 @@ def entity_decode(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""WITH c AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS li FROM (SELECT page_id, regexp_extract_all(html, '(?is)<li\b[^>]*>(.*?)</li>', 1) AS l FROM pages)),
 t AS (SELECT page_id, i, {_sql_plain(_sql_decoded("regexp_replace(li, '<[^>]+>', ' ', 'g')"))} AS v FROM c), n AS (SELECT page_id, i, v, lead(v) OVER (PARTITION BY page_id ORDER BY i) AS value FROM t)
-SELECT page_id, v AS label, arg_max(value, i) AS value FROM n WHERE v IN ('Home', 'About', 'Contact', 'News', 'Login') AND value IS NOT NULL GROUP BY ALL""")
+SELECT page_id, v AS label, arg_max(value, i) AS value FROM n WHERE v IN ('de', 'the', 'in', 'was', 'is', 'un') AND value IS NOT NULL GROUP BY ALL""")
 def label_value_next_cell(spark: SparkSession, d: str) -> DataFrame:
     cells = markup.cells_of(F.col("html"), text.text_of_markup, r"(?is)<li\b[^>]*>(.*?)</li>")
     rows = table(spark, d, "pages").select("page_id", F.lit(0).alias("table"), F.lit(0).alias("_pos"), cells.alias("cells"))
-    return markup.label_values(rows, "page_id", ("Home", "About", "Contact", "News", "Login"))
+    return markup.label_values(rows, "page_id", ("de", "the", "in", "was", "is", "un"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '[?&]id=([^&#]*)', 1) AS id FROM pages""")
@@ -278,3 +278,61 @@ def key_value_put(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.lit(None).cast("long").alias("expiration"), F.col("event_id").alias("_pos"))
     old, new = (keyed.keep_last(events.where(F.col("_pos") % 2 == k), ["key"]).drop("_pos") for k in (0, 1))
     return keyed.put(old, new, F.lit(1000), 60)
+
+
+@query(f"""SELECT page_id, sha256({_sql_plain(f"regexp_replace({_sql_decoded('html')}, '<[^>]*>', ' ', 'g')")}) AS escaped, sha256({_sql_plain(_sql_decoded("regexp_replace(html, '<[^>]*>', ' ', 'g')", text.BASIC))}) AS simple,
+ sha256({_sql_plain(_sql_decoded("regexp_replace(regexp_replace(html, '<br\\s*/?>', ' ', 'gi'), '<[^>]*>', '', 'g')"))}) AS cell FROM pages""")
+def markup_variants(spark: SparkSession, d: str) -> DataFrame:
+    html, sha = F.col("html"), lambda c: F.sha2(c, 256)
+    return table(spark, d, "pages").select("page_id", sha(text.text_of_escaped_markup(html)).alias("escaped"), sha(text.text_of_simple_markup(html)).alias("simple"), sha(text.text_of_cell(html)).alias("cell"))
+
+
+@query("SELECT o_orderkey, CASE WHEN k < 100 THEN lpad(CAST(k AS VARCHAR), 2, '0') ELSE CAST(k AS VARCHAR) END AS period, '07' || CASE WHEN k < 10 THEN '0' ELSE '' END || k AS session FROM (SELECT o_orderkey, o_orderkey % 120 AS k FROM orders)")
+def period_and_session_codes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 120
+    return table(spark, d, "orders").select("o_orderkey", period_code(F.concat(F.lit(" "), k.cast("string"))).alias("period"), session_code(period_code(F.lit("")), k).alias("session"))
+
+
+@query("SELECT c_custkey, c_name AS proposer, c_name AS label FROM customer")
+def separators_and_label_colons(spark: SparkSession, d: str) -> DataFrame:
+    proposer = text.without_trailing_separators(F.concat("c_name", F.lit(", ，　,")))
+    return table(spark, d, "customer").select("c_custkey", proposer.alias("proposer"), text.label_of(F.concat(F.lit("： "), "c_name", F.lit(" :"))).alias("label"))
+
+
+def _list_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A list page for each nation, with a row for each of its suppliers, as a proposal list shows them."""
+    row = F.concat(
+        F.lit('<tr><td><input type="hidden" name="x$hidProposalSN" value="'), F.col("s_suppkey").cast("string"), F.lit('"/><input type="hidden" id="hidProposalKind" value="'), (F.col("s_suppkey") % 3).cast("string"),
+        F.lit('"></td><td> '), "s_name", F.lit("</td><td>a &amp; b</td><td>x, y，</td><td><a href='Detail.aspx?s="), (F.col("s_suppkey") + 1).cast("string"), F.lit("&amp;k=1'>subject</a></td><td>open</td></tr>"),
+    )
+    rows = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("row")))), lambda r: r["row"]), "\n").alias("rows"))
+    return rows.select("page_id", F.concat(F.lit("<table><tr><th>no</th></tr>"), "rows", F.lit("</table>")).alias("html"))
+
+
+@query("""SELECT s_nationkey AS page_id, CAST(s_suppkey AS VARCHAR) AS proposal_sn, CAST(s_suppkey % 3 AS VARCHAR) AS proposal_kind, 'Detail.aspx?s=' || (s_suppkey + 1) || '&k=1' AS detail_url, s_name AS number,
+ 'a & b' AS category, 'x, y' AS proposer, 'subject' AS subject, 'open' AS status FROM supplier""")
+def proposal_rows(spark: SparkSession, d: str) -> DataFrame:
+    found = markup.proposals(_list_pages(spark, d))
+    return found.select("page_id", "proposal_sn", "proposal_kind", F.regexp_extract("detail_url", "Detail.*", 0).alias("detail_url"), "number", "category", "proposer", "subject", "status")
+
+
+@query("""SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS total, CAST(o_orderkey % 90 + 1 AS INTEGER) AS page, 97 AS pages, 'q=' || o_custkey || '|r=on|s=' || o_orderstatus AS fields, CAST(o_orderkey AS VARCHAR) AS proposal_sn FROM orders""")
+def pager_and_form(spark: SparkSession, d: str) -> DataFrame:
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    html = F.concat(
+        F.lit("<span>共 "), F.format_number("o_custkey", 0), F.lit(" 筆</span> 第 "), (F.col("o_orderkey") % 90 + 1).cast("string"), F.lit("/97 頁<form><input name='q' value='"), cust, F.lit("'><input type='submit' name='go' value='1'>"),
+        F.lit("<input type='checkbox' name='c' value='on'><input type='radio' name='r' value='on' checked><select name='s'><option value='Z'>z</option><option selected value='"), "o_orderstatus", F.lit("'>y</option></select></form>"),
+        F.lit("<input type='hidden' id='ProposalSN' value='"), key, F.lit("'>"),
+    )
+    rows = table(spark, d, "orders").select("o_orderkey", html.alias("html"))
+    pager, fields = markup.pager(F.col("html")), markup.form_fields(F.regexp_extract("html", "(?s)<form>.*</form>", 0))
+    shown = F.array_join(F.transform(fields, lambda f: F.concat(f["name"], F.lit("="), f["value"])), "|")
+    return rows.select("o_orderkey", pager["total"].alias("total"), pager["page"].alias("page"), pager["pages"].alias("pages"), shown.alias("fields"), markup.page_number(F.col("html")).alias("proposal_sn"))
+
+
+@query("""SELECT s_nationkey AS page_id, max_by(s_name, s_suppkey) AS first_reading, CAST(CAST(max(s_suppkey) AS INTEGER) AS VARCHAR) AS first_reading_date, '' AS committee_opinion FROM supplier GROUP BY 1""")
+def review_rows(spark: SparkSession, d: str) -> DataFrame:
+    row = F.concat(F.lit("<tr><td>一讀(交付) 決議："), "s_name", F.lit(" / 交付日期："), F.col("s_suppkey").cast("string"), F.lit("</td></tr>"))
+    pages = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("row")))), lambda r: r["row"]), "").alias("html"))
+    rows = markup.table_rows(pages.withColumn("html", F.concat(F.lit("<table>"), "html", F.lit("</table>"))), "page_id", "html")
+    return markup.reviews(rows, "page_id").select("page_id", "first_reading", "first_reading_date", "committee_opinion")
