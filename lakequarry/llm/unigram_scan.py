@@ -272,7 +272,7 @@ def joined(parts: list[tuple[list[int], bytes, list[bytes]]]) -> bytes:
     return b"".join(reversed(out))
 
 
-def encode(docs: DataFrame, chunk_chars: int = 16_384, model: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, chunk_chars: int = 65_536, model: str | None = None) -> DataFrame:
     """docs (doc_id, text, others) with ids (little-endian unsigned 32-bit) and path_score (long)."""
     small_batches(docs.sparkSession)
     docs = docs.drop("ids", "path_score")
@@ -301,7 +301,7 @@ def _chunks(longest: int, chunk_chars: int, batches: Iterator[pa.RecordBatch]) -
             yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], ["row", "chunk", "size", "part"])
 
 
-def encode_chunked(docs: DataFrame, chunk_chars: int = 16_384, model: str | None = None) -> DataFrame:
+def encode_chunked(docs: DataFrame, chunk_chars: int = 65_536, model: str | None = None) -> DataFrame:
     """As encode, with every text cut into chunks that are worked on in different tasks. Texts are not null."""
     spark = docs.sparkSession
     longest = shared_pieces(model).longest
