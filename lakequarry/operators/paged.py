@@ -5,7 +5,7 @@ Pages are rows (record_id, page, text). All matching is done within a page's row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Refused
@@ -22,10 +22,15 @@ def pages_from_text(df: DataFrame, key: str, text: str = "text", separator: str
     return df.select(F.col(key).alias("record_id"), F.posexplode(F.split(F.col(text), separator, -1)).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
-def require_complete(records: DataFrame) -> DataFrame:
-    """Records (record_id, total_pages, pages), refused unless each has total_pages pages, numbered from 1 on, with texts."""
+def complete() -> Column:
+    """True for a record (record_id, total_pages, pages) that has total_pages pages, numbered from 1 on, with texts, and a number as its id; false for any other, nulls too."""
     numbered = F.forall(F.transform("pages", lambda p, i: (p["page"] == i + 1) & p["text"].isNotNull()), lambda ok: ok)
-    bad = records.where(~F.coalesce((F.size("pages") == F.col("total_pages")) & numbered & F.col("record_id").rlike("^[0-9]+$"), F.lit(False))).limit(1).collect()
+    return F.coalesce((F.size("pages") == F.col("total_pages")) & numbered & F.col("record_id").rlike("^[0-9]+$"), F.lit(False))
+
+
+def require_complete(records: DataFrame) -> DataFrame:
+    """Records, refused unless each is complete."""
+    bad = records.where(~complete()).limit(1).collect()
     if bad:
         raise Refused("CACHE_CONTRACT_INVALID", f"record {bad[0].record_id} has other pages than it says")
     return records

@@ -12,21 +12,32 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from inspect import signature
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Refused
 from ..functions import arguments as A
+from ..functions import urls
 from ..functions.codes import period_code
 from ..operators import markup, paged, search, totals
 from ..operators.completeness import completeness, require_applied
-from ..sources import delimited, snapshots, web
+from ..sources import delimited, results, snapshots, web
+from ..sources.cache import Timed, Versioned, hold
 
 # Folders of the pages below a site, the form's controls by filter, and the code of the one term that is served.
 PAGES = {"proposals": "System/Proposal/Default.aspx", "proposal": "System/Proposal/Detail.aspx", "attachments": "Common/GetAttachmentList.ashx", "records": "System/MeetingRecord/Default.aspx"}
 CONTROLS = {"period": "ddlPeriod", "session": "ddlSession", "meeting": "ddlMeeting", "councilor": "ddlCouncilor", "category": "ddlCategory", "keyword": "txtKeyword"}
 TERMS = {4: "07"}
+# What the two search forms send besides the filters, by page; the hidden inputs of their pages that go with it; and seconds allowed for each answer.
+BODY = "ctl00$ContentPlaceHolder1$"
+TOKENS = ("__VIEWSTATE", "__VIEWSTATEGENERATOR", "__EVENTVALIDATION")
+EVENTS = {"proposals": "LinkButton1", "records": "btnSearch"}
+NESTED = {"period", "session", "meeting"}
+BLANK = {"proposals": ("hidCurrentTab", "ddlCouncilor", "ddlPetitionCouncilor", "ddlCategory", "rblState", "ddlState", "txtKeyword"), "records": ("txtKeyword",)}
+PRESET = {"proposals": {"ddlProposalKind": "0"}, "records": {}}
+SECONDS = {"proposals": 12, "records": 10}
 
 
 @dataclass(frozen=True)
@@ -42,6 +53,9 @@ class Sources:
     budgets: Mapping[int, list[str]] = field(default_factory=dict)
     revoked: tuple[str, ...] = ()
     fetch: Callable[[str, dict], DataFrame] | None = None
+    snapshots: Versioned = field(default_factory=snapshots.new_cache)
+    raw_budgets: Timed = field(default_factory=lambda: Timed(86400, lambda held: held[0].unpersist()))
+    summaries: Timed = field(default_factory=lambda: Timed(3600))
 
     def pages(self, page: str, params: dict) -> DataFrame:
         if self.fetch is None:
@@ -54,15 +68,25 @@ class Sources:
 
 @dataclass(frozen=True)
 class Envelope:
-    """An answer with its origin. status: success or partial."""
+    """An answer with its origin. status: success, or partial where a part is missing or the data come from a fallback source."""
 
     data: DataFrame
     provenance: dict
     meta: dict
-    status: str = "success"
+    status: str = ""
     provider: str = "lakequarry"
     updated_at: str = field(default_factory=lambda: _now())
 
+    def __post_init__(self):
+        if not self.status:
+            object.__setattr__(self, "status", "partial" if self.provenance.get("source_type") == "fallback" else "success")
+
+    def as_json(self) -> str:
+        """The whole answer as one JSON text. For answers of a limit; write large data with results.write_json()."""
+        rows = [json.loads(r.json) for r in results.json_rows(self.data).collect()]
+        head = {"status": self.status, "provider": self.provider, "updated_at": self.updated_at, "provenance": self.provenance, "meta": self.meta}
+        return json.dumps(head | {"data": rows}, ensure_ascii=False)
+
 
 TOOLS: dict[str, Callable] = {}
 TITLES: dict[str, str] = {}
@@ -96,13 +120,27 @@ def call(sources: Sources, name: str, given: Mapping | None = None) -> Envelope:
     return TOOLS[name](*bound.args, **bound.kwargs)
 
 
+def form_options(page: str) -> dict[str, str]:
+    """Options of the web_pages source for a search by the page's form: a POST with the page's own tokens and cookies, every field under its control's name."""
+    named = {k: BODY + ("uscPeriodSessionMeeting$" if k in NESTED else "") + v for k, v in CONTROLS.items()}
+    blank = {BODY + k: "" for k in BLANK[page]} | ({named[k]: "" for k in NESTED} if page == "proposals" else {})
+    fixed = {"__EVENTTARGET": BODY + EVENTS[page], "__EVENTARGUMENT": "", "__LASTFOCUS": "", "__VIEWSTATEENCRYPTED": ""} | blank | {BODY + k: v for k, v in PRESET[page].items()}
+    return {"method": "POST", "tokens": json.dumps(TOKENS), "names": json.dumps(named), "fixed": json.dumps(fixed), "timeout": str(SECONDS[page])}
+
+
 def web_fetch(spark: SparkSession, site: str, timeout: int = 8) -> Callable[[str, dict], DataFrame]:
-    """Pages of a site by the web_pages source; a page that fails is refused when it is read."""
+    """Pages of a site by the web_pages source: searches by a POST of the page's form, all else by GET; a page that fails is refused when it is read."""
     web.register(spark)
     host = site.split("/")[2].split(":")[0]
 
     def fetch(page: str, params: dict) -> DataFrame:
-        found = spark.read.format("web_pages").option("url", f"{site.rstrip('/')}/{PAGES[page]}").option("params", json.dumps([params])).option("host", host).option("timeout", str(timeout)).load()
+        url = f"{site.rstrip('/')}/{PAGES[page]}"
+        options = {"url": url, "params": json.dumps([params]), "host": host, "timeout": str(timeout), "token_timeout": str(timeout)}
+        if page in EVENTS:
+            options["path"] = urlsplit(url).path
+            if params:  # without filters it is the form itself
+                options |= form_options(page)
+        found = spark.read.format("web_pages").options(**options).load()
         failed = F.raise_error(F.concat(F.lit("SOURCE_UNAVAILABLE: "), F.col("error")))
         return found.select(F.col("request").alias("page_id"), "url", F.when(F.col("error").isNull(), F.col("html")).otherwise(failed.cast("string")).alias("html"))
 
@@ -138,16 +176,25 @@ def budget_summary(sources: Sources, year: int = 115) -> Envelope:
         raise Refused("INVALID_ARGUMENT", "year must be a whole number from 1 to 999")
     if year not in sources.budgets:
         raise Refused("SOURCE_UNAVAILABLE", f"there is no budget of {year}")
-    rows, path = delimited.read_first(sources.spark, sources.budgets[year])
-    found = totals.checked_summary(rows).withColumn("year", F.lit(year))
-    return Envelope(found, {"source_id": str(year), "source_url": path, "source_type": "file", "retrieved_at": _now(), "content_hash": "not-computed"}, {"year": year})
+    paths = tuple(sources.budgets[year])
+
+    def raw() -> tuple[DataFrame, str]:
+        rows, path = delimited.read_first(sources.spark, list(paths))
+        return hold(rows), path
+
+    def summary() -> Envelope:
+        rows, path = sources.raw_budgets.get((year, paths), raw)
+        found, _ = _held(totals.checked_summary(rows).withColumn("year", F.lit(year)))  # one row
+        return Envelope(found, {"source_id": str(year), "source_url": path, "source_type": "file", "retrieved_at": _now(), "content_hash": "not-computed"}, {"year": year})
+
+    return sources.summaries.get((year, paths), summary)
 
 
 @tool("Laws by keyword")
 def search_laws(sources: Sources, keyword: str, category: str | None = None, limit: int | None = 10) -> Envelope:
     """Laws whose name or some article holds the keyword, with excerpts of those articles."""
     keyword, category, n = A.text(keyword, "keyword", 200, required=True), A.text(category, "category", 100), A.limit(limit)
-    laws = snapshots.load_laws(sources.spark, sources.root, sources.law_host, sources.revoked)
+    laws = snapshots.load_laws(sources.spark, sources.root, sources.law_host, sources.revoked, sources.snapshots)
     found = search.search_nested(laws.records, keyword, "law_name", "articles", "content", "article_no", {"category": category}, n)
     data, total = _held(found.select("law_id", "law_name", "category", "published_at", "official_url", F.col("matched").alias("matched_articles")))
     return Envelope(data, snapshot_provenance(laws.manifest), {"query_keyword": keyword, "query_category": category or "all", "total_matched": total})
@@ -159,7 +206,7 @@ def law_detail(sources: Sources, law_id: str | None = None, law_name: str | None
     law_id, law_name = A.text(law_id, "law_id", 100), A.text(law_name, "law_name", 200)
     if not law_id and not law_name:
         raise Refused("INVALID_ARGUMENT", "law_id or law_name is missing")
-    laws = snapshots.load_laws(sources.spark, sources.root, sources.law_host, sources.revoked)
+    laws = snapshots.load_laws(sources.spark, sources.root, sources.law_host, sources.revoked, sources.snapshots)
     data, n = _held(search.first_match(laws.records, "law_id", law_id, "law_name", law_name).drop("_pos").withColumn("articles_count", F.size("articles")))
     if not n:
         raise Refused("NOT_FOUND", f"no law is {law_id or law_name}")
@@ -202,7 +249,7 @@ def search_interpellations(sources: Sources, keyword: str, legislator_name: str
 def latest_news(sources: Sources, agency: str | None = None, category: str | None = None, limit: int | None = 10) -> Envelope:
     """The newest news whose agency and category hold the texts."""
     agency, category, n = A.text(agency, "agency", 100), A.text(category, "category", 100), A.limit(limit)
-    news = snapshots.load_news(sources.spark, sources.root, sources.news_host, sources.news_path, sources.revoked)
+    news = snapshots.load_news(sources.spark, sources.root, sources.news_host, sources.news_path, sources.revoked, sources.snapshots)
     data, total = _held(search.latest(news.records, "published_ts", {"agency": agency, "category": category}, n).drop("_pos", "published_ts"))
     return Envelope(data, snapshot_provenance(news.manifest), {"agency_filter": agency or "all", "category_filter": category or "all", "total": total})
 
@@ -211,7 +258,7 @@ def latest_news(sources: Sources, agency: str | None = None, category: str | Non
 def search_news(sources: Sources, keyword: str, limit: int | None = 10) -> Envelope:
     """The newest news whose title or summary holds the keyword."""
     keyword, n = A.text(keyword, "keyword", 200, required=True), A.limit(limit)
-    news = snapshots.load_news(sources.spark, sources.root, sources.news_host, sources.news_path, sources.revoked)
+    news = snapshots.load_news(sources.spark, sources.root, sources.news_host, sources.news_path, sources.revoked, sources.snapshots)
     found = search.search_flat(news.records, keyword, ["title", "content_summary"], (F.desc_nulls_last("published_ts"),), n)
     data, total = _held(found.drop("_pos", "published_ts"))
     return Envelope(data, snapshot_provenance(news.manifest), {"query_keyword": keyword, "total_matched": total})
@@ -249,6 +296,7 @@ def search_proposals(
     return Envelope(data, web_provenance(sources.url("proposals")), meta)
 
 
+# The labels of a detail page and the column of each.
 DETAIL = {"會議": "meeting_label", "提案類型": "proposal_type", "類別": "category", "編號": "number", "提案單位": "proposing_unit", "承辦單位": "handling_unit", "相關單位": "related_units", "連署人": "co_signers", "案由": "subject", "說明": "explanation", "辦法": "method", "備註": "remarks", "狀態": "official_status"}
 
 
@@ -349,13 +397,29 @@ def proposal_relations(sources: Sources, proposal_sn: str) -> Envelope:  # noqa:
     return _unavailable("relations of proposals")
 
 
+def _record_url(sources: Sources, record_id: str, pdf_url: str | None) -> str:
+    """The record's file: the URL given, or the listed one of that id; refused unless it is the site's and the record's own."""
+    if not pdf_url:
+        listed = search.first_match(search_meeting_records(sources).data, "record_id", record_id, "record_id", None).select("pdf_url").first()
+        if listed is None:
+            raise Refused("NOT_FOUND", f"no listed record is {record_id}")
+        pdf_url = listed.pdf_url
+    host, url = urlsplit(sources.site).hostname or "", F.lit(pdf_url)
+    own = sources.spark.range(1).select(urls.on_host(url, host).alias("official"), urls.record_id(url, host).alias("id")).first()
+    if not own.official:
+        raise Refused("INVALID_ARGUMENT", "pdf_url is no URL of the site")
+    if own.id != record_id:
+        raise Refused("SOURCE_ID_MISMATCH", f"pdf_url is not of record {record_id}")
+    return pdf_url
+
+
 @tool("Text of a meeting record")
-def get_meeting_record(sources: Sources, record_id: str, keyword: str | None = None, page: int | None = None) -> Envelope:
-    """One stored record: its matches by page, and the text of a page. Records that are not stored as text are refused."""
-    record_id, keyword = A.code(record_id, "record_id", required=True), A.text(keyword, "keyword", 200)
+def get_meeting_record(sources: Sources, record_id: str, pdf_url: str | None = None, keyword: str | None = None, page: int | None = None) -> Envelope:
+    """One stored record: its matches by page, and the text of a page. A record that is not stored as text is looked up, by pdf_url or in the list, and refused with the URL of its file."""
+    record_id, pdf_url, keyword = A.code(record_id, "record_id", required=True), A.text(pdf_url, "pdf_url", 500), A.text(keyword, "keyword", 200)
     record = snapshots.load_record(sources.spark, sources.root, record_id)
     if record is None:
-        raise Refused("RECORD_UNREADABLE", f"record {record_id} is not stored as text")
+        raise Refused("RECORD_UNREADABLE", f"record {record_id} is not stored as text; its file is {_record_url(sources, record_id, pdf_url)}")
     page = A.page(page, record.select("total_pages").first()[0])
     content = F.get(F.col("pages"), F.lit(page - 1))["text"] if page else F.lit(None).cast("string")
     head = record.select("record_id", "pdf_url", "total_pages", content.alias("page_content"))
@@ -372,15 +436,11 @@ def search_record_contents(sources: Sources, keyword: str, limit_records: int |
     keyword, n = A.text(keyword, "keyword", 200, required=True), A.limit(limit_records, 8, 15)
     listed = search_meeting_records(sources, period=period, session=session)
     index, _ = _held(search.first(listed.data, n).select("_pos", "record_id", "meeting", "date", "pdf_url"))
-    pages = sources.spark.createDataFrame([], "record_id string, page int, text string")
-    for row in index.collect():  # 15 records at most; only their heads are read here
-        try:
-            record = snapshots.load_record(sources.spark, sources.root, row.record_id)
-        except Refused:
-            continue  # the scan counts it as failed
-        if record is not None:
-            pages = pages.unionByName(paged.pages_of(record))
+    stored = snapshots.load_records(sources.spark, sources.root, [r.record_id for r in index.select("record_id").collect()])  # 15 ids at most
+    pages = hold(paged.pages_of(stored))  # read once for matches, failures and statistics
     found, failures, stats = paged.scan(index, pages, keyword, n)
     row = paged.require_some(stats).first()
+    found, _ = _held(found)  # a row for each of the records
     meta = row.asDict() | {"failures": [f.asDict() for f in failures.collect()], "reason_code": "PARTIAL_SCAN" if row.failed_records_count else None}
+    pages.unpersist()
     return Envelope(found, listed.provenance, meta, "partial" if row.failed_records_count else "success")

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -28,6 +28,7 @@ from ..functions.text import strip
 from ..functions.urls import on_host, part
 from ..operators.keyed import require_rows
 from . import delimited
+from .cache import Versioned, hold
 
 LAW = "law_id string, law_name string, category string, published_at string, official_url string, history string, articles array<struct<article_no:string,content:string>>"
 NEWS = "news_id string, title string, agency string, category string, published_at string, content_summary string, source_link string"
@@ -131,8 +132,16 @@ def _part_records(spark: SparkSession, root: str, m: dict, dataset: str, schema:
     return lines.select(F.col("_line").alias("_pos"), F.from_json("value", schema).alias("r")).select("_pos", "r.*")
 
 
-def load(spark: SparkSession, root: str, dataset: str, schema: str, revoked: Iterable[str] = ()) -> Snapshot:
-    """The active snapshot of a dataset, once every check has passed. revoked: hashes of data that must not be served."""
+def new_cache() -> Versioned:
+    """A cache for load(): the verified snapshot of each dataset, until its pointer names another manifest."""
+    return Versioned(lambda snapshot: snapshot.records.unpersist())
+
+
+def load(spark: SparkSession, root: str, dataset: str, schema: str, revoked: Iterable[str] = (), check: Callable[[DataFrame], None] | None = None, cache: Versioned | None = None, scope: tuple = ()) -> Snapshot:
+    """The active snapshot of a dataset, once every check has passed. revoked: hashes of data that must not be served.
+
+    check: refuses records that break a rule of the dataset. With a cache, data whose manifest is the one they were verified under are not hashed and checked again; scope: what else the check depends on.
+    """
     kind = StructType.fromDDL(schema)
     pointer_key = f"releases/{dataset}/active.json"
     pointer = parsed(read_object(spark, root, pointer_key), pointer_key)
@@ -144,8 +153,15 @@ def load(spark: SparkSession, root: str, dataset: str, schema: str, revoked: Ite
         raise Refused("SNAPSHOT_UNVERIFIED", f"the manifest of {dataset} differs from its hash")
     manifest = parsed(text, key)
     check_manifest(manifest, dataset, key, revoked)
-    records = _part_records(spark, root, manifest, dataset, kind) if manifest.get("parts") else _array_records(spark, root, manifest, kind)
-    return Snapshot(records, manifest)
+
+    def verified() -> Snapshot:
+        records = _part_records(spark, root, manifest, dataset, kind) if manifest.get("parts") else _array_records(spark, root, manifest, kind)
+        records = records if cache is None else hold(records)
+        if check:
+            check(records)
+        return Snapshot(records, manifest)
+
+    return verified() if cache is None else cache.get((root, dataset, *scope), wanted.lower(), verified)
 
 
 def _filled(*columns: str) -> Column:
@@ -155,21 +171,18 @@ def _filled(*columns: str) -> Column:
     return verdict
 
 
-def load_laws(spark: SparkSession, root: str, host: str, revoked: Iterable[str] = ()) -> Snapshot:
+def load_laws(spark: SparkSession, root: str, host: str, revoked: Iterable[str] = (), cache: Versioned | None = None) -> Snapshot:
     """Laws, each with its fields, a non-blank article at least, and a URL of the host that carries its id."""
-    found = load(spark, root, "laws", LAW, revoked)
     articles = (F.size("articles") > 0) & F.forall("articles", lambda a: (strip(a["article_no"]) != "") & (strip(a["content"]) != ""))
     valid = _filled("law_id", "law_name", "category", "published_at", "official_url") & articles & on_host(F.col("official_url"), host) & (part(F.col("official_url"), "QUERY", "id") == F.col("law_id"))
-    require_rows(found.records, valid, "law_id", "SNAPSHOT_UNVERIFIED", "laws")
-    return found
+    return load(spark, root, "laws", LAW, revoked, lambda rows: require_rows(rows, valid, "law_id", "SNAPSHOT_UNVERIFIED", "laws"), cache, (host,))
 
 
-def load_news(spark: SparkSession, root: str, host: str, path: str, revoked: Iterable[str] = ()) -> Snapshot:
+def load_news(spark: SparkSession, root: str, host: str, path: str, revoked: Iterable[str] = (), cache: Versioned | None = None) -> Snapshot:
     """News, newest first by published_ts, each with its fields and a URL of the host and path that has an s parameter."""
-    found = load(spark, root, "news", NEWS, revoked)
     link = F.col("source_link")
     valid = _filled("news_id", "title", "agency", "category", "published_at", "content_summary", "source_link") & on_host(link, host) & (part(link, "PATH") == path) & part(link, "QUERY", "s").isNotNull()
-    require_rows(found.records, valid, "news_id", "SNAPSHOT_UNVERIFIED", "news")
+    found = load(spark, root, "news", NEWS, revoked, lambda rows: require_rows(rows, valid, "news_id", "SNAPSHOT_UNVERIFIED", "news"), cache, (host, path))
     return Snapshot(found.records.withColumn("published_ts", F.try_to_timestamp("published_at")), found.manifest)
 
 
@@ -188,6 +201,22 @@ def load_record(spark: SparkSession, root: str, record_id: str) -> DataFrame | N
     return require_complete(found)
 
 
+def load_records(spark: SparkSession, root: str, record_ids: list[str]) -> DataFrame:
+    """Those of the records (numbers) that are stored and whole, read in one scan; the others have no row."""
+    from ..operators.paged import complete
+
+    schema = StructType.fromDDL(RECORD)
+    nothing = spark.createDataFrame([], schema)
+    if not record_ids:
+        return nothing
+    try:
+        text = spark.read.text(f"{root}/meeting_records/{{{','.join(record_ids)}}}.json", wholetext=True)
+    except AnalysisException:  # none of them is stored
+        return nothing
+    found = text.select(F.regexp_extract(F.input_file_name(), "([^/]+)[.]json$", 1).alias("_file"), F.from_json("value", schema).alias("r")).select("_file", "r.*")
+    return found.where(complete() & F.coalesce(F.col("record_id") == F.col("_file"), F.lit(False))).drop("_file")
+
+
 def positions(df: DataFrame) -> DataFrame:
     """df with _pos in the order of its files, for sources that have no order of their own."""
     return df.withColumn("_pos", F.monotonically_increasing_id().cast(LongType()))

@@ -1,17 +1,21 @@
 """Web pages as a Spark data source: spark.read.format("web_pages"), one row a request.
 
-Options: url (required); params, a JSON list of objects, one request each; method GET or POST; timeout in seconds; max_bytes; host, the only host that an answer may come from. Equality filters on the
-column `period`, `session`, `meeting`, `keyword`, `councilor` or `category` are pushed into every request. Rows: request, the columns above as they were sent, url after redirects, status, html,
-error (null if it went well). A failed request is a row with its error, so one failure does not end a scan.
+Options: url (required); params, a JSON list of objects, one request each; method GET or POST; timeout in seconds; max_bytes; host, the only host that an answer may come from; path, the only path that an
+answer may have (letters' case is the same). names, a JSON object: a parameter's name in the request where it is another one; fixed, a JSON object of fields that are sent with every request. tokens, a JSON list
+of hidden inputs: the page itself is read first (token_timeout in seconds), and its inputs and cookies are sent with the request. Equality filters on the column `period`, `session`, `meeting`, `keyword`,
+`councilor` or `category` are pushed into every request. Rows: request, the columns above as they were sent, url after redirects, status, html, error (null if it went well). A failed request is a row with
+its error, so one failure does not end a scan.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from html import unescape
 from urllib.error import URLError
 from urllib.parse import urlencode, urlsplit
-from urllib.request import Request, urlopen
+from urllib.request import HTTPCookieProcessor, Request, build_opener
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
@@ -20,6 +24,16 @@ FIELDS = ("period", "session", "meeting", "keyword", "councilor", "category")
 SCHEMA = ", ".join(["request int", *(f"{f} string" for f in FIELDS), "url string", "status int", "html string", "error string"])
 
 
+def input_values(html: str, names: list[str]) -> dict[str, str]:
+    """The values of the inputs whose id or name is one of names; empty where the page has none."""
+    values = dict.fromkeys(names, "")
+    for tag in re.findall(r"(?is)<input\b[^>]*>", html):
+        own = {k.lower(): unescape(v) for k, _, v in re.findall(r"""(?s)([\w:-]+)\s*=\s*(["'])(.*?)\2""", tag)}
+        for name in {own.get("id"), own.get("name")} & values.keys():
+            values[name] = own.get("value", "")
+    return values
+
+
 class _Request(InputPartition):
     def __init__(self, number: int, params: dict):
         self.number, self.params = number, params
@@ -40,24 +54,36 @@ class _Reader(DataSourceReader):
         wanted = json.loads(self.options.get("params", "[{}]"))
         return [_Request(n, p | self.pushed) for n, p in enumerate(wanted)]
 
+    def _fetched(self, opener, call: Request, timeout: str) -> tuple[str, int, str]:
+        """url, status and text of an answer that keeps the limits."""
+        o = self.options
+        most = int(o.get("max_bytes", 25 << 20))
+        with opener.open(call, timeout=float(o.get(timeout, 8))) as answer:
+            came = urlsplit(answer.url)
+            if o.get("host") and came.hostname != o["host"]:
+                raise ValueError(f"SOURCE_ID_MISMATCH: the answer comes from {came.hostname}")
+            if o.get("path") and came.path.lower() != o["path"].lower():
+                raise ValueError(f"PARSER_CONTRACT_CHANGED: the answer is another page, {came.path}")
+            body = answer.read(most + 1)
+            if len(body) > most:
+                raise ValueError(f"SOURCE_TOO_LARGE: more than {most} bytes")
+            return answer.url, answer.status, body.decode("utf-8", "replace")
+
     def read(self, partition: _Request) -> Iterator[tuple]:
         o, sent = self.options, partition.params
         fields = tuple(sent.get(f) for f in FIELDS)
-        most = int(o.get("max_bytes", 25 << 20))
-        coded = urlencode({k: v for k, v in sent.items() if v is not None})
-        url = o["url"]
+        names, url = json.loads(o.get("names", "{}")), o["url"]
+        opener = build_opener(HTTPCookieProcessor())  # a request's cookies are its own
         try:
+            form = json.loads(o.get("fixed", "{}"))
+            if o.get("tokens"):
+                form |= input_values(self._fetched(opener, Request(url), "token_timeout")[2], json.loads(o["tokens"]))
+            coded = urlencode(form | {names.get(k, k): v for k, v in sent.items() if v is not None})
             if o.get("method", "GET").upper() == "POST":
-                call = Request(url, coded.encode())
+                call = Request(url, coded.encode(), {"Referer": url})
             else:
                 call = Request(f"{url}{'&' if '?' in url else '?'}{coded}" if coded else url)
-            with urlopen(call, timeout=float(o.get("timeout", 8))) as answer:
-                if o.get("host") and urlsplit(answer.url).hostname != o["host"]:
-                    raise ValueError(f"SOURCE_ID_MISMATCH: the answer comes from {urlsplit(answer.url).hostname}")
-                body = answer.read(most + 1)
-                if len(body) > most:
-                    raise ValueError(f"SOURCE_TOO_LARGE: more than {most} bytes")
-                yield (partition.number, *fields, answer.url, answer.status, body.decode("utf-8", "replace"), None)
+            yield (partition.number, *fields, *self._fetched(opener, call, "timeout"), None)
         except (URLError, OSError, ValueError) as e:
             yield (partition.number, *fields, url, getattr(e, "code", None), None, str(e))
 

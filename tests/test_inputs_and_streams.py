@@ -5,6 +5,7 @@ import json
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lakequarry.errors import Refused
 from lakequarry.operators import keyed
 from lakequarry.plans.tools import web_fetch
-from lakequarry.sources import delimited, snapshots, web
+from lakequarry.sources import delimited, results, snapshots, web
 from lakequarry.streaming import windows
 
 
@@ -59,8 +60,21 @@ def test_snapshot_in_parts(spark, tmp_path):
 class Pages(BaseHTTPRequestHandler):
     def do_GET(self):  # noqa: N802 - the library's name
         self.send_response(404 if "missing" in self.path else 200)
+        self.send_header("Set-Cookie", "visit=7; Path=/")
         self.end_headers()
-        self.wfile.write(f"<p>{self.path}</p>".encode())
+        hidden = '<input type="hidden" id="__VIEWSTATE" value="a&amp;b"/>' if self.path.endswith("Default.aspx") else ""
+        self.wfile.write(f"<p>{self.path}</p>{hidden}".encode())
+
+    def do_POST(self):  # noqa: N802 - the library's name
+        sent = parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode(), keep_blank_values=True)
+        if "elsewhere" in str(sent):
+            self.send_response(302)
+            self.send_header("Location", "/other")
+            self.end_headers()
+            return
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps({k: v[0] for k, v in sent.items()} | {"cookie": self.headers["Cookie"]}).encode())
 
     def log_message(self, *a):
         pass
@@ -85,6 +99,23 @@ def test_web_pages(spark, site):
     assert web_fetch(spark, site)("proposal", {"s": "7"}).first().html == "<p>/System/Proposal/Detail.aspx?s=7</p>"
 
 
+def test_searches_are_posts_with_tokens(spark, site):
+    fetch, body = web_fetch(spark, site), "ctl00$ContentPlaceHolder1$"
+    sent = json.loads(fetch("proposals", {"period": "07", "keyword": "道路"}).first().html)
+    assert (sent["__VIEWSTATE"], sent["__EVENTVALIDATION"], sent["__EVENTTARGET"], sent["cookie"]) == ("a&b", "", body + "LinkButton1", "visit=7")
+    assert (sent[body + "uscPeriodSessionMeeting$ddlPeriod"], sent[body + "uscPeriodSessionMeeting$ddlSession"], sent[body + "txtKeyword"], sent[body + "ddlProposalKind"]) == ("07", "", "道路", "0")
+    sent = json.loads(fetch("records", {"period": "07"}).first().html)
+    assert (sent[body + "uscPeriodSessionMeeting$ddlPeriod"], sent[body + "txtKeyword"]) == ("07", "") and body + "uscPeriodSessionMeeting$ddlSession" not in sent
+    assert "__VIEWSTATE" in fetch("proposals", {}).first().html  # the form itself
+    with pytest.raises(Exception, match="PARSER_CONTRACT_CHANGED"):
+        fetch("records", {"keyword": "elsewhere"}).first()
+
+
+def test_json_results(spark, tmp_path):
+    results.write_json(spark.createDataFrame([(1, None), (2, 'a"b')], "k int, v string").coalesce(1), str(tmp_path / "out"))
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()] == [{"k": 1, "v": None}, {"k": 2, "v": 'a"b'}]
+
+
 def test_rate_windows_over_a_stream(spark, tmp_path):
     events = spark.createDataFrame([("a", k) for k in range(5)] + [("b", 70), ("a", 1000)], "who string, at long").withColumn("at", F.timestamp_seconds("at"))
     table = windows.rate_windows(events, "at", ["who"], 60, 3)

@@ -7,6 +7,7 @@ import pytest
 
 from lakequarry.errors import Refused
 from lakequarry.plans import tools as T
+from lakequarry.sources.cache import Timed
 
 SITE = "https://site.example"
 FORM = '<select name="x$ddlPeriod"><option value="06">6</option><option selected="selected" value="07">7</option></select><select name="x$ddlMeeting"><option value="">-</option><option value="07040800">第 8 次</option></select><input name="x$txtKeyword" value="道路"/>'
@@ -97,6 +98,10 @@ def test_records(sources):
     assert (r.total_pages, r.page_content, r.matched_pages_count, r.matches[0].page, r.matches[0].match_count) == (2, "道路與道路", 1, 2, 2)
     refused("INVALID_ARGUMENT", sources, "get_meeting_record", record_id="1", page=3)
     refused("RECORD_UNREADABLE", sources, "get_meeting_record", record_id="2")
+    refused("RECORD_UNREADABLE", sources, "get_meeting_record", record_id="9", pdf_url=f"{SITE}/MeetingRecord/9/a.pdf")
+    refused("NOT_FOUND", sources, "get_meeting_record", record_id="9")
+    refused("SOURCE_ID_MISMATCH", sources, "get_meeting_record", record_id="9", pdf_url=f"{SITE}/MeetingRecord/8/a.pdf")
+    refused("INVALID_ARGUMENT", sources, "get_meeting_record", record_id="9", pdf_url="https://other.example/MeetingRecord/9/a.pdf")
     found = T.call(sources, "search_record_contents", {"keyword": "道路"})
     assert found.status == "partial" and [(r.record_id, r.match_count) for r in found.data.collect()] == [("1", 2)]
     assert (found.meta["attempted_records_count"], found.meta["failed_records_count"], found.meta["reason_code"]) == (2, 1, "PARTIAL_SCAN")
@@ -125,3 +130,31 @@ def test_meeting_by_its_number(sources):
         T.call(sources, "search_proposals", {"session": "", "meeting_number": 8})
     assert "07040800" in str(e.value)
     refused("NOT_FOUND", sources, "search_proposals", session="0704", meeting_number=9)
+
+
+def test_answers_as_json_and_a_fallback(sources):
+    found = T.call(sources, "latest_news", {"limit": 1})
+    shown = json.loads(found.as_json())
+    assert (shown["status"], shown["data"][0]["news_id"], shown["provenance"]["snapshot_id"]) == ("success", "N2", "s1")
+    assert T.Envelope(found.data, {"source_type": "fallback"}, {}).status == "partial"
+
+
+def test_caches(spark, tmp_path):
+    law = lambda k: {"law_id": k, "law_name": "騎樓", "category": "c", "published_at": "x", "official_url": f"https://law.example/a?id={k}", "history": "", "articles": [{"article_no": "1", "content": "t"}]}
+    publish(tmp_path, "laws", [law("A")])
+    own = T.Sources(spark, str(tmp_path), "law.example")
+    ids = lambda: [r.law_id for r in T.call(own, "search_laws", {"keyword": "騎樓"}).data.collect()]
+    assert ids() == ["A"]
+    (tmp_path / "verified/laws/s1/normalized.json").write_text("[]")  # verified data are not read again while the pointer stays
+    assert ids() == ["A"]
+    publish(tmp_path, "laws", [law("B"), law("C")])  # another manifest ends them
+    assert ids() == ["B", "C"]
+    denied = T.Sources(spark, str(tmp_path), "law.example", revoked=(json.loads((tmp_path / "verified/laws/s1/manifest.json").read_text())["normalized_sha256"],), snapshots=own.snapshots)
+    refused("SNAPSHOT_REVOKED", denied, "search_laws", keyword="騎樓")  # a deny-list is never hidden by the cache
+    put(tmp_path, "b.csv", "科目名稱,預算數\n合計,3\n甲,3\n")
+    clock, ended = [0.0], []
+    own = T.Sources(spark, budgets={115: [str(tmp_path / "b.csv")]}, summaries=Timed(10, ended.append, lambda: clock[0]), raw_budgets=Timed(20, ended.append, lambda: clock[0]))
+    first = T.call(own, "budget_summary")
+    assert T.call(own, "budget_summary") is first and not ended
+    clock[0] = 10.0
+    assert T.call(own, "budget_summary").data.first().agency_sum == 3.0 and ended == [first]
