@@ -10,6 +10,7 @@ from ..functions.codes import period_code, session_code, window_number
 from ..operators import completeness as C
 from ..operators import keyed, markup, paged, search, totals
 from ..session import table
+from ..sources import results
 from ..streaming import windows
 
 QUERIES: dict = {}
@@ -336,3 +337,78 @@ def review_rows(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("row")))), lambda r: r["row"]), "").alias("html"))
     rows = markup.table_rows(pages.withColumn("html", F.concat(F.lit("<table>"), "html", F.lit("</table>"))), "page_id", "html")
     return markup.reviews(rows, "page_id").select("page_id", "first_reading", "first_reading_date", "committee_opinion")
+
+
+@query("SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"none\":null}' AS json FROM nation")
+def json_results(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("none"))
+    return results.json_rows(rows).select(F.get_json_object("json", "$.n_nationkey").cast(rows.schema["n_nationkey"].dataType).alias("n_nationkey"), "json")
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id = 7 ORDER BY page_id LIMIT 1")
+def url_of_id(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").withColumn("_pos", F.col("page_id"))
+    return search.first_match(pages, "page_id", "7", "url", None).select("page_id", "url")
+
+
+@query("""SELECT o_orderkey AS sn, o_orderstatus = 'F' AND o_custkey % 2 = 0 AS official, CASE WHEN o_orderstatus = 'F' AND o_custkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS record_id,
+ 'Order%20' || o_orderkey || '%2F%C3%A9%20%26' AS encoded FROM orders""")
+def official_urls(spark: SparkSession, d: str) -> DataFrame:
+    scheme, host = F.when(F.col("o_orderstatus") == "F", "https").otherwise("http"), F.when(F.col("o_custkey") % 2 == 0, "site.example").otherwise("site.example.other")
+    key = F.col("o_orderkey").cast("string")
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(scheme, F.lit("://"), host, F.lit("/MeetingRecord/"), key, F.lit("/a.pdf")).alias("u"))
+    return rows.select(F.col("o_orderkey").alias("sn"), urls.on_host(F.col("u"), "site.example").alias("official"), urls.record_id(F.col("u"), "site.example").alias("record_id"), urls.encode(F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit("/é &"))).alias("encoded"))
+
+
+@query("""SELECT doc_id, doc_id % 7 <> 0 AND text IS NOT NULL AS complete FROM documents""")
+def complete_records(spark: SparkSession, d: str) -> DataFrame:
+    pages = F.transform(F.split("text", "\n", -1), lambda t, i: F.struct((i + 1).alias("page"), t.alias("text")))
+    rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("record_id"), pages.alias("pages"))
+    stated = rows.withColumn("total_pages", F.size("pages") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0))
+    return stated.select("doc_id", paged.complete().alias("complete"))
+
+
+def _supplier_pages(spark: SparkSession, d: str, row, head: str = "") -> DataFrame:
+    """A page for each nation with a table: a row for each of its suppliers, by key."""
+    rows = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("row")))), lambda r: r["row"]), "").alias("rows"))
+    return rows.select("page_id", F.concat(F.lit(f"<table>{head}"), "rows", F.lit("</table>")).alias("html"))
+
+
+@query("""SELECT s_nationkey AS page_id, CAST(s_suppkey AS VARCHAR) AS record_id, s_name AS meeting, '115/01/02' AS date, 'https://site.example/MeetingRecord/' || s_suppkey || '/a.pdf' AS pdf_url FROM supplier WHERE s_suppkey % 5 NOT IN (0, 1)""")
+def meeting_record_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose link goes to another host (one key in five) or is no PDF (another one) are no records."""
+    key = F.col("s_suppkey").cast("string")
+    link = F.concat(F.when(F.col("s_suppkey") % 5 == 0, "https://other.example").otherwise(""), F.lit("/MeetingRecord/"), key, F.when(F.col("s_suppkey") % 5 == 1, "/a.doc").otherwise("/a.pdf"))
+    row = F.concat(F.lit("<tr><td>"), key, F.lit("</td><td>115/01/02</td><td> "), "s_name", F.lit("</td><td><a href='"), link, F.lit("'>x</a></td></tr>"))
+    return markup.meeting_records(_supplier_pages(spark, d, row), "page_id", "html", "https://site.example/System/Default.aspx").select("page_id", "record_id", "meeting", "date", "pdf_url")
+
+
+@query("""SELECT s_nationkey AS page_id, CAST(s_suppkey AS VARCHAR) AS no, 'a & b' AS description, s_name AS name, s_suppkey || ' KB' AS size, 'https://site.example/Common/f/' || s_suppkey || '.pdf' AS download_url FROM supplier""")
+def attachment_rows(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    row = F.concat(F.lit("<tr><td>"), key, F.lit("</td><td>a &amp; b</td><td><a href='f/"), key, F.lit(".pdf'>"), "s_name", F.lit("</a></td><td>"), key, F.lit(" KB</td></tr>"))
+    found = markup.attachments(_supplier_pages(spark, d, row, "<tr><td>序號</td><td>a</td><td>b</td><td>c</td></tr>"), "page_id", "html", "https://site.example/Common/List.ashx")
+    return found.select("page_id", "no", "description", "name", "size", "download_url")
+
+
+@query("""SELECT o_orderkey, CAST(o_custkey AS VARCHAR) || 'x' AS period, 'k' || o_orderkey AS keyword, '0704' || lpad(CAST(o_orderkey % 20 AS VARCHAR), 2, '0') || '00' AS meeting, 'Meeting ' || o_orderkey AS title FROM orders""")
+def form_controls(spark: SparkSession, d: str) -> DataFrame:
+    """A list's selected option, an input's value, the code of a meeting by its number, and a page's title."""
+    key, number = F.col("o_orderkey").cast("string"), F.lpad((F.col("o_orderkey") % 20).cast("string"), 2, "0")
+    html = F.concat(
+        F.lit("<title> Meeting "), key, F.lit("</title><select name='x$ddlPeriod'><option value='1'>1</option><option selected value='"), F.col("o_custkey").cast("string"), F.lit("x'>2</option></select><input name='x$txtKeyword' value='k"), key,
+        F.lit("'><select name='x$ddlMeeting'><option value=''>-</option><option value='07030100'>第 3 次</option><option value='0704"), number, F.lit("00'>第 3 次</option></select>"),
+    )
+    h = F.col("html")
+    return table(spark, d, "orders").select("o_orderkey", html.alias("html")).select(
+        "o_orderkey", markup.control_value(h, "ddlPeriod").alias("period"), markup.control_value(h, "txtKeyword").alias("keyword"), markup.meeting_code(markup.options(h, "ddlMeeting"), "0704", 3).alias("meeting"), markup.meeting_title(h).alias("title"),
+    )
+
+
+@query("""SELECT o_orderkey AS sn, o_orderstatus AS status, c_name AS unit, n AS total_files FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def parent_detail_files(spark: SparkSession, d: str) -> DataFrame:
+    """A list's rows, the detail of each and the number of its files: files are counted before they are joined."""
+    files = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sn")).agg(F.count("*").alias("total_files"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("sn"), F.col("o_orderstatus").alias("status"), "o_custkey")
+    details = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("unit"))
+    return rows.join(details, "o_custkey", "left").join(files, "sn", "left").select("sn", "status", "unit", "total_files")
