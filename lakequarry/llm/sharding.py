@@ -71,4 +71,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_sharding": op6_sharding}
-ORACLES: dict[str, str] = {}
+#: Ranks by plain windows instead of cells. DuckDB has no CRC-32; it is a sum over bytes by the table of the reversed polynomial, which a rule builds.
+ORACLES = {
+    "op6_sharding": f"""WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+d AS (SELECT doc_id, coalesce('=' || source, '') AS source, coalesce(text, '') AS text, md5(concat_ws(':', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), '~'), md5(coalesce(text, '')))) AS seeded FROM documents),
+r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY seeded) - 1 + CAST(CAST('0x' || substring(md5('{SEED}' || source), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296) / CAST(count(*) OVER (PARTITION BY source) AS DOUBLE) AS along FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY along, source, seeded) - 1 AS place, count(*) OVER () AS n FROM r),
+s AS (SELECT *, CAST(place * 24 // n AS INTEGER) AS shard FROM p)
+SELECT doc_id, CAST(octet_length(encode(text)) + 8 AS BIGINT) AS size,
+ xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+ 'rows' AS law, shard, CAST(place - (CAST(shard AS BIGINT) * n + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s, t"""
+}

@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lakequarry.llm import sharding as S
@@ -57,3 +58,13 @@ def test_many_small_sources_are_spread_and_columns_may_clash(spark):
     assert max(Counter(r.shard for r in staged).values()) == 500
     u = spark.range(4000).select((F.conv(F.substring(F.md5(F.concat(F.lit(S.SEED), F.lit("=s"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32 * 100).cast("int").alias("c"))
     assert u.groupBy("c").count().agg(F.max("count")).first()[0] < 100  # 40 of 4,000 in a cell on average
+
+
+def test_matches_its_sql(spark, tmp_path):
+    d = table(spark, tmp_path, "documents", documents(spark, 300))
+    out = S.op6_sharding(spark, d)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    asked = con.execute(S.ORACLES["op6_sharding"])
+    assert [c[0] for c in asked.description] == out.columns
+    assert Counter(asked.fetchall()) == Counter(tuple(r) for r in out.collect())
