@@ -211,9 +211,9 @@ _TTL = "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) + 86400 * (1 + event_i
 @query(f"WITH e AS ({_TTL}), n AS (SELECT CAST(floor(epoch(max(ts))) AS BIGINT) AS now FROM events) SELECT event_id, expiration FROM e, n WHERE expiration > now")
 def ttl_active(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    now = events.agg(F.max(F.unix_seconds("ts"))).first()[0]
+    now = events.agg(F.max(F.unix_seconds("ts"))).scalar()  # a subquery of one row
     rows = events.select("event_id", (F.unix_seconds("ts") + 86400 * (1 + F.col("event_id") % 30)).alias("expiration"))
-    return keyed.active(rows, F.lit(now))
+    return keyed.active(rows, now)
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")

@@ -1,8 +1,8 @@
-"""Results as JSON: one object a row, nulls kept."""
+"""Results as JSON: one object a row, nulls kept; and small objects of a store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,13 @@ def json_rows(df: DataFrame) -> DataFrame:
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines below a folder, written by the executors."""
     json_rows(df).write.mode(mode).text(path)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small object (a pointer, a manifest, a stored page) below a folder of any file system that Spark reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

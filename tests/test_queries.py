@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from lakequarry.plans.queries import ORACLES, QUERIES
+from lakequarry.plans.named import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
