@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Characters that separate words: blank, and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -18,17 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is set a local one is made, if all of Spark runs in this process; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-', dir=os.environ.get('TMPDIR', '/tmp'))}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 _STAGED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
