@@ -6,7 +6,7 @@ from importlib import import_module
 
 import corpus_pipeline
 
-MODULES = ("quality_rules", "packing", "kneser_ney", "license_scan", "media", "sharding", "simhash", "unigram_scan", "toxicity", "chat_format", "personal_data", "hard_negatives")
+MODULES = ("quality_rules", "packing", "kneser_ney", "license_scan", "media", "sharding", "simhash", "unigram_scan", "toxicity", "chat_format", "personal_data", "hard_negatives", "turn_repair")
 
 
 def _merged(what: str) -> dict:
