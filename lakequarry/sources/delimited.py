@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import Refused
 from ..functions.numbers import parse_amount
 from ..functions.text import normalize
+from .order import in_source_order
 
 # Names of the two columns, the first that is there wins; and the keys that are looked into first for the list of records.
 NAME_COLUMNS = ("科目名稱", "科目", "主管名稱", "機關名稱")
@@ -40,7 +41,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], names=NAME_COLUMNS, am
         if found is None:
             raise Refused("SOURCE_SCHEMA_CHANGED", f"none of {', '.join(candidates)} is a column: {', '.join(df.columns)}")
         chosen.append(F.col(f"`{found}`"))
-    return _rows(df.withColumn("_pos", F.monotonically_increasing_id()), *chosen)
+    return _rows(in_source_order(df, [paths] if isinstance(paths, str) else paths), *chosen)
 
 
 def find_records(value, names=NAME_COLUMNS, amounts=AMOUNT_COLUMNS, depth: int = DEPTH) -> list[dict] | None:
@@ -76,7 +77,7 @@ def read_json(spark: SparkSession, text: str, names=NAME_COLUMNS, amounts=AMOUNT
 
 def read_json_lines(spark: SparkSession, paths: str | list[str], names=NAME_COLUMNS, amounts=AMOUNT_COLUMNS) -> DataFrame:
     """Of large files with one record a line."""
-    lines = spark.read.text(paths).select(F.monotonically_increasing_id().alias("_pos"), F.from_json("value", "map<string,string>").alias("m"))
+    lines = in_source_order(spark.read.text(paths), [paths] if isinstance(paths, str) else paths).select("_pos", F.from_json("value", "map<string,string>").alias("m"))
     first = lambda wanted: F.get(F.filter(F.map_entries("m"), lambda e: normalize(e["key"]).isin(*wanted)), F.lit(0))["value"]
     return _rows(lines, first(names), first(amounts))
 

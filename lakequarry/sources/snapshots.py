@@ -21,13 +21,13 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..errors import Refused
 from ..functions.text import strip
 from ..functions.urls import on_host, part
 from ..operators.keyed import require_rows
-from . import delimited
+from . import delimited, order, results
 from .cache import Versioned, hold
 
 LAW = "law_id string, law_name string, category string, published_at string, official_url string, history string, articles array<struct<article_no:string,content:string>>"
@@ -111,25 +111,54 @@ def _array_records(spark: SparkSession, root: str, m: dict, schema: StructType)
 
 
 def _part_records(spark: SparkSession, root: str, m: dict, dataset: str, schema: StructType) -> DataFrame:
+    """Records of all parts with _pos in the manifest's order of parts and each part's order of lines."""
     parts = m["parts"]
     if not all(isinstance(p, dict) and is_safe_key(p.get("key"), dataset) and is_hash(p.get("sha256")) and type(p.get("record_count")) is int for p in parts):
         raise Refused("SNAPSHOT_UNVERIFIED", "a part is not declared whole")
-    listing = hashlib.sha256("\n".join(p["sha256"].lower() for p in parts).encode()).hexdigest()
-    if listing != m["normalized_sha256"].lower() or sum(p["record_count"] for p in parts) != m.get("record_count"):
+    if len({p["key"] for p in parts}) < len(parts):
+        raise Refused("SNAPSHOT_UNVERIFIED", "a part is declared twice")
+    if listing_hash(p["sha256"].lower() for p in parts) != m["normalized_sha256"].lower() or sum(p["record_count"] for p in parts) != m.get("record_count"):
         raise Refused("SNAPSHOT_UNVERIFIED", "the parts differ from their hash or count")
-    declared = spark.createDataFrame([(p["key"].rpartition("/")[2], p["sha256"].lower(), p["record_count"], n) for n, p in enumerate(parts)], "file string, hash string, n long, part long")
-    paths = [f"{root}/{p['key']}" for p in parts]
-    name = lambda c: F.regexp_extract(c, "([^/]+)$", 1)
+    declared = spark.createDataFrame([(p["key"], p["sha256"].lower(), p["record_count"], n) for n, p in enumerate(parts)], "key string, hash string, declared long, part long")
+    paths, top = [f"{root}/{p['key']}" for p in parts], order.qualified(spark, root)
     try:
-        hashed = spark.read.format("binaryFile").load(paths).select(name("path").alias("file"), F.sha2("content", 256).alias("own"))
+        hashed = spark.read.format("binaryFile").load(paths).select(order.decoded(F.col("_metadata.file_path")).alias("_file"), F.sha2("content", 256).alias("own")).select(order.below(top).alias("key"), "own")
+        lines = order.marked(spark.read.text(paths))
     except AnalysisException as e:
         raise Refused("SNAPSHOT_UNVERIFIED", "a part is missing") from e
-    lines = spark.read.text(paths).select(name(F.input_file_name()).alias("file"), "value", F.monotonically_increasing_id().alias("_line"))
-    counts = lines.groupBy("file").agg(F.count("*").alias("lines"))
-    bad = declared.join(hashed, "file", "left").join(counts, "file", "left").where(~F.coalesce((F.col("own") == F.col("hash")) & (F.coalesce("lines", F.lit(0)) == F.col("n")), F.lit(False)))
-    if not bad.isEmpty():
+    splits = hold(order.parts_of(lines).withColumn("key", order.below(top)))
+    counts = splits.groupBy("key").agg(F.sum("n").alias("lines"))  # Spark gives no row for a file without bytes
+    same = (F.coalesce("own", F.lit(hashlib.sha256().hexdigest())) == F.col("hash")) & (F.coalesce("lines", F.lit(0)) == F.col("declared"))
+    if not declared.join(hashed, "key", "left").join(counts, "key", "left").where(~F.coalesce(same, F.lit(False))).isEmpty():
         raise Refused("SNAPSHOT_UNVERIFIED", "a part differs from its hash or count")
-    return lines.select(F.col("_line").alias("_pos"), F.from_json("value", schema).alias("r")).select("_pos", "r.*")
+    ordered = order.numbered(lines, splits.join(declared.select("key", "part"), "key").drop("key"), "part")
+    return ordered.select("_pos", F.from_json("value", schema).alias("r")).select("_pos", "r.*")
+
+
+def listing_hash(hashes: Iterable[str]) -> str:
+    """The hash of a snapshot in parts: of its parts' hashes, one a line."""
+    return hashlib.sha256("\n".join(hashes).encode()).hexdigest()
+
+
+def publish(records: DataFrame, root: str, dataset: str, snapshot: str, by: list[str], about: dict, rows_a_part: int = 1_000_000) -> str:
+    """Writes records as a snapshot in parts, in the order of the columns `by`, and makes it the active one; returns its hash.
+
+    Executors write, hash and count the parts, of rows_a_part records at most; the driver sees a line for each part. about: what else the manifest says (times, versions, coverage, source_url). The pointer is written last, so a failed write leaves
+    the snapshot before it active.
+    """
+    spark, folder = records.sparkSession, f"verified/{dataset}/{snapshot}"
+    ranged = records.repartitionByRange(*by).sortWithinPartitions(*by)
+    results.json_rows(ranged.drop("_pos")).write.option("maxRecordsPerFile", rows_a_part).text(f"{root}/{folder}/parts")
+    top = order.qualified(spark, root)
+    files = spark.read.format("binaryFile").load(f"{root}/{folder}/parts").select(order.decoded(F.col("_metadata.file_path")).alias("_file"), F.sha2("content", 256).alias("sha256"))
+    lines = order.parts_of(order.marked(spark.read.text(f"{root}/{folder}/parts"))).groupBy("_file").agg(F.sum("n").alias("n"))
+    listed = files.join(lines, "_file", "left").select(order.below(top).alias("key"), "sha256", F.coalesce("n", F.lit(0)).alias("n")).orderBy("key").collect()  # a row a part
+    parts = [{"key": p.key, "sha256": p.sha256, "record_count": p.n} for p in listed]
+    key, digest = f"{folder}/manifest.json", listing_hash(p["sha256"] for p in parts)
+    manifest = json.dumps({"schema_version": "2.0", "dataset_id": dataset, "snapshot_id": snapshot, "normalized_key": f"{folder}/parts", "normalized_sha256": digest, "validation_status": "passed", "revoked": False, "record_count": sum(p["record_count"] for p in parts), "parts": parts} | about)
+    results.put_text(spark, f"{root}/{key}", manifest)
+    results.put_text(spark, f"{root}/releases/{dataset}/active.json", json.dumps({"manifest_key": key, "manifest_sha256": hashlib.sha256(manifest.encode()).hexdigest()}))
+    return digest
 
 
 def new_cache() -> Versioned:
@@ -215,8 +244,3 @@ def load_records(spark: SparkSession, root: str, record_ids: list[str]) -> DataF
         return nothing
     found = text.select(F.regexp_extract(F.input_file_name(), "([^/]+)[.]json$", 1).alias("_file"), F.from_json("value", schema).alias("r")).select("_file", "r.*")
     return found.where(complete() & F.coalesce(F.col("record_id") == F.col("_file"), F.lit(False))).drop("_file")
-
-
-def positions(df: DataFrame) -> DataFrame:
-    """df with _pos in the order of its files, for sources that have no order of their own."""
-    return df.withColumn("_pos", F.monotonically_increasing_id().cast(LongType()))
