@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,17 +18,37 @@ def on_host(url: Column, host: str) -> Column:
     return F.coalesce((F.lower(part(url, "PROTOCOL")) == "https") & (F.lower(part(url, "HOST")) == host), F.lit(False))
 
 
+_SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"  # scheme, authority with its slashes, path, query and fragment with their marks
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its segments "." and "..": each ".." takes the segment before it away, and none goes above the root. A path that ends in such a segment ends in a slash."""
+    parts = F.split(path, "/", -1)
+    last = F.size(parts) - 1
+
+    def step(kept: Column, x: Column) -> Column:
+        up = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+        base = F.when(x["s"] == "..", up).otherwise(kept)
+        return F.when(x["s"].isin(".", "..") & ~x["last"], base).otherwise(F.concat(base, F.array(F.when(x["s"].isin(".", ".."), "").otherwise(x["s"]))))
+
+    items = F.transform(parts, lambda s, i: F.struct(s.alias("s"), (i == last).alias("last")))
+    folded = F.aggregate(F.slice(items, F.lit(2), F.size(items)), F.array(F.lit("")), step, lambda kept: F.array_join(kept, "/"))
+    return F.when(F.startswith(path, F.lit("/")) & path.rlike(r"/\.\.?(?:/|$)"), folded).otherwise(path)
+
+
 def absolute(url: Column, base: str) -> Column:
-    """url as seen from the page base: absolute ones stay."""
-    scheme, _, rest = base.partition("://")
-    host, _, path = rest.partition("/")
-    folder = f"{scheme}://{host}/{path.rpartition('/')[0]}".rstrip("/") + "/"
-    return (
-        F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), url)
-        .when(F.startswith(url, F.lit("//")), F.concat(F.lit(f"{scheme}:"), url))
-        .when(F.startswith(url, F.lit("/")), F.concat(F.lit(f"{scheme}://{host}"), url))
-        .otherwise(F.concat(F.lit(folder), url))
-    )
+    """url as seen from the page base, by the rules of RFC 3986 (5.2): absolute ones keep their own parts, "?" and "#" references keep the base's path, dot segments go. White space at the ends goes; null stays null."""
+    scheme, authority, path, query = (re.match(_SPLIT, base)[k] or "" for k in (1, 2, 4, 5))
+    folder = path[: path.rindex("/") + 1] if "/" in path else "/"
+    ref = F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    own_scheme, own_authority, own_path, own_query, fragment = (F.regexp_extract(ref, _SPLIT, k) for k in (1, 2, 4, 5, 6))
+    whole = F.concat(own_scheme, F.lit(":"), own_authority, without_dots(own_path), own_query, fragment)
+    elsewhere = F.concat(F.lit(f"{scheme}:"), own_authority, without_dots(own_path), own_query, fragment)
+    here = F.lit(f"{scheme}:{authority}")
+    rooted = F.concat(here, without_dots(own_path), own_query, fragment)
+    beside = F.concat(here, without_dots(F.concat(F.lit(folder), own_path)), own_query, fragment)
+    same = F.concat(here, F.lit(path), F.when(own_query != "", own_query).otherwise(query), fragment)
+    return F.when(own_scheme != "", whole).when(own_authority != "", elsewhere).when(own_path == "", same).when(F.startswith(own_path, F.lit("/")), rooted).otherwise(beside)
 
 
 def record_id(url: Column, host: str, folder: str = "MeetingRecord") -> Column:

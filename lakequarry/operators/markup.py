@@ -166,7 +166,7 @@ def review_status(third: Column, third_date: Column, second: Column, second_date
 
 
 def attachments(pages: DataFrame, key: str, html: str, base: str, header: str = "序號") -> DataFrame:
-    """key, _pos, no, description, name, size and download_url of the files that pages list: rows with four cells but the header's. Refused when a page neither says that it has none nor shows any, or links to another host."""
+    """key, _pos, no, description, name, size and download_url of the files that pages list: rows with four cells but the header's. Refused when a page neither says that it has none nor shows any, or links to another host. Links are seen from base, the site's root."""
     marked = F.lit(False)
     for m in NO_ATTACHMENTS:
         marked = marked | F.contains(F.col(html), F.lit(m))

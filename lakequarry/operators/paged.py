@@ -5,6 +5,8 @@ Pages are rows (record_id, page, text). All matching is done within a page's row
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,13 +59,15 @@ def by_record(found: DataFrame) -> DataFrame:
     )
 
 
-def scan(index: DataFrame, pages: DataFrame, keyword: str, records: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan(index: DataFrame, pages: DataFrame | Callable[[DataFrame], DataFrame], keyword: str, records: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matches by record, failures, statistics in one row) over the first records of the index (_pos, record_id).
 
-    The limit comes before the search: only those records' pages are joined. A record without any page fails with a reason and the scan goes on.
+    The limit comes before the search. pages: the pages of all records, or a function that gives the pages of the chosen ones from their ids (record_id), so that nothing else is read or taken apart. A record without any page fails
+    with a reason and the scan goes on.
     """
     chosen = index.orderBy("_pos").limit(records)
-    own = pages.join(F.broadcast(chosen.select("record_id")), "record_id", "left_semi")  # `records` rows at most
+    ids = F.broadcast(chosen.select("record_id"))  # `records` rows at most
+    own = pages(ids) if callable(pages) else pages.join(ids, "record_id", "left_semi")
     known = own.groupBy("record_id").agg(F.count("*").alias("total_pages"))
     read = chosen.join(known, "record_id", "left")
     failures = read.where("total_pages IS NULL").select("record_id", F.lit("RECORD_UNREADABLE").alias("reason"))

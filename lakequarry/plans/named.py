@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from urllib.parse import urlencode
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ def _site(spark: SparkSession, d: str, **others) -> tools.Sources:
 
     def fetch(page: str, params: dict) -> DataFrame:
         form = "".join(f'<input name="x${tools.CONTROLS[k]}" value="{v}"/>' for k, v in params.items() if k in tools.CONTROLS)
-        return spark.createDataFrame([(0, f"{SITE}/{tools.PAGES[page]}", form + PAGES[page](rows, params))], "page_id int, url string, html string")
+        return spark.createDataFrame([(0, f"{SITE}/{tools.PAGES[page]}?{urlencode(params)}", form + PAGES[page](rows, params))], "page_id int, url string, html string")
 
     return tools.Sources(spark, site=SITE, fetch=fetch, **others)
 
@@ -184,7 +185,7 @@ def tool_proposal_result(spark: SparkSession, d: str) -> DataFrame:
     return tools.call(_site(spark, d), "proposal_result", {"proposal_sn": "107"}).data.select("proposal_sn", "category", "council_review_status", "status")
 
 
-@query(f"SELECT CAST(k AS VARCHAR) AS no, region || ' & more' AS description, name, k || ' KB' AS size, '{SITE}/Common/f/' || k || '.pdf' AS download_url FROM {_N}")
+@query(f"SELECT CAST(k AS VARCHAR) AS no, region || ' & more' AS description, name, k || ' KB' AS size, '{SITE}/f/' || k || '.pdf' AS download_url FROM {_N}")
 def tool_get_attachments(spark: SparkSession, d: str) -> DataFrame:
     return tools.call(_site(spark, d), "get_attachments", {"proposal_sn": "107"}).data.select("no", "description", "name", "size", "download_url")
 

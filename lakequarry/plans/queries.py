@@ -157,7 +157,8 @@ SELECT 'able' AS keyword, CASE WHEN attempted > ok THEN 'partial' ELSE 'success'
 def cross_record_scan(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     index = docs.select(F.col("doc_id").alias("_pos"), F.col("doc_id").alias("record_id"))
-    return paged.scan(index, paged.pages_from_text(docs, "doc_id"), "able", 15)[2]
+    own = lambda ids: paged.pages_from_text(docs.join(ids, F.col("doc_id") == F.col("record_id"), "left_semi"), "doc_id")
+    return paged.scan(index, own, "able", 15)[2]
 
 
 @query("SELECT user_id, event_type, arg_max(value, event_id) AS value, arg_max(props, event_id) AS props, min(event_id) AS first_at FROM events GROUP BY ALL")
@@ -380,14 +381,14 @@ def meeting_record_rows(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("s_suppkey").cast("string")
     link = F.concat(F.when(F.col("s_suppkey") % 5 == 0, "https://other.example").otherwise(""), F.lit("/MeetingRecord/"), key, F.when(F.col("s_suppkey") % 5 == 1, "/a.doc").otherwise("/a.pdf"))
     row = F.concat(F.lit("<tr><td>"), key, F.lit("</td><td>115/01/02</td><td> "), "s_name", F.lit("</td><td><a href='"), link, F.lit("'>x</a></td></tr>"))
-    return markup.meeting_records(_supplier_pages(spark, d, row), "page_id", "html", "https://site.example/System/Default.aspx").select("page_id", "record_id", "meeting", "date", "pdf_url")
+    return markup.meeting_records(_supplier_pages(spark, d, row), "page_id", "html", "https://site.example/").select("page_id", "record_id", "meeting", "date", "pdf_url")
 
 
-@query("""SELECT s_nationkey AS page_id, CAST(s_suppkey AS VARCHAR) AS no, 'a & b' AS description, s_name AS name, s_suppkey || ' KB' AS size, 'https://site.example/Common/f/' || s_suppkey || '.pdf' AS download_url FROM supplier""")
+@query("""SELECT s_nationkey AS page_id, CAST(s_suppkey AS VARCHAR) AS no, 'a & b' AS description, s_name AS name, s_suppkey || ' KB' AS size, 'https://site.example/f/' || s_suppkey || '.pdf' AS download_url FROM supplier""")
 def attachment_rows(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("s_suppkey").cast("string")
     row = F.concat(F.lit("<tr><td>"), key, F.lit("</td><td>a &amp; b</td><td><a href='f/"), key, F.lit(".pdf'>"), "s_name", F.lit("</a></td><td>"), key, F.lit(" KB</td></tr>"))
-    found = markup.attachments(_supplier_pages(spark, d, row, "<tr><td>序號</td><td>a</td><td>b</td><td>c</td></tr>"), "page_id", "html", "https://site.example/Common/List.ashx")
+    found = markup.attachments(_supplier_pages(spark, d, row, "<tr><td>序號</td><td>a</td><td>b</td><td>c</td></tr>"), "page_id", "html", "https://site.example/")
     return found.select("page_id", "no", "description", "name", "size", "download_url")
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from inspect import signature
-from urllib.parse import urlsplit
+from urllib.parse import parse_qsl, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from ..functions import urls
 from ..functions.codes import period_code
 from ..operators import markup, paged, search, totals
 from ..operators.completeness import completeness, require_applied
-from ..sources import delimited, results, snapshots, web
+from ..sources import delimited, pdf, results, snapshots, web
 from ..sources.cache import Timed, Versioned, hold
 
 # Folders of the pages below a site, the form's controls by filter, and the code of the one term that is served.
@@ -53,6 +53,7 @@ class Sources:
     budgets: Mapping[int, list[str]] = field(default_factory=dict)
     revoked: tuple[str, ...] = ()
     fetch: Callable[[str, dict], DataFrame] | None = None
+    files: Callable[[DataFrame, str], DataFrame] | None = None
     snapshots: Versioned = field(default_factory=snapshots.new_cache)
     raw_budgets: Timed = field(default_factory=lambda: Timed(86400, lambda held: held[0].unpersist()))
     summaries: Timed = field(default_factory=lambda: Timed(3600))
@@ -65,6 +66,10 @@ class Sources:
     def url(self, page: str) -> str:
         return f"{self.site.rstrip('/')}/{PAGES[page]}"
 
+    def root_url(self) -> str:
+        """What links on pages are seen from."""
+        return self.site.rstrip("/") + "/"
+
 
 @dataclass(frozen=True)
 class Envelope:
@@ -136,10 +141,9 @@ def web_fetch(spark: SparkSession, site: str, timeout: int = 8) -> Callable[[str
     def fetch(page: str, params: dict) -> DataFrame:
         url = f"{site.rstrip('/')}/{PAGES[page]}"
         options = {"url": url, "params": json.dumps([params]), "host": host, "timeout": str(timeout), "token_timeout": str(timeout)}
-        if page in EVENTS:
-            options["path"] = urlsplit(url).path
-            if params:  # without filters it is the form itself
-                options |= form_options(page)
+        options["path"] = urlsplit(url).path
+        if page in EVENTS and params:  # without filters it is the form itself
+            options |= form_options(page)
         found = spark.read.format("web_pages").options(**options).load()
         failed = F.raise_error(F.concat(F.lit("SOURCE_UNAVAILABLE: "), F.col("error")))
         return found.select(F.col("request").alias("page_id"), "url", F.when(F.col("error").isNull(), F.col("html")).otherwise(failed.cast("string")).alias("html"))
@@ -147,6 +151,12 @@ def web_fetch(spark: SparkSession, site: str, timeout: int = 8) -> Callable[[str
     return fetch
 
 
+def web_files(site: str, timeout: int = 15, **options: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Files of a site by their URLs in a column: rows with url (after redirects), content and error, a few requests to a host at a time."""
+    host = urlsplit(site).hostname or ""
+    return lambda rows, column: web.fetch_each(rows, F.col(column), binary="true", host=host, timeout=str(timeout), **options)
+
+
 def _held(df: DataFrame) -> tuple[DataFrame, int]:
     """The rows of a limited result, read once, and their number."""
     rows = df.collect()
@@ -300,12 +310,30 @@ def search_proposals(
 DETAIL = {"會議": "meeting_label", "提案類型": "proposal_type", "類別": "category", "編號": "number", "提案單位": "proposing_unit", "承辦單位": "handling_unit", "相關單位": "related_units", "連署人": "co_signers", "案由": "subject", "說明": "explanation", "辦法": "method", "備註": "remarks", "狀態": "official_status"}
 
 
+def _is_page(sources: Sources, url: str, page: str) -> bool:
+    """True for an https URL of the site's page."""
+    own, wanted = urlsplit(url), urlsplit(sources.url(page))
+    return own.scheme == "https" and own.hostname == wanted.hostname and own.path == wanted.path
+
+
+def _detail_url(sources: Sources, url: str) -> str:
+    """The URL of a proposal's page, a relative one from its folder on; refused unless it is that page of the site."""
+    if not url.startswith("http"):
+        url = f"{sources.url('proposal').rpartition('/')[0]}/{url.lstrip('/')}"
+    if not _is_page(sources, url, "proposal"):
+        raise Refused("INVALID_ARGUMENT", "detail_url is no proposal's page of the site")
+    return url
+
+
 @tool("One proposal")
 def get_proposal(sources: Sources, proposal_sn: str, detail_url: str | None = None) -> Envelope:
-    """A proposal's page, by labels and review fields; refused when the page is another proposal's."""
-    sn, url = A.code(proposal_sn, "proposal_sn", required=True), A.text(detail_url, "detail_url", 500)
-    pages = sources.pages("proposal", {"s": sn})
+    """A proposal's page, by labels and review fields; refused when the page is another proposal's. detail_url, as a list shows it, is the page that is read."""
+    sn = A.code(proposal_sn, "proposal_sn", required=True)
+    url = _detail_url(sources, A.text(detail_url, "detail_url", 500) or f"Detail.aspx?s={sn}")
+    pages = sources.pages("proposal", dict(parse_qsl(urlsplit(url).query, keep_blank_values=True)))
     own = pages.select(markup.page_number(F.col("html")).alias("n"), "url").first()
+    if own is not None and own.url and not _is_page(sources, own.url, "proposal"):
+        raise Refused("PARSER_CONTRACT_CHANGED", f"the answer is another page, {own.url}")
     if own is None or own.n != sn:
         raise Refused("SOURCE_ID_MISMATCH", f"asked for {sn}, the page is of {own.n if own and own.n else 'unknown'}")
     rows = markup.table_rows(pages, "page_id", "html")
@@ -314,16 +342,20 @@ def get_proposal(sources: Sources, proposal_sn: str, detail_url: str | None = No
     review = markup.reviews(rows, "page_id").select("page_id", F.struct(*markup.REVIEW_FIELDS).alias("review"))
     title = F.coalesce(F.nullif(markup.meeting_title(F.col("html")), F.lit("")), F.col("meeting_label"), F.lit("")).alias("meeting")
     joined = pages.select("page_id", "html").join(named, "page_id", "left").join(review, "page_id", "left")
-    data, _ = _held(joined.select(F.lit(sn).alias("proposal_sn"), F.lit(url or own.url).alias("detail_url"), title, *[v for v in DETAIL.values() if v != "meeting_label"], "review"))
-    return Envelope(data, web_provenance(url or own.url or sources.url("proposal")), {"proposal_sn": sn})
+    data, _ = _held(joined.select(F.lit(sn).alias("proposal_sn"), F.lit(url).alias("detail_url"), title, *[v for v in DETAIL.values() if v != "meeting_label"], "review"))
+    return Envelope(data, web_provenance(url), {"proposal_sn": sn})
 
 
 @tool("Attachments of a proposal")
 def get_attachments(sources: Sources, proposal_sn: str) -> Envelope:
     """The files that a proposal's list shows; none where it says so."""
     sn = A.code(proposal_sn, "proposal_sn", required=True)
-    data, n = _held(markup.attachments(sources.pages("attachments", {"s": sn}), "page_id", "html", sources.url("attachments")).orderBy("page_id", "_pos").drop("page_id"))
-    return Envelope(data, web_provenance(sources.url("attachments")), {"proposal_sn": sn, "total_files": n})
+    pages = sources.pages("attachments", {"f": "1", "s": sn, "t": "False"})
+    own = pages.select("url").first()
+    if own is None or not _is_page(sources, own.url or "", "attachments") or dict(parse_qsl(urlsplit(own.url).query)).get("s") != sn:
+        raise Refused("SOURCE_ID_MISMATCH", f"asked for the files of {sn}, the answer is {own.url if own else 'empty'}")
+    data, n = _held(markup.attachments(pages, "page_id", "html", sources.root_url()).orderBy("page_id", "_pos").drop("page_id"))
+    return Envelope(data, web_provenance(own.url), {"proposal_sn": sn, "total_files": n})
 
 
 @tool("Meeting records by filters")
@@ -332,7 +364,7 @@ def search_meeting_records(sources: Sources, keyword: str | None = None, period:
     asked = {"period": A.code(period or "07", "period"), "session": A.code(session, "session"), "meeting": A.code(meeting, "meeting"), "keyword": A.text(keyword, "keyword", 200)}
     pages = sources.pages("records", {k: v for k, v in asked.items() if v})
     applied = _asked(pages, asked)
-    data, n = _held(markup.meeting_records(pages, "page_id", "html", sources.url("records")).orderBy("page_id", "_pos").drop("page_id"))  # of one page
+    data, n = _held(markup.meeting_records(pages, "page_id", "html", sources.root_url()).orderBy("page_id", "_pos").drop("page_id"))  # of one page
     total = pages.select(markup.pager(F.col("html"))["total"]).first()[0]
     return Envelope(data, web_provenance(sources.url("records")), {"returned_count": n, "total": total, "is_complete": None if total is None else n >= total, "applied_filters": applied})
 
@@ -413,21 +445,38 @@ def _record_url(sources: Sources, record_id: str, pdf_url: str | None) -> str:
     return pdf_url
 
 
+def _records_of_files(sources: Sources, wanted: DataFrame) -> DataFrame:
+    """record_id, pdf_url, total_pages, pages (null where there is a reason) and reason of records (record_id, pdf_url) whose files are read now: by executors, a few at a time, and not stored."""
+    host = urlsplit(sources.site).hostname or ""
+    came = sources.files(wanted.select("record_id", "pdf_url"), "pdf_url")
+    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(urls.record_id(F.col("url"), host) != F.col("record_id"), F.concat(F.lit("SOURCE_ID_MISMATCH: the file came from "), "url"))
+    read = pdf.pages_of_files(came.select(F.col("record_id").alias("file"), F.when(reason.isNull(), F.col("content")).alias("content"), reason.alias("reason")))
+    pages = F.when(F.first("reason").isNull(), F.array_sort(F.collect_list(F.struct("page", "text"))))  # of one file
+    return wanted.select("record_id", "pdf_url").join(read.groupBy(F.col("file").alias("record_id")).agg(F.first("total_pages").alias("total_pages"), pages.alias("pages"), F.first("reason").alias("reason")), "record_id")
+
+
 @tool("Text of a meeting record")
 def get_meeting_record(sources: Sources, record_id: str, pdf_url: str | None = None, keyword: str | None = None, page: int | None = None) -> Envelope:
-    """One stored record: its matches by page, and the text of a page. A record that is not stored as text is looked up, by pdf_url or in the list, and refused with the URL of its file."""
+    """One record: its matches by page, and the text of a page. A record that is not stored as text is read from its file, by pdf_url or the list's link; nothing is stored. Without a source of files it is refused with the URL of its file."""
     record_id, pdf_url, keyword = A.code(record_id, "record_id", required=True), A.text(pdf_url, "pdf_url", 500), A.text(keyword, "keyword", 200)
     record = snapshots.load_record(sources.spark, sources.root, record_id)
-    if record is None:
-        raise Refused("RECORD_UNREADABLE", f"record {record_id} is not stored as text; its file is {_record_url(sources, record_id, pdf_url)}")
+    stored = record is not None
+    if not stored:
+        link = _record_url(sources, record_id, pdf_url)
+        if sources.files is None:
+            raise Refused("RECORD_UNREADABLE", f"record {record_id} is not stored as text; its file is {link}")
+        record = hold(_records_of_files(sources, sources.spark.range(1).select(F.lit(record_id).alias("record_id"), F.lit(link).alias("pdf_url"))))
+        reason = record.select("reason").first()[0]
+        if reason:
+            raise Refused("SOURCE_ID_MISMATCH" if reason.startswith("SOURCE_ID_MISMATCH") else "PDF_EXTRACTION_FAILED", f"record {record_id}: {reason}")
     page = A.page(page, record.select("total_pages").first()[0])
     content = F.get(F.col("pages"), F.lit(page - 1))["text"] if page else F.lit(None).cast("string")
     head = record.select("record_id", "pdf_url", "total_pages", content.alias("page_content"))
     if not keyword:
-        return Envelope(head, web_provenance(record.select("pdf_url").first()[0]), {"keyword": None, "from_cache": True})
+        return Envelope(head, web_provenance(record.select("pdf_url").first()[0]), {"keyword": None, "from_cache": stored})
     found = paged.by_record(paged.matches(paged.pages_of(record), keyword))
     data = head.join(found, "record_id", "left").withColumn("matched_pages_count", F.coalesce("matched_pages_count", F.lit(0)))
-    return Envelope(data, web_provenance(record.select("pdf_url").first()[0]), {"keyword": keyword, "from_cache": True})
+    return Envelope(data, web_provenance(record.select("pdf_url").first()[0]), {"keyword": keyword, "from_cache": stored})
 
 
 @tool("Keyword in meeting records")
@@ -437,10 +486,16 @@ def search_record_contents(sources: Sources, keyword: str, limit_records: int |
     listed = search_meeting_records(sources, period=period, session=session)
     index, _ = _held(search.first(listed.data, n).select("_pos", "record_id", "meeting", "date", "pdf_url"))
     stored = snapshots.load_records(sources.spark, sources.root, [r.record_id for r in index.select("record_id").collect()])  # 15 ids at most
-    pages = hold(paged.pages_of(stored))  # read once for matches, failures and statistics
+    pages, reasons = paged.pages_of(stored), {}
+    if sources.files is not None:
+        read = hold(_records_of_files(sources, index.join(stored.select("record_id"), "record_id", "left_anti")))
+        reasons = {r.record_id: r.reason for r in read.where("reason IS NOT NULL").select("record_id", "reason").collect()}  # 15 at most
+        pages = pages.unionByName(paged.pages_of(read.where("reason IS NULL")))
+    pages = hold(pages)  # read once for matches, failures and statistics
     found, failures, stats = paged.scan(index, pages, keyword, n)
     row = paged.require_some(stats).first()
     found, _ = _held(found)  # a row for each of the records
-    meta = row.asDict() | {"failures": [f.asDict() for f in failures.collect()], "reason_code": "PARTIAL_SCAN" if row.failed_records_count else None}
+    failed = [f.asDict() | ({"reason": reasons[f.record_id]} if f.record_id in reasons else {}) for f in failures.collect()]
+    meta = row.asDict() | {"failures": failed, "reason_code": "PARTIAL_SCAN" if row.failed_records_count else None}
     pages.unpersist()
     return Envelope(found, listed.provenance, meta, "partial" if row.failed_records_count else "success")

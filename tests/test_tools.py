@@ -1,14 +1,19 @@
 """The named functions over a store of snapshots, stored records and given pages."""
 
+import dataclasses
 import hashlib
 import json
+from urllib.parse import urlencode
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakequarry.errors import Refused
 from lakequarry.plans import tools as T
 from lakequarry.sources.cache import Timed
 
+from .test_pdf import made, stream, tree
+
 SITE = "https://site.example"
 FORM = '<select name="x$ddlPeriod"><option value="06">6</option><option selected="selected" value="07">7</option></select><select name="x$ddlMeeting"><option value="">-</option><option value="07040800">第 8 次</option></select><input name="x$txtKeyword" value="道路"/>'
 LIST = FORM + '<table><tr><td><input type="hidden" name="a$hidProposalSN" value="145"/>1</td><td>A1</td><td>民政</td><td>甲，</td><td>修路</td><td>通過</td></tr></table>共 4 筆 1 / 2 頁'
@@ -17,6 +22,11 @@ RECORDS = FORM.replace("道路", "") + "".join(f'<table><tr><td>{k}</td><td>115/
 HTML = {"proposals": LIST, "proposal": DETAIL, "attachments": "總大小 0 bytes", "records": RECORDS}
 
 
+def plain_pdf(texts):
+    pages = {10 + 2 * n: b"<< /Type /Page /Contents %d 0 R >>" % (11 + 2 * n) for n in range(len(texts))}
+    return made(tree(len(texts)) | pages | {11 + 2 * n: stream(b"BT /F1 9 Tf (%s) Tj ET" % t) for n, t in enumerate(texts)})
+
+
 def put(root, key, value):
     (root / key).parent.mkdir(parents=True, exist_ok=True)
     (root / key).write_text(value, encoding="utf-8")
@@ -43,7 +53,7 @@ def sources(spark, tmp_path_factory):
     pages = [{"page": 1, "text": "無"}, {"page": 2, "text": "道路與道路"}]
     put(root, "meeting_records/1.json", json.dumps({"record_id": "1", "pdf_url": f"{SITE}/1.pdf", "total_pages": 2, "pages": pages, "cached_at": "x"}))
     put(root, "b.csv", '科目名稱,本年度預算數\n合計,"3,000"\n甲,"1,000"\n乙,"2,500"\n')
-    fetch = lambda page, params: spark.createDataFrame([(0, f"{SITE}/{T.PAGES[page]}", HTML[page])], "page_id int, url string, html string")  # noqa: E731, ARG005
+    fetch = lambda page, params: spark.createDataFrame([(0, f"{SITE}/{T.PAGES[page]}?{urlencode(params)}", HTML[page])], "page_id int, url string, html string")
     return T.Sources(spark, str(root), "law.example", "news.example", "/n", SITE, {115: [str(root / "none.csv"), str(root / "b.csv")]}, fetch=fetch)
 
 
@@ -118,11 +128,53 @@ def test_catalogue_and_refusals(sources):
 
 def test_attachments_that_are_there(sources):
     row = lambda host: f'<tr><td>1</td><td>說明</td><td><a href="{host}/f/1.pdf">a.pdf</a></td><td>12 KB</td></tr>'
-    shown = lambda html: T.Sources(sources.spark, site=SITE, fetch=lambda page, params: sources.spark.createDataFrame([(0, SITE, f"<table>{html}</table>")], "page_id int, url string, html string"))  # noqa: E731, ARG005
+    url = lambda page, params: f"{SITE}/{T.PAGES[page]}?{urlencode(params)}"
+    shown = lambda html, url=url: T.Sources(sources.spark, site=SITE, fetch=lambda page, params: sources.spark.createDataFrame([(0, url(page, params), f"<table>{html}</table>")], "page_id int, url string, html string"))
     found = T.call(shown(row("")), "get_attachments", {"proposal_sn": "1"})
     assert [(r.no, r.name, r.size, r.download_url) for r in found.data.collect()] == [("1", "a.pdf", "12 KB", f"{SITE}/f/1.pdf")] and found.meta["total_files"] == 1
     refused("PARSER_CONTRACT_CHANGED", shown(row("https://other.example")), "get_attachments", proposal_sn="1")
     refused("PARSER_CONTRACT_CHANGED", shown(""), "get_attachments", proposal_sn="1")
+    relative = T.call(shown(row("").replace("/f/1.pdf", "f/1.pdf")), "get_attachments", {"proposal_sn": "1"})
+    assert relative.data.first().download_url == f"{SITE}/f/1.pdf"  # links are seen from the site's root
+    for other in (f"{SITE}/{T.PAGES['attachments']}?f=1&s=2", f"{SITE}/{T.PAGES['attachments']}", f"https://other.example/{T.PAGES['attachments']}?s=1", f"{SITE}/Login.aspx?s=1"):
+        refused("SOURCE_ID_MISMATCH", shown(row(""), lambda page, params, other=other: other), "get_attachments", proposal_sn="1")
+
+
+def test_detail_url_is_what_is_read(sources):
+    asked = []
+
+    def fetch(page, params):
+        asked.append((page, params))
+        return sources.fetch(page, params)
+
+    own = dataclasses.replace(sources, fetch=fetch)
+    for given in ("Detail.aspx?s=145&k=1", "/Detail.aspx?s=145&k=1", f"{SITE}/System/Proposal/Detail.aspx?s=145&k=1"):
+        found = T.call(own, "get_proposal", {"proposal_sn": "145", "detail_url": given})
+        assert found.data.first().detail_url == found.provenance["source_url"] == f"{SITE}/System/Proposal/Detail.aspx?s=145&k=1"
+    assert asked == [("proposal", {"s": "145", "k": "1"})] * 3
+    for bad in ("https://other.example/System/Proposal/Detail.aspx?s=145", "http://site.example/System/Proposal/Detail.aspx?s=145", f"{SITE}/System/Other/Detail.aspx?s=145", f"{SITE}/x"):
+        refused("INVALID_ARGUMENT", own, "get_proposal", proposal_sn="145", detail_url=bad)
+    moved = dataclasses.replace(sources, fetch=lambda page, params: sources.fetch(page, params).withColumn("url", F.lit(f"{SITE}/Login.aspx")))
+    refused("PARSER_CONTRACT_CHANGED", moved, "get_proposal", proposal_sn="145")
+
+
+def test_records_from_their_files(sources):
+    file = plain_pdf(["no match".encode("cp1252"), b"roads and roads"])
+    def files(rows, column):
+        url, bad = F.col(column), F.col("record_id") == "3"
+        return rows.withColumn("url", F.when(F.col("record_id") == "4", F.lit(f"{SITE}/MeetingRecord/5/a.pdf")).otherwise(url)).withColumn("error", F.when(bad, "no answer")).withColumn("content", F.when(~bad, F.lit(file)))
+
+    own = dataclasses.replace(sources, files=files)
+    r = T.call(own, "get_meeting_record", {"record_id": "2", "keyword": "roads", "page": 2})
+    assert (r.data.first().total_pages, r.data.first().page_content, r.data.first().match_count, r.meta["from_cache"]) == (2, "roads and roads", 2, False)
+    refused("INVALID_ARGUMENT", own, "get_meeting_record", record_id="2", page=3)
+    refused("PDF_EXTRACTION_FAILED", own, "get_meeting_record", record_id="3", pdf_url=f"{SITE}/MeetingRecord/3/a.pdf")
+    refused("SOURCE_ID_MISMATCH", own, "get_meeting_record", record_id="4", pdf_url=f"{SITE}/MeetingRecord/4/a.pdf")
+    found = T.call(own, "search_record_contents", {"keyword": "roads"})
+    assert (found.status, found.meta["succeeded_records_count"], [(x.record_id, x.match_count) for x in found.data.collect()]) == ("success", 2, [("2", 2)])
+    broken = dataclasses.replace(own, files=lambda rows, column: files(rows, column).withColumn("content", F.lit(b"x")))
+    found = T.call(broken, "search_record_contents", {"keyword": "道路"})
+    assert (found.status, found.meta["failures"]) == ("partial", [{"record_id": "2", "reason": "no PDF header"}])
 
 
 def test_meeting_by_its_number(sources):
