@@ -35,6 +35,11 @@ def or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _named_entities(text: Column, names: tuple[tuple[str, str], ...]) -> Column:
     for name, char in names:
         text = F.regexp_replace(text, f"(?i)&{name};", char)
@@ -55,7 +60,7 @@ def _numeric_entities(text: Column, pattern: str, digits) -> Column:
         joined = F.array_join(F.zip_with(F.split(text, pattern, -1), codes, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
         return F.when(text.rlike(pattern), joined).otherwise(text)
 
-    return F.transform(F.array(text), decoded)[0]  # so that what text stands for is computed once
+    return let(text, decoded)
 
 
 def decode_basic_entities(text: Column) -> Column:

@@ -41,9 +41,27 @@ def first_of(html: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract(X.or_empty(html), pattern, group)
 
 
+def _decoded(value: Column) -> Column:
+    """Entities decoded; a value without any is not searched for them."""
+    return X.let(value, lambda v: F.when(F.contains(v, F.lit("&")), X.decode_entities(v)).otherwise(v))
+
+
 def attribute(tag: Column, name: str) -> Column:
     """A quoted attribute's value, decoded; or empty."""
-    return X.decode_entities(first_of(tag, rf"(?is)\b{name}\s*=\s*([\"'])(.*?)\1", 2))
+    return _decoded(first_of(tag, rf"(?is)\b{name}\s*=\s*([\"'])(.*?)\1", 2))
+
+
+QUOTED = r"(?is)(\w+)\s*=\s*([\"'])(.*?)\2"
+
+
+def attributes(tag: Column) -> Column:
+    """Struct of the names (in small letters) and the values of all quoted attributes of a tag, as they are written. value_of() looks one up."""
+    return F.struct(F.transform(all_of(tag, QUOTED, 1), F.lower).alias("names"), all_of(tag, QUOTED, 3).alias("values"))
+
+
+def value_of(found: Column, name: str) -> Column:
+    """The first value of that name, decoded; or empty."""
+    return _decoded(X.or_empty(F.get(found["values"], (F.array_position(found["names"], name) - 1).cast("int"))))
 
 
 def named_tag(html: Column, tag: str, fragment: str) -> Column:
@@ -78,17 +96,23 @@ def meeting_code(found: Column, session: str, number: str | int | None) -> Colum
 
 def control_value(html: Column, fragment: str) -> Column:
     """The value that a form shows: of the list's selected option, or of the input."""
-    chosen = F.get(F.filter(all_of(select_body(html, fragment), r"(?is)<option\b[^>]*>"), lambda t: t.rlike(r"(?i)\bselected\b")), F.lit(0))
-    return X.strip(F.when(select_body(html, fragment) != "", attribute(chosen, "value")).otherwise(hidden_value(html, fragment)))
+    chosen = lambda body: F.get(F.filter(all_of(body, r"(?is)<option\b[^>]*>"), lambda t: t.rlike(r"(?i)\bselected\b")), F.lit(0))
+    shown = lambda body: F.when(body != "", attribute(chosen(body), "value")).otherwise(hidden_value(html, fragment))
+    return X.strip(X.let(select_body(html, fragment), shown))
 
 
 def form_fields(html: Column) -> Column:
-    """Array of (name, value) that a form would send: inputs but buttons and unticked boxes, and lists' selected options."""
-    inputs = F.filter(all_of(html, r"(?is)<input\b[^>]*>"), lambda t: (attribute(t, "name") != "") & ~F.lower(attribute(t, "type")).isin("submit", "button", "image", "reset") & (~F.lower(attribute(t, "type")).isin("checkbox", "radio") | t.rlike(r"(?i)\bchecked\b")))
-    lists = F.filter(all_of(html, r"(?is)<select\b[^>]*>.*?</select>"), lambda t: attribute(t, "name") != "")
-    pair = lambda n, v: F.struct(n.alias("name"), v.alias("value"))
-    chosen = lambda t: attribute(F.regexp_extract(t, r"(?is)(<option\b[^>]*\bselected\b[^>]*>)", 1), "value")
-    return F.concat(F.transform(inputs, lambda t: pair(attribute(t, "name"), attribute(t, "value"))), F.transform(lists, lambda t: pair(attribute(t, "name"), chosen(t))))
+    """Array of (name, value) that a form would send: inputs but buttons and unticked boxes, and lists' selected options. A tag's attributes are read once."""
+    def field(tag: Column) -> Column:
+        named = lambda a: F.struct(value_of(a, "name").alias("name"), F.lower(value_of(a, "type")).alias("type"), value_of(a, "value").alias("value"), tag.rlike(r"(?i)\bchecked\b").alias("ticked"))
+        return X.let(attributes(tag), named)
+
+    sent = lambda f: (f["name"] != "") & ~f["type"].isin("submit", "button", "image", "reset") & (~f["type"].isin("checkbox", "radio") | f["ticked"])
+    pair = lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value"))
+    inputs = F.transform(F.filter(F.transform(all_of(html, r"(?is)<input\b[^>]*>"), field), sent), pair)
+    chosen = lambda t: value_of(attributes(F.regexp_extract(t, r"(?is)(<option\b[^>]*\bselected\b[^>]*>)", 1)), "value")
+    listed = F.transform(all_of(html, r"(?is)<select\b[^>]*>.*?</select>"), lambda t: F.struct(value_of(attributes(F.regexp_extract(t, "(?s)^[^>]*>", 0)), "name").alias("name"), chosen(t).alias("value")))
+    return F.concat(inputs, F.filter(listed, lambda f: f["name"] != ""))
 
 
 def pager(html: Column) -> Column:

@@ -1,217 +1,232 @@
 """Queries by the named functions of tools.py, each with its SQL; with those of queries.py they are the whole catalogue.
 
-The functions read a site and a store. Here both are made of the tables nation and region: a list page has a row for each nation, and there is a law, a piece of news, a budget row and,
-for every other nation, a stored record. The two tables have a fixed number of rows at every scale; more than MOST are refused.
+What the functions read is made of tables that grow with the scale, by executors: verified snapshots of laws (documents) and news (events), published in parts; a budget table (customers) as CSV; stored records (documents, a page a line) in a
+page store; and a site whose pages are rendered from suppliers and line items when they are asked for. A store goes once its answer is held.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
 import uuid
 from urllib.parse import urlencode
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Refused
+from ..functions.text import SPACE
 from ..session import shared_dir, table
-from ..sources.results import put_text
+from ..sources import page_store, results, snapshots
 from . import tools
 from .queries import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
-SITE, MOST = "https://site.example", 1000
-
-
-def _nations(spark: SparkSession, d: str) -> list[Row]:
-    """key, name and region of every nation, by key."""
-    regions = F.broadcast(table(spark, d, "region").limit(MOST).select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region")))
-    rows = table(spark, d, "nation").join(regions, "n_regionkey").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), "region").limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise Refused("SOURCE_TOO_LARGE", f"over {MOST} nations")
-    return sorted(rows)
-
-
-def _proposals(rows: list[Row], params: dict) -> str:  # noqa: ARG001
-    shown = "".join(
-        f'<tr><td><input type="hidden" name="x$hidProposalSN" value="{100 + r.key}"/></td><td>{r.name}</td><td>a &amp; b</td><td>x, y，</td><td><a href="Detail.aspx?s={100 + r.key}&amp;k=1">subject of {r.name}</a></td><td>{r.region}</td></tr>' for r in rows
-    )
-    return f"<table>{shown}</table>共 {len(rows)} 筆 1 / 1 頁"
-
-
-def _proposal(rows: list[Row], params: dict) -> str:
-    r = next(r for r in rows if 100 + r.key == int(params["s"]))
-    labels = f"<table><tr><td>案由：</td><td>subject of {r.name}</td><td>類別</td><td>{r.region}</td></tr></table>"
-    return f'<title>Page of {r.name}</title><input name="x$hidProposalSN" value="{100 + r.key}"/>{labels}<table><tr><td>二讀決議：passed</td><td>決議日期：115/09/08</td></tr></table>'
-
-
-def _attachments(rows: list[Row], params: dict) -> str:  # noqa: ARG001
-    shown = "".join(f'<tr><td>{r.key}</td><td>{r.region} &amp; more</td><td><a href="f/{r.key}.pdf">{r.name}</a></td><td>{r.key} KB</td></tr>' for r in rows)
-    return f"<table><tr><td>序號</td><td>a</td><td>b</td><td>c</td></tr>{shown}</table>"
-
-
-def _records(rows: list[Row], params: dict) -> str:  # noqa: ARG001
-    shown = "".join(f'<tr><td>{r.key}</td><td>115/01/02</td><td>Meeting of {r.name}</td><td><a href="/MeetingRecord/{r.key}/a.pdf">x</a></td></tr>' for r in rows)
-    return f"<table>{shown}</table>共 {len(rows)} 筆"
-
-
-PAGES = {"proposals": _proposals, "proposal": _proposal, "attachments": _attachments, "records": _records}
-
-
-def _site(spark: SparkSession, d: str, **others) -> tools.Sources:
-    """Sources whose pages show every filter that they were asked with."""
-    rows = _nations(spark, d)
-
-    def fetch(page: str, params: dict) -> DataFrame:
-        form = "".join(f'<input name="x${tools.CONTROLS[k]}" value="{v}"/>' for k, v in params.items() if k in tools.CONTROLS)
-        return spark.createDataFrame([(0, f"{SITE}/{tools.PAGES[page]}?{urlencode(params)}", form + PAGES[page](rows, params))], "page_id int, url string, html string")
-
-    return tools.Sources(spark, site=SITE, fetch=fetch, **others)
+SITE = "https://site.example"
+ABOUT = {"fetched_at": "2026-01-01T00:00:00Z", "validated_at": "2026-01-02T00:00:00Z", "coverage": {"scope": "all", "complete": True}, "parser_version": "1", "validator_version": "1"}
 
 
 def _new_root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/named-{uuid.uuid4().hex}"
 
 
-def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def _answer(sources: tools.Sources, name: str, given: dict, *roots: str) -> tools.Envelope:
+    """The function's answer, which is held; its stores are deleted."""
+    try:
+        return tools.call(sources, name, given)
+    finally:
+        sources.snapshots.clear()
+        for root in roots:
+            results.delete(sources.spark, root)
+
+
+def _laws(spark: SparkSession, d: str, root: str) -> tools.Sources:
+    """Documents with some text as laws; their lines that are not blank as articles."""
+    lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(f"[^{SPACE}]"))
+    articles = F.transform(lines, lambda line, i: F.struct((i + 1).cast("string").alias("article_no"), line.alias("content")))
+    key = F.col("doc_id").cast("string")
+    rows = table(spark, d, "documents").select(
+        F.col("doc_id").alias("_pos"), F.concat(F.lit("L"), key).alias("law_id"), F.concat(F.lit("Law "), key, F.lit(" of "), "source").alias("law_name"), F.col("lang").alias("category"), F.lit("2026-01-01").alias("published_at"),
+        F.concat(F.lit("https://law.example/a?id=L"), key).alias("official_url"), F.lit("").alias("history"), articles.alias("articles"),
+    )
+    snapshots.publish(rows.where(F.size("articles") > 0), root, "laws", "s1", ["_pos"], ABOUT, rows_a_part=997)
+    return tools.Sources(spark, root, law_host="law.example")
 
 
-def _publish(spark: SparkSession, root: str, dataset: str, records: list[dict]) -> str:
-    """A verified snapshot of the records; returns the hash of its data."""
-    data, folder = json.dumps(records), f"verified/{dataset}/s1"
-    manifest = json.dumps({
-        "schema_version": "2.0", "dataset_id": dataset, "snapshot_id": "s1", "normalized_key": f"{folder}/normalized.json", "normalized_sha256": _sha(data), "fetched_at": "2026-01-01T00:00:00Z", "validated_at": "2026-01-02T00:00:00Z",
-        "validation_status": "passed", "revoked": False, "record_count": len(records), "coverage": {"scope": "all", "complete": True}, "parser_version": "1", "validator_version": "1",
-    })
-    put_text(spark, f"{root}/{folder}/normalized.json", data)
-    put_text(spark, f"{root}/{folder}/manifest.json", manifest)
-    put_text(spark, f"{root}/releases/{dataset}/active.json", json.dumps({"manifest_key": f"{folder}/manifest.json", "manifest_sha256": _sha(manifest)}))
-    return _sha(data)
+def _news(spark: SparkSession, d: str, root: str) -> tools.Sources:
+    key, kind, user = F.col("event_id").cast("string"), F.col("event_type"), F.col("user_id").cast("string")
+    rows = table(spark, d, "events").select(
+        F.col("event_id").alias("_pos"), F.concat(F.lit("N"), key).alias("news_id"), F.concat(kind, F.lit(" of user "), user, F.lit(".")).alias("title"), kind.alias("agency"), F.lit("c").alias("category"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"), F.concat(F.lit("with "), "props").alias("content_summary"), F.concat(F.lit("https://news.example/n?s="), key).alias("source_link"),
+    )
+    snapshots.publish(rows, root, "news", "s1", ["_pos"], ABOUT, rows_a_part=9973)
+    return tools.Sources(spark, root, news_host="news.example", news_path="/n")
 
 
-def _law(r: Row) -> dict:
-    articles = [{"article_no": "1", "content": f"{r.name} lies in {r.region}"}, {"article_no": "2", "content": "other"}]
-    return {"law_id": f"L{r.key}", "law_name": f"Law of {r.name}", "category": r.region, "published_at": "2026-01-01", "official_url": f"https://law.example/a?id=L{r.key}", "history": "", "articles": articles}
+_SP = r"[^\t\n\v\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_LAWS = f"(SELECT doc_id, 'L' || doc_id AS law_id, 'Law ' || doc_id || ' of ' || source AS law_name, lang AS category, 'https://law.example/a?id=L' || doc_id AS official_url, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_SP}')) AS lines FROM documents)"
+_NEWS = "(SELECT event_id, 'N' || event_id AS news_id, event_type || ' of user ' || user_id || '.' AS title, event_type AS agency, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS published_at, 'with ' || props AS content_summary FROM events)"
 
 
-def _laws(spark: SparkSession, d: str) -> tools.Sources:
+@query(f"""SELECT law_id, law_name, category, official_url, array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: contains(lines[i], 'able')), lambda i: i || ': ' || substring(lines[i], 1, 80) || '...'), '|') AS matched
+FROM {_LAWS} WHERE len(lines) > 0 AND contains(category, 'en') AND (contains(law_name, 'able') OR len(list_filter(lines, lambda l: contains(l, 'able'))) > 0) ORDER BY doc_id LIMIT 100""")
+def tool_search_laws(spark: SparkSession, d: str) -> DataFrame:
     root = _new_root(spark)
-    _publish(spark, root, "laws", [_law(r) for r in _nations(spark, d)])
-    return tools.Sources(spark, root, law_host="law.example")
+    found = _answer(_laws(spark, d, root), "search_laws", {"keyword": "able", "category": "en", "limit": 100}, root)
+    return found.data.select("law_id", "law_name", "category", "official_url", F.array_join("matched_articles", "|").alias("matched"))
 
 
-def _news(spark: SparkSession, d: str) -> tools.Sources:
+@query(f"SELECT law_id, law_name, category, CAST(len(lines) AS INTEGER) AS articles_count FROM {_LAWS} WHERE len(lines) > 0 AND contains(law_name, '7 of src3') ORDER BY doc_id LIMIT 1")
+def tool_law_detail(spark: SparkSession, d: str) -> DataFrame:
     root = _new_root(spark)
-    items = [{"news_id": f"N{r.key}", "title": r.name, "agency": r.region, "category": "c", "published_at": f"2026-01-{r.key % 28 + 1:02d}T00:00:00Z", "content_summary": f"about {r.region}", "source_link": f"https://news.example/n?s={r.key}"} for r in _nations(spark, d)]
-    _publish(spark, root, "news", items)
-    return tools.Sources(spark, root, news_host="news.example", news_path="/n")
+    return _answer(_laws(spark, d, root), "law_detail", {"law_name": "7 of src3"}, root).data.select("law_id", "law_name", "category", "articles_count")
 
 
-def _store(spark: SparkSession, d: str) -> tools.Sources:
-    """The site with stored records of two pages, of the nations with an even key."""
+@query(f"SELECT doc_id AS source_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, law_id FROM {_LAWS} WHERE len(lines) > 0")
+def snapshot_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot in parts, read back in its source's order: the small last parts of each task's files stand before large ones."""
     root = _new_root(spark)
-    for r in _nations(spark, d):
-        if r.key % 2 == 0:
-            texts = (f"{r.name} of {r.region}", f"the {r.region} and the {r.region}")
-            pages = [{"page": k, "text": t} for k, t in enumerate(texts, 1)]
-            put_text(spark, f"{root}/meeting_records/{r.key}.json", json.dumps({"record_id": str(r.key), "pdf_url": f"{SITE}/MeetingRecord/{r.key}/a.pdf", "total_pages": 2, "pages": pages, "cached_at": "x"}))
-    return _site(spark, d, root=root)
+    sources = _laws(spark, d, root)
+    found = snapshots.load_laws(spark, root, sources.law_host).records
+    return found.select(F.substr("law_id", F.lit(2)).cast("long").alias("source_id"), F.col("_pos").alias("position"), "law_id")
 
 
-_N = "(SELECT n_nationkey AS k, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey)"
+@query(f"SELECT news_id, title, agency, published_at FROM {_NEWS} WHERE contains(agency, 'c') ORDER BY published_at DESC, event_id LIMIT 10")
+def tool_latest_news(spark: SparkSession, d: str) -> DataFrame:
+    root = _new_root(spark)
+    return _answer(_news(spark, d, root), "latest_news", {"agency": "c"}, root).data.select("news_id", "title", "agency", "published_at")
 
 
-@query(f"""SELECT 'L' || k AS law_id, 'Law of ' || name AS law_name, region AS category, 'https://law.example/a?id=L' || k AS official_url, CASE WHEN contains(name, 'N_1') THEN '1: ' || name || ' lies in ' || region || '...' ELSE '' END AS matched
-FROM {_N} WHERE contains(region, 'A') AND contains(name, 'N_1')""")
-def tool_search_laws(spark: SparkSession, d: str) -> DataFrame:
-    found = tools.call(_laws(spark, d), "search_laws", {"keyword": "N_1", "category": "A", "limit": 100})
-    return found.data.select("law_id", "law_name", "category", "official_url", F.array_join("matched_articles", "|").alias("matched"))
+@query(f"SELECT news_id, title, content_summary FROM {_NEWS} WHERE contains(title, 'user 7.') OR contains(content_summary, 'user 7.') ORDER BY published_at DESC, event_id LIMIT 100")
+def tool_search_news(spark: SparkSession, d: str) -> DataFrame:
+    root = _new_root(spark)
+    return _answer(_news(spark, d, root), "search_news", {"keyword": "user 7.", "limit": 100}, root).data.select("news_id", "title", "content_summary")
 
 
-@query(f"SELECT 'L' || k AS law_id, 'Law of ' || name AS law_name, region AS category, 2 AS articles_count FROM {_N} WHERE contains(name, 'N_1') ORDER BY k LIMIT 1")
-def tool_law_detail(spark: SparkSession, d: str) -> DataFrame:
-    return tools.call(_laws(spark, d), "law_detail", {"law_name": "N_1"}).data.select("law_id", "law_name", "category", "articles_count")
+@query("""SELECT count(*) AS agency_count, round(sum(c_acctbal), 2) AS agency_sum, round(sum(c_acctbal), 2) AS official_total, arg_max(c_name, row(c_acctbal, c_custkey)) AS highest_name, max(c_acctbal) AS highest_amount,
+ arg_min(c_name, row(c_acctbal, c_custkey)) AS lowest_name, min(c_acctbal) AS lowest_amount, 115 AS year FROM customer""")
+def tool_budget_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The first table is missing, so the second one answers: many files, amounts with separators of thousands, and the total among the rows."""
+    root = _new_root(spark)
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("科目名稱"), F.format_number("c_acctbal", 2).alias("本年度預算數"), "c_acctbal")
+    total = rows.agg(F.lit(0).cast("long").alias("c_custkey"), F.lit("合計").alias("科目名稱"), F.format_number(F.sum("c_acctbal"), 2).alias("本年度預算數"))
+    both = rows.drop("c_acctbal").unionByName(total).repartitionByRange("c_custkey").sortWithinPartitions("c_custkey")
+    both.drop("c_custkey").write.option("header", True).option("escape", '"').option("maxRecordsPerFile", 997).csv(f"{root}/b")
+    found = _answer(tools.Sources(spark, budgets={115: [f"{root}/none.csv", f"{root}/b"]}), "budget_summary", {}, root).data
+    return found.withColumns({c: F.round(c, 2) for c in ("agency_sum", "official_total")})
 
 
-@query(f"SELECT 'N' || k AS news_id, name AS title, region AS agency, '2026-01-' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z' AS published_at FROM {_N} WHERE contains(region, 'A') ORDER BY k % 28 DESC, k LIMIT 10")
-def tool_latest_news(spark: SparkSession, d: str) -> DataFrame:
-    return tools.call(_news(spark, d), "latest_news", {"agency": "A"}).data.select("news_id", "title", "agency", "published_at")
+def _suppliers(spark: SparkSession, d: str, nation: str) -> DataFrame:
+    regions = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))
+    named = table(spark, d, "nation").join(regions, "n_regionkey").select(F.col("n_nationkey").alias("s_nationkey"), "region")
+    return table(spark, d, "supplier").where(F.col("s_nationkey") == int(nation)).join(named, "s_nationkey").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), "region")
 
 
-@query(f"SELECT 'N' || k AS news_id, name AS title, 'about ' || region AS content_summary FROM {_N} WHERE contains(name, 'SI') OR contains('about ' || region, 'SI') ORDER BY k % 28 DESC, k LIMIT 100")
-def tool_search_news(spark: SparkSession, d: str) -> DataFrame:
-    return tools.call(_news(spark, d), "search_news", {"keyword": "SI", "limit": 100}).data.select("news_id", "title", "content_summary")
+def _site(spark: SparkSession, d: str, **others) -> tools.Sources:
+    """Sources whose pages show every filter that they were asked with. Lists show the suppliers of the nation that is asked for."""
+    def rendered(rows: DataFrame, row: Column, before: str = "", after: str = "") -> Column:
+        return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", row.alias("row")))), lambda r: r["row"]), "").alias("rows"), F.count("*").alias("n")).select(
+            F.concat(F.lit(f"<table>{before}"), "rows", F.lit("</table>共 "), F.col("n").cast("string"), F.lit(f" 筆{after}")).alias("html")
+        )
 
+    def fetch(page: str, params: dict) -> DataFrame:
+        form = "".join(f'<input name="x${tools.CONTROLS[k]}" value="{v}"/>' for k, v in params.items() if k in tools.CONTROLS)
+        key = F.col("k").cast("string")
+        if page == "proposals":
+            row = F.concat(F.lit('<tr><td><input type="hidden" name="x$hidProposalSN" value="'), key, F.lit('"/></td><td>'), "name", F.lit('</td><td>a &amp; b</td><td>x, y，</td><td><a href="Detail.aspx?s='), key, F.lit('&amp;k=1">subject of '), "name", F.lit("</a></td><td>"), "region", F.lit("</td></tr>"))
+            shown = rendered(_suppliers(spark, d, params.get("category") or params["councilor"]), row, after=" 1 / 1 頁")
+        elif page == "records":
+            row = F.concat(F.lit("<tr><td>"), key, F.lit("</td><td>115/01/02</td><td>Meeting of "), "name", F.lit('</td><td><a href="MeetingRecord/'), key, F.lit('/a.pdf">x</a></td></tr>'))
+            shown = rendered(_suppliers(spark, d, params.get("keyword") or "7"), row)
+        elif page == "attachments":
+            files = table(spark, d, "lineitem").where(F.col("l_suppkey") == int(params["s"])).select(F.struct("l_orderkey", "l_linenumber").alias("k"), "l_orderkey", "l_linenumber")
+            name = F.concat_ws("-", "l_orderkey", "l_linenumber")
+            row = F.concat(F.lit("<tr><td>"), name, F.lit("</td><td>b &amp; c</td><td><a href='f/"), name, F.lit(".pdf'>file "), name, F.lit("</a></td><td>"), F.col("l_linenumber").cast("string"), F.lit(" KB</td></tr>"))
+            shown = rendered(files, row, "<tr><td>序號</td><td>a</td><td>b</td><td>c</td></tr>")
+        else:
+            one = table(spark, d, "supplier").where(F.col("s_suppkey") == int(params["s"])).select(F.col("s_suppkey").cast("string").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("nation"))
+            shown = one.select(F.concat(F.lit("<title>Page of "), "name", F.lit('</title><input name="x$hidProposalSN" value="'), "k", F.lit('"/><table><tr><td>案由：</td><td>subject of '), "name", F.lit("</td><td>類別</td><td>"), "nation", F.lit("</td></tr></table><table><tr><td>二讀決議：passed</td><td>決議日期：115/09/08</td></tr></table>")).alias("html"))
+        return shown.select(F.lit(0).alias("page_id"), F.lit(f"{SITE}/{tools.PAGES[page]}?{urlencode(params)}").alias("url"), F.concat(F.lit(form), "html").alias("html"))
 
-@query("""SELECT count(*) AS agency_count, CAST(sum((n_nationkey + 1) * 1000) AS DOUBLE) AS agency_sum, CAST(77000 AS DOUBLE) AS official_total, arg_max(n_name, n_nationkey) AS highest_name, CAST(max((n_nationkey + 1) * 1000) AS DOUBLE) AS highest_amount,
- arg_min(n_name, n_nationkey) AS lowest_name, CAST(min((n_nationkey + 1) * 1000) AS DOUBLE) AS lowest_amount, 115 AS year FROM nation""")
-def tool_budget_summary(spark: SparkSession, d: str) -> DataFrame:
-    """The first file is missing, so the second one answers."""
-    root = _new_root(spark)
-    rows = "".join(f'{r.name},"{(r.key + 1) * 1000:,}"\n' for r in _nations(spark, d))
-    put_text(spark, f"{root}/b.csv", f'﻿科目名稱,本年度預算數\n合計,"77,000"\n{rows}')
-    return tools.call(tools.Sources(spark, budgets={115: [f"{root}/none.csv", f"{root}/b.csv"]}), "budget_summary").data
+    return tools.Sources(spark, site=SITE, fetch=fetch, **others)
 
 
-_PROPOSALS = f"SELECT CAST(100 + k AS VARCHAR) AS proposal_sn, 'Detail.aspx?s=' || (100 + k) || '&k=1' AS detail_url, name AS number, 'a & b' AS category, 'x, y' AS proposer, 'subject of ' || name AS subject, region AS status, CAST(count(*) OVER () AS INTEGER) AS total_count, true AS is_complete FROM {_N}"
+_S = "(SELECT s_suppkey AS k, s_name AS name, r_name AS region, s_nationkey AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+_PROPOSALS = f"SELECT CAST(k AS VARCHAR) AS proposal_sn, 'Detail.aspx?s=' || k || '&k=1' AS detail_url, name AS number, 'a & b' AS category, 'x, y' AS proposer, 'subject of ' || name AS subject, region AS status, CAST(count(*) OVER () AS INTEGER) AS total_count, true AS is_complete FROM {_S} WHERE nation = "
 
 
 def _shown(found: tools.Envelope) -> DataFrame:
     meta = [F.lit(found.meta[k]).alias(k) for k in ("total_count", "is_complete")]
-    return found.data.select("proposal_sn", F.regexp_extract("detail_url", "Detail.*", 0).alias("detail_url"), "number", "category", "proposer", "subject", "status", *meta)
+    return found.data.select("proposal_sn", "detail_url", "number", "category", "proposer", "subject", "status", *meta)
 
 
-@query(_PROPOSALS)
+@query(_PROPOSALS + "8")
 def tool_search_proposals(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(tools.call(_site(spark, d), "search_proposals", {"keyword": "road", "period": "7", "category": "c"}))
+    return _shown(tools.call(_site(spark, d), "search_proposals", {"keyword": "road", "period": "7", "category": "8"}))
 
 
-@query(_PROPOSALS)
+@query(_PROPOSALS + "9")
 def tool_councilor_proposals(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(tools.call(_site(spark, d), "councilor_proposals", {"councilor": "x"}))
+    return _shown(tools.call(_site(spark, d), "councilor_proposals", {"councilor": "9"}))
 
 
-@query(f"SELECT CAST(100 + k AS VARCHAR) AS proposal_sn, 'Page of ' || name AS meeting, 'subject of ' || name AS subject, region AS category, 'passed' AS resolution, '115/09/08' AS resolution_date, '' AS method FROM {_N} WHERE k = 7")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS proposal_sn, 'Page of ' || s_name AS meeting, 'subject of ' || s_name AS subject, CAST(s_nationkey AS VARCHAR) AS category, 'passed' AS resolution, '115/09/08' AS resolution_date, '' AS method FROM supplier WHERE s_suppkey = 7")
 def tool_get_proposal(spark: SparkSession, d: str) -> DataFrame:
-    found = tools.call(_site(spark, d), "get_proposal", {"proposal_sn": "107"}).data
+    found = tools.call(_site(spark, d), "get_proposal", {"proposal_sn": "7", "detail_url": "Detail.aspx?s=7&k=1"}).data
     return found.select("proposal_sn", "meeting", "subject", "category", F.col("review.second_reading_resolution").alias("resolution"), F.col("review.second_reading_date").alias("resolution_date"), "method")
 
 
-@query(f"SELECT CAST(100 + k AS VARCHAR) AS proposal_sn, region AS category, 'decided' AS council_review_status, 'not_stated' AS status FROM {_N} WHERE k = 7")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS proposal_sn, CAST(s_nationkey AS VARCHAR) AS category, 'decided' AS council_review_status, 'not_stated' AS status FROM supplier WHERE s_suppkey = 7")
 def tool_proposal_result(spark: SparkSession, d: str) -> DataFrame:
-    return tools.call(_site(spark, d), "proposal_result", {"proposal_sn": "107"}).data.select("proposal_sn", "category", "council_review_status", "status")
+    return tools.call(_site(spark, d), "proposal_result", {"proposal_sn": "7"}).data.select("proposal_sn", "category", "council_review_status", "status")
 
 
-@query(f"SELECT CAST(k AS VARCHAR) AS no, region || ' & more' AS description, name, k || ' KB' AS size, '{SITE}/f/' || k || '.pdf' AS download_url FROM {_N}")
+@query(f"SELECT n AS no, 'b & c' AS description, 'file ' || n AS name, l_linenumber || ' KB' AS size, '{SITE}/f/' || n || '.pdf' AS download_url FROM (SELECT l_orderkey || '-' || l_linenumber AS n, l_linenumber FROM lineitem WHERE l_suppkey = 7)")
 def tool_get_attachments(spark: SparkSession, d: str) -> DataFrame:
-    return tools.call(_site(spark, d), "get_attachments", {"proposal_sn": "107"}).data.select("no", "description", "name", "size", "download_url")
+    return tools.call(_site(spark, d), "get_attachments", {"proposal_sn": "7"}).data.select("no", "description", "name", "size", "download_url")
+
+
+_RECORDS = f"SELECT CAST(k AS VARCHAR) AS record_id, 'Meeting of ' || name AS meeting, '115/01/02' AS date, '{SITE}/MeetingRecord/' || k || '/a.pdf' AS pdf_url FROM {_S} WHERE nation = "
 
 
-@query(f"SELECT CAST(k AS VARCHAR) AS record_id, 'Meeting of ' || name AS meeting, '115/01/02' AS date, '{SITE}/MeetingRecord/' || k || '/a.pdf' AS pdf_url FROM {_N}")
+@query(_RECORDS + "11")
 def tool_search_meeting_records(spark: SparkSession, d: str) -> DataFrame:
-    return tools.call(_site(spark, d), "search_meeting_records", {"keyword": "road"}).data.select("record_id", "meeting", "date", "pdf_url")
+    return tools.call(_site(spark, d), "search_meeting_records", {"keyword": "11"}).data.select("record_id", "meeting", "date", "pdf_url")
 
 
-@query(f"SELECT CAST(k AS VARCHAR) AS meeting_id, 4 AS term, 2 AS session_period, 'Meeting of ' || name AS meeting_name, '115/01/02' AS meeting_date FROM {_N} ORDER BY k LIMIT 10")
+@query(f"SELECT record_id AS meeting_id, 4 AS term, 2 AS session_period, meeting AS meeting_name, date AS meeting_date FROM ({_RECORDS}7) ORDER BY CAST(record_id AS BIGINT) LIMIT 10")
 def tool_council_meetings(spark: SparkSession, d: str) -> DataFrame:
     return tools.call(_site(spark, d), "council_meetings", {"session_period": 2}).data.select("meeting_id", "term", "session_period", "meeting_name", "meeting_date")
 
 
-@query(f"SELECT CAST(k AS VARCHAR) AS record_id, 2 AS total_pages, 'the ' || region || ' and the ' || region AS page_content, CAST(1 AS BIGINT) AS matched_pages_count, CAST(2 AS BIGINT) AS match_count FROM {_N} WHERE k = 8")
+def _store(spark: SparkSession, d: str, root: str) -> tools.Sources:
+    """The site with every document with a text as a stored record of its lines."""
+    pages = F.transform(F.split("text", "\n", -1), lambda t, i: F.struct((i + 1).alias("page"), t.alias("text")))
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND doc_id >= 0").select(F.col("doc_id").cast("string").alias("record_id"), pages.alias("pages"))
+    page_store.write(docs.select("record_id", F.concat(F.lit(f"{SITE}/MeetingRecord/"), "record_id", F.lit("/a.pdf")).alias("pdf_url"), F.size("pages").alias("total_pages"), "pages"), f"{root}/pages")
+    return _site(spark, d, page_store=f"{root}/pages")
+
+
+_LINES = "(SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)"
+_HITS = "len(list_filter(lines, lambda l: contains(l, 'en')))"
+_COUNT = "list_sum(list_transform(lines, lambda l: (length(l) - length(replace(l, 'en', ''))) // 2))"
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS record_id, CAST(len(lines) AS INTEGER) AS total_pages, lines[2] AS page_content, CAST({_HITS} AS BIGINT) AS matched_pages_count, CAST({_COUNT} AS BIGINT) AS match_count FROM {_LINES} WHERE doc_id = 2")
 def tool_get_meeting_record(spark: SparkSession, d: str) -> DataFrame:
-    found = tools.call(_store(spark, d), "get_meeting_record", {"record_id": "8", "keyword": "the ", "page": 2}).data
-    return found.select("record_id", "total_pages", "page_content", "matched_pages_count", "match_count")
+    root = _new_root(spark)
+    found = tools.call(_store(spark, d, root), "get_meeting_record", {"record_id": "2", "keyword": "en", "page": 2}).data
+    held, _ = tools.held(found.select("record_id", "total_pages", "page_content", "matched_pages_count", "match_count"))  # one row
+    results.delete(spark, root)
+    return held
 
 
-@query(f"""WITH c AS (SELECT * FROM {_N} ORDER BY k LIMIT 15) SELECT CAST(k AS VARCHAR) AS record_id, 'Meeting of ' || name AS meeting, CAST(2 AS BIGINT) AS matched_pages_count, CAST(3 AS BIGINT) AS match_count,
- CAST((SELECT count(*) FROM c WHERE k % 2 = 1) AS INTEGER) AS failed, 'partial' AS status FROM c WHERE k % 2 = 0 AND region = 'ASIA'""")
+@query(f"""WITH c AS (SELECT * FROM ({_RECORDS}7) ORDER BY CAST(record_id AS BIGINT) LIMIT 15), r AS (SELECT record_id, meeting, lines FROM c LEFT JOIN {_LINES} ON CAST(doc_id AS VARCHAR) = record_id)
+SELECT record_id, meeting, CAST({_HITS} AS BIGINT) AS matched_pages_count, CAST({_COUNT} AS BIGINT) AS match_count, CAST((SELECT count(*) FROM r WHERE lines IS NULL) AS INTEGER) AS failed, CASE WHEN (SELECT count(*) FROM r WHERE lines IS NULL) > 0 THEN 'partial' ELSE 'success' END AS status FROM r WHERE {_HITS} > 0""")
 def tool_search_record_contents(spark: SparkSession, d: str) -> DataFrame:
-    """In the first 15 records; those that are not stored fail and the scan goes on."""
-    found = tools.call(_store(spark, d), "search_record_contents", {"keyword": "ASIA", "limit_records": 15})
-    return found.data.select("record_id", "meeting", "matched_pages_count", "match_count", F.lit(found.meta["failed_records_count"]).alias("failed"), F.lit(found.status).alias("status"))
+    """In the first 15 listed records; those that are not stored fail and the scan goes on."""
+    root = _new_root(spark)
+    found = _answer(_store(spark, d, root), "search_record_contents", {"keyword": "en", "limit_records": 15}, root)
+    return found.data.select("record_id", "meeting", "matched_pages_count", "match_count", F.lit(found.meta["failed_records_count"]).cast("int").alias("failed"), F.lit(found.status).alias("status"))
 
 
 # The functions that no source can answer truthfully, with arguments that are in order.
@@ -222,22 +237,25 @@ REFUSED = {"search_interpellations": {"keyword": "a"}, "get_schedule": {}, "get_
 UNION ALL VALUES ('search_speeches without arguments', 'INVALID_ARGUMENT'), ('no such function', 'UNKNOWN_TOOL'), ('revoked laws', 'SNAPSHOT_REVOKED'), ('no snapshot', 'SNAPSHOT_UNVERIFIED'), ('changed laws', 'SNAPSHOT_UNVERIFIED'), ('a law without articles', 'SNAPSHOT_UNVERIFIED'),
  ('another proposal', 'SOURCE_ID_MISMATCH'), ('a filter that the page does not show', 'FILTER_NOT_CONFIRMED'), ('an unstored record', 'RECORD_UNREADABLE'), ('a page that is not there', 'INVALID_ARGUMENT')""")
 def tool_refusals(spark: SparkSession, d: str) -> DataFrame:
-    """What each question that cannot be answered is refused with."""
-    rows, site, store = _nations(spark, d), _site(spark, d), _store(spark, d)
-    roots = [_new_root(spark) for _ in range(2)]
-    good = _publish(spark, roots[0], "laws", [_law(r) for r in rows])
-    _publish(spark, roots[1], "laws", [_law(rows[0]) | {"articles": []}])
-    laws = [tools.Sources(spark, r, law_host="law.example") for r in roots]
-    denied = tools.Sources(spark, roots[0], law_host="law.example", revoked=(good,))
-    other = tools.Sources(spark, site=SITE, fetch=lambda page, params: site.fetch(page, {"s": "101"}))  # noqa: ARG005 - answers without the filters
+    """What each question that cannot be answered is refused with, over snapshots and stored records of all documents."""
+    root, other_root = _new_root(spark), _new_root(spark)
+    laws, site, store = _laws(spark, d, root), _site(spark, d), _store(spark, d, root)
+    good = snapshots.load(spark, root, "laws", snapshots.LAW).manifest
+    bare = snapshots.load(spark, root, "laws", snapshots.LAW).records.withColumn("articles", F.when(F.col("_pos") > 0, F.col("articles")).otherwise(F.array()))
+    snapshots.publish(bare, other_root, "laws", "s2", ["law_id"], ABOUT)
+    denied = tools.Sources(spark, root, law_host="law.example", revoked=(good["normalized_sha256"],))
+    other = tools.Sources(spark, site=SITE, fetch=lambda page, params: site.fetch(page, {"s": "1", "category": "7"}))  # noqa: ARG005 - answers without the filters
     asked = [
         *((n, site, n, given) for n, given in REFUSED.items()), ("search_speeches without arguments", site, "search_speeches", {}), ("no such function", site, "other", {}), ("revoked laws", denied, "search_laws", {"keyword": "a"}),
-        ("no snapshot", tools.Sources(spark, _new_root(spark)), "search_laws", {"keyword": "a"}), ("a law without articles", laws[1], "search_laws", {"keyword": "a"}), ("another proposal", other, "get_proposal", {"proposal_sn": "102"}),
-        ("a filter that the page does not show", other, "search_proposals", {"keyword": "road"}), ("an unstored record", store, "get_meeting_record", {"record_id": "1"}), ("a page that is not there", store, "get_meeting_record", {"record_id": "2", "page": 3}),
+        ("no snapshot", tools.Sources(spark, _new_root(spark)), "search_laws", {"keyword": "a"}), ("a law without articles", tools.Sources(spark, other_root, law_host="law.example"), "search_laws", {"keyword": "a"}),
+        ("another proposal", other, "get_proposal", {"proposal_sn": "2"}), ("a filter that the page does not show", other, "search_proposals", {"keyword": "road"}), ("an unstored record", store, "get_meeting_record", {"record_id": "99999999999"}),
+        ("a page that is not there", store, "get_meeting_record", {"record_id": "2", "page": 1000000}),
     ]
     codes = [(name, _refusal(sources, tool, given)) for name, sources, tool, given in asked]
-    put_text(spark, f"{roots[0]}/verified/laws/s1/normalized.json", "[]")
-    codes.append(("changed laws", _refusal(laws[0], "search_laws", {"keyword": "a"})))
+    results.put_text(spark, f"{root}/{good['parts'][0]['key']}", "{}\n")
+    codes.append(("changed laws", _refusal(laws, "search_laws", {"keyword": "a"})))
+    for done in (root, other_root, store.page_store.rpartition("/")[0]):
+        results.delete(spark, done)
     return spark.createDataFrame(codes, "asked string, reason_code string")
 
 

@@ -23,7 +23,7 @@ from ..functions import urls
 from ..functions.codes import period_code
 from ..operators import markup, paged, search, totals
 from ..operators.completeness import completeness, require_applied
-from ..sources import delimited, pdf, results, snapshots, web
+from ..sources import delimited, page_store, pdf, results, snapshots, web
 from ..sources.cache import Timed, Versioned, hold
 
 # Folders of the pages below a site, the form's controls by filter, and the code of the one term that is served.
@@ -54,6 +54,7 @@ class Sources:
     revoked: tuple[str, ...] = ()
     fetch: Callable[[str, dict], DataFrame] | None = None
     files: Callable[[DataFrame, str], DataFrame] | None = None
+    page_store: str = ""
     snapshots: Versioned = field(default_factory=snapshots.new_cache)
     raw_budgets: Timed = field(default_factory=lambda: Timed(86400, lambda held: held[0].unpersist()))
     summaries: Timed = field(default_factory=lambda: Timed(3600))
@@ -157,7 +158,7 @@ def web_files(site: str, timeout: int = 15, **options: str) -> Callable[[DataFra
     return lambda rows, column: web.fetch_each(rows, F.col(column), binary="true", host=host, timeout=str(timeout), **options)
 
 
-def _held(df: DataFrame) -> tuple[DataFrame, int]:
+def held(df: DataFrame) -> tuple[DataFrame, int]:
     """The rows of a limited result, read once, and their number."""
     rows = df.collect()
     return df.sparkSession.createDataFrame(rows, df.schema), len(rows)
@@ -194,7 +195,7 @@ def budget_summary(sources: Sources, year: int = 115) -> Envelope:
 
     def summary() -> Envelope:
         rows, path = sources.raw_budgets.get((year, paths), raw)
-        found, _ = _held(totals.checked_summary(rows).withColumn("year", F.lit(year)))  # one row
+        found, _ = held(totals.checked_summary(rows).withColumn("year", F.lit(year)))  # one row
         return Envelope(found, {"source_id": str(year), "source_url": path, "source_type": "file", "retrieved_at": _now(), "content_hash": "not-computed"}, {"year": year})
 
     return sources.summaries.get((year, paths), summary)
@@ -206,7 +207,7 @@ def search_laws(sources: Sources, keyword: str, category: str | None = None, lim
     keyword, category, n = A.text(keyword, "keyword", 200, required=True), A.text(category, "category", 100), A.limit(limit)
     laws = snapshots.load_laws(sources.spark, sources.root, sources.law_host, sources.revoked, sources.snapshots)
     found = search.search_nested(laws.records, keyword, "law_name", "articles", "content", "article_no", {"category": category}, n)
-    data, total = _held(found.select("law_id", "law_name", "category", "published_at", "official_url", F.col("matched").alias("matched_articles")))
+    data, total = held(found.select("law_id", "law_name", "category", "published_at", "official_url", F.col("matched").alias("matched_articles")))
     return Envelope(data, snapshot_provenance(laws.manifest), {"query_keyword": keyword, "query_category": category or "all", "total_matched": total})
 
 
@@ -217,7 +218,7 @@ def law_detail(sources: Sources, law_id: str | None = None, law_name: str | None
     if not law_id and not law_name:
         raise Refused("INVALID_ARGUMENT", "law_id or law_name is missing")
     laws = snapshots.load_laws(sources.spark, sources.root, sources.law_host, sources.revoked, sources.snapshots)
-    data, n = _held(search.first_match(laws.records, "law_id", law_id, "law_name", law_name).drop("_pos").withColumn("articles_count", F.size("articles")))
+    data, n = held(search.first_match(laws.records, "law_id", law_id, "law_name", law_name).drop("_pos").withColumn("articles_count", F.size("articles")))
     if not n:
         raise Refused("NOT_FOUND", f"no law is {law_id or law_name}")
     return Envelope(data, snapshot_provenance(laws.manifest), {"query_id": law_id, "query_name": law_name})
@@ -242,7 +243,7 @@ def council_meetings(sources: Sources, term: int = 4, session_period: int | None
     rows = search.first(found.data, n).select(
         F.col("record_id").alias("meeting_id"), F.lit(term).alias("term"), F.lit(number).cast("int").alias("session_period"), F.col("meeting").alias("meeting_name"), F.col("date").alias("meeting_date"), "record_type", "pdf_url"
     )
-    data, total = _held(rows)
+    data, total = held(rows)
     return Envelope(data, found.provenance, {"term": term, "period": TERMS[term], "session": session or "all", "total": total, "official_total": found.meta["total"]})
 
 
@@ -260,7 +261,7 @@ def latest_news(sources: Sources, agency: str | None = None, category: str | Non
     """The newest news whose agency and category hold the texts."""
     agency, category, n = A.text(agency, "agency", 100), A.text(category, "category", 100), A.limit(limit)
     news = snapshots.load_news(sources.spark, sources.root, sources.news_host, sources.news_path, sources.revoked, sources.snapshots)
-    data, total = _held(search.latest(news.records, "published_ts", {"agency": agency, "category": category}, n).drop("_pos", "published_ts"))
+    data, total = held(search.latest(news.records, "published_ts", {"agency": agency, "category": category}, n).drop("_pos", "published_ts"))
     return Envelope(data, snapshot_provenance(news.manifest), {"agency_filter": agency or "all", "category_filter": category or "all", "total": total})
 
 
@@ -270,7 +271,7 @@ def search_news(sources: Sources, keyword: str, limit: int | None = 10) -> Envel
     keyword, n = A.text(keyword, "keyword", 200, required=True), A.limit(limit)
     news = snapshots.load_news(sources.spark, sources.root, sources.news_host, sources.news_path, sources.revoked, sources.snapshots)
     found = search.search_flat(news.records, keyword, ["title", "content_summary"], (F.desc_nulls_last("published_ts"),), n)
-    data, total = _held(found.drop("_pos", "published_ts"))
+    data, total = held(found.drop("_pos", "published_ts"))
     return Envelope(data, snapshot_provenance(news.manifest), {"query_keyword": keyword, "total_matched": total})
 
 
@@ -300,7 +301,7 @@ def search_proposals(
         asked["meeting"] = form.m
     pages = sources.pages("proposals", {k: v for k, v in asked.items() if v})
     applied = _asked(pages, asked)
-    data, n = _held(markup.proposals(pages, "page_id").orderBy("page_id", "_pos").drop("page_id"))  # of one page
+    data, n = held(markup.proposals(pages, "page_id").orderBy("page_id", "_pos").drop("page_id"))  # of one page
     counts = completeness(pages.select(F.lit(n).alias("returned_count"), markup.pager(F.col("html")).alias("p")).select("returned_count", "p.tab_counts", "p.page", "p.pages")).first()
     meta = {"returned_count": n, "total_count": counts.total_count, "is_complete": counts.is_complete, "current_page": counts.page, "page_count": counts.pages, "notice": counts.notice, "tab_counts": counts.tab_counts, "applied_filters": applied}
     return Envelope(data, web_provenance(sources.url("proposals")), meta)
@@ -342,7 +343,7 @@ def get_proposal(sources: Sources, proposal_sn: str, detail_url: str | None = No
     review = markup.reviews(rows, "page_id").select("page_id", F.struct(*markup.REVIEW_FIELDS).alias("review"))
     title = F.coalesce(F.nullif(markup.meeting_title(F.col("html")), F.lit("")), F.col("meeting_label"), F.lit("")).alias("meeting")
     joined = pages.select("page_id", "html").join(named, "page_id", "left").join(review, "page_id", "left")
-    data, _ = _held(joined.select(F.lit(sn).alias("proposal_sn"), F.lit(url).alias("detail_url"), title, *[v for v in DETAIL.values() if v != "meeting_label"], "review"))
+    data, _ = held(joined.select(F.lit(sn).alias("proposal_sn"), F.lit(url).alias("detail_url"), title, *[v for v in DETAIL.values() if v != "meeting_label"], "review"))
     return Envelope(data, web_provenance(url), {"proposal_sn": sn})
 
 
@@ -354,7 +355,7 @@ def get_attachments(sources: Sources, proposal_sn: str) -> Envelope:
     own = pages.select("url").first()
     if own is None or not _is_page(sources, own.url or "", "attachments") or dict(parse_qsl(urlsplit(own.url).query)).get("s") != sn:
         raise Refused("SOURCE_ID_MISMATCH", f"asked for the files of {sn}, the answer is {own.url if own else 'empty'}")
-    data, n = _held(markup.attachments(pages, "page_id", "html", sources.root_url()).orderBy("page_id", "_pos").drop("page_id"))
+    data, n = held(markup.attachments(pages, "page_id", "html", sources.root_url()).orderBy("page_id", "_pos").drop("page_id"))
     return Envelope(data, web_provenance(own.url), {"proposal_sn": sn, "total_files": n})
 
 
@@ -364,7 +365,7 @@ def search_meeting_records(sources: Sources, keyword: str | None = None, period:
     asked = {"period": A.code(period or "07", "period"), "session": A.code(session, "session"), "meeting": A.code(meeting, "meeting"), "keyword": A.text(keyword, "keyword", 200)}
     pages = sources.pages("records", {k: v for k, v in asked.items() if v})
     applied = _asked(pages, asked)
-    data, n = _held(markup.meeting_records(pages, "page_id", "html", sources.root_url()).orderBy("page_id", "_pos").drop("page_id"))  # of one page
+    data, n = held(markup.meeting_records(pages, "page_id", "html", sources.root_url()).orderBy("page_id", "_pos").drop("page_id"))  # of one page
     total = pages.select(markup.pager(F.col("html"))["total"]).first()[0]
     return Envelope(data, web_provenance(sources.url("records")), {"returned_count": n, "total": total, "is_complete": None if total is None else n >= total, "applied_filters": applied})
 
@@ -445,6 +446,13 @@ def _record_url(sources: Sources, record_id: str, pdf_url: str | None) -> str:
     return pdf_url
 
 
+def _stored_records(sources: Sources, ids: list[str]) -> DataFrame:
+    """The stored ones of a few records: of the page store where one is set, else of the store of objects."""
+    if sources.page_store:
+        return page_store.read(sources.spark, sources.page_store, ids)
+    return snapshots.load_records(sources.spark, sources.root, ids)
+
+
 def _records_of_files(sources: Sources, wanted: DataFrame) -> DataFrame:
     """record_id, pdf_url, total_pages, pages (null where there is a reason) and reason of records (record_id, pdf_url) whose files are read now: by executors, a few at a time, and not stored."""
     host = urlsplit(sources.site).hostname or ""
@@ -459,8 +467,8 @@ def _records_of_files(sources: Sources, wanted: DataFrame) -> DataFrame:
 def get_meeting_record(sources: Sources, record_id: str, pdf_url: str | None = None, keyword: str | None = None, page: int | None = None) -> Envelope:
     """One record: its matches by page, and the text of a page. A record that is not stored as text is read from its file, by pdf_url or the list's link; nothing is stored. Without a source of files it is refused with the URL of its file."""
     record_id, pdf_url, keyword = A.code(record_id, "record_id", required=True), A.text(pdf_url, "pdf_url", 500), A.text(keyword, "keyword", 200)
-    record = snapshots.load_record(sources.spark, sources.root, record_id)
-    stored = record is not None
+    record = _stored_records(sources, [record_id]) if sources.page_store else snapshots.load_record(sources.spark, sources.root, record_id)
+    stored = record is not None and not record.isEmpty()
     if not stored:
         link = _record_url(sources, record_id, pdf_url)
         if sources.files is None:
@@ -484,8 +492,8 @@ def search_record_contents(sources: Sources, keyword: str, limit_records: int |
     """The matches in the first limit_records records; partial when some cannot be read, refused when none can. meta has the statistics and failures."""
     keyword, n = A.text(keyword, "keyword", 200, required=True), A.limit(limit_records, 8, 15)
     listed = search_meeting_records(sources, period=period, session=session)
-    index, _ = _held(search.first(listed.data, n).select("_pos", "record_id", "meeting", "date", "pdf_url"))
-    stored = snapshots.load_records(sources.spark, sources.root, [r.record_id for r in index.select("record_id").collect()])  # 15 ids at most
+    index, _ = held(search.first(listed.data, n).select("_pos", "record_id", "meeting", "date", "pdf_url"))
+    stored = _stored_records(sources, [r.record_id for r in index.select("record_id").collect()])  # 15 ids at most
     pages, reasons = paged.pages_of(stored), {}
     if sources.files is not None:
         read = hold(_records_of_files(sources, index.join(stored.select("record_id"), "record_id", "left_anti")))
@@ -494,7 +502,7 @@ def search_record_contents(sources: Sources, keyword: str, limit_records: int |
     pages = hold(pages)  # read once for matches, failures and statistics
     found, failures, stats = paged.scan(index, pages, keyword, n)
     row = paged.require_some(stats).first()
-    found, _ = _held(found)  # a row for each of the records
+    found, _ = held(found)  # a row for each of the records
     failed = [f.asDict() | ({"reason": reasons[f.record_id]} if f.record_id in reasons else {}) for f in failures.collect()]
     meta = row.asDict() | {"failures": failed, "reason_code": "PARTIAL_SCAN" if row.failed_records_count else None}
     pages.unpersist()

@@ -44,3 +44,8 @@ class Versioned:
         if name not in self._held:
             self._held[name] = (version, make())
         return self._held[name][1]
+
+    def clear(self) -> None:
+        """Ends all values."""
+        for name in list(self._held):
+            self._ended(self._held.pop(name)[1])

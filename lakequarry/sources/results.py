@@ -16,11 +16,17 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     json_rows(df).write.mode(mode).text(path)
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small object (a pointer, a manifest, a stored page) below a folder of any file system that Spark reads."""
+def put_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
+    """One small object (a pointer, a manifest, a stored page) below a folder of any file system that Spark reads. Without replace it is an error where there is one."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, replace)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder or object with all that is below it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
