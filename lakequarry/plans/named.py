@@ -75,10 +75,10 @@ def tool_search_laws(spark: SparkSession, d: str) -> DataFrame:
     return found.data.select("law_id", "law_name", "category", "official_url", F.array_join("matched_articles", "|").alias("matched"))
 
 
-@query(f"SELECT law_id, law_name, category, CAST(len(lines) AS INTEGER) AS articles_count FROM {_LAWS} WHERE len(lines) > 0 AND contains(law_name, '7 of src3') ORDER BY doc_id LIMIT 1")
+@query(f"SELECT law_id, law_name, category, CAST(len(lines) AS INTEGER) AS articles_count FROM {_LAWS} WHERE len(lines) > 0 AND contains(law_name, '7 of src') ORDER BY doc_id LIMIT 1")
 def tool_law_detail(spark: SparkSession, d: str) -> DataFrame:
     root = _new_root(spark)
-    return _answer(_laws(spark, d, root), "law_detail", {"law_name": "7 of src3"}, root).data.select("law_id", "law_name", "category", "articles_count")
+    return _answer(_laws(spark, d, root), "law_detail", {"law_name": "7 of src"}, root).data.select("law_id", "law_name", "category", "articles_count")
 
 
 @query(f"SELECT doc_id AS source_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, law_id FROM {_LAWS} WHERE len(lines) > 0")
@@ -248,7 +248,7 @@ def tool_refusals(spark: SparkSession, d: str) -> DataFrame:
     asked = [
         *((n, site, n, given) for n, given in REFUSED.items()), ("search_speeches without arguments", site, "search_speeches", {}), ("no such function", site, "other", {}), ("revoked laws", denied, "search_laws", {"keyword": "a"}),
         ("no snapshot", tools.Sources(spark, _new_root(spark)), "search_laws", {"keyword": "a"}), ("a law without articles", tools.Sources(spark, other_root, law_host="law.example"), "search_laws", {"keyword": "a"}),
-        ("another proposal", other, "get_proposal", {"proposal_sn": "2"}), ("a filter that the page does not show", other, "search_proposals", {"keyword": "road"}), ("an unstored record", store, "get_meeting_record", {"record_id": "99999999999"}),
+        ("another proposal", other, "get_proposal", {"proposal_sn": "2"}), ("a filter that the page does not show", other, "search_proposals", {"keyword": "road"}), ("an unstored record", store, "get_meeting_record", {"record_id": "99999999999", "pdf_url": f"{SITE}/MeetingRecord/99999999999/a.pdf"}),
         ("a page that is not there", store, "get_meeting_record", {"record_id": "2", "page": 1000000}),
     ]
     codes = [(name, _refusal(sources, tool, given)) for name, sources, tool, given in asked]
