@@ -160,6 +160,38 @@ def table_rows(pages: DataFrame, key: str, html: str, table_id: str | None = Non
     return rows.select(key, "table", "_pos", cells_of(F.col("_tr"), clean, CELL).alias("cells")).where(F.size("cells") > 0)
 
 
+# What the first cells of a header row of a tab's table say, and the fields of its rows.
+TAB_HEADER, TAB_FIELDS = ("編號", "類別", "提案議員"), ("number", "category", "councilor", "subject", "status", "remark")
+
+
+def tab_rows(pages: DataFrame, key: str, html: str, tabs: dict[str, str]) -> DataFrame:
+    """key, tab, _pos, TAB_FIELDS and link of the rows of each tab's table (tabs: its id by the tab's name): rows with four cells at least that are no header and do not say that there are none. A table that is not there, or says that it is empty, gives no row."""
+    some = F.array(*[F.struct(F.lit(t).alias("tab"), X.let(first_of(F.col(html), rf"(?is)<table\b[^>]*\bid=[\"']{i}[\"'].*?</table>"), lambda x: F.when(~F.contains(x, F.lit(NO_ATTACHMENTS[0])), x)).alias("table")) for t, i in tabs.items()])
+    rows = pages.select(key, F.explode(some).alias("t")).select(key, "t.tab", F.posexplode(all_of(F.col("t.table"), ROW)).alias("_pos", "_tr")).withColumn("_c", cells_of(F.col("_tr"), X.text_of_markup, r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"))
+    cell = lambda k: X.or_empty(F.get("_c", F.lit(k)))
+    header = F.lit(False)
+    for k, name in enumerate(TAB_HEADER):
+        header = header | (cell(k) == name)
+    link = _decoded(first_of(F.col("_tr"), r'(?i)href="([^"]+)"', 1))
+    return rows.where((F.size("_c") >= 4) & ~header).select(key, "tab", "_pos", *[cell(k).alias(n) for k, n in enumerate(TAB_FIELDS)], link.alias("link"))
+
+
+def tab_totals(pages: DataFrame, key: str, html: str, tabs: dict[str, str]) -> DataFrame:
+    """key, tab, total and there (whether the page has the tab's table): the total that is stated between a tab's table and the next one's; null where none is, or several are."""
+    starts = F.array_sort(F.filter(F.array(*[F.struct(F.instr(F.col(html), f'id="{i}"').alias("at"), F.lit(t).alias("tab")) for t, i in tabs.items()]), lambda s: s["at"] > 0))
+    part = lambda s, k, all_: F.substring(F.col(html), s["at"], F.coalesce(F.get(all_, k + 1)["at"], F.length(html) + 1) - s["at"])
+    found = pages.select(key, F.explode(X.let(starts, lambda all_: F.transform(all_, lambda s, k: F.struct(s["tab"].alias("tab"), pager(part(s, k, all_))["total"].alias("total"))))).alias("t"))
+    every = pages.select(key, F.explode(F.array(*[F.lit(t) for t in tabs])).alias("tab"))
+    return every.join(found.select(key, "t.tab", "t.total", F.lit(True).alias("there")), [key, "tab"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def tab_completeness(pages: DataFrame, key: str, html: str, tabs: dict[str, str]) -> DataFrame:
+    """key, tab, there, returned_count, total_count and is_complete by tab: each tab's rows are held against its own total, so a page of two tabs has no unknown completeness."""
+    counted = tab_rows(pages, key, html, tabs).groupBy(key, "tab").agg(F.count("*").alias("returned_count"))
+    found = tab_totals(pages, key, html, tabs).join(counted, [key, "tab"], "left").withColumn("returned_count", F.coalesce("returned_count", F.lit(0)))
+    return found.select(key, "tab", "there", "returned_count", F.col("total").alias("total_count"), (F.col("returned_count") >= F.col("total")).alias("is_complete"))
+
+
 def label_values(rows: DataFrame, key: str, labels: tuple[str, ...] = DETAIL_LABELS) -> DataFrame:
     """key, label and value: a cell that is one of the labels takes the cell after it as its value; of a label's values the last on the page stays."""
     pairs = F.transform(F.col("cells"), lambda c, i: F.struct(X.label_of(c).alias("label"), F.get(F.col("cells"), i + 1).alias("value")))

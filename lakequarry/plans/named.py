@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 
 from ..errors import Refused
 from ..functions.text import SPACE
-from ..session import shared_dir, table
+from ..operators import markup
+from ..session import shared_dir, spread, table
 from ..sources import page_store, results, snapshots
-from . import tools
+from . import chain, tools
 from .queries import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
 SITE = "https://site.example"
+TABS = {"proposals": "gvIndex01", "temporary": "gvIndex02"}  # fixed values: the ids of the two tabs' tables
 ABOUT = {"fetched_at": "2026-01-01T00:00:00Z", "validated_at": "2026-01-02T00:00:00Z", "coverage": {"scope": "all", "complete": True}, "parser_version": "1", "validator_version": "1"}
 
 
@@ -229,6 +231,46 @@ def tool_search_record_contents(spark: SparkSession, d: str) -> DataFrame:
     return found.data.select("record_id", "meeting", "matched_pages_count", "match_count", F.lit(found.meta["failed_records_count"]).cast("int").alias("failed"), F.lit(found.status).alias("status"))
 
 
+def _order_pages(spark: SparkSession, d: str) -> DataFrame:
+    """url and html of each order's detail page and of its list of files; one order in 97 has the page of another."""
+    key = F.col("o_orderkey").cast("string")
+    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"))
+    number = F.when(F.col("o_orderkey") % 97 == 0, F.lit("1")).otherwise(key)
+    decided = F.when(F.col("o_orderstatus") == "F", F.lit("<table><tr><td>二讀決議：passed</td><td>決議日期：115/09/08</td></tr></table>")).otherwise("")
+    detail = F.concat(F.lit('<input name="x$hidProposalSN" value="'), number, F.lit('"/><table><tr><td>案由：</td><td>subject '), key, F.lit(" &amp; more</td><td>類別</td><td>"), F.col("o_custkey").cast("string"), F.lit("</td></tr></table>"), decided)
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    row = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td>b &amp; c</td><td><a href='f/"), name, F.lit(".pdf'>file "), name, F.lit("</a></td><td>1 KB</td></tr>"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("r"))  # an order's few lines
+    shown = F.coalesce(F.concat(F.lit("<table><tr><td>序號</td><td>a</td><td>b</td><td>c</td></tr>"), F.array_join(F.transform("r", lambda r: r["row"]), ""), F.lit("</table>")), F.lit("尚無任何資料"))
+    files = orders.select("o_orderkey").join(rows, "o_orderkey", "left").select(F.concat(F.lit(f"{SITE}/{tools.PAGES['attachments']}?f=1&s="), key, F.lit("&t=False")).alias("url"), shown.alias("html"))
+    return orders.select(F.concat(F.lit(f"{SITE}/{tools.PAGES['proposal']}?s="), key).alias("url"), detail.alias("html")).unionByName(files)
+
+
+@query(f"""SELECT o_orderkey AS sn, CASE WHEN o_orderkey % 89 = 0 THEN 'INVALID_ARGUMENT' WHEN o_orderkey % 97 = 0 AND o_orderkey <> 1 THEN 'SOURCE_ID_MISMATCH' END AS reason_code, CASE WHEN ok THEN 'subject ' || o_orderkey || ' & more' END AS subject, CASE WHEN ok THEN CAST(o_custkey AS VARCHAR) END AS category,
+ CASE WHEN ok THEN CASE WHEN o_orderstatus = 'F' THEN 'decided' ELSE 'not_stated' END END AS status, CASE WHEN ok THEN coalesce(n, 0) END AS total_files, CASE WHEN ok AND n > 0 THEN '{SITE}/f/' || o_orderkey || '-' || first || '.pdf' END AS first_file
+FROM (SELECT *, o_orderkey % 89 <> 0 AND (o_orderkey % 97 <> 0 OR o_orderkey = 1) AS ok FROM orders) LEFT JOIN (SELECT l_orderkey, count(*) AS n, min(l_linenumber) AS first FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def proposal_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Every order as a row of a list, with its detail page and its list of files; the link of one in 89 leads elsewhere."""
+    key = F.col("o_orderkey").cast("string")
+    link = F.when(F.col("o_orderkey") % 89 == 0, F.concat(F.lit("https://other.example/System/Proposal/Detail.aspx?s="), key)).otherwise(F.concat(F.lit("Detail.aspx?s="), key))
+    rows = table(spark, d, "orders").select("o_orderkey", key.alias("proposal_sn"), link.alias("detail_url"))
+    found = chain.proposals_with_files(rows, chain.from_table(_order_pages(spark, d)), SITE)
+    code = F.nullif(F.regexp_extract("reason", "^([A-Z_]+):", 1), F.lit(""))
+    return found.select(F.col("o_orderkey").alias("sn"), code.alias("reason_code"), "fields.subject", "fields.category", "status", F.when(F.col("reason").isNull(), F.size("files")).cast("long").alias("total_files"), F.get("files", F.lit(0))["download_url"].alias("first_file"))
+
+
+@query("""WITH t AS (SELECT s_nationkey AS page_id, CASE WHEN s_suppkey % 2 = 0 THEN 'proposals' ELSE 'temporary' END AS tab, count(*) AS n FROM supplier GROUP BY 1, 2)
+SELECT page_id, tab, coalesce(n, 0) AS returned_count, CAST(coalesce(n, 0) + CASE tab WHEN 'temporary' THEN 1 ELSE 0 END AS INTEGER) AS total_count, tab = 'proposals' AS is_complete
+FROM (SELECT DISTINCT s_nationkey AS page_id FROM supplier) CROSS JOIN (VALUES ('proposals'), ('temporary')) v(tab) LEFT JOIN t USING (page_id, tab)""")
+def tab_completeness(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each nation with two tabs of suppliers, each with a total of its own; that of the second says one more than is there."""
+    name = lambda t: F.when(F.col("s_suppkey") % 2 == (0 if t == "proposals" else 1), F.concat(F.lit("<tr><td>"), F.col("s_suppkey").cast("string"), F.lit('</td><td>c</td><td>x</td><td><a href="d?a=1&amp;b='), F.col("s_suppkey").cast("string"), F.lit('">y</a></td></tr>')))
+    rows = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("page_id")).agg(*[F.collect_list(name(t)).alias(t) for t in TABS])
+    part = lambda t, more: F.concat(F.lit(f'<table class="g" id="{TABS[t]}"><tr><th>編號</th><th>類別</th><th>提案議員</th><th>案由</th></tr>'), F.when(F.size(t) > 0, F.array_join(t, "")).otherwise("<tr><td colspan='4'>尚無任何資料</td></tr>"), F.lit("</table>共 "), (F.size(t) + more).cast("string"), F.lit(" 筆"))
+    pages = rows.select("page_id", F.concat(part("proposals", 0), part("temporary", 1)).alias("html"))
+    return markup.tab_completeness(pages, "page_id", "html", TABS).select("page_id", "tab", "returned_count", "total_count", "is_complete")
+
+
 # The functions that no source can answer truthfully, with arguments that are in order.
 REFUSED = {"search_interpellations": {"keyword": "a"}, "get_schedule": {}, "get_councilor": {"name": "a"}, "search_temporary_proposals": {}, "search_committees": {}, "search_speeches": {"speaker": "a"}, "proposal_relations": {"proposal_sn": "1"}}
 

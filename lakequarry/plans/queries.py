@@ -9,7 +9,7 @@ from ..functions import numbers, text, urls
 from ..functions.codes import period_code, session_code, window_number
 from ..operators import completeness as C
 from ..operators import keyed, markup, paged, search, totals
-from ..session import table
+from ..session import spread, table
 from ..sources import results
 from ..streaming import windows
 
@@ -100,7 +100,7 @@ def _sql_plain(x: str) -> str:
 
 @query(f"SELECT page_id, sha256({_sql_plain(_sql_decoded("regexp_replace(html, '<[^>]+>', ' ', 'g')"))}) AS plain_sha256 FROM pages")
 def html_plain_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.sha2(text.text_of_markup(F.col("html")), 256).alias("plain_sha256"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", F.sha2(text.text_of_markup(F.col("html")), 256).alias("plain_sha256"))
 
 
 @query(rf"""SELECT page_id, CAST(i - 1 AS INTEGER) AS item, {_sql_plain(_sql_decoded("regexp_replace(li, '<[^>]+>', ' ', 'g')"))} AS content, regexp_extract(li, '(?is)\bhref\s*=\s*"(.*?)"', 1) AS link
@@ -286,7 +286,7 @@ def key_value_put(spark: SparkSession, d: str) -> DataFrame:
  sha256({_sql_plain(_sql_decoded("regexp_replace(regexp_replace(html, '<br\\s*/?>', ' ', 'gi'), '<[^>]*>', '', 'g')"))}) AS cell FROM pages""")
 def markup_variants(spark: SparkSession, d: str) -> DataFrame:
     html, sha = F.col("html"), lambda c: F.sha2(c, 256)
-    return table(spark, d, "pages").select("page_id", sha(text.text_of_escaped_markup(html)).alias("escaped"), sha(text.text_of_simple_markup(html)).alias("simple"), sha(text.text_of_cell(html)).alias("cell"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", sha(text.text_of_escaped_markup(html)).alias("escaped"), sha(text.text_of_simple_markup(html)).alias("simple"), sha(text.text_of_cell(html)).alias("cell"))
 
 
 @query("SELECT o_orderkey, CASE WHEN k < 100 THEN lpad(CAST(k AS VARCHAR), 2, '0') ELSE CAST(k AS VARCHAR) END AS period, '07' || CASE WHEN k < 10 THEN '0' ELSE '' END || k AS session FROM (SELECT o_orderkey, o_orderkey % 120 AS k FROM orders)")
@@ -326,7 +326,7 @@ def pager_and_form(spark: SparkSession, d: str) -> DataFrame:
         F.lit("<input type='checkbox' name='c' value='on'><input type='radio' name='r' value='on' checked><select name='s'><option value='Z'>z</option><option selected value='"), "o_orderstatus", F.lit("'>y</option></select></form>"),
         F.lit("<input type='hidden' id='ProposalSN' value='"), key, F.lit("'>"),
     )
-    rows = table(spark, d, "orders").select("o_orderkey", html.alias("html"))
+    rows = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")).select("o_orderkey", html.alias("html"))
     pager, fields = markup.pager(F.col("html")), markup.form_fields(F.regexp_extract("html", "(?s)<form>.*</form>", 0))
     shown = F.array_join(F.transform(fields, lambda f: F.concat(f["name"], F.lit("="), f["value"])), "|")
     return rows.select("o_orderkey", pager["total"].alias("total"), pager["page"].alias("page"), pager["pages"].alias("pages"), shown.alias("fields"), markup.page_number(F.col("html")).alias("proposal_sn"))
@@ -401,7 +401,7 @@ def form_controls(spark: SparkSession, d: str) -> DataFrame:
         F.lit("'><select name='x$ddlMeeting'><option value=''>-</option><option value='07030100'>第 3 次</option><option value='0704"), number, F.lit("00'>第 3 次</option></select>"),
     )
     h = F.col("html")
-    return table(spark, d, "orders").select("o_orderkey", html.alias("html")).select(
+    return spread(table(spark, d, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", html.alias("html")).select(
         "o_orderkey", markup.control_value(h, "ddlPeriod").alias("period"), markup.control_value(h, "txtKeyword").alias("keyword"), markup.meeting_code(markup.options(h, "ddlMeeting"), "0704", 3).alias("meeting"), markup.meeting_title(h).alias("title"),
     )
 

@@ -32,6 +32,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return found.withColumns(zoneless) if zoneless else found
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that costs much a row: dealt to all cores where its files give tasks for less than half of them. Large tables give more tasks than that and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """df marked for broadcast if it has most_rows rows at most; else unmarked, so that Spark joins it by a shuffle."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
