@@ -6,7 +6,8 @@ Samples are whole numbers throughout, so results do not depend on the machine. F
 one batch and one long file at most.
 
 Defined results: null payloads are stored as empty ones, and an empty one gets the padding of one unit. A media value that is null or no such WAV
-file is decoded to nulls. Equal payloads give equal values. An empty table gives an empty result; repeated rows stay.
+file is decoded to nulls. Equal payloads give equal values. An empty table gives an empty result; repeated rows stay. Payloads of any length are stored and decoded whole. Columns of any names are carried, but those that a function makes (codec and media;
+payload, pcm and the features), which its results replace.
 """
 
 from __future__ import annotations
@@ -140,6 +141,7 @@ def store_media(rows: DataFrame) -> DataFrame:
                 kept = [k for k in range(part.num_columns) if k != at]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(codecs, pa.string()), pa.array(files, pa.binary())], [*(part.schema.names[k] for k in kept), "codec", "media"])
 
+    rows = rows.drop("codec", "media")
     return rows.mapInArrow(run, _schema(rows, "payload", "codec string, media binary"))
 
 

@@ -75,3 +75,12 @@ def test_broken_media_and_empty_table(spark, tmp_path):
     rows = spark.createDataFrame([(1, bytearray(b"no file")), (2, None)], "id int, media binary")
     assert [(r.payload, r.pcm, r.peak) for r in M.decode_media(rows).collect()] == [(None, None, None)] * 2
     assert M.op5_media(spark, table(spark, tmp_path, "documents", documents(spark).limit(0))).count() == 0
+
+
+def test_clashing_columns_and_a_long_payload(spark):
+    long = bytes(range(256)) * 4000
+    rows = spark.createDataFrame([(1, bytearray(long), "mine", bytearray(b"x"), "p", "kept")], "id int, payload binary, codec string, media binary, pcm string, other string")
+    stored = M.store_media(rows)
+    assert sorted(stored.columns) == ["codec", "id", "media", "other", "pcm"]
+    r = M.decode_media(stored).first()
+    assert (r.id, r.other, bytes(r.payload), r.codec in M.CODECS) == (1, "kept", long, True) and isinstance(r.pcm, (bytes, bytearray)) and r.n_samples > len(long)
