@@ -5,12 +5,13 @@ every other character a blank. Patterns are whole words and beginnings of words,
 away the matches that lie within them. The sum of the matches' weights is normalised by the number of words, and a logistic curve gives a score from 0 to 1.
 
 The lexicon and its weights are learned from labelled documents: a word or beginning of words is taken when its rate per word in toxic documents is
-min_ratio times its rate in others or more, and weighs the logarithm of that ratio. An exception is a pair of neighbouring words, one of them matched, that
-min_harmless other documents have and that is min_ratio times rarer in toxic ones. The model is fitted on a bounded sample: about max_labelled labelled
-rows at most, chosen by a hash of doc_id. Every document is scored, over its whole text.
+min_ratio times its rate in others or more and one in 50 of them (5 at least) has it, and weighs the logarithm of that ratio. An exception is a pair of neighbouring words, one of them matched, that one in 500 of the other
+documents (3 at least) has and that is exception_ratio times rarer in toxic ones, half a toxic document added. The model is fitted on a bounded sample: about max_labelled labelled rows at most, chosen by a hash of doc_id. Its size is bounded too:
+of the toxic documents' patterns the most_candidates commonest are weighed, the lexicon patterns that gain most are kept, and the most_exceptions commonest exceptions; rarer ones of a larger vocabulary are left out. Every document is scored, over its
+whole text, however long.
 
 Defined results: a null or empty text has no match and gets the curve's value at 0. Null labels and null doc_ids are not learned from. Without toxic examples to
-learn from the lexicon is empty and every score is 0. Equal texts get equal scores. Repeated rows stay; an empty table gives an empty result.
+learn from the lexicon is empty and every score is 0. Equal texts get equal scores. Repeated rows stay; an empty table gives an empty result. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -182,7 +183,7 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, most_candidates: int = 20_000, min_ratio: float = 8.0, lexicon: int = 400, min_harmless: int = 20, most_exceptions: int = 1_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, most_candidates: int = 20_000, min_ratio: float = 8.0, lexicon: int = 400, exception_ratio: float = 2.0, most_exceptions: int = 1_000) -> Model:
     """A model from labelled rows that are not held out; max_labelled bounds the sample (on average: rows are chosen by a hash)."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, max_labelled / max(1, usable.count()))
@@ -190,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, most_can
     sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")  # at most max_labelled ids of 8 bytes
     toxic, other = sample.where("toxic = 1"), sample.where("toxic <> 1")
     n_toxic = toxic.count()
-    least = max(3, n_toxic // 200)
+    least = max(5, n_toxic // 50)
     # features of toxic documents that enough of them have; most_candidates of them at most come to the driver
     candidates = {r.feature: (r.n, r.d) for r in _count(toxic, None).where((F.col("d") >= least) | (F.col("feature") == "")).orderBy(F.col("feature") != "", F.desc("n"), "feature").limit(most_candidates).collect()}
     against = {r.feature: r.n for r in _count(other, candidates).collect()}
@@ -208,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, most_can
         return Model({}, (0.0,) * 4)
     model = Model(weights, (0.0,) * 4)
     n_other = max(1, other.count())
-    harmless = _phrases(sample, model).where((F.col("o") >= min_harmless) & (F.col("o") / F.lit(n_other) >= (F.col("t") + 0.5) * F.lit(min_ratio / max(1, n_toxic))))
+    harmless = _phrases(sample, model).where((F.col("o") >= max(3, n_other // 500)) & (F.col("o") / F.lit(n_other) >= (F.col("t") + 0.5) * F.lit(exception_ratio / max(1, n_toxic))))
     model = Model(weights, model.curve, tuple(r.phrase for r in harmless.orderBy(F.desc("o"), "phrase").limit(most_exceptions).collect()))
     found = _matched(sample, model).select("weight", "matches", "n_words", "toxic").toPandas()  # at most max_labelled rows of numbers
     return Model(weights, exceptions=model.exceptions, curve=_fit_curve(found[["weight", "matches", "n_words"]].to_numpy(float), (found["toxic"] == 1).to_numpy(float)))

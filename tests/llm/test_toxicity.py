@@ -66,7 +66,7 @@ def test_without_labels_and_empty(spark, tmp_path):
     assert T.op9_toxicity(spark, d).count() == 0
 
 
-def fit_by_hand(rows, min_ratio=8.0, lexicon=400, min_harmless=20):
+def fit_by_hand(rows, min_ratio=8.0, lexicon=400, exception_ratio=2.0):
     """Lexicon and exceptions of rows (text, toxic), from counts in plain Python."""
     n, d, total = {True: Counter(), False: Counter()}, Counter(), Counter()
     for text, toxic in rows:
@@ -80,7 +80,7 @@ def fit_by_hand(rows, min_ratio=8.0, lexicon=400, min_harmless=20):
     gains = []
     for f, k in d.items():
         ratio = ((n[True][f] + 0.5) / total[True]) / ((n[False][f] + 0.5) / total[False])
-        if k >= max(3, n_toxic // 200) and ratio >= min_ratio:
+        if k >= max(5, n_toxic // 50) and ratio >= min_ratio:
             gains.append((-round(n[True][f] * math.log(ratio), 6), -len(f), f, math.log(ratio)))
     weights = {}
     for _, _, f, w in sorted(gains):
@@ -92,7 +92,7 @@ def fit_by_hand(rows, min_ratio=8.0, lexicon=400, min_harmless=20):
         hit = [any(f" {w} ".startswith(p) for p in weights) for w in words]
         (t if toxic else o).update({f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if hit[i] or hit[i + 1]})
     n_other = len(rows) - n_toxic
-    return weights, {p for p, k in o.items() if k >= min_harmless and k / n_other >= (t[p] + 0.5) * min_ratio / n_toxic}
+    return weights, {p for p, k in o.items() if k >= max(3, n_other // 500) and k / n_other >= (t[p] + 0.5) * exception_ratio / n_toxic}
 
 
 def test_fit_matches_counts_by_hand(spark):
@@ -127,3 +127,9 @@ def test_accuracy_on_held_out_labels(spark):
     judged = T.op9_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
     n = {(r.toxic, r.predicted): r["count"] for r in judged.groupBy("toxic", "predicted").count().collect()}
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.9 and n.get((0, 1), 0) / n[0, 0] <= 0.02, n
+
+
+def test_exceptions_are_learned_from_the_given_tables(spark):
+    d = "/root/testdata/sf0.1"
+    model = T.fit(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet"))
+    assert model.exceptions and len(model.weights) >= 20
