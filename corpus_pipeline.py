@@ -1,6 +1,9 @@
 """The corpus pipeline: quality classifier, quality rules, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents; the last one returns pieces of training sequences with their ids.
+
+Defined results: documents with a null or empty text are rejected by the classifier, so later stages never see them; null ids, languages and sources are carried. Of equal rows, and of texts of one group of near-duplicates, the one of the smallest doc_id stays (null ids last).
+Texts of any length are read whole. Columns of any names and number are carried to the last stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written to the shared folder and read again by the next."""
     docs = common.read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, common.stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            common.drop_staged(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,8 @@ to link (exact_links()). So the components never depend on most_in_bucket.
 
 drop_near_duplicates() removes by an exact Jaccard similarity (0.8 of the distinct five-word shingles unless given). Texts of equal shingle sets are one node. Fingerprints of
 256 bits only find candidates: their expected distance at a similarity j is 256 acos(2 j / (1 + j)) / pi, and the radius lies three standard deviations above it. Buckets come from
-tables of sampled bits, as many as find a pair of just that similarity with a probability of 0.99. The members of each candidate component then bring their shingle hashes,
+bands of minima over the same shingle hashes: 32 bands of 8 minima, so that a pair of a similarity j meets in a bucket with the chance 1 - (1 - j^8)^32, which is 0.997 at just 0.8 and does not depend on the number of documents; neither does what is shuffled, 32 rows of
+48 bytes a document. Within a bucket fingerprints are compared bit-sliced as above. The members of each candidate component then bring their shingle hashes,
 and a link is a pair whose intersection over union reaches the similarity. So every document removed is joined to the one that stays by links of that similarity.
 Crowded candidate components are dealt in blocks in the same way.
 
@@ -308,6 +309,8 @@ def near_duplicates(docs: DataFrame, most_in_bucket: int = 1024) -> DataFrame:
 
 
 WIDE = 4  # words of a wide fingerprint
+BANDS, BAND_ROWS = 32, 8
+MULTIPLIERS = np.random.default_rng(13).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PIVOTS = 64
 
 
@@ -317,10 +320,15 @@ def radius_for(similarity: float, n_bits: int = 64 * WIDE) -> tuple[int, float]:
     return round(n_bits * differs + 3 * (n_bits * differs * (1 - differs)) ** 0.5), differs
 
 
-def tables_for(rows: int, differs: float, recall: float = 0.99) -> tuple[int, int]:
-    """(tables, bits sampled by each): a bucket has some 64 chance members at most, and a pair meets in one of the tables with the recall."""
-    n_bits = max(16, int(np.ceil(np.log2(max(rows, 1) + 1))) - 6)
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - differs) ** n_bits))), n_bits
+def bands_of(hashes: np.ndarray) -> bytes:
+    """BANDS buckets (64 bits each) of a set of hashes: of each band's BAND_ROWS minima over the set, each under a random odd multiplier. Nothing for an empty set."""
+    if not len(hashes):
+        return b""
+    least = np.full(len(MULTIPLIERS), ~np.uint64(0))
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[at : at + 2048, None] * MULTIPLIERS).min(axis=0), out=least)
+    mixed = ((least >> np.uint64(29)) ^ least).reshape(BANDS, BAND_ROWS) * MULTIPLIERS[:BAND_ROWS]
+    return _mix(mixed.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64), 1).astype("<u8").tobytes()
 
 
 def shingle_sets(rows: DataFrame, made: dict, shingle: int = 5) -> DataFrame:
@@ -341,30 +349,23 @@ def shingle_sets(rows: DataFrame, made: dict, shingle: int = 5) -> DataFrame:
 
 
 def wide_fingerprints(rows: DataFrame, shingle: int = 5) -> DataFrame:
-    """rows without text, with fp (binary, 32 bytes) of the distinct shingles and key, equal for equal sets of them only."""
-    return shingle_sets(rows, {"fp": lambda h: majority([h], WIDE).tobytes(), "key": lambda h: xxhash.xxh128_digest(h.tobytes())}, shingle)
+    """rows without text, with fp (binary, 32 bytes) of the distinct shingles, key, equal for equal sets of them only, and bands."""
+    return shingle_sets(rows, {"fp": lambda h: majority([h], WIDE).tobytes(), "key": lambda h: xxhash.xxh128_digest(h.tobytes()), "bands": bands_of}, shingle)
 
 
 def _words(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WIDE)
 
 
-def buckets(distinct: DataFrame, tables: int, n_bits: int) -> DataFrame:
-    """bucket, node and fp: a row for each of the tables, whose bucket is the table's sample of the fingerprint's bits."""
-    rng = np.random.default_rng(7)
-    chosen = [rng.choice(64 * WIDE, n_bits, replace=False) for _ in range(tables)]
-
+def buckets(distinct: DataFrame) -> DataFrame:
+    """bucket, node and fp of distinct (node, fp, bands): a row for each band."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.uint64(1) << np.arange(n_bits, dtype=np.uint64)
         for b in batches:
-            if not b.num_rows:
-                continue
-            bits = np.unpackbits(_words(b.column("fp")).view(np.uint8), axis=1, bitorder="little").astype(np.uint64)
-            for t, own in enumerate(chosen):
-                bucket = _mix((bits[:, own] * weights).sum(axis=1, dtype=np.uint64), t + 1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), b.column("node"), b.column("fp")], ["bucket", "node", "fp"])
+            bands = np.frombuffer(b"".join(b.column("bands").to_pylist()), "<u8").reshape(b.num_rows, -1)
+            for t in range(bands.shape[1] if b.num_rows else 0):
+                yield pa.RecordBatch.from_arrays([pa.array(bands[:, t].astype(np.uint64).view(np.int64)), b.column("node"), b.column("fp")], ["bucket", "node", "fp"])
 
-    return distinct.select("node", "fp").mapInArrow(run, "bucket long, node long, fp binary")
+    return distinct.where(F.length("bands") > 0).select("node", "fp", "bands").mapInArrow(run, "bucket long, node long, fp binary")
 
 
 def _link(labels: np.ndarray, asks: np.ndarray | None, hits) -> tuple[list[int], list[int]]:
@@ -490,11 +491,10 @@ def exact_links(rows: DataFrame, all_pairs, asked_pairs, most: int, weight: Colu
 
 
 def similar_links(distinct: DataFrame, similarity: float = 0.8, most_in_bucket: int = 1024) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of nodes of distinct (node, fp: wide fingerprints) that share a bucket and are within the similarity's radius."""
-    radius, differs = radius_for(similarity)
+    """Links (a, b) whose components are those of all pairs of nodes of distinct (node, fp: wide fingerprints, bands) that share a bucket and are within the similarity's radius."""
+    radius, _ = radius_for(similarity)
     own = lambda table: _words(table.column("fp"))
-    keyed = buckets(distinct, *tables_for(distinct.count(), differs))
-    return exact_links(keyed, _sliced(own, radius), _sliced_asked(own, radius), most_in_bucket)
+    return exact_links(buckets(distinct), _sliced(own, radius), _sliced_asked(own, radius), most_in_bucket)
 
 
 def similar_sets(rows: DataFrame, similarity: float, most: int) -> DataFrame:
@@ -510,13 +510,16 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     numbered = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
     marked = stage(wide_fingerprints(numbered.select("row", "doc.doc_id", "doc.text"), shingle), "wide-fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id"), F.col("row"))).alias("least")
-    distinct = stage(marked.groupBy("key", "fp").agg(least).withColumn("node", F.col("least.row")), "distinct")
+    distinct = stage(marked.groupBy("key", "fp").agg(least, F.first("bands").alias("bands")).withColumn("node", F.col("least.row")), "distinct")
     found = components(similar_links(distinct, similarity, most_in_bucket))
     roots = components(similar_sets(candidate_sets(numbered, found, shingle), similarity, most_in_bucket))
     grouped = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     gone = marked.select("row").join(kept, "row", "left_anti")
-    return without(numbered, gone, "row").select("doc.*")
+    rest = without(numbered, gone, "row").select("doc.*")
+    for done in (marked, distinct):  # the rows that go are written
+        drop_staged(done)
+    return rest
 
 
 def candidate_sets(numbered: DataFrame, found: DataFrame, shingle: int, most_broadcast: int = 1_000_000) -> DataFrame:

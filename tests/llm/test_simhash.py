@@ -102,7 +102,7 @@ def test_components_never_depend_on_the_size_of_buckets(spark):
         lone.append(flip(core[k], rng.sample(range(128), radius)))
     values = list(dict.fromkeys(core + lone))
     words = [np.frombuffer(v.to_bytes(32, "little"), "<u8") for v in values]
-    df = spark.createDataFrame([(i, bytearray(w.tobytes())) for i, w in enumerate(words)], "node long, fp binary").repartition(4)
+    df = spark.createDataFrame([(i, bytearray(w.tobytes()), bytearray(b"one band")) for i, w in enumerate(words)], "node long, fp binary, bands binary").repartition(4)
     everything = [components_of(S.similar_links(df, most_in_bucket=most), range(len(values))) for most in (10**9, 1024, 128)]
     assert everything[0] == everything[1] == everything[2]
     assert len(set(everything[0])) < len(values)
@@ -142,3 +142,21 @@ def test_clashing_columns_come_back_as_they_were(spark):
     rows = [(1, "a b c d e f", 7, "r", 1, 2), (2, "a b c d e f", 8, "s", 3, 4), (3, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _row long, row string, node long, key long")
     assert sorted(map(tuple, S.drop_near_duplicates(df).collect())) == [rows[0], rows[2]]
+
+
+def test_bands_find_similar_sets_whatever_else_there_is():
+    """1,000 pairs of each similarity, of sets of 9 to 900 hashes: how many share a band."""
+    rng = np.random.default_rng(9)
+
+    def share(both, own, n=1000):
+        met = 0
+        for _ in range(n):
+            hashes = rng.integers(0, 1 << 64, both + 2 * own, dtype=np.uint64)
+            a, b = (np.frombuffer(S.bands_of(np.sort(np.concatenate([hashes[:both], hashes[both + k * own : both + (k + 1) * own]]))), "<u8") for k in range(2))
+            met += bool((a == b).any())
+        return met / n
+
+    for both, own in ((8, 1), (80, 10), (720, 90)):  # just 0.8
+        assert share(both, own) >= 0.985
+    assert share(95, 5) == 1.0 and share(60, 40) < 0.2 and share(20, 80) == 0.0
+    assert S.bands_of(np.empty(0, np.uint64)) == b"" and len(S.bands_of(np.array([5], np.uint64))) == 8 * S.BANDS
