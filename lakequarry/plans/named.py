@@ -7,6 +7,7 @@ page store; and a site whose pages are rendered from suppliers and line items wh
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from urllib.parse import urlencode
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import Refused
 from ..functions.text import SPACE
-from ..operators import markup
+from ..operators import gram_index, markup
 from ..session import shared_dir, spread, table
 from ..sources import page_store, results, snapshots
 from . import chain, tools
@@ -271,6 +272,18 @@ def tab_completeness(spark: SparkSession, d: str) -> DataFrame:
     return markup.tab_completeness(pages, "page_id", "html", TABS).select("page_id", "tab", "returned_count", "total_count", "is_complete")
 
 
+KEYWORDS = ("password=", "AKIA", "tion of the ", "é", "no such text")
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS keyword, doc_id FROM documents WHERE contains(text, '{k}')" for k in KEYWORDS))
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by keywords through the postings of their character grams."""
+    root = _new_root(spark)
+    gram_index.build(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", root)
+    found = [gram_index.search(spark, root, "text", k).select(F.lit(k).alias("keyword"), "doc_id") for k in KEYWORDS]
+    return reduce(DataFrame.unionByName, found)
+
+
 # The functions that no source can answer truthfully, with arguments that are in order.
 REFUSED = {"search_interpellations": {"keyword": "a"}, "get_schedule": {}, "get_councilor": {"name": "a"}, "search_temporary_proposals": {}, "search_committees": {}, "search_speeches": {"speaker": "a"}, "proposal_relations": {"proposal_sn": "1"}}
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..errors import Refused
 from ..functions.numbers import parse_amount
 from ..functions.text import normalize
+from . import json_records
+from .cache import hold
 from .order import in_source_order
 
 # Names of the two columns, the first that is there wins; and the keys that are looked into first for the list of records.
@@ -18,7 +20,7 @@ NAME_COLUMNS = ("科目名稱", "科目", "主管名稱", "機關名稱")
 AMOUNT_COLUMNS = ("本年度預算數", "本年度預算", "預算數")
 LIST_KEYS = ("data", "result", "records", "Data", "Result", "Records")
 DEPTH = 5
-#: Bytes of a JSON document that is read as one value; larger ones are refused.
+#: Bytes of a snapshot's JSON array that is read as one value; larger ones are refused.
 MOST_JSON = 1 << 26
 
 
@@ -44,35 +46,29 @@ def read_csv(spark: SparkSession, paths: str | list[str], names=NAME_COLUMNS, am
     return _rows(in_source_order(df, [paths] if isinstance(paths, str) else paths), *chosen)
 
 
-def find_records(value, names=NAME_COLUMNS, amounts=AMOUNT_COLUMNS, depth: int = DEPTH) -> list[dict] | None:
-    """The first list, at most depth levels down, with a record that has both columns: all its records."""
-    if depth < 0:
-        return None
-    if isinstance(value, list):
-        records = [x for x in value if isinstance(x, dict)]
-        has = lambda r, wanted: any(_plain(k) in wanted for k in r)
-        if any(has(r, names) and has(r, amounts) for r in records):
-            return records
-        inner = value
-    elif isinstance(value, dict):
-        inner = [*(value[k] for k in LIST_KEYS if k in value), *value.values()]
-    else:
-        return None
-    return next((x for x in (find_records(v, names, amounts, depth - 1) for v in inner) if x is not None), None)
+def _has_both(names, amounts):
+    return lambda record: any(_plain(k) in names for k in record) and any(_plain(k) in amounts for k in record)
 
 
-def read_json(spark: SparkSession, text: str, names=NAME_COLUMNS, amounts=AMOUNT_COLUMNS) -> DataFrame:
-    """Of one small JSON document (an answer of a web service). In a record the first key that is a column's name decides."""
-    try:
-        records = find_records(json.loads(text), names, amounts)
-    except ValueError as e:
-        raise Refused("SOURCE_SCHEMA_CHANGED", "the source is no JSON") from e
-    if records is None:
-        raise Refused("SOURCE_SCHEMA_CHANGED", "no list of records with a name and an amount")
+def _json_rows(files: DataFrame, names, amounts) -> DataFrame:
+    """Rows of JSON documents (content: binary); refused where one cannot be read. In a record the first key that is a column's name decides."""
     first = lambda r, wanted: next((v for k, v in r.items() if _plain(k) in wanted), None)
     shown = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
-    data = [(n, shown(first(r, names)), shown(first(r, amounts))) for n, r in enumerate(records)]
-    return _rows(spark.createDataFrame(data, "_pos long, name string, amount string"), F.col("name"), F.col("amount"))
+    found = hold(json_records.read(files, lambda r: (shown(first(r, names)), shown(first(r, amounts))), _has_both(names, amounts), LIST_KEYS, DEPTH))
+    bad = found.where(F.col("reason").isNotNull()).select("reason").first()
+    if bad is not None:
+        raise Refused("SOURCE_SCHEMA_CHANGED", f"the source is no JSON with records: {bad.reason}")
+    return _rows(found, F.col("name"), F.col("amount"))
+
+
+def read_json(spark: SparkSession, text: str, names=NAME_COLUMNS, amounts=AMOUNT_COLUMNS) -> DataFrame:
+    """Of one small JSON document at hand (an answer of a web service)."""
+    return _json_rows(spark.createDataFrame([(text.encode(),)], "content binary"), names, amounts)
+
+
+def read_json_file(spark: SparkSession, path: str, names=NAME_COLUMNS, amounts=AMOUNT_COLUMNS) -> DataFrame:
+    """Of a file that is one JSON document, of any size up to 2 GB: read by an executor, record by record."""
+    return _json_rows(spark.read.format("binaryFile").load(path), names, amounts)
 
 
 def read_json_lines(spark: SparkSession, paths: str | list[str], names=NAME_COLUMNS, amounts=AMOUNT_COLUMNS) -> DataFrame:
@@ -89,15 +85,12 @@ def refuse_large(spark: SparkSession, path: str, instead: str, most: int) -> Non
         raise Refused("SOURCE_TOO_LARGE", f"{path} is one JSON document of {size} bytes, over {most}; {instead}")
 
 
-def read_budget(spark: SparkSession, path: str, most_json: int = MOST_JSON) -> DataFrame:
-    """CSV or JSON by the first character; a JSON file is one document, of most_json bytes at most."""
-    head = spark.read.text(path).where(normalize(F.col("value")) != "").select(normalize(F.col("value")).alias("v")).first()
+def read_budget(spark: SparkSession, path: str) -> DataFrame:
+    """CSV or JSON by the first character."""
+    head = spark.read.text(path, lineSep="\n").select(F.substring("value", 1, 1000).alias("value")).where(normalize(F.col("value")) != "").select(F.left(normalize(F.col("value")), F.lit(1)).alias("v")).first()
     if head is None:
         raise Refused("SOURCE_SCHEMA_CHANGED", f"{path} is empty")
-    if head.v[0] in "{[":
-        refuse_large(spark, path, "give one record a line and use read_json_lines()", most_json)
-        return read_json(spark, spark.read.text(path, wholetext=True).first().value.removeprefix("\ufeff"))
-    return read_csv(spark, path)
+    return read_json_file(spark, path) if head.v in "{[" else read_csv(spark, path)
 
 
 def read_first(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, str]:

@@ -42,12 +42,7 @@ def test_budget_csv(spark, tmp_path):
     assert (r.agency_count, r.agency_sum, r.official_total, r.highest_name, r.lowest_name) == (3, 63740890.0, 197823502.0, "乙", "甲")
 
 
-def test_large_json_documents_are_refused(spark, tmp_path, monkeypatch):
-    (tmp_path / "b.json").write_text('[{"科目": "甲", "預算數": "1"}]', encoding="utf-8")
-    assert delimited.read_budget(spark, str(tmp_path / "b.json")).count() == 1
-    with pytest.raises(Refused) as e:
-        delimited.read_budget(spark, str(tmp_path / "b.json"), most_json=10)
-    assert e.value.reason_code == "SOURCE_TOO_LARGE" and "read_json_lines" in str(e.value)
+def test_large_snapshot_arrays_are_refused(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(delimited, "MOST_JSON", 10)
     with pytest.raises(Refused) as e:
         snapshots.load(spark, store(tmp_path / "a", records=[{"id": "x"}, {"id": "y"}]), "d", "id string")
