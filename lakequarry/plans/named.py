@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Refused
-from ..functions.text import SPACE
-from ..operators import gram_index, markup
+from ..functions.text import SPACE, escape_markup
+from ..operators import gram_index, keyed, markup
 from ..session import shared_dir, spread, table
-from ..sources import page_store, results, snapshots
+from ..sources import delimited, page_store, pdf, results, snapshots
+from ..sources.key_values import KeyValues
 from . import chain, tools
 from .queries import ORACLES, QUERIES, query
 
@@ -272,6 +273,52 @@ def tab_completeness(spark: SparkSession, d: str) -> DataFrame:
     return markup.tab_completeness(pages, "page_id", "html", TABS).select("page_id", "tab", "returned_count", "total_count", "is_complete")
 
 
+@query("SELECT doc_id, i AS page, CAST(len(lines) AS INTEGER) AS total_pages, sha256(lines[i]) AS text_sha256 FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL), unnest(CAST(range(1, len(lines) + 1) AS INTEGER[])) u(i)")
+def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a PDF file with a page for each line, made by Spark's functions, and its pages as they are read."""
+    cmap = "1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+    head = "%PDF-1.7\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 3 0 obj << /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 4 0 R >> endobj "
+    head += f"4 0 obj << /Length {len(cmap)} >>\nstream\n{cmap}\nendstream endobj 2 0 obj << /Type /Pages /Resources << /Font << /F1 3 0 R >> >> /Kids ["
+    shown = lambda line: F.concat(F.lit("BT /F1 9 Tf <"), F.hex(F.encode(line, "UTF-16BE")), F.lit("> Tj ET"))
+    number = lambda i, k: (i * 2 + 10 + k).cast("string")
+    page = lambda c, i: F.concat(number(i, 0), F.lit(" 0 obj << /Type /Page /Contents "), number(i, 1), F.lit(" 0 R >> endobj "), number(i, 1), F.lit(" 0 obj << /Length "), F.length(c).cast("string"), F.lit(" >>\nstream\n"), c, F.lit("\nendstream endobj\n"))
+    lines = spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.transform(F.split("text", "\n", -1), shown).alias("c"))
+    kids = F.array_join(F.transform("c", lambda c, i: F.concat(number(i, 0), F.lit(" 0 R"))), " ")
+    content = F.concat(F.lit(head), kids, F.lit("] >> endobj\n"), F.array_join(F.transform("c", page), ""), F.lit("trailer << /Root 1 0 R >>")).cast("binary")
+    files = lines.select(F.col("doc_id").cast("string").alias("file"), content.alias("content"), F.lit(None).cast("string").alias("reason"))
+    return pdf.pages_of_files(files).select(F.col("file").cast("long").alias("doc_id"), "page", "total_pages", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, event_id) FILTER (event_id % 2 = 0) AS old, arg_max(event_type, event_id) FILTER (event_id % 2 = 1) AS new, user_id % 5 AS k FROM events GROUP BY user_id)
+SELECT key, coalesce(new, old) AS value, CASE WHEN new IS NULL THEN 1000 + k ELSE 1060 END AS expiration FROM e WHERE (new IS NOT NULL OR 1000 + k > 1002) AND k <> 4""")
+def key_value_store(spark: SparkSession, d: str) -> DataFrame:
+    """A key-value table on disk: written, changed by an upsert with a time to live, some keys deleted, and purged."""
+    events = table(spark, d, "events")
+    rows = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), (1000 + F.col("user_id") % 5).cast("long").alias("expiration"), F.lit(None).cast("string").alias("metadata"), F.col("event_id").alias("_pos"))
+    store = KeyValues(spark, _new_root(spark), buckets=8)
+    for k, ttl in ((0, None), (1, 60)):
+        store.upsert(keyed.keep_last(rows.where(F.col("_pos") % 2 == k), ["key"]).drop("_pos"), F.lit(1000), ttl, ("catalogue", k))
+    store.delete(events.where("user_id % 5 = 4").select(F.col("user_id").cast("string").alias("key")).distinct())
+    store.purge(F.lit(1002))
+    return store.table().select("key", "value", "expiration")
+
+
+@query("""SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;')) AS escaped_sha256 FROM documents WHERE text IS NOT NULL""")
+def escaped_markup(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(escape_markup(F.col("text")), 256).alias("escaped_sha256"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS position, c_name AS name, round(c_acctbal, 2) AS amount FROM customer")
+def json_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as JSON lines over several files, under other names of the two columns by turns; the first key that is such a name counts, in the files' order."""
+    root = _new_root(spark)
+    name, amount = F.concat(F.lit('"'), "c_name", F.lit('"')), F.format_number("c_acctbal", 2)
+    first = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('{"科目名稱":'), name, F.lit(',"科目":"other","本年度預算數":"'))).otherwise(F.concat(F.lit('{"Seq":1,"機關名稱":'), name, F.lit(',"預算數":"')))
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(first, amount, F.lit('","本年度預算":"0"}')).alias("value"))
+    rows.repartitionByRange("c_custkey").sortWithinPartitions("c_custkey").select("value").write.option("maxRecordsPerFile", 499).text(root)
+    return delimited.read_json_lines(spark, root).select(F.col("_pos").alias("position"), "name", F.round("amount", 2).alias("amount"))
+
+
 KEYWORDS = ("password=", "AKIA", "tion of the ", "é", "no such text")
 
 
