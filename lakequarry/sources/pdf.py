@@ -208,7 +208,7 @@ class Font:
     """Text of a font's codes. Characters are kept as UTF-16, as a map may give the two halves of one."""
 
     def __init__(self, document: Document, font: dict):
-        self.map, self.ranges, self.sizes = {}, [], {1}
+        self.map, self.ranges, self.known, self.sizes = {}, [], {}, {1}
         self.wide = document.get(font.get("/Subtype")) == "/Type0"
         cmap = document.stream(font.get("/ToUnicode")) if font.get("/ToUnicode") is not None else b""
         if cmap:
@@ -257,7 +257,20 @@ class Font:
                     break
         return found
 
+    def _missing(self, code: bytes) -> bytes:
+        """What stands for a code that no map has."""
+        return "\ufffd".encode("utf-16-be") if self.wide else code[:1].decode(self.codec, "replace").encode("utf-16-be")
+
+    def _one(self, code: bytes) -> bytes:
+        """The character of a code of the font's only size, kept once seen."""
+        found = self._character(len(code), int.from_bytes(code, "big"))
+        self.known[code] = found = self._missing(code) if found is None else found
+        return found
+
     def text(self, codes: bytes) -> str:
+        if len(self.sizes) == 1:
+            size, get = min(self.sizes), self.known.get
+            return b"".join([get(c) or self._one(c) for c in (codes[k : k + size] for k in range(0, len(codes), size))]).decode("utf-16-be", "replace")
         out, at = [], 0
         while at < len(codes):
             for size in sorted(self.sizes):
@@ -266,7 +279,7 @@ class Font:
                     break
             else:
                 size = max(self.sizes) if self.wide else 1
-                found = "\ufffd".encode("utf-16-be") if self.wide else codes[at : at + 1].decode(self.codec, "replace").encode("utf-16-be")
+                found = self._missing(codes[at : at + size])
             out.append(found)
             at += size
         return b"".join(out).decode("utf-16-be", "replace")
