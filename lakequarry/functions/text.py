@@ -63,15 +63,23 @@ def _numeric_entities(text: Column, pattern: str, digits) -> Column:
     return let(text, decoded)
 
 
+def _where_any(text: Column, decoded) -> Column:
+    """decoded(text) where it has an ampersand; a text without any is not searched."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
+
+
 def decode_basic_entities(text: Column) -> Column:
     """The five basic entities only."""
-    return _named_entities(text, BASIC)
+    return _where_any(text, lambda t: _named_entities(t, BASIC))
 
 
 def decode_entities(text: Column) -> Column:
     """Named entities, then hexadecimal, then decimal ones."""
-    text = _numeric_entities(_named_entities(text, WITH_BLANK), "(?i)&#x([0-9a-f]+);", lambda c: c)
-    return _numeric_entities(text, "&#([0-9]+);", lambda c: F.conv(c, 10, 16))
+    def decoded(t: Column) -> Column:
+        t = _numeric_entities(_named_entities(t, WITH_BLANK), "(?i)&#x([0-9a-f]+);", lambda c: c)
+        return _numeric_entities(t, "&#([0-9]+);", lambda c: F.conv(c, 10, 16))
+
+    return _where_any(text, decoded)
 
 
 def escape_markup(text: Column) -> Column:
@@ -101,7 +109,7 @@ def text_of_simple_markup(html: Column) -> Column:
 def text_of_cell(html: Column) -> Column:
     """Tags go without a blank in their place."""
     broken = F.regexp_replace(html, r"(?i)<br\s*/?>", " ")
-    return collapse(_named_entities(F.regexp_replace(broken, "<[^>]*>", ""), WITH_BLANK))
+    return collapse(_where_any(F.regexp_replace(broken, "<[^>]*>", ""), lambda t: _named_entities(t, WITH_BLANK)))
 
 
 def label_of(text: Column) -> Column:

@@ -41,14 +41,9 @@ def first_of(html: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract(X.or_empty(html), pattern, group)
 
 
-def _decoded(value: Column) -> Column:
-    """Entities decoded; a value without any is not searched for them."""
-    return X.let(value, lambda v: F.when(F.contains(v, F.lit("&")), X.decode_entities(v)).otherwise(v))
-
-
 def attribute(tag: Column, name: str) -> Column:
     """A quoted attribute's value, decoded; or empty."""
-    return _decoded(first_of(tag, rf"(?is)\b{name}\s*=\s*([\"'])(.*?)\1", 2))
+    return X.decode_entities(first_of(tag, rf"(?is)\b{name}\s*=\s*([\"'])(.*?)\1", 2))
 
 
 QUOTED = r"(?is)(\w+)\s*=\s*([\"'])(.*?)\2"
@@ -61,7 +56,7 @@ def attributes(tag: Column) -> Column:
 
 def value_of(found: Column, name: str) -> Column:
     """The first value of that name, decoded; or empty."""
-    return _decoded(X.or_empty(F.get(found["values"], (F.array_position(found["names"], name) - 1).cast("int"))))
+    return X.decode_entities(X.or_empty(F.get(found["values"], (F.array_position(found["names"], name) - 1).cast("int"))))
 
 
 def named_tag(html: Column, tag: str, fragment: str) -> Column:
@@ -172,7 +167,7 @@ def tab_rows(pages: DataFrame, key: str, html: str, tabs: dict[str, str]) -> Dat
     header = F.lit(False)
     for k, name in enumerate(TAB_HEADER):
         header = header | (cell(k) == name)
-    link = _decoded(first_of(F.col("_tr"), r'(?i)href="([^"]+)"', 1))
+    link = X.decode_entities(first_of(F.col("_tr"), r'(?i)href="([^"]+)"', 1))
     return rows.where((F.size("_c") >= 4) & ~header).select(key, "tab", "_pos", *[cell(k).alias(n) for k, n in enumerate(TAB_FIELDS)], link.alias("link"))
 
 

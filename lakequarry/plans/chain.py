@@ -29,10 +29,19 @@ def from_site(site: str, timeout: int = 8) -> Fetch:
 
 
 def from_table(pages: DataFrame) -> Fetch:
-    """Stored pages (url, html), found by a join on their URL; one that is not there is an error."""
+    """Stored pages (url, html), found by a join on their URL; one that is not there is an error.
+
+    Both sides are dealt to a number of tasks that is kept: what follows costs far more a row than its bytes say, by which adaptive execution would put tasks together.
+    """
+    spark = pages.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
     def fetch(rows: DataFrame, url: Column) -> DataFrame:
-        found = rows.withColumn("_asked", url).join(pages.select(F.col("url").alias("_asked"), "html", F.lit(True).alias("_there")), "_asked", "left")
-        return found.withColumn("url", F.col("_asked")).withColumn("error", F.when(F.col("_there").isNull(), "SOURCE_UNAVAILABLE: no such page")).drop("_asked", "_there")
+        stored = pages.select(F.col("url").alias("_asked"), "html", F.lit(True).alias("_there")).repartition(tasks, "_asked")
+        asked = F.coalesce(url, F.concat(F.lit("none:"), F.xxhash64(*rows.columns).cast("string")))  # rows without a URL are not one key
+        found = rows.withColumn("_asked", asked).repartition(tasks, "_asked").join(stored, "_asked", "left")
+        own = F.when(~F.startswith("_asked", F.lit("none:")), F.col("_asked"))
+        return found.withColumn("url", own).withColumn("error", F.when(F.col("_there").isNull(), "SOURCE_UNAVAILABLE: no such page")).drop("_asked", "_there")
 
     return fetch
 

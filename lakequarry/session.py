@@ -33,9 +33,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df for work that costs much a row: dealt to all cores where its files give tasks for less than half of them. Large tables give more tasks than that and are not shuffled."""
+    """df for work that costs much a row: dealt to all cores where its files give fewer tasks than there are cores (a file of one row group is one task's, however many parts it is planned in). Large tables give more tasks than that and are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
