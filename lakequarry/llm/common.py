@@ -73,3 +73,16 @@ def without(rows: DataFrame, gone: DataFrame, key: str, most_broadcast: int = 1_
     """rows whose key is not in gone: by a broadcast of up to most_broadcast keys (8 or 32 bytes each), else by a shuffle of both sides."""
     gone = stage(gone.select(key).distinct(), "gone")
     return rows.join(F.broadcast(gone) if gone.count() <= most_broadcast else gone, key, "left_anti")
+
+
+def within(rows: DataFrame, ids: DataFrame, key: str, most_broadcast: int = 1_000_000, bits: int = 16) -> DataFrame:
+    """rows whose key is in ids (key, distinct): by a broadcast of up to most_broadcast keys, else by a shuffle of those rows that pass bitmaps of the keys' hashes, of some bits a key."""
+    n = ids.count()
+    if n <= most_broadcast:
+        return rows.join(F.broadcast(ids.select(key)), key, "left_semi")
+    size = 4096 * 8  # of a bitmap
+    bucket, at = F.pmod(F.xxhash64(key), F.lit(-(-n * bits // size))).alias("_bucket"), F.pmod(F.xxhash64(key, F.lit("bit")), F.lit(size))
+    maps = ids.select(bucket, at.alias("_at")).groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    likely = rows.withColumn("_bucket", bucket).join(F.broadcast(maps), "_bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return likely.drop("_bucket", "_map").join(ids.select(key), key, "left_semi")

@@ -13,9 +13,9 @@ log p - log g - log q. Gains are a table that grows with the corpus; they are jo
 2. Postings and gains of a shard meet in one task (cogroup), which returns each block's partial sums; those are added up by block. There are as many tasks as
    the input needs for some 32 MB of text each: first more shards, and beyond 256 (or what the number of pairs needs) more salts, each a share of the blocks, to which the shard's gains are copied.
 
-Trusted are the documents with label quality 1: about max_trusted at most, chosen by a hash of doc_id. The model is trained on one half of them (by another hash). A document
+Trusted are all documents with label quality 1. The model is trained on one half of them (by a hash of doc_id). A document
 is rejected when its log-perplexity is above its language's threshold: the quantile of the other half's log-perplexities, which the model has not seen, plus margin times the
-distance of that quantile from their median. All documents are scored, over whole texts.
+distance of that quantile from their median. So each trusted document counts, in one of the two. All documents are scored, over whole texts.
 
 Defined results: a null or empty text has no ids, a null log_ppl, and is rejected. Null languages are a language of their own; a language with fewer than least_trusted
 trusted documents in the second half uses the quantiles of all. Without trusted text nothing but empty texts is rejected. Repeated rows stay; an empty table gives an empty result. Columns but doc_id, lang and text
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import shared_bpe
-from .common import read_table, row_key, small_batches, stage, without
+from .common import read_table, row_key, small_batches, stage, within, without
 
 VOCABULARY = 50_257
 START = 50_256  # stands before a text; no text has it
@@ -279,26 +279,24 @@ def score(docs: DataFrame, trusted: DataFrame, tasks: int | None = None, tokeniz
     return met.groupBy("block").applyInArrow(_sum_block, "doc_id long, lang string, row_key string, n_ids long, log_ppl double")
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int) -> DataFrame:
-    """doc_id of trusted documents: max_trusted at most, on average, chosen by a hash."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    share = min(1.0, max_trusted / max(1, good.count()))
-    return good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of every trusted document."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 0.5, max_trusted: int = 1_000_000, least_trusted: int = 50, tasks: int | None = None, tokenizer: str | None = None, most_broadcast: int = 10_000) -> DataFrame:
-    """doc_id, lang, row_key, n_ids, log_ppl, threshold and kept of docs (doc_id, lang, text)."""
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 0.5, least_trusted: int = 50, tasks: int | None = None, tokenizer: str | None = None, most_broadcast: int = 10_000, most_ids: int = 1_000_000) -> DataFrame:
+    """doc_id, lang, row_key, n_ids, log_ppl, threshold and kept of docs (doc_id, lang, text). most_ids: of within()."""
     docs = docs.select("doc_id", "lang", "text")
-    ids = stage(trusted_ids(labels, max_trusted).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0).alias("to_fit")), "trusted")  # some 9 bytes each, so 9 MB at most
-    fitted, asked = (F.broadcast(ids.where(c).select("doc_id")) for c in ("to_fit", "NOT to_fit"))
-    found = stage(score(docs, docs.join(fitted, "doc_id", "left_semi"), tasks, tokenizer), "perplexities")
-    known = found.where("n_ids > 0").join(asked, "doc_id", "left_semi")
-    # exact, over max_trusted values at most; rounded, so that the order of additions never shows
-    quantiles = F.percentile(F.round("log_ppl", 4), F.array(F.lit(0.5), F.lit(quantile)))
+    ids = stage(trusted_ids(labels).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0).alias("to_fit")), "trusted")
+    found = stage(score(docs, within(docs, ids.where("to_fit"), "doc_id", most_ids), tasks, tokenizer), "perplexities")
+    # rounded, so that the order of additions never shows, and that the different values are bounded; exact over these
+    own_lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("own_lang")
+    known = within(found.where("n_ids > 0"), ids.where("NOT to_fit"), "doc_id", most_ids).groupBy(own_lang, F.round("log_ppl", 4).alias("value")).agg(F.count("*").alias("n"))
+    known = stage(known, "trusted-values")
+    quantiles = F.percentile("value", F.array(F.lit(0.5), F.lit(quantile)), F.col("n"))
     limit = (quantiles[1] + margin * (quantiles[1] - quantiles[0])).alias("threshold")
     overall = known.agg(limit).first()[0]
-    own_lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("own_lang")
-    by_lang = known.groupBy(own_lang).agg(limit, F.count("*").alias("n")).where(F.col("n") >= least_trusted).drop("n")
+    by_lang = known.groupBy("own_lang").agg(limit, F.sum("n").alias("n")).where(F.col("n") >= least_trusted).drop("n")
     # a row a language; joined without a shuffle, as few languages hold most rows, unless there are too many to broadcast
     by_lang = stage(by_lang, "thresholds")
     judged = found.withColumn("own_lang", own_lang).join(F.broadcast(by_lang) if by_lang.count() <= most_broadcast else by_lang, "own_lang", "left")

@@ -3,9 +3,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakequarry.llm import kneser_ney as K
 from lakequarry.llm.byte_bpe import ByteBpe
+from lakequarry.llm.common import within
 
 from .fixtures import documents, table
 
@@ -105,3 +107,20 @@ def test_accuracy_on_labelled_documents_that_the_model_has_not_seen(spark):
     n = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
     share = lambda q: n.get((q, False), 0) / (n.get((q, False), 0) + n.get((q, True), 0))
     assert share(0) >= 0.75 and share(1) <= 0.02, n
+
+
+def test_every_trusted_document_counts(spark):
+    """Over the million that a hash once chose from."""
+    labels = spark.range(1_500_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert K.trusted_ids(labels.unionByName(labels.limit(10)).unionByName(labels.select("doc_id", F.lit(0).alias("quality")))).count() == 1_500_000
+
+
+def test_verdicts_do_not_depend_on_how_trusted_documents_are_joined(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    near, far = ({tuple(r) for r in K.classify(docs, labels, **o).collect()} for o in ({}, {"most_ids": 0}))
+    assert near == far
+    rows = spark.range(2000).select(F.when(F.col("id") % 7 > 0, F.col("id") - 1000).alias("k"))
+    ids = spark.range(300).select((F.col("id") * 3 - 400).alias("k"))
+    got = sorted(r.k for r in within(rows, ids, "k", 0, bits=1).collect())
+    assert got == sorted(k for r in rows.collect() if (k := r.k) is not None and -400 <= k < 500 and (k + 400) % 3 == 0)
