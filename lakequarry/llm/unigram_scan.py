@@ -4,13 +4,14 @@ Encoding finds the pieces of the largest total score, with the scores that the m
 of 2**-20), so that sums are exact. A blank is written as U+2581, one goes before the text, and characters without a piece become byte pieces. Among equal totals the path is that which,
 from the end backwards, always takes the piece that begins first.
 
-No piece has U+2581 after another character, so every best path has a cut before a blank that follows a word. Texts up to chunk_chars are cut there, and each
-worker keeps the pieces of the words it has seen in a bounded cache. A longer text is cut into chunks, which go to different tasks:
+No piece has U+2581 after another character, so every best path has a cut before a blank that follows a word; and one between
+characters that no pieces link, as letters and stops. Texts up to chunk_chars are cut there, and each worker keeps the pieces of the words it has seen in a bounded cache, which drops its older half when it is full. A longer text is cut into chunks, which go to different tasks:
 
 1. Each chunk yields a transfer matrix: from "the first cut at or after the chunk's begin is s characters on" to the same at its end, the best score.
    s is below the longest piece's length. Where the chunk has certain cuts, the matrix is the sum of a head, a middle and a tail.
 2. Matrices combine by the associative max-plus product: runs of 64 chunks in parallel, then a document's runs, then back into the runs. So each chunk learns
    the best score of every state at its begin.
+   The pieces between a chunk's first and last certain cut never depend on its begin: they are found once, with the matrix, and stand for that text from then on.
 3. With these, each chunk is traced back independently, for every state at its end: the ids, and the state at its begin that they come from. The document's states are then
    looked up from its end. The rule for equal totals looks at exact best scores only, so the ids are those of the whole text, whatever chunk_chars is.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -39,7 +40,6 @@ from .common import read_table, small_batches, stage
 BLANK, OWN_BLANK = "▁", "\ud800"  # the second stands for a U+2581 of the text itself
 NEVER = -(1 << 60)
 RUN = 64  # chunks whose matrices one task combines
-_WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
 def model_path() -> str:
@@ -73,11 +73,12 @@ class Pieces:
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.id):
             raise ValueError("a piece has a blank after another character")
         self.single = {p for p in self.score if len(p) == 1}
+        self.cut = re.compile(words_between_cuts(self.id)).findall
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
             self.automaton.add_word(p, (len(p), self.score[p], i))
         self.automaton.make_automaton()
-        self.most, self.seen = cache, {}
+        self.most, self.seen, self.older = cache, {}, {}
 
     def of(self, text: str, start: int, end: int) -> int | None:
         """Score of text[start:end] as one piece."""
@@ -117,9 +118,9 @@ class Pieces:
     def word(self, word: str) -> tuple[bytes, int]:
         """(ids as little-endian 32-bit bytes, score) of a word between certain cuts."""
         if (found := self.seen.get(word)) is None:
-            if len(self.seen) >= self.most:
-                self.seen.clear()
-            self.seen[word] = found = self._known(word) if self.single.issuperset(word) else self._any(word)
+            if len(self.seen) >= self.most // 2:
+                self.seen, self.older = {}, self.seen
+            self.seen[word] = found = self.older.get(word) or (self._known(word) if self.single.issuperset(word) else self._any(word))
         return found
 
     def _any(self, word: str) -> tuple[bytes, int]:
@@ -128,21 +129,21 @@ class Pieces:
 
     def _known(self, word: str) -> tuple[bytes, int]:
         """As _any, for words all of whose characters are pieces: the automaton gives every piece in a word, by its end and then by its begin."""
-        best, piece = [0] + [NEVER] * len(word), [None] * (len(word) + 1)
+        best, piece = [NEVER] * len(word) + [0], [None] * len(word)  # by a place's last character; the last entry, at -1, is the begin
         for end, found in self.automaton.iter(word):
-            own = best[end + 1 - found[0]] + found[1]
-            if own > best[end + 1]:
-                best[end + 1], piece[end + 1] = own, found
-        at, out = len(word), array("I")
-        while at:
-            out.append(piece[at][2])
-            at -= piece[at][0]
+            own = best[end - found[0]] + found[1]
+            if own > best[end]:
+                best[end], piece[end] = own, found
+        at, out = len(word) - 1, array("I")
+        while at >= 0:
+            size, _, one = piece[at]
+            out.append(one)
+            at -= size
         out.reverse()
-        return out.tobytes(), best[-1]
+        return out.tobytes(), best[-2] if word else 0
 
     def words(self, text: str) -> tuple[bytes, int]:
-        known = self.seen.get
-        own = [known(w) or self.word(w) for w in _WORDS.findall(text)]
+        own = [self.seen.get(w) or self.word(w) for w in self.cut(text)]
         return b"".join([x[0] for x in own]), sum(x[1] for x in own)
 
     def decode(self, ids: bytes) -> str:
@@ -150,6 +151,19 @@ class Pieces:
         return found[1:].decode(errors="replace")  # without the blank that encoding puts first
 
 
+def words_between_cuts(pieces: Iterable[str]) -> str:
+    """A pattern of words with certain cuts around them: blanks and characters of one group. No piece joins characters of two groups: the largest set of characters that pieces link with each other, other ones in pieces of several characters, and all the rest."""
+    group: dict[str, set[str]] = {}
+    for p in pieces:
+        own = set(p.lstrip(BLANK)) if len(p) > 1 else set()
+        linked = own.union(*[group[c] for c in own if c in group])
+        if any(group.get(c) is not linked and group.get(c) != linked for c in own):
+            group |= dict.fromkeys(linked, linked)
+    largest = max(group.values(), key=len, default=set())
+    most, others = ("".join(map(re.escape, sorted(x))) for x in (largest, group.keys() - largest))
+    return "|".join([*(f"{BLANK}*[{x}]+" for x in (most, others) if x), f"{BLANK}+", f"[^{BLANK}{most}{others}]+"])
+
+
 def cuts_to(back: dict[int, int], stop: int) -> list[int]:
     cuts = [stop]
     while cuts[-1] in back:
@@ -173,15 +187,20 @@ def certain_cuts(text: str, start: int, stop: int) -> tuple[int, int] | None:
     return (found[0] + max(0, start - 1), found[-1] + max(0, start - 1)) if found else None
 
 
-def transfer(pieces: Pieces, text: str, size: int) -> np.ndarray:
-    """The transfer matrix of a chunk: of its size characters, text has longest - 1 more (fewer at the document's end)."""
+def between(pieces: Pieces, text: str, size: int) -> tuple[int, int, bytes, int] | None:
+    """First and last certain cut of a chunk, with the ids and the score between them; None without any."""
+    cut = certain_cuts(text, 0, size)
+    return (*cut, *pieces.words(text[cut[0] : cut[1]])) if cut else None
+
+
+def transfer(pieces: Pieces, text: str, size: int, known: tuple[int, int, bytes, int] | None = None) -> np.ndarray:
+    """The transfer matrix of a chunk: of its size characters, text has longest - 1 more (fewer at the document's end). known: what between() gives, if it was asked."""
     n = pieces.longest
     out = np.full((n, n), NEVER, np.int64)
     ends = range(min(n, len(text) - size + 1))
-    cut = certain_cuts(text, 0, size)
-    if cut:
-        first, last = cut
-        middle = pieces.words(text[first:last])[1]
+    known = known or between(pieces, text, size)
+    if known:
+        first, last, _, middle = known
         head = [pieces.path(text, s, first)[0] if s <= first else NEVER for s in range(n)]
         tail = [pieces.path(text, last, size + t, size)[0] if last < size or t == 0 else NEVER for t in ends]
         for s, a in enumerate(head):
@@ -230,15 +249,15 @@ def first_state(n: int) -> np.ndarray:
     return np.where(np.arange(n) == 0, 0, NEVER)
 
 
-def trace(pieces: Pieces, text: str, size: int, before: np.ndarray) -> tuple[list[int], bytes, list[bytes]]:
+def trace(pieces: Pieces, text: str, size: int, before: np.ndarray, at: int | None = None, middle: bytes = b"") -> tuple[list[int], bytes, list[bytes]]:
     """(state at the chunk's begin, for each state at its end; ids that all of these have; the ids after them for each), from the best scores of the states at its begin.
 
-    States that cannot be reached have -1 and no ids.
+    States that cannot be reached have -1 and no ids. middle: ids that stand, at a place, for the text between the certain cuts; text and size are then without it.
     """
     n = pieces.longest
     starts = {s: int(x) for s, x in enumerate(before.tolist()) if x > NEVER and s <= max(size, 0)}
     coded = lambda cuts: np.array(pieces.ids(text, cuts), "<u4").tobytes()
-    cut = certain_cuts(text, 0, size)
+    cut = certain_cuts(text, 0, size) if at is None else (at, at)
     ends = range(min(n, len(text) - size + 1))
     states, tails = [-1] * n, [b""] * n
     if cut:
@@ -248,7 +267,7 @@ def trace(pieces: Pieces, text: str, size: int, before: np.ndarray) -> tuple[lis
         for t in ends:
             if (size + t in best) and (last < size or t == 0):
                 states[t], tails[t] = head[0], coded(cuts_to(back, size + t))
-        return states, coded(head) + pieces.words(text[first:last])[0], tails
+        return states, coded(head) + (pieces.words(text[first:last])[0] if at is None else middle), tails
     best, back = pieces.forward(text, starts, size, size + n - 1)
     found = {t: cuts_to(back, size + t) for t in ends if size + t in best}
     if not found:
@@ -263,6 +282,15 @@ def trace(pieces: Pieces, text: str, size: int, before: np.ndarray) -> tuple[lis
     return states, coded(next(iter(found.values()))[:shared]) if alike else b"", tails
 
 
+def packed(ids: bytes) -> bytes:
+    """Ids compressed, by their bytes' places."""
+    return zlib.compress(np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> bytes:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.tobytes()
+
+
 def joined(parts: list[tuple[list[int], bytes, list[bytes]]]) -> bytes:
     """A document's ids from its chunks' traces."""
     state, out = 0, []
@@ -311,9 +339,17 @@ def encode_chunked(docs: DataFrame, chunk_chars: int = 16_384, model: str | None
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared_pieces(model)
+
+        def one(text: str, size: int) -> tuple[int, bytes, int | None, bytes | None, bytes]:
+            known = between(pieces, text, size)
+            matrix = zlib.compress(transfer(pieces, text, size, known).tobytes(), 1)
+            first, last, ids = known[:3] if known else (None, None, None)
+            rest = text[:first] + text[last:] if known else text
+            return size - (last - first if known else 0), rest.encode("utf-8", "surrogatepass"), first, packed(ids) if known else None, matrix
+
         for b in batches:
-            found = [zlib.compress(transfer(pieces, p.as_py().decode("utf-8", "surrogatepass"), s.as_py()).tobytes(), 1) for p, s in zip(b.column("part"), b.column("size"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], [*b.schema.names, "matrix"])
+            found = [one(p.as_py().decode("utf-8", "surrogatepass"), s.as_py()) for p, s in zip(b.column("part"), b.column("size"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), *(pa.array(x, k) for x, k in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True))], ["row", "chunk", "size", "part", "at", "middle", "matrix"])
 
     def of(table: pa.Table) -> list[np.ndarray]:
         return [np.frombuffer(zlib.decompress(m.as_py()), np.int64).reshape(longest, longest) for m in table.column("matrix")]
@@ -335,18 +371,21 @@ def encode_chunked(docs: DataFrame, chunk_chars: int = 16_384, model: str | None
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared_pieces(model)
         for b in batches:
-            found = [trace(pieces, r["part"].decode("utf-8", "surrogatepass"), r["size"], np.frombuffer(r["before"], np.int64)) for r in b.select(["part", "size", "before"]).to_pylist()]
+            found = []
+            for r in b.select(["part", "size", "before", "at", "middle"]).to_pylist():
+                states, own, tails = trace(pieces, r["part"].decode("utf-8", "surrogatepass"), r["size"], np.frombuffer(r["before"], np.int64), r["at"], b"" if r["middle"] is None else unpacked(r["middle"]))
+                found.append((states, packed(own), tails))
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), b.column("path_score"), *(pa.array(x, k) for x, k in zip(zip(*found, strict=True), (pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())), strict=True))], ["row", "chunk", "path_score", "states", "own", "tails"])
 
     def whole(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
-        parts = list(zip(*(table.column(c).to_pylist() for c in ("states", "own", "tails")), strict=True))
+        parts = [(states, unpacked(own), tails) for states, own, tails in zip(*(table.column(c).to_pylist() for c in ("states", "own", "tails")), strict=True)]
         return pa.table({"row": table.column("row")[:1], "ids": pa.array([joined(parts)], pa.binary()), "path_score": table.column("path_score")[:1]})
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = "row long, chunk long, size long, part binary"
     cut = numbered.select("row", F.col("doc.text").alias("text")).mapInArrow(lambda it: _chunks(longest, chunk_chars, it), chunks).repartition(tasks, "row", "chunk")
-    measured = stage(cut.mapInArrow(matrices, f"{chunks}, matrix binary"), "chunk-matrices")
+    measured = stage(cut.mapInArrow(matrices, f"{chunks}, at long, middle binary, matrix binary"), "chunk-matrices")
     own = measured.select("row", "chunk", (F.col("chunk") / RUN).cast("long").alias("run"), "matrix")
     runs = own.groupBy("row", "run").applyInArrow(combined, "row long, run long, matrix binary").groupBy("row").applyInArrow(over_runs, "row long, run long, before binary, path_score long")
     known = own.groupBy("row", "run").cogroup(runs.groupBy("row", "run")).applyInArrow(within_runs, "row long, chunk long, before binary, path_score long")

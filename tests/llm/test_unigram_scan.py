@@ -153,3 +153,23 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "some text " * 30, 5, "c", None), (2, None, 6, "d", 1)], "doc_id long, text string, row long, chunk string, _row int")
     found = sorted(U.encode(df, chunk_chars=64).drop("ids", "path_score").collect())
     assert found == sorted(df.collect())
+
+
+def test_words_are_kept_without_their_stops(pieces):
+    own = U.Pieces(cache=40)
+    for w in (own.words(U.written(t)) for t in ("the harbour. The harbour,", "the harbour!\nThe 12 harbour?")):
+        assert w
+    assert "▁harbour" in own.seen | own.older and not any("harbour" in w for w in (own.seen | own.older) if w != "▁harbour")
+    for t in texts():
+        assert own.words(U.written(t)) == pieces.words(U.written(t)) and len(own.seen) <= 20 and len(own.older) <= 20
+
+
+def test_a_chunks_words_are_read_once(pieces):
+    for t in texts(60):
+        w = U.written(t)
+        n = max(1, len(w) - 5)
+        before = U.scores_before(U.first_state(pieces.longest), [U.transfer(pieces, w, n)])[0]
+        if known := U.between(pieces, w, n):
+            first, last, ids, _ = known
+            assert U.unpacked(U.packed(ids)) == ids
+            assert U.trace(pieces, w[:first] + w[last:], n - (last - first), before, first, ids) == U.trace(pieces, w, n, before), t
