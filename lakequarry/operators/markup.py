@@ -104,24 +104,24 @@ def form_fields(html: Column) -> Column:
 
     sent = lambda f: (f["name"] != "") & ~f["type"].isin("submit", "button", "image", "reset") & (~f["type"].isin("checkbox", "radio") | f["ticked"])
     pair = lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value"))
-    inputs = F.transform(F.filter(F.transform(all_of(html, r"(?is)<input\b[^>]*>"), field), sent), pair)
+    inputs = lambda h: F.transform(F.filter(F.transform(all_of(h, r"(?is)<input\b[^>]*>"), field), sent), pair)
     chosen = lambda t: value_of(attributes(F.regexp_extract(t, r"(?is)(<option\b[^>]*\bselected\b[^>]*>)", 1)), "value")
-    listed = F.transform(all_of(html, r"(?is)<select\b[^>]*>.*?</select>"), lambda t: F.struct(value_of(attributes(F.regexp_extract(t, "(?s)^[^>]*>", 0)), "name").alias("name"), chosen(t).alias("value")))
-    return F.concat(inputs, F.filter(listed, lambda f: f["name"] != ""))
+    listed = lambda h: F.transform(all_of(h, r"(?is)<select\b[^>]*>.*?</select>"), lambda t: F.struct(value_of(attributes(F.regexp_extract(t, "(?s)^[^>]*>", 0)), "name").alias("name"), chosen(t).alias("value")))
+    return X.let(html, lambda h: F.concat(inputs(h), F.filter(listed(h), lambda f: f["name"] != "")))
 
 
 def pager(html: Column) -> Column:
     """Struct of total (only where just one is stated), page, pages and tab_counts."""
     counts = F.transform(all_of(html, rf"共[{X.SPACE}]*([0-9,]+)[{X.SPACE}]*筆", 1), lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("int"))
     pages = rf"([0-9]+)[{X.SPACE}]*/[{X.SPACE}]*([0-9]+)[{X.SPACE}]*頁"
-    number = lambda k: F.nullif(first_of(html, pages, k), F.lit("")).try_cast("int")
-    return F.struct(F.when(F.size(counts) == 1, F.get(counts, F.lit(0))).alias("total"), number(1).alias("page"), number(2).alias("pages"), counts.alias("tab_counts"))
+    number = lambda k: first_of(html, pages, k).try_cast("int")  # noqa: E731 - no number is null
+    return F.struct(X.let(counts, lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0)))).alias("total"), number(1).alias("page"), number(2).alias("pages"), counts.alias("tab_counts"))
 
 
 def page_number(html: Column) -> Column:
     """The proposal's number that a page states: in its hidden field, else in its text; or empty."""
     hidden = first_of(named_tag(html, "input", "ProposalSN"), r"(?i)\bvalue\s*=\s*([\"'])([0-9]+)\1", 2)
-    return F.coalesce(F.nullif(hidden, F.lit("")), first_of(X.text_of_escaped_markup(html), rf"(?:議案流水號|提案流水號)[{X.SPACE}]*[：:]?[{X.SPACE}]*([0-9]+)", 1))
+    return X.let(hidden, lambda n: F.when(n != "", n).otherwise(first_of(X.text_of_escaped_markup(html), rf"(?:議案流水號|提案流水號)[{X.SPACE}]*[：:]?[{X.SPACE}]*([0-9]+)", 1)))
 
 
 def exploded(pages: DataFrame, html: str, pattern: str, group: int, name: str, keep: list[str]) -> DataFrame:
@@ -200,7 +200,7 @@ def review_field(row: Column, marker: str, label: str, stops: tuple[str, ...]) -
     end = "|".join([*stops, "$"])
     raw = first_of(row, f"(?s){label}(.*?)(?:{end})", 1)
     value = F.regexp_replace(raw, rf"^[{X.SPACE}：:/]+|[{X.SPACE}：:/]+$", "")
-    return F.when(F.contains(row, F.lit(marker)), F.when(value.rlike(EMPTY_REVIEW), "").otherwise(value))
+    return F.when(F.contains(row, F.lit(marker)), X.let(value, lambda v: F.when(v.rlike(EMPTY_REVIEW), "").otherwise(v)))
 
 
 def reviews(rows: DataFrame, key: str) -> DataFrame:

@@ -57,7 +57,7 @@ def detail_fields(html: Column) -> Column:
         joined = F.transform(rows, lambda cells: F.trim(F.array_join(cells, " ")))
 
         def review(lines: Column) -> Column:
-            value = lambda how: X.or_empty(markup.review_field(F.try_element_at(F.filter(lines, lambda x: F.contains(x, F.lit(how[0]))), F.lit(-1)), *how))
+            value = lambda how: X.or_empty(X.let(F.try_element_at(F.filter(lines, lambda x: F.contains(x, F.lit(how[0]))), F.lit(-1)), lambda line: markup.review_field(line, *how)))
             return F.struct(*[value(how).alias(name) for name, how in markup.REVIEW_FIELDS.items()])
 
         return F.struct(named.alias("fields"), X.let(joined, review).alias("review"))
@@ -73,7 +73,7 @@ def listed_files(html: Column, base: str) -> Column:
 
     def file(row: Column) -> Column:
         link = markup.first_of(F.array_join(markup.all_of(row, markup.DATA_CELL, 1), " "), r"(?i)<a\b[^>]*href=[\"']([^\"']+)[\"'][^>]*>", 1)
-        made = lambda c: F.struct(*[F.get(c, F.lit(k)).alias(n) for k, n in enumerate(("no", "description", "name", "size"))], F.when(link != "", urls.absolute(link, base)).alias("download_url"), F.size(c).alias("cells"))
+        made = lambda c: F.struct(*[F.get(c, F.lit(k)).alias(n) for k, n in enumerate(("no", "description", "name", "size"))], X.let(link, lambda to: F.when(to != "", urls.absolute(to, base))).alias("download_url"), F.size(c).alias("cells"))
         return X.let(markup.cells_of(row, X.text_of_cell), made)
 
     rows = F.filter(F.transform(markup.all_of(html, r"(?is)<tr\b[^>]*>(.*?)</tr>", 1), file), lambda f: (f["cells"] >= 4) & (f["no"] != "序號"))
@@ -91,11 +91,12 @@ def proposals_with_files(rows: DataFrame, fetch: Fetch, site: str) -> DataFrame:
     link = urls.absolute(F.coalesce(F.nullif("detail_url", F.lit("")), F.concat(F.lit("Detail.aspx?s="), "proposal_sn")), root + PAGES["proposal"])
     official = lambda u, page: urls.on_host(u, host) & F.coalesce(urls.part(u, "PATH") == "/" + PAGES[page], F.lit(False))
     wanted = rows.select(*kept, link.alias("_link"))
-    detail = fetch(wanted, F.when(official(F.col("_link"), "proposal"), F.col("_link"))).select(*kept, "_link", "url", "html", "error")
-    number = markup.page_number(F.col("html"))
+    detail = fetch(wanted, F.when(official(F.col("_link"), "proposal"), F.col("_link"))).select(*kept, "_link", "url", "html", "error", markup.page_number(F.col("html")).alias("_number"))
+    number = F.col("_number")
     reason = F.when(~official(F.col("_link"), "proposal"), F.concat(F.lit("INVALID_ARGUMENT: "), F.coalesce("_link", F.lit("no URL")))).when(F.col("error").isNotNull(), F.col("error")).when(~official(F.col("url"), "proposal"), F.concat(F.lit("PARSER_CONTRACT_CHANGED: "), "url"))
     reason = reason.when(number != F.col("proposal_sn"), F.concat(F.lit("SOURCE_ID_MISMATCH: the page is of "), number))
-    read = detail.select(*kept, reason.alias("reason"), F.when(reason.isNull(), detail_fields(F.col("html"))).alias("d"))
+    # what is used more than once is a column first, so that it is worked out once a row
+    read = detail.withColumn("reason", reason).select(*kept, "reason", F.when(F.col("reason").isNull(), detail_fields(F.col("html"))).alias("d"))
     asked = F.concat(F.lit(f"{root}{PAGES['attachments']}?f=1&s="), "proposal_sn", F.lit("&t=False"))
     listed = fetch(read, F.when(F.col("reason").isNull(), asked)).select(*kept, "reason", "d", "url", "error", F.when(F.col("reason").isNull() & F.col("error").isNull(), listed_files(F.col("html"), root)).alias("files"))
     own = official(F.col("url"), "attachments") & F.coalesce(urls.part(F.col("url"), "QUERY", "s") == F.col("proposal_sn"), F.lit(False))
@@ -104,4 +105,5 @@ def proposals_with_files(rows: DataFrame, fetch: Fetch, site: str) -> DataFrame:
     why = why.when(F.col("files").isNull(), "PARSER_CONTRACT_CHANGED: no files and no word of it").when(foreign, "PARSER_CONTRACT_CHANGED: a file of another host")
     r = [F.col(f"d.review.{f}") for f in ("third_reading_session", "third_reading_date", "second_reading_resolution", "second_reading_date", "committee_opinion", "first_reading")]
     status = F.when(F.col("d").isNotNull(), markup.review_status(*r))
+    listed, why = listed.withColumn("_why", why), F.col("_why")
     return listed.select(*kept, "d.fields", "d.review", status.alias("status"), F.when(why.isNull(), F.col("files")).alias("files"), why.alias("reason"))

@@ -35,3 +35,19 @@ def test_links_of_pages(spark, base):
     want[4] = "https://other.example/b"  # the RFC takes dot segments out of absolute URLs too
     assert resolved(spark, refs, base) == want
     assert resolved(spark, [None, " f/7.pdf \n", "#t"], base)[:2] == [None, urljoin(base, "f/7.pdf")]
+
+
+def test_a_reference_is_worked_out_once(spark):
+    shown = str(spark.range(1).select(F.lit("a").alias("some_ref")).select(urls.absolute(F.col("some_ref"), "https://h.example/a/b?q"))._jdf.queryExecution().logical())
+    assert shown.count("'some_ref") + shown.count("some_ref#") <= 2  # the one use, and the column's definition
+
+
+def test_plain_references_and_hosts_are_as_parsed_ones(spark):
+    base = "https://h.example/a/b?q"
+    refs = ["x", "x/y", " x/y?a=/../b#c:d ", "x/./y", "../x", ".x", "x:y", "x/y:z", "?p", "#f", "//o.example/x", "/r", "x.y", "x..y/z", "x/.y", ""]
+    want = [urljoin(base, r.strip()) for r in refs]
+    rows = spark.createDataFrame([(k, r) for k, r in enumerate(refs)], "k int, r string")
+    assert [r[0] for r in rows.orderBy("k").select(urls.absolute(F.col("r"), base)).collect()] == want
+    given = {"https://h.example/a": True, "https://h.example/a b": False, "http://h.example/": False, "https://h.example:8/x?y": True, "https://h.example.org/": False, "HTTPS://H.EXAMPLE/": True, None: False}
+    found = spark.createDataFrame([(u,) for u in given], "u string").select("u", urls.on_host(F.col("u"), "h.example")).collect()
+    assert {r[0]: r[1] for r in found} == given
