@@ -87,3 +87,14 @@ def test_records_from_pages(spark, tmp_path):
 def test_damage_is_a_reason(spark, data):
     row = pdf.pages_of_files(spark.createDataFrame([("f", data, None)], "file string, content binary, reason string")).collect()
     assert all((r.reason is None) != (r.page is None) for r in row) and row
+
+
+def test_codes_of_two_bytes_are_read_together():
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <D83D> <0002> <DE42> endbfchar 1 beginbfrange <0003> <FFFF> <0003> endbfrange"
+    made = lambda: pdf.Font(pdf.Document(b"%PDF-1.7\n4 0 obj << /Length " + str(len(cmap)).encode() + b" >>\nstream\n" + cmap + b"\nendstream endobj"), {"/Subtype": pdf.Name("/Type0"), "/ToUnicode": pdf.Ref(4)})
+    font = made()
+    assert font.text("harbour".encode("utf-16-be") * 1000) == "harbour" * 1000 and len(font.pairs) == 6
+    for codes in ("ab\u0001\u0002c".encode("utf-16-be"), "x\U0001f642y\0".encode("utf-16-be"), b"\0a\xd8\x3d\0b", b"\0a\0", b"", "é數\n".encode("utf-16-be")):
+        slow = made()
+        size = lambda k, codes=codes: codes[k : k + 2]
+        assert font.text(codes) == b"".join(slow._one(size(k)) for k in range(0, len(codes), 2)).decode("utf-16-be", "replace")
