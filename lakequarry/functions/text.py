@@ -18,7 +18,13 @@ def quoted(literal: str) -> str:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Without white space at the ends. A run of it is read once, wherever it stands: only its first character can begin a match."""
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}](?<![{SPACE}]{{2}})[{SPACE}]*$", "")
+
+
+def filled(text: Column) -> Column:
+    """True where something is left after strip(), told by the first such character; null of a null."""
+    return text.rlike(f"[^{SPACE}]")
 
 
 def collapse(text: Column) -> Column:
@@ -118,7 +124,7 @@ def label_of(text: Column) -> Column:
 
 
 def without_trailing_separators(text: Column) -> Column:
-    return F.regexp_replace(text, f"[,，{SPACE}]+$", "")
+    return F.regexp_replace(text, f"[,，{SPACE}](?<![,，{SPACE}]{{2}})[,，{SPACE}]*$", "")
 
 
 def occurrences(text: Column, keyword: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Refused
-from ..functions.text import SPACE, escape_markup
+from ..functions.text import escape_markup, filled
 from ..operators import gram_index, keyed, markup
 from ..session import shared_dir, spread, table
 from ..sources import delimited, page_store, pdf, results, snapshots
@@ -45,14 +45,15 @@ def _answer(sources: tools.Sources, name: str, given: dict, *roots: str) -> tool
 
 def _laws(spark: SparkSession, d: str, root: str) -> tools.Sources:
     """Documents with some text as laws; their lines that are not blank as articles."""
-    lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(f"[^{SPACE}]"))
+    lines = F.filter(F.split("text", "\n", -1), filled)
     articles = F.transform(lines, lambda line, i: F.struct((i + 1).cast("string").alias("article_no"), line.alias("content")))
     key = F.col("doc_id").cast("string")
-    rows = table(spark, d, "documents").select(
+    docs = table(spark, d, "documents").where(filled(F.col("text"))).select("doc_id", "source", "lang", "text")  # so that some line is an article; told before texts are taken apart
+    rows = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(
         F.col("doc_id").alias("_pos"), F.concat(F.lit("L"), key).alias("law_id"), F.concat(F.lit("Law "), key, F.lit(" of "), "source").alias("law_name"), F.col("lang").alias("category"), F.lit("2026-01-01").alias("published_at"),
         F.concat(F.lit("https://law.example/a?id=L"), key).alias("official_url"), F.lit("").alias("history"), articles.alias("articles"),
     )
-    snapshots.publish(rows.where(F.size("articles") > 0), root, "laws", "s1", ["_pos"], ABOUT, rows_a_part=997)
+    snapshots.publish(rows, root, "laws", "s1", ["_pos"], ABOUT, rows_a_part=997, ordered=True)
     return tools.Sources(spark, root, law_host="law.example")
 
 
@@ -342,8 +343,8 @@ def tool_refusals(spark: SparkSession, d: str) -> DataFrame:
     """What each question that cannot be answered is refused with, over snapshots and stored records of all documents."""
     root, other_root = _new_root(spark), _new_root(spark)
     laws, site, store = _laws(spark, d, root), _site(spark, d), _store(spark, d, root)
-    good = snapshots.load(spark, root, "laws", snapshots.LAW).manifest
-    bare = snapshots.load(spark, root, "laws", snapshots.LAW).records.withColumn("articles", F.when(F.col("_pos") > 0, F.col("articles")).otherwise(F.array()))
+    whole = snapshots.load(spark, root, "laws", snapshots.LAW)
+    good, bare = whole.manifest, whole.records.withColumn("articles", F.when(F.col("_pos") > 0, F.col("articles")).otherwise(F.array()))
     snapshots.publish(bare, other_root, "laws", "s2", ["law_id"], ABOUT)
     denied = tools.Sources(spark, root, law_host="law.example", revoked=(good["normalized_sha256"],))
     other = tools.Sources(spark, site=SITE, fetch=lambda page, params: site.fetch(page, {"s": "1", "category": "7"}))  # noqa: ARG005 - answers without the filters

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..errors import Refused
-from ..functions.text import strip
+from ..functions.text import filled
 from ..functions.urls import on_host, part
 from ..operators.keyed import require_rows
 from . import delimited, order, results
@@ -130,6 +130,7 @@ def _part_records(spark: SparkSession, root: str, m: dict, dataset: str, schema:
     counts = splits.groupBy("key").agg(F.sum("n").alias("lines"))  # Spark gives no row for a file without bytes
     same = (F.coalesce("own", F.lit(hashlib.sha256().hexdigest())) == F.col("hash")) & (F.coalesce("lines", F.lit(0)) == F.col("declared"))
     if not declared.join(hashed, "key", "left").join(counts, "key", "left").where(~F.coalesce(same, F.lit(False))).isEmpty():
+        splits.unpersist()
         raise Refused("SNAPSHOT_UNVERIFIED", "a part differs from its hash or count")
     ordered = order.numbered(lines, splits.join(declared.select("key", "part"), "key").drop("key"), "part")
     return ordered.select("_pos", F.from_json("value", schema).alias("r")).select("_pos", "r.*")
@@ -140,14 +141,14 @@ def listing_hash(hashes: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(hashes).encode()).hexdigest()
 
 
-def publish(records: DataFrame, root: str, dataset: str, snapshot: str, by: list[str], about: dict, rows_a_part: int = 1_000_000) -> str:
+def publish(records: DataFrame, root: str, dataset: str, snapshot: str, by: list[str], about: dict, rows_a_part: int = 1_000_000, ordered: bool = False) -> str:
     """Writes records as a snapshot in parts, in the order of the columns `by`, and makes it the active one; returns its hash.
 
     Executors write, hash and count the parts, of rows_a_part records at most; the driver sees a line for each part. about: what else the manifest says (times, versions, coverage, source_url). The pointer is written last, so a failed write leaves
-    the snapshot before it active.
+    the snapshot before it active. ordered: the records are dealt and sorted by `by` already, so that what they are computed from was sampled and not they themselves.
     """
     spark, folder = records.sparkSession, f"verified/{dataset}/{snapshot}"
-    ranged = records.repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = records if ordered else records.repartitionByRange(*by).sortWithinPartitions(*by)
     results.json_rows(ranged.drop("_pos")).write.option("maxRecordsPerFile", rows_a_part).text(f"{root}/{folder}/parts")
     top = order.qualified(spark, root)
     files = spark.read.format("binaryFile").load(f"{root}/{folder}/parts").select(order.decoded(F.col("_metadata.file_path")).alias("_file"), F.sha2("content", 256).alias("sha256"))
@@ -187,7 +188,12 @@ def load(spark: SparkSession, root: str, dataset: str, schema: str, revoked: Ite
         records = _part_records(spark, root, manifest, dataset, kind) if manifest.get("parts") else _array_records(spark, root, manifest, kind)
         records = records if cache is None else hold(records)
         if check:
-            check(records)
+            try:
+                check(records)
+            except Exception:
+                if cache is not None:
+                    records.unpersist()  # what is refused is not kept
+                raise
         return Snapshot(records, manifest)
 
     return verified() if cache is None else cache.get((root, dataset, *scope), wanted.lower(), verified)
@@ -196,13 +202,13 @@ def load(spark: SparkSession, root: str, dataset: str, schema: str, revoked: Ite
 def _filled(*columns: str) -> Column:
     verdict = F.lit(True)
     for c in columns:
-        verdict = verdict & (strip(F.col(c)) != "")
+        verdict = verdict & filled(F.col(c))
     return verdict
 
 
 def load_laws(spark: SparkSession, root: str, host: str, revoked: Iterable[str] = (), cache: Versioned | None = None) -> Snapshot:
     """Laws, each with its fields, a non-blank article at least, and a URL of the host that carries its id."""
-    articles = (F.size("articles") > 0) & F.forall("articles", lambda a: (strip(a["article_no"]) != "") & (strip(a["content"]) != ""))
+    articles = (F.size("articles") > 0) & F.forall("articles", lambda a: filled(a["article_no"]) & filled(a["content"]))
     valid = _filled("law_id", "law_name", "category", "published_at", "official_url") & articles & on_host(F.col("official_url"), host) & (part(F.col("official_url"), "QUERY", "id") == F.col("law_id"))
     return load(spark, root, "laws", LAW, revoked, lambda rows: require_rows(rows, valid, "law_id", "SNAPSHOT_UNVERIFIED", "laws"), cache, (host,))
 

@@ -1,5 +1,7 @@
 import hashlib
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,3 +56,20 @@ def test_entities_and_amounts(spark):
     assert df.select(text.decode_entities(F.col("t"))).first()[0] == "中A< b"
     df = spark.createDataFrame([("1,234.5",), ("1d",), ("NaN",), ("0x10",), (None,)], "t string")
     assert [r[0] for r in df.select(numbers.parse_amount(F.col("t"))).collect()] == [1234.5, None, None, 16.0, None]
+
+
+def test_white_space_at_the_ends_in_time_that_grows_with_the_text(spark):
+    space = "\t\n\x0b\f\r \u00a0\u1680\u2000\u200a\u2028\u202f\u205f\u3000\ufeff"
+    rng = random.Random(3)
+    texts = ["", " ", "\n\n", "x \u0085", *("".join(rng.choice("ab,，道😀" + space[:4] + rng.choice(space)) for _ in range(rng.randrange(9))) for _ in range(400))]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    found = df.select(text.strip(F.col("t")).alias("s"), text.filled(F.col("t")).alias("f"), text.without_trailing_separators(F.col("t")).alias("w")).collect()
+    for t, r in zip([*texts, None], found, strict=True):
+        if t is None or "\u0085" in t:
+            continue
+        assert (r.s, r.f, r.w) == (t.strip(space), bool(t.strip(space)), t.rstrip(space + ",，")), repr(t)
+    assert (found[-1].s, found[-1].f) == (None, None)
+    began = time.monotonic()
+    long = spark.range(8).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), 300_000), F.lit("b")).alias("t"))  # each run read again from each of its places: 4.5e10 steps a text
+    assert long.where(text.filled(F.col("t")) & (F.length(text.strip(F.col("t"))) == 300_002) & (F.length(text.without_trailing_separators(F.col("t"))) == 300_002)).count() == 8
+    assert time.monotonic() - began < 20

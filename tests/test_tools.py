@@ -210,3 +210,16 @@ def test_caches(spark, tmp_path):
     assert T.call(own, "budget_summary") is first and not ended
     clock[0] = 10.0
     assert T.call(own, "budget_summary").data.first().agency_sum == 3.0 and ended == [first]
+
+
+def test_refused_laws_are_not_kept(spark, tmp_path):
+    kept = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    law = {"law_id": "A", "law_name": "n", "category": "c", "published_at": "x", "official_url": "https://law.example/a?id=A", "history": ""}
+    own = T.Sources(spark, str(tmp_path), "law.example")
+    before = kept()
+    for articles in ([], [{"article_no": "1", "content": " \u3000\n"}], [{"article_no": "1", "content": None}]):
+        publish(tmp_path, "laws", [law | {"articles": articles}])
+        refused("SNAPSHOT_UNVERIFIED", own, "search_laws", keyword="n")
+    assert kept() == before
+    publish(tmp_path, "laws", [law | {"articles": [{"article_no": "1", "content": " a "}]}])
+    assert T.call(own, "search_laws", {"keyword": "n"}).data.count() == 1 and kept() > before
