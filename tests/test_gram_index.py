@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lakequarry.operators import gram_index
@@ -40,3 +41,25 @@ def test_a_rare_keyword_reads_few_blocks(spark, tmp_path):
     assert "In(_block" in plan.split("PushedFilters")[1] or "EqualTo(_block" in plan.split("PushedFilters")[1]
     files = gram_index.blocks_of(spark, path, "needle", shards=3)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in files and "shard" in files.split("PartitionFilters: [")[1][:100]
+
+
+def test_postings_are_lists_of_blocks_a_task(spark, tmp_path, monkeypatch):
+    rows = spark.range(3200).select("id", F.concat(F.lit("common words "), F.col("id").cast("string")).alias("text"))
+    gram_index.build(rows.coalesce(1), "id", "text", str(tmp_path / "g"), shards=3)
+    parts = spark.read.parquet(str(tmp_path / "g/rows")).select(F.spark_partition_id().alias("p")).distinct().count()
+    found = spark.read.parquet(str(tmp_path / "g/postings"))
+    blocks = found.select("gram", F.explode("blocks").alias("b"))
+    assert found.groupBy("gram").count().agg(F.max("count")).first()[0] <= parts < 50 <= blocks.groupBy("gram").count().agg(F.max("count")).first()[0]
+    assert blocks.count() == blocks.distinct().count() == found.agg(F.sum("n")).first()[0]
+    # against grams cut one by one: texts in slices, lists of a few postings, blocks that go on in another batch, bytes that are no characters
+    monkeypatch.setattr(gram_index, "MOST_CHARS", 5)
+    monkeypatch.setattr(gram_index, "MOST_HELD", 9)
+    rng = random.Random(1)
+    texts = [None, "", *("".join(rng.choice("abé道😀") for _ in range(rng.randrange(40))) for _ in range(60))]
+    data = [None if t is None else t.encode() for t in texts] + [b"a\xffbc\xf0\x9f"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k // 7 for k in range(at, min(at + 10, len(data)))]), pa.array(data[at : at + 10], pa.binary())], ["_block", "text"]) for at in range(0, len(data), 10)]
+    for n in (1, 3, 5):
+        listed = [(g, b) for batch in gram_index._postings(n, 4)(iter(batches)) for g, bs in zip(batch["gram"].to_pylist(), batch["blocks"].to_pylist(), strict=True) for b in bs]
+        shown = [None if t is None else t.decode("utf-8", "replace") for t in data]
+        want = {(t[i : i + n], k // 7) for k, t in enumerate(shown) if t for i in range(len(t) - n + 1)}
+        assert set(listed) == {(int(gram_index.grams_of([g], n)[0]), b) for g, b in want} and len(set(listed)) == len(want)
