@@ -341,24 +341,27 @@ UNION ALL VALUES ('search_speeches without arguments', 'INVALID_ARGUMENT'), ('no
  ('another proposal', 'SOURCE_ID_MISMATCH'), ('a filter that the page does not show', 'FILTER_NOT_CONFIRMED'), ('an unstored record', 'RECORD_UNREADABLE'), ('a page that is not there', 'INVALID_ARGUMENT')""")
 def tool_refusals(spark: SparkSession, d: str) -> DataFrame:
     """What each question that cannot be answered is refused with, over snapshots and stored records of all documents."""
-    root, other_root = _new_root(spark), _new_root(spark)
-    laws, site, store = _laws(spark, d, root), _site(spark, d), _store(spark, d, root)
+    root, other_root, store_root = _new_root(spark), _new_root(spark), _new_root(spark)
+    laws, site = _laws(spark, d, root), _site(spark, d)
     whole = snapshots.load(spark, root, "laws", snapshots.LAW)
     good, bare = whole.manifest, whole.records.withColumn("articles", F.when(F.col("_pos") > 0, F.col("articles")).otherwise(F.array()))
-    snapshots.publish(bare, other_root, "laws", "s2", ["law_id"], ABOUT)
+    snapshots.publish(bare, other_root, "laws", "s2", [], ABOUT)  # refused in any order
     denied = tools.Sources(spark, root, law_host="law.example", revoked=(good["normalized_sha256"],))
     other = tools.Sources(spark, site=SITE, fetch=lambda page, params: site.fetch(page, {"s": "1", "category": "7"}))  # noqa: ARG005 - answers without the filters
     asked = [
         *((n, site, n, given) for n, given in REFUSED.items()), ("search_speeches without arguments", site, "search_speeches", {}), ("no such function", site, "other", {}), ("revoked laws", denied, "search_laws", {"keyword": "a"}),
         ("no snapshot", tools.Sources(spark, _new_root(spark)), "search_laws", {"keyword": "a"}), ("a law without articles", tools.Sources(spark, other_root, law_host="law.example"), "search_laws", {"keyword": "a"}),
-        ("another proposal", other, "get_proposal", {"proposal_sn": "2"}), ("a filter that the page does not show", other, "search_proposals", {"keyword": "road"}), ("an unstored record", store, "get_meeting_record", {"record_id": "99999999999", "pdf_url": f"{SITE}/MeetingRecord/99999999999/a.pdf"}),
-        ("a page that is not there", store, "get_meeting_record", {"record_id": "2", "page": 1000000}),
+        ("another proposal", other, "get_proposal", {"proposal_sn": "2"}), ("a filter that the page does not show", other, "search_proposals", {"keyword": "road"}),
     ]
     codes = [(name, _refusal(sources, tool, given)) for name, sources, tool, given in asked]
     results.put_text(spark, f"{root}/{good['parts'][0]['key']}", "{}\n")
     codes.append(("changed laws", _refusal(laws, "search_laws", {"keyword": "a"})))
-    for done in (root, other_root, store.page_store.rpartition("/")[0]):
+    for done in (root, other_root):  # before the records are stored, so that no disk holds both
         results.delete(spark, done)
+    store = _store(spark, d, store_root)
+    codes.append(("an unstored record", _refusal(store, "get_meeting_record", {"record_id": "99999999999", "pdf_url": f"{SITE}/MeetingRecord/99999999999/a.pdf"})))
+    codes.append(("a page that is not there", _refusal(store, "get_meeting_record", {"record_id": "2", "page": 1000000})))
+    results.delete(spark, store_root)
     return spark.createDataFrame(codes, "asked string, reason_code string")
 
 

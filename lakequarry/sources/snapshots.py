@@ -145,10 +145,10 @@ def publish(records: DataFrame, root: str, dataset: str, snapshot: str, by: list
     """Writes records as a snapshot in parts, in the order of the columns `by`, and makes it the active one; returns its hash.
 
     Executors write, hash and count the parts, of rows_a_part records at most; the driver sees a line for each part. about: what else the manifest says (times, versions, coverage, source_url). The pointer is written last, so a failed write leaves
-    the snapshot before it active. ordered: the records are dealt and sorted by `by` already, so that what they are computed from was sampled and not they themselves.
+    the snapshot before it active. ordered: the records are dealt and sorted by `by` already, so that what they are computed from was sampled and not they themselves. Without columns no order is asked: the records are written where they are read and nothing is shuffled.
     """
     spark, folder = records.sparkSession, f"verified/{dataset}/{snapshot}"
-    ranged = records if ordered else records.repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = records if ordered or not by else records.repartitionByRange(*by).sortWithinPartitions(*by)
     results.json_rows(ranged.drop("_pos")).write.option("maxRecordsPerFile", rows_a_part).text(f"{root}/{folder}/parts")
     top = order.qualified(spark, root)
     files = spark.read.format("binaryFile").load(f"{root}/{folder}/parts").select(order.decoded(F.col("_metadata.file_path")).alias("_file"), F.sha2("content", 256).alias("sha256"))

@@ -77,6 +77,16 @@ def test_published_parts_come_back_in_order(spark, tmp_path):
     assert [(r._pos, r.id) for r in found.records.orderBy("_pos").collect()] == [(i, f"k{i:04}") for i in range(1000)]
 
 
+def test_parts_without_an_order_or_in_their_own(spark, tmp_path):
+    rows = spark.range(1000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"))
+    snapshots.publish(rows.repartition(5), str(tmp_path / "a"), "d", "s1", [], ABOUT, rows_a_part=90)
+    snapshots.publish(rows.repartitionByRange(3, "id").sortWithinPartitions("id"), str(tmp_path / "b"), "d", "s1", ["id"], ABOUT, rows_a_part=90, ordered=True)
+    unordered, ordered = (snapshots.load(spark, str(tmp_path / k), "d", "id string") for k in "ab")
+    assert len(unordered.manifest["parts"]) == 15 and sorted(r.id for r in unordered.records.collect()) == [f"k{i:04}" for i in range(1000)]
+    assert sorted(r._pos for r in unordered.records.collect()) == list(range(1000))
+    assert [(r._pos, r.id) for r in ordered.records.orderBy("_pos").collect()] == [(i, f"k{i:04}") for i in range(1000)]
+
+
 def test_tables_of_several_files(spark, tmp_path, small_splits):
     lines = {"b.csv": [f"n{i},{i + 1}" for i in range(3)], "a.csv": [f"m{i},{i + 1}" for i in range(90)]}
     for name, rows in lines.items():
