@@ -1,13 +1,13 @@
 """Hard negatives by a two-dimensional block matrix multiply (SUMMA).
 
-Vectors are quantised to integers and packed into blocks: runs of rows in the order of label and id, cut into chunks of dimensions. A block of anchors meets a block of rows in a tile; each chunk
-of dimensions gives a partial tile of int64 scores, the partial tiles of a tile are shuffled together and added, and a tile is reduced to its best candidates before anything else is moved.
+Vectors are quantised to integers and packed into blocks: runs of rows in the order of label and id. A block of anchors meets a block of rows in a tile of int64 scores. Tiles lie in a grid of cells, a group of anchors' blocks by a group of rows' blocks. As SUMMA has it, tiles stay
+where they are and blocks move: a cell gets its blocks by a shuffle, the partial tiles of each chunk of dimensions are added in the task that has the cell, and a cell is reduced to its best candidates before anything else is moved.
 
 Two such products make the result. The first takes the tiles whose labels can be equal and gives each anchor its positives. The second takes all tiles but those of one and the same label, carries the
 positives along with the anchors' blocks, and gives the best rows of each anchor's and positive's window of scores. So every tile is multiplied once, but for the few blocks that hold two labels, and no tile is written.
 
-What moves: partial tiles of 8 bytes a score and chunk of dimensions (2 chunks up to 1,024 dimensions), as the method has it. It grows with anchors x rows, the size of the stated query set's search. A task holds one
-tile of 128 x 1,024 scores; blocks have the same number of rows whatever the labels are, so a label with a third of all rows is only more blocks. Rows' blocks go to shards by a hash; anchors' blocks are sent to every shard.
+What moves: rows' blocks once for each group of anchors (4,096 of them), and anchors' blocks and candidates once for each group of rows (32,768, fewer of more than 64 dimensions). It grows with anchors x rows, the size of the stated query set's search, by some 0.14 bytes a score with 64 dimensions; nothing but three
+counts passes through the driver, and no side is broadcast. A task holds one tile of 128 x 1,024 scores and the candidates of one block of anchors; blocks have the same number of rows whatever the labels are, so a label with a third of all rows is only more blocks. Blocks go to groups by a hash.
 
 Defined results: rows with a null id, label or vector, or with any null or non-finite component, take no part. Shorter vectors are filled up with zeros; an empty vector has the score 0 with any other. Quantised components end at
 +-2^22 (x at +-16,384), so that scores and windows stay exact in 64 bits up to 2,048 dimensions; more dimensions are refused. Ties go to the smaller id. Repeated rows are rows of their own, and an anchor's own row, of equal
@@ -30,7 +30,8 @@ from .common import drop_staged, read_table, stage
 
 MOST, MOST_DIMENSIONS = 1 << 22, 2048
 LOWEST = np.iinfo(np.int64).min
-BLOCK = "block long, chunk int, low int, high int, ids binary, labels binary, own binary, matrix binary"
+BLOCK = "block long, low int, high int, ids binary, labels binary, own binary, matrix binary"
+A_GROUP, GROUP, LEAST_GROUP = 32, 32, 4  # blocks of anchors, and of rows up to 64 dimensions and from 512 on, in a cell
 CANDIDATE = "a_block long, row int, anchor_id long, own long, id long, score long"
 NEGATIVE = "a_block long, row int, slot int, anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
 
@@ -69,21 +70,18 @@ def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
     return out
 
 
-def pack(rows: DataFrame, size: int, width: int, dimensions: int, n_rows: int) -> DataFrame:
-    """Blocks of `size` rows at most in the order of label and id, a row for each chunk of `width` dimensions. Within a block rows lie by id."""
-    chunks = range(ceil(dimensions / width) or 1)
+def pack(rows: DataFrame, size: int, dimensions: int, n_rows: int) -> DataFrame:
+    """Blocks of `size` rows at most in the order of label and id. Within a block rows lie by id."""
 
-    def block(number: int, ids: np.ndarray, labels: np.ndarray, m: np.ndarray) -> Iterator[tuple]:
+    def block(number: int, ids: np.ndarray, labels: np.ndarray, m: np.ndarray) -> tuple:
         by_id = np.argsort(ids, kind="stable")
         ids, labels, m = ids[by_id], labels[by_id], m[by_id]
         own = np.square(m, dtype=np.int64).sum(1)
-        head = int(labels.min()), int(labels.max()), ids.astype("<i8").tobytes(), labels.astype("<i4").tobytes(), own.astype("<i8").tobytes()
-        for k in chunks:
-            yield number, k, *head, np.ascontiguousarray(m[:, k * width : (k + 1) * width], "<i4").tobytes()
+        return number, int(labels.min()), int(labels.max()), ids.astype("<i8").tobytes(), labels.astype("<i4").tobytes(), own.astype("<i8").tobytes(), m.astype("<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 32, []
-        schema = pa.schema(list(zip(("block", "chunk", "low", "high", "ids", "labels", "own", "matrix"), (pa.int64(), *[pa.int32()] * 3, *[pa.binary()] * 4), strict=True)))
+        schema = pa.schema(list(zip(("block", "low", "high", "ids", "labels", "own", "matrix"), (pa.int64(), *[pa.int32()] * 2, *[pa.binary()] * 4), strict=True)))
 
         def cut(least: int) -> Iterator[pa.RecordBatch]:
             nonlocal number, held
@@ -91,7 +89,7 @@ def pack(rows: DataFrame, size: int, width: int, dimensions: int, n_rows: int) -
             at = 0
             while len(ids) - at >= least:
                 part = slice(at, at + size)
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in block(number, ids[part], labels[part], m[part])], schema)
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, block(number, ids[part], labels[part], m[part]), strict=True))], schema)
                 number, at = number + 1, at + size
             held = [(ids[at:], labels[at:], m[at:])] if at < len(ids) else []
 
@@ -112,40 +110,55 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.T.astype(np.int64)
 
 
-_CARRIED = ("a_ids", "a_labels", "a_own", "ids", "labels", "positives")
+def _first(found: list[np.ndarray], keys: int, most: int) -> list[np.ndarray]:
+    """Of columns that end in id and score, the rows with the `most` best scores of each value of the first `keys` columns; of equal ones those of the smaller ids."""
+    order = np.lexsort((found[-2], -found[-1], *found[keys - 1 :: -1]))
+    found = [x[order] for x in found]
+    new = np.zeros(len(order), bool)
+    for x in found[:keys]:
+        new[1:] |= x[1:] != x[:-1]
+    at = np.arange(len(order))
+    kept = at - np.maximum.accumulate(np.where(new, at, 0)) < most
+    return [x[kept] for x in found]
 
 
-def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The partial tile of each pair of blocks."""
-    for b in batches:
-        for n in range(b.num_rows):
-            get = lambda name, b=b, n=n: b.column(name)[n].as_py()
-            side = lambda of, at, get=get: np.frombuffer(get(of), "<i4").reshape(len(get(at)) // 8, -1)
-            tile = product(side("a_matrix", "a_ids"), side("matrix", "ids")).astype("<i8").tobytes()
-            row = b.slice(n, 1).select(["a_block", "block", *_CARRIED])
-            yield row.append_column("tile", pa.array([tile], pa.binary()))
+def summed_tiles(anchors: DataFrame, rows: DataFrame, wanted: Column, grid: tuple[int, int], width: int, reduce, keys: int, most: int, schema: str) -> DataFrame:
+    """The best candidates of each cell, from reduce(scores, a, b) of every tile of blocks that are wanted; scores are added up by chunks of `width` dimensions.
 
-
-def summed_tiles(anchors: DataFrame, rows: DataFrame, wanted: Column, shards: int, reduce, schema: str) -> DataFrame:
-    """reduce(scores, a, b) of every tile of blocks that are wanted; partial tiles are added by (a_block, block)."""
-    a = anchors.select(*[F.col(c).alias(f"a_{c}") for c in ("block", "chunk", "low", "high", "ids", "labels", "own", "matrix")], "positives", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    b = rows.drop("own").withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int"))
-    met = a.join(b, (a["shard"] == b["shard"]) & (a["a_chunk"] == b["chunk"]) & wanted)
-    partial = met.select("a_block", "block", "a_matrix", "matrix", *_CARRIED).mapInArrow(_multiply, "a_block long, block long, a_ids binary, a_labels binary, a_own binary, ids binary, labels binary, positives binary, tile binary")
+    grid: groups of anchors' blocks and of rows' blocks. A tile's candidates end in id and score; `most` of them stay for each value of the first `keys` columns.
+    """
+    group, every = (lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    a = anchors.select(*[F.col(c).alias(f"a_{c}") for c in ("block", "low", "high", "ids", "labels", "own", "matrix")], "positives", group(grid[0]).alias("i"), every(grid[1]).alias("j"))
+    b = rows.select("block", "low", "high", "ids", "labels", "matrix", group(grid[1]).alias("j"), every(grid[0]).alias("i"))
+    # a merge join by intent: what is repeated for every cell is far larger than Spark takes it for, and would be broadcast
+    met = a.repartition(grid[0] * grid[1], "i", "j").join(b.repartition(grid[0] * grid[1], "i", "j").hint("merge"), ["i", "j"]).where(wanted)
     names, kinds = zip(*[(x.split()[0], pa.int32() if x.split()[1] == "int" else pa.int64()) for x in schema.split(", ")], strict=True)
 
-    def add(parts: pa.Table) -> pa.Table:
-        get = lambda name, kind: np.frombuffer(parts.column(name)[0].as_py() or b"", kind)
-        own = {"ids": get("a_ids", "<i8"), "labels": get("a_labels", "<i4"), "own": get("a_own", "<i8"), "positives": get("positives", "<i8").reshape(-1, 4)}
-        other = {"ids": get("ids", "<i8"), "labels": get("labels", "<i4")}
-        scores = np.zeros((len(own["ids"]), len(other["ids"])), np.int64)
-        for tile in parts.column("tile"):
-            scores += np.frombuffer(tile.as_py(), "<i8").reshape(scores.shape)
-        found = [np.concatenate(x) for x in zip(*reduce(scores, own, other), strict=True)] or [np.zeros(0, np.int64)] * (len(names) - 1)
-        block = np.full(len(found[0]), parts.column("a_block")[0].as_py())
-        return pa.table([pa.array(x, k) for x, k in zip([block, *found], kinds, strict=True)], list(names))
-
-    return partial.groupBy("a_block", "block").applyInArrow(add, schema)
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, a, a_matrix, held = None, {}, None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                found = _first([np.concatenate(x) for x in zip(*held, strict=True)], keys, most)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([np.full(len(found[0]), number), *found], kinds, strict=True)], list(names))
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                get = lambda name, kind, batch=batch, n=n: np.frombuffer(batch.column(name)[n].as_py() or b"", kind)
+                if (of := batch.column("a_block")[n].as_py()) != number:
+                    yield from out()
+                    number, a = of, {"ids": get("a_ids", "<i8"), "labels": get("a_labels", "<i4"), "own": get("a_own", "<i8"), "positives": get("positives", "<i8").reshape(-1, 4)}
+                    a_matrix = get("a_matrix", "<i4").reshape(len(a["ids"]), -1)
+                b = {"ids": get("ids", "<i8"), "labels": get("labels", "<i4")}
+                matrix = get("matrix", "<i4").reshape(len(b["ids"]), -1)
+                scores = np.zeros((len(a["ids"]), len(b["ids"])), np.int64)
+                for k in range(0, matrix.shape[1], width):
+                    scores += product(a_matrix[:, k : k + width], matrix[:, k : k + width])
+                held.extend(reduce(scores, a, b))
+        yield from out()
+
+    return met.select("a_block", "a_ids", "a_labels", "a_own", "a_matrix", "positives", "ids", "labels", "matrix").mapInArrow(tiles, schema)
 
 
 def best(scores: np.ndarray, allowed: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -195,7 +208,7 @@ def _own_row_out(candidates: DataFrame, most: int) -> DataFrame:
 def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, a_size: int = 128, size: int = 1024, width: int | None = None, shards: int | None = None) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score and negative_score from rows (id, label, q), as usable() gives them.
 
-    anchor: which rows are anchors, by id and label. low, high: per cent of the positive's score between which a negative's score lies. width: dimensions in a chunk; half of them, 512 at most, unless given.
+    anchor: which rows are anchors, by id and label. low, high: per cent of the positive's score between which a negative's score lies. width: dimensions in a chunk; half of them, 512 at most, unless given. shards: groups of rows' blocks.
     """
     spark = rows.sparkSession
     rows = stage(rows, "quantised")
@@ -203,19 +216,21 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 1
     if sizes.d > MOST_DIMENSIONS:
         raise ValueError(f"vectors have {sizes.d} dimensions, over {MOST_DIMENSIONS}")
     width = width or max(1, min(512, ceil(sizes.d / 2)))
-    shards = shards or max(1, ceil(sizes.n / (4 * size)))
-    every = stage(pack(rows, size, width, sizes.d, sizes.n), "row-blocks")
-    some = stage(pack(rows.where(anchor), a_size, width, sizes.d, sizes.anchors), "anchor-blocks")
+    in_group = size * max(LEAST_GROUP, min(GROUP, GROUP * 64 // max(1, sizes.d)))
+    shards = shards or max(1, ceil(sizes.n / in_group), min(ceil(sizes.n / (LEAST_GROUP * size)), spark.sparkContext.defaultParallelism))
+    grid = max(1, ceil(sizes.anchors / (A_GROUP * a_size))), shards
+    every = stage(pack(rows, size, sizes.d, sizes.n), "row-blocks")
+    some = stage(pack(rows.where(anchor), a_size, sizes.d, sizes.anchors), "anchor-blocks")
     drop_staged(rows)
     one_label = lambda lo, hi: F.col(lo) == F.col(hi)
     may_equal = (F.col("a_low") <= F.col("high")) & (F.col("low") <= F.col("a_high"))
     may_differ = ~(one_label("a_low", "a_high") & one_label("low", "high") & one_label("a_low", "low"))
     as_bytes = lambda c: F.unhex(F.array_join(F.transform(c, lambda p: F.concat(*[_little_endian(p[x]) for x in ("row", "slot", "id", "score")])), ""))
-    with records_a_batch(spark, 16):
-        candidates = stage(summed_tiles(some.withColumn("positives", F.lit(None).cast("binary")), every, may_equal, shards, _positives_of(positives), CANDIDATE), "positive-candidates")
+    with records_a_batch(spark, max(1, min(16, MOST_DIMENSIONS // max(1, sizes.d)))):
+        candidates = stage(summed_tiles(some.withColumn("positives", F.lit(None).cast("binary")), every, may_equal, grid, width, _positives_of(positives), 1, positives + 1, CANDIDATE), "positive-candidates")
         chosen = _own_row_out(candidates, positives).groupBy(F.col("a_block").alias("block")).agg(as_bytes(F.collect_list(F.struct("row", "slot", "id", "score"))).alias("positives"))  # a_size x positives at most
         chosen = stage(chosen, "positives")
-        found = stage(summed_tiles(some.join(chosen, "block"), every, may_differ, shards, _negatives_of(negatives, low, high), NEGATIVE), "negative-candidates")
+        found = stage(summed_tiles(some.join(chosen.hint("merge"), "block"), every, may_differ, grid, width, _negatives_of(negatives, low, high), 2, negatives, NEGATIVE), "negative-candidates")
     for done in (every, some, candidates, chosen):
         drop_staged(done)
     rank = F.row_number().over(Window.partitionBy("a_block", "row", "slot").orderBy(F.desc("negative_score"), "negative_id"))

@@ -77,3 +77,32 @@ def test_too_many_dimensions_are_refused(spark):
     rows = spark.createDataFrame([(1, [1.0] * 2049, 1)], "id long, v array<double>, label int")
     with pytest.raises(ValueError, match="2049"):
         H.mine(H.usable(rows, "id", "label", "v"), F.lit(True))
+
+
+def test_no_block_is_broadcast_and_cells_are_reduced(spark, monkeypatch):
+    plans, staged, stage = [], {}, H.stage
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        staged[label] = stage(df, label)
+        return staged[label]
+
+    monkeypatch.setattr(H, "stage", seen)
+    rows = made(600, 3)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    ready = H.usable(spark.createDataFrame(rows, SCHEMA), "vec_id", label, "embedding")
+    got = H.mine(ready, F.col("id") % 100 == 0, a_size=3, size=7, width=2, shards=3)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+    assert not any("Broadcast" in p for p in plans) and sum("SortMergeJoin" in p for p in plans) == 2
+    assert staged["negative-candidates"].groupBy("a_block", "row", "slot").count().agg(F.max("count")).first()[0] <= 10 * 3  # a cell's, not a tile's
+
+
+def test_more_groups_of_anchors_and_vectors_of_no_dimension(spark, monkeypatch):
+    monkeypatch.setattr(H, "A_GROUP", 2)
+    rows = [(i, x, k, None, None) for i, x, k, *_ in made(150, 4)]
+    got = H.mine(H.usable(spark.createDataFrame(rows, SCHEMA), "vec_id", "label", "embedding"), F.lit(True), a_size=9, size=11, width=3)
+    kept = H.mine(H.usable(spark.createDataFrame(rows, SCHEMA), "vec_id", "label", "embedding"), F.lit(True), a_size=500, size=500)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in kept.collect()) != []
+    empty = spark.createDataFrame([(i, [], i % 2) for i in range(20)], "id long, v array<double>, label int")
+    found = H.mine(H.usable(empty, "id", "label", "v"), F.col("id") == 0).collect()
+    assert sorted((r.positive_id, r.rank, r.negative_id) for r in found) == [(p, k + 1, 2 * k + 1) for p in (2, 4, 6, 8, 10) for k in range(10)]
