@@ -1,6 +1,6 @@
 """Literal search over large tables without reading them: postings of character n-grams retrieve blocks of rows, and the rows of those blocks are searched exactly.
 
-Rows are sorted by their key and numbered in blocks. A gram's postings are the blocks that hold it, so they do not grow with a text's length, and a common gram has one entry a block at most (two where a block is read by two tasks). A task hashes the grams of a block at once and lists the
+Rows are sorted by their key and numbered in blocks. A gram's postings are the blocks that hold it, so they do not grow with a text's length, and a common gram has one entry a block at most, however batches cut the block (more where a block is read by two tasks, or has over a million grams). A task hashes the grams of a block at once and lists the
 blocks of each gram, so that a row of the postings is a gram with its blocks, not a gram of a block. Two grams of one hash cost a block that is read in vain, never a row. Postings are dealt by the hash into folders and sorted by it, so a
 keyword reads the folders and row groups of its grams alone. Of a keyword's grams the rarest few are intersected; how often each occurs is looked up first. Rows of the blocks that are left are read by a filter that reaches the files' row groups and pages.
 """
@@ -59,10 +59,12 @@ def _pieces(texts, n: int) -> Iterator[list[str]]:
 
 
 def _listed(held: list[tuple[int, np.ndarray]], shards: int) -> pa.RecordBatch:
-    """A row for each gram of what is held, with its blocks."""
+    """A row for each gram of what is held, with its blocks; a block that is held in pieces, one after the other, is listed once."""
     grams, blocks = np.concatenate([g for _, g in held]), np.concatenate([np.full(len(g), b, np.int64) for b, g in held])
     order = np.argsort(grams, kind="stable")
     grams, blocks = grams[order], blocks[order]
+    first = np.concatenate(([True], (grams[1:] != grams[:-1]) | (blocks[1:] != blocks[:-1])))
+    grams, blocks = grams[first], blocks[first]
     starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
     own, offsets = grams[starts], np.append(starts, len(grams))
     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(blocks))
@@ -76,12 +78,12 @@ def _postings(n: int, shards: int):
             for block, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(1), strict=True), lambda r: r[0]):
                 for piece in _pieces((t.as_py().decode("utf-8", "replace") for _, t in rows if t.is_valid), n):
                     found = grams_of(piece, n)
+                    if size >= MOST_HELD and (block != held[-1][0] or size >= MOST_HELD + MOST_CHARS):
+                        yield _listed(held, shards)
+                        held, size = [], 0
                     if len(found):
                         held.append((block, found))
                         size += len(found)
-                    if size >= MOST_HELD:
-                        yield _listed(held, shards)
-                        held, size = [], 0
         if held:
             yield _listed(held, shards)
 

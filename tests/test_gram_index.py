@@ -63,3 +63,13 @@ def test_postings_are_lists_of_blocks_a_task(spark, tmp_path, monkeypatch):
         shown = [None if t is None else t.decode("utf-8", "replace") for t in data]
         want = {(t[i : i + n], k // 7) for k, t in enumerate(shown) if t for i in range(len(t) - n + 1)}
         assert set(listed) == {(int(gram_index.grams_of([g], n)[0]), b) for g, b in want} and len(set(listed)) == len(want)
+
+
+def test_a_block_that_batches_cut_is_listed_once(monkeypatch):
+    texts = [f"common words {k % 5}" for k in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k // 7 for k in range(at, at + 10)]), pa.array([t.encode() for t in texts[at : at + 10]], pa.binary())], ["_block", "text"]) for at in range(0, 60, 10)]
+    want = sorted({(int(gram_index.grams_of([t[i : i + 3]], 3)[0]), k // 7) for k, t in enumerate(texts) for i in range(len(t) - 2)})
+    for held in (1 << 22, 30):  # gathered in one list, and in several that end with a block
+        monkeypatch.setattr(gram_index, "MOST_HELD", held)
+        rows = [r for batch in gram_index._postings(3, 4)(iter(batches)) for r in batch.to_pylist()]
+        assert sorted((r["gram"], b) for r in rows for b in r["blocks"]) == want and sum(r["n"] for r in rows) == len(want)
